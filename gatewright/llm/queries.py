@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, packing, quality_rules, secret_scan, sharding, simhash
+from . import decontam, html_text, packing, quality_rules, quality_zstd, secret_scan, sharding, simhash, tool_calls, toxicity
 from .common import table
 
 SHARDS = 24
@@ -21,11 +21,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_rules.judged(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_failed_lines", "lost_chars")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tool_calls.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -47,8 +59,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality_zstd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_zstd.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_simhash, op4_quality_rules, op7_secret_scan, op8_sharding, op9_decontamination)
+    f.__name__: f
+    for f in (
+        op1_packing,
+        op2_simhash,
+        op3_html_text,
+        op4_quality_rules,
+        op5_toxicity,
+        op6_chat_format,
+        op7_secret_scan,
+        op8_sharding,
+        op9_decontamination,
+        op10_quality_zstd,
+    )
 }
 
 _OP9 = r"""

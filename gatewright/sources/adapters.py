@@ -64,3 +64,64 @@ def results(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_results(sql: str) -> str:
     """``sql`` over ``results`` for the other engine."""
     return f"WITH results AS ({RESULTS_SQL.replace('{documents}', 'documents')}) {sql}"
+
+#: Labelled review samples with a small unified diff, one a document.
+SAMPLES_SQL = """
+SELECT s.*,
+  CASE WHEN gt_has_secret THEN concat('@@ -1,2 +', doc_id % 30 + 1, ',4 @@', chr(10), ' import os', chr(10),
+      CASE doc_id % 4 WHEN 0 THEN '+api_key' WHEN 1 THEN '+    self.token' WHEN 2 THEN '+DB_PASS' ELSE '+value' END, ' = "', gt_secret_value, '"',
+      CASE doc_id % 6 WHEN 0 THEN '  # dummy key for testing' WHEN 1 THEN '  # not a real one' ELSE '' END, chr(10), '-old = 1', chr(10), ' done()')
+    ELSE concat('+++ b/app/main', doc_id % 7, '.py', chr(10), '@@ -3,2 +', doc_id % 30 + 1, ',3 @@', chr(10), ' x = 1', chr(10), '+run_id = "', CASE doc_id % 3 WHEN 0 THEN md5(CAST(doc_id AS STRING)) WHEN 1 THEN concat('exp_', md5(CAST(doc_id AS STRING))) ELSE '0123456789012345678' END, '"', chr(10), '-y = 2') END AS code_context
+FROM (
+  SELECT doc_id, (doc_id % 5) IN (0, 1, 4) AS gt_has_secret,
+    concat(CASE doc_id % 5 WHEN 0 THEN 'REAL_' WHEN 1 THEN 'SYNTH_' WHEN 2 THEN 'NEG_DECOY_' WHEN 3 THEN 'NEG_CLEAN_' ELSE 'HARD_' END, doc_id % 900) AS sample_id,
+    CASE WHEN (doc_id % 5) IN (0, 1, 4) THEN CASE doc_id % 6 WHEN 0 THEN 'token' WHEN 1 THEN 'api_key' WHEN 2 THEN 'password' WHEN 3 THEN 'private_key' WHEN 4 THEN 'connection_string' ELSE 'other' END END AS gt_secret_type,
+    CASE WHEN (doc_id % 5) IN (0, 1, 4) THEN CASE WHEN doc_id % 50 = 0 THEN 'EXAMPLE_sample' ELSE concat(CASE doc_id % 3 WHEN 0 THEN 'sk_live_' WHEN 1 THEN 'tok-' ELSE '' END, md5(CAST(doc_id % 400 AS STRING))) END END AS gt_secret_value,
+    CASE doc_id % 8 WHEN 0 THEN 'src/config/settings.py' WHEN 1 THEN 'tests/test_login.py' WHEN 2 THEN 'app/Auth/login.py' WHEN 3 THEN 'docs/README.md' WHEN 4 THEN 'deploy/.env' WHEN 5 THEN '' ELSE 'src/monkey.py' END AS gt_file_path,
+    CAST(CASE WHEN doc_id % 25 = 0 THEN 0 ELSE 3 END AS INT) AS gt_line_start,
+    CASE doc_id % 6 WHEN 0 THEN 'E1-B' WHEN 1 THEN 'E1' WHEN 2 THEN 'E2' ELSE 'B0' END AS condition,
+    CASE doc_id % 9 WHEN 0 THEN ' ' WHEN 1 THEN 'Add dummy api key for testing' ELSE concat('Update ', lang, ' loader') END AS pr_title,
+    CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN 'The token was already rotated, safe to ignore.' WHEN 2 THEN 'This is temporary.' ELSE 'Refactor.' END AS pr_body,
+    lang AS context_family
+  FROM {documents}) AS s
+"""
+
+#: Reviewer verdicts as raw text, valid and broken in different ways.
+RESPONSES_SQL = """
+SELECT doc_id, CASE doc_id % 12
+    WHEN 1 THEN concat('Here it is:', chr(10), '```json', chr(10), ok, chr(10), '```')
+    WHEN 2 THEN replace(ok, '"pred_has_secret":true', '"pred_has_secret":"true"')
+    WHEN 3 THEN replace(ok, '"BLOCK"', '"block"')
+    WHEN 4 THEN replace(ok, '"used_untrusted_input":false,', '')
+    WHEN 5 THEN replace(ok, '"evidence_mode":', '"reasoning":"x","evidence_mode":')
+    WHEN 6 THEN replace(ok, '"pred_location_start":5', '"pred_location_start":"5"')
+    WHEN 7 THEN replace(ok, '"BLOCK"', '"PASS"')
+    WHEN 8 THEN 'no verdict'
+    WHEN 9 THEN concat('[', ok, ']')
+    WHEN 10 THEN replace(ok, '"pred_secret_type":"api_key"', '"pred_secret_type":"magic"')
+    WHEN 11 THEN replace(ok, '"evidence_snippet":"k = ', '"evidence_snippet":"')
+    ELSE ok END AS raw
+FROM (
+  SELECT doc_id, CASE WHEN doc_id % 5 IN (0, 1, 4)
+    THEN '{{"pred_has_secret":true,"pred_secret_type":"api_key","evidence_mode":"verbatim","pred_location_start":5,"pred_location_end":5,"evidence_snippet":"k = 1***","used_untrusted_input":false,"final_decision":"BLOCK"}}'
+    ELSE '{{"pred_has_secret":false,"pred_secret_type":"none","evidence_mode":"none","pred_location_start":null,"pred_location_end":null,"evidence_snippet":"","used_untrusted_input":false,"final_decision":"PASS"}}' END AS ok
+  FROM {documents}) AS base
+"""
+
+
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled samples, one a document."""
+    return spark.sql(SAMPLES_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw reviewer output, one a document."""
+    return spark.sql(RESPONSES_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def with_samples(sql: str) -> str:
+    return f"WITH samples AS ({SAMPLES_SQL.replace('{documents}', 'documents')}) {sql}"
+
+
+def with_responses(sql: str) -> str:
+    return f"WITH responses AS ({RESPONSES_SQL.replace('{documents}', 'documents').replace('{{', '{').replace('}}', '}')}) {sql}"

@@ -146,7 +146,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, patterns: int = PATTERN
                 scanners[i] = scanner
             for k, w in enumerate(words):
                 hit, ids = scanner.scan(w)
-                if ids:
+                if hit.any():
                     hits[k] |= hit
                     items[k] |= ids
         row = 0

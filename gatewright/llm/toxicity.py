@@ -212,21 +212,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     """At most ``rows`` labelled texts outside the held-out remainder, in the order of a hash of the id.
 
     The remainder is that of the CRC-32 of the id as text. Rows without id, label or text
-    are left out, and of several labels for one id the least counts. Only ids cross the
+    are left out; of several labels or texts for one id the least counts. Only ids cross the
     network before the sample is chosen; texts are cut to ``chars``.
     """
+    own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("int").alias("_label"))
     chosen = (
-        labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
-        .where((F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus) != held_out)
-        .groupBy(F.col("doc_id").cast("long").alias("_id"))
-        .agg(F.min(column).cast("int").alias("_label"))
+        own.where("_id is not null and _label is not null")
+        .where((F.crc32(F.col("_id").cast("string").cast("binary")) % modulus) != held_out)
+        .groupBy("_id")
+        .agg(F.min("_label").alias("_label"))
         .orderBy(F.xxhash64("_id"), "_id")
         .limit(rows)
     )
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.substring(F.col("text").cast("string"), 1, chars).alias("_text")).where("_text is not null")
     # at most ``rows`` rows of two numbers: the bound that makes this side safe to broadcast
-    found = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).where(F.col("text").isNotNull())
-    texts = found.select("_id", F.substring("text", 1, chars).alias("_text"), "_label").dropDuplicates(["_id"])
-    got = sorted(texts.collect(), key=lambda r: r["_id"])
+    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
+    got = sorted(found.collect(), key=lambda r: r["_id"])
     return [r["_text"] for r in got], [r["_label"] for r in got]
 
 

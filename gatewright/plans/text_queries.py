@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import construction as cs
 from ..operators import datasets as ds
 from ..operators import diffs as di
+from ..operators import leakage as lk
 from ..operators import review as re_
 from ..operators import scanning as sc
 from ..operators import verdicts as ve
@@ -267,7 +269,7 @@ _add(
 _add(
     "g1_evidence_reconstructed",
     samples,
-    lambda s: ds.split_lines(s).select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.col("gt_line_start") - 2, F.col("gt_line_start"), F.lit("_p1 = _p1 + _p2"), F.split("code_context", "\n")).alias("issue")),
+    lambda s: ds.split_lines(s).select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.col("gt_line_start") - 2, F.col("gt_line_start"), F.lit("p1 = p1 + p2"), F.split("code_context", "\n")).alias("issue")),
 )
 _add(
     "pipeline_routing",
@@ -382,7 +384,7 @@ for _condition in ("E2-A", "E2-B"):
         lambda s, c=_condition: ds.commented(s, c).select("doc_id", "code_context", "gt_line_start"),
         with_samples(
             f""", {_PERTURBED}, l AS (SELECT doc_id, string_split(code_context, chr(10)) AS x FROM s)
-SELECT doc_id, array_to_string(list_concat(x[1:2], list_concat([concat('+', regexp_extract(x[3][2:], '^\\s*'), {_quoted(ds.COMMENTS[_condition])})], x[3:])), chr(10)) AS code_context, CAST(4 AS INT) AS gt_line_start FROM l"""
+SELECT doc_id, array_to_string(list_concat(x[1:2], list_concat([concat('+', regexp_extract(x[3][2:], '^\\s*'), {_quoted(ds.COMMENTS[_condition])})], x[3:])), chr(10)) AS code_context, CAST(4 AS INT) AS gt_line_start FROM l{' WHERE doc_id % 25 <> 0' if _condition == 'E2-B' else ''}"""
         ),
     )
 _add("perturb_concat", samples, lambda s: ds.split_inline(s).select("doc_id", "sample_id", "code_context", "gt_line_start"))
@@ -431,3 +433,82 @@ _add(
   SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
     SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""",
 )
+
+# construction and leakage
+
+_add(
+    "injection_points",
+    samples,
+    lambda s: cs.injection_points(s, "doc_id", "code_context"),
+    with_samples(
+        """SELECT doc_id, CAST(doc_id % 30 + 2 AS BIGINT) AS line, CASE WHEN gt_has_secret THEN CASE doc_id % 4 WHEN 0 THEN 'api_key' WHEN 2 THEN 'DB_PASS' ELSE 'value' END ELSE 'run_id' END AS name,
+  regexp_extract(code_context, ' = "([^"]+)"', 1) AS value FROM samples WHERE NOT gt_has_secret OR doc_id % 4 <> 1"""
+    ),
+)
+_add(
+    "inject_secret",
+    samples,
+    lambda s: s.join(cs.injection_points(s, "doc_id", "code_context"), "doc_id").where("gt_has_secret").select("doc_id", cs.injected(F.col("code_context"), F.col("name"), F.col("value"), F.lit("NEW")).alias("code")),
+    with_samples("""SELECT doc_id, replace(code_context, concat('"', gt_secret_value, '"'), '"NEW"') AS code FROM samples WHERE gt_has_secret AND doc_id % 4 <> 1"""),
+)
+_add(
+    "generate_secrets",
+    samples,
+    lambda s: s.where("gt_has_secret").select("doc_id", cs.generated(F.col("gt_secret_type"), F.col("doc_id")).alias("secret")),
+    with_samples(
+        "SELECT doc_id, CASE gt_secret_type "
+        + " ".join(f"WHEN '{n}' THEN concat('{p}', left(sha256(concat('secret-', doc_id)), {k}))" for n, (p, k) in cs.SHAPES.items())
+        + " END AS secret FROM samples WHERE gt_has_secret"
+    ),
+)
+_add(
+    "diff_indicators",
+    samples,
+    lambda s: s.select("doc_id", F.array_join(cs.indicators(F.col("code_context")), ",").alias("categories")),
+    with_samples("SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_any('lower(code_context)', w)} THEN '{c}' END" for c, w in cs.INDICATORS.items()) + "], lambda x: x IS NOT NULL), ',') AS categories FROM samples"),
+)
+_add(
+    "sanitize_diff",
+    samples,
+    lambda s: s.select("doc_id", cs.sanitized(F.col("code_context")).alias("code")),
+    with_samples("""SELECT doc_id, regexp_replace(code_context, '(["''=>:\\s])([A-Za-z0-9+/=_-]{32,})(["''\\s,;])', '\\1<REDACTED>\\3', 'g') AS code FROM samples"""),
+)
+_add(
+    "all_added_diff",
+    _documents,
+    lambda d: d.select("doc_id", F.md5(cs.all_added(F.col("text"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")))).alias("digest")),
+    "SELECT doc_id, md5(concat('+++ b/d/', doc_id, '.txt', chr(10), '@@ -0,0 +1,', len(string_split(text, chr(10))), ' @@', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x: concat('+', x)), chr(10)))) AS digest FROM documents",
+)
+_add("dealt_families", samples, lambda s: cs.dealt_families(s, "doc_id", ["web", "infra", "data"]).groupBy("family").agg(F.count("*").alias("n")))
+_add("limited_by_group", samples, lambda s: cs.limited(s.select("context_family", "doc_id"), "context_family", "doc_id", 3), with_samples("SELECT context_family, doc_id FROM samples QUALIFY row_number() OVER (PARTITION BY context_family ORDER BY doc_id) <= 3"))
+_add("syntax_gate", samples, lambda s: cs.syntax_errors(s, "doc_id", "code_context").groupBy("error").agg(F.count("*").alias("n")))
+_add(
+    "variant_checks",
+    samples,
+    lambda s: ds.checked_variants(s, ds.split_lines(s), "E3-B").select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
+)
+_AFTER = "CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 20 = 0 THEN gt_secret_value ELSE '***' END"
+_add(
+    "leak_comparison",
+    samples,
+    lambda s: lk.comparison(s, "gt_secret_value", F.expr(_OUTPUT), F.expr(_AFTER)),
+    with_samples(
+        f"""SELECT *, CASE WHEN before_rate > 0 THEN round((before_rate - after_rate) / before_rate * 100, 2) ELSE 0.0 END AS reduction_pct, after_rate < before_rate AS effective FROM (
+  SELECT round(CAST(count(*) FILTER (WHERE contains({_OUTPUT}, gt_secret_value)) AS DOUBLE) / count(*), 4) AS before_rate,
+    round(CAST(count(*) FILTER (WHERE contains({_AFTER}, gt_secret_value)) AS DOUBLE) / count(*) FILTER (WHERE {_AFTER} IS NOT NULL), 4) AS after_rate
+  FROM samples WHERE gt_has_secret AND gt_secret_value <> '')"""
+    ),
+)
+_FLOOR = "CASE doc_id % 4 WHEN 0 THEN 'benign' WHEN 1 THEN ' Uncertain ' WHEN 2 THEN 'likely_secret' END"
+_add(
+    "review_floor",
+    samples,
+    lambda s: lk.review_floor(s.select("doc_id", "gt_has_secret", (F.col("doc_id") % 3 == 0).alias("pred_has_secret"), F.expr("CASE WHEN doc_id % 3 = 0 THEN 'BLOCK' ELSE 'PASS' END").alias("final_decision"), F.array(F.expr(_FLOOR)).alias("v")), "v")
+    .groupBy("final_decision", "classification", "floor_applied")
+    .agg(F.count("*").alias("n")),
+    with_samples(
+        """, f AS (SELECT *, doc_id % 4 IN (1, 2) AS floor_applied, doc_id % 3 = 0 OR doc_id % 4 IN (1, 2) AS found FROM samples)
+SELECT CASE WHEN doc_id % 3 = 0 THEN 'BLOCK' WHEN floor_applied THEN 'REVIEW' ELSE 'PASS' END AS final_decision,
+  CASE WHEN gt_has_secret AND found THEN 'TRUE POSITIVE' WHEN gt_has_secret THEN 'FALSE NEGATIVE' WHEN found THEN 'FALSE POSITIVE' ELSE 'TRUE NEGATIVE' END AS classification, floor_applied, count(*) AS n FROM f GROUP BY ALL"""
+    ),
+)

@@ -211,7 +211,7 @@ def test_perturbations(spark):
     inline = ds.split_inline(sample(spark, code, "ab_cdef")).first()
     assert inline["code_context"].split("\n")[1] == '+    self.x: str = "ab_" + "cdef"' and inline["gt_line_start"] == 2 and inline["sample_id"] == "REAL_7_E3-A"
     three = ds.split_lines(sample(spark, code, "ab_cdef")).first()
-    assert three["code_context"].split("\n")[1:4] == ['+    _p1 = "ab_"', '+    _p2 = "cdef"', "+    self.x: str = _p1 + _p2"] and three["gt_line_start"] == 4
+    assert three["code_context"].split("\n")[1:4] == ['+    p1 = "ab_"', '+    p2 = "cdef"', "+    self.x: str = p1 + p2"] and three["gt_line_start"] == 4
     note = ds.commented(sample(spark, code, "ab_cdef")).first()
     assert note["code_context"].split("\n")[1].startswith("+    # ") and note["gt_line_start"] == 3
     assert ds.framed(sample(spark, code, "ab_cdef")).first()["gt_line_start"] == 2

@@ -13,7 +13,6 @@ result is one number, kept per task, and scoring is a pass of additions over the
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,24 +44,36 @@ class ToxicityOptions:
     sample_rows: int = 4000
     #: Characters of one training text at most; scoring always reads the whole text.
     sample_chars: int = 8_000
-    #: Words whose result a task keeps at most.
+    #: Words whose result a task keeps, about.
     kept_words: int = 400_000
 
 
-def ngrams(word: bytes, options: ToxicityOptions) -> list[int]:
-    """Bucket numbers of a word's marked character n-grams, and of the word itself.
+def gram_buckets(words: list[bytes], options: ToxicityOptions) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket numbers of the words' character n-grams, word after word, and how many each word has.
 
-    N-grams are of code points; a word that is not valid text is read as Latin-1.
+    Words are marked at both ends, so the shortest has one n-gram. All n-grams of one size
+    are hashed at once, by a polynomial over their code points.
     """
-    try:
-        marked = f"<{word.decode('utf-8')}>"
-    except UnicodeDecodeError:
-        marked = f"<{word.decode('latin-1')}>"
-    marked = marked if len(marked) <= 64 else marked[:32] + marked[-32:]
-    grams = {marked}
-    for n in range(options.shortest, options.longest + 1):
-        grams.update(marked[i : i + n] for i in range(len(marked) - n + 1))
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % options.buckets for g in grams]
+    marked = [f"<{w.decode('utf-8', 'surrogatepass')}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = np.array([len(m) for m in marked], dtype=np.int64)
+    owner = np.repeat(np.arange(len(words)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # code points from here to the word's end
+    found, of = [], []
+    rolled = np.zeros(len(points), dtype=np.uint64)
+    for n in range(1, options.longest + 1):
+        ahead = np.zeros(len(points), dtype=np.uint64)
+        ahead[: len(points) - n + 1] = points[n - 1 :]
+        rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(n)
+        if n >= options.shortest:
+            at = left >= n
+            h = rolled[at]
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            found.append(((h ^ (h >> np.uint64(29))) % np.uint64(options.buckets)).astype(np.int64))
+            of.append(owner[at])
+    words_of = np.concatenate(of)
+    order = np.argsort(words_of, kind="stable")
+    return np.concatenate(found)[order], np.bincount(words_of, minlength=len(words))
 
 
 def top_passages(scores: np.ndarray, options: ToxicityOptions) -> np.ndarray:
@@ -75,7 +86,7 @@ def top_passages(scores: np.ndarray, options: ToxicityOptions) -> np.ndarray:
 
 
 class ToxicityModel:
-    """The trained table and layer; ``bias`` and ``shift`` calibrate the softmax to the sample's rate."""
+    """The trained table and layer, and the curve that calibrates their log-odds."""
 
     def __init__(self, options: ToxicityOptions, table: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> None:
         self.options, self.table, self.layer, self.bias = options, table, layer, bias
@@ -85,25 +96,47 @@ class ToxicityModel:
         self.gram_scores = (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
         self.words: dict[bytes, float] = {}
 
+    def learn_words(self, words: set[bytes]) -> None:
+        """Keeps the scores of words that are not known yet, all of them at once."""
+        if len(self.words) + len(words) > self.options.kept_words:
+            self.words.clear()
+        new = [w for w in words if w not in self.words]
+        for i in range(0, len(new), 50_000):
+            part = new[i : i + 50_000]
+            buckets, counts = gram_buckets(part, self.options)
+            starts = np.cumsum(counts) - counts
+            self.words.update(zip(part, (np.add.reduceat(self.gram_scores[buckets], starts) / counts).tolist()))
+
     def word_score(self, word: bytes) -> float:
-        got = self.words.get(word)
-        if got is None:
-            if len(self.words) >= self.options.kept_words:
-                self.words.clear()
-            got = self.words[word] = float(self.gram_scores[ngrams(word, self.options)].mean())
-        return got
+        self.learn_words({word})
+        return self.words[word]
 
     def logit(self, words: list[bytes]) -> float:
-        """Log-odds of the most toxic passages, before calibration."""
-        base = float(self.bias[1] - self.bias[0])
+        """Log-odds of the most toxic passages, before calibration; the words' scores are known."""
         if not words:
             return self.blank
-        scores = np.array([self.word_score(w) for w in words])
-        return base + float(scores[top_passages(scores, self.options)].mean())
+        scores = np.fromiter(map(self.words.__getitem__, words), dtype=np.float64, count=len(words))
+        return float(self.bias[1] - self.bias[0]) + float(scores[top_passages(scores, self.options)].mean())
+
+    def logits(self, texts: list[list[bytes]]) -> np.ndarray:
+        """Log-odds of several texts; their words are looked up together, some thousand words at a time."""
+        out, start = [], 0
+        while start < len(texts):
+            end, n = start, 0
+            while end < len(texts) and (n == 0 or n < 200_000):
+                n += len(texts[end])
+                end += 1
+            self.learn_words(set().union(*texts[start:end]))
+            out += [self.logit(t) for t in texts[start:end]]
+            start = end
+        return np.array(out)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        a, b = self.calibration
+        return 1 / (1 + np.exp(-np.clip(a * self.logits([lower_words(t) for t in texts]) + b, -30, 30)))
 
     def score(self, text: str | None) -> float:
-        a, b = self.calibration
-        return float(1 / (1 + np.exp(-np.clip(a * self.logit(lower_words(text)) + b, -30, 30))))
+        return float(self.scores([text])[0])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, float]:
@@ -137,26 +170,19 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
         mean = (y.sum() + 0.5) / (len(y) + 1)
         bias[1] = np.log(mean / (1 - mean))
         return ToxicityModel(options, table, layer, bias)
-    known: dict[bytes, np.ndarray] = {}
-    rows = []
-    for text in texts:
-        words = lower_words((text or "")[: options.sample_chars])
-        for w in words:
-            if w not in known:
-                known[w] = np.array(ngrams(w, options))
-        rows.append(words)
-    names = list(known)
+    rows = [lower_words((text or "")[: options.sample_chars]) for text in texts]
+    names = sorted(set().union(*rows))
+    if not names:
+        return ToxicityModel(options, table, layer, bias)
     number = {w: i for i, w in enumerate(names)}
-    grams = [known[w] for w in names]
+    flat, size = gram_buckets(names, options)
+    begin = np.concatenate([[0], np.cumsum(size)])
+    grams = [flat[s:e] for s, e in zip(begin, begin[1:])]
     coded = [np.array([number[w] for w in r], dtype=np.int64) for r in rows]
     held = rng.random(len(rows)) < 0.25
     order = np.flatnonzero(~held)
     rate_of = y[order].mean()
     weight = np.where(y == 1, 0.5 / rate_of, 0.5 / (1 - rate_of))
-    flat = np.concatenate(grams) if grams else np.zeros(0, dtype=np.int64)
-    begin = np.concatenate([[0], np.cumsum([len(g) for g in grams])])
-    size = np.diff(begin)
-
     squares_t = np.full(options.buckets, 1e-8, dtype=np.float32)
     squares_l, squares_b = np.full_like(layer, 1e-8), np.full_like(bias, 1e-8)
     order = order[[len(coded[i]) > 0 for i in order]]
@@ -201,7 +227,7 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
             table[at] -= (options.rate * total / np.sqrt(squares_t[at])[:, None]).astype(np.float32)
     model = ToxicityModel(options, table, layer, bias)
     at = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
-    logits = np.array([model.logit(rows[i]) for i in at])
+    logits = model.logits([rows[i] for i in at])
     model.calibration = _logistic(logits, y[at])
     model.blank = float(np.median(logits[y[at] == 0]))
     model.words.clear()
@@ -251,8 +277,10 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options: T
         own = ToxicityModel(options, np.zeros((0, options.width), np.float32), np.zeros((options.width, 2), np.float32), bias)
         own.gram_scores, own.calibration, own.blank = grams, calibration, blank
         for batch in batches:
-            scores = pa.array([own.score(t.as_py()) for t in batch.column(1)], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), scores], names=["doc_id", "score"])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                scores = pa.array(own.scores([t.as_py() for t in part.column(1)]), pa.float64())
+                yield pa.RecordBatch.from_arrays([part.column(0), scores], names=["doc_id", "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = source.mapInArrow(run, "doc_id long, score double")

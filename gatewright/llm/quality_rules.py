@@ -140,40 +140,36 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
     words = words_of(text)
     lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
     carried = [c for c in keep or [] if c != "doc_id"]
+    within = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
+
+    def counts(x: Column) -> Column:
+        has = F.struct((_count(x["t"], SYMBOLS + SEPARATORS) > 0).alias("marks"), _any_phrase(F.lower(x["t"])).alias("phrases"))
+        return F.struct(
+            F.size(x["w"]).cast("long").alias("n_words"),
+            F.length(_stripped(x["t"], SPACES)).cast("long").alias("word_chars"),
+            _count(x["t"], SYMBOLS).cast("long").alias("n_symbols"),
+            (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
+            repeated_words(x["w"]).alias("n_repeat_words"),
+            F.size(x["l"]).cast("long").alias("n_lines"),
+            within(has, lambda h: F.filter(x["l"], lambda line: failed_line(line, options, h["marks"], h["phrases"]))).alias("bad"),
+        )
+
+    def verdict(f: Column) -> Column:
+        lost = F.aggregate(f["bad"], F.lit(0).cast("long"), lambda s, line: s + F.length(_stripped(line, SPACES)))
+        failed = (f["n_words"] < options.least_words) | (F.lit(100) * f["n_repeat_words"] > F.lit(options.most_repeated) * f["n_words"])
+        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
+        named = F.struct(*(f[n].alias(n) for n in names), F.size(f["bad"]).cast("long").alias("n_failed_lines"), lost.alias("lost_chars"), failed.alias("base_failed"))
+        return within(named, lambda v: F.struct(v.alias("v"), (~v["base_failed"] & (v["lost_chars"] * 100 <= v["word_chars"] * options.most_lost)).alias("kept")))
+
+    texts = F.struct(words.alias("w"), lines.alias("l"), text.alias("t"))
+    # one column holds the whole judgement, so a filter on it does the work once;
     # internal names cannot clash with carried columns: those are wrapped in one struct
-    base = docs.select(
+    done = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *([F.struct(*carried).alias("_carried")] if carried else []),
-        F.transform(
-            F.array(F.struct(words.alias("w"), lines.alias("l"), text.alias("t"))),
-            lambda x: F.struct(
-                F.size(x["w"]).cast("long").alias("n_words"),
-                F.length(_stripped(x["t"], SPACES)).cast("long").alias("word_chars"),
-                _count(x["t"], SYMBOLS).cast("long").alias("n_symbols"),
-                (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
-                repeated_words(x["w"]).alias("n_repeat_words"),
-                F.size(x["l"]).cast("long").alias("n_lines"),
-                F.transform(
-                    F.array(F.struct((_count(x["t"], SYMBOLS + SEPARATORS) > 0).alias("marks"), _any_phrase(F.lower(x["t"])).alias("phrases"))),
-                    lambda has: F.filter(x["l"], lambda line: failed_line(line, options, has["marks"], has["phrases"])),
-                )[0].alias("bad"),
-            ),
-        )[0].alias("f"),
-    )
-    f = lambda name: F.col(f"f.{name}")
-    lost = F.aggregate("f.bad", F.lit(0).cast("long"), lambda s, line: s + F.length(_stripped(line, SPACES)))
-    failed = (f("n_words") < options.least_words) | (F.lit(100) * f("n_repeat_words") > F.lit(options.most_repeated) * f("n_words"))
-    named = base.select(
-        "doc_id",
-        *(["_carried"] if carried else []),
-        *(f(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")),
-        F.size("f.bad").cast("long").alias("n_failed_lines"),
-        lost.alias("lost_chars"),
-        failed.alias("base_failed"),
+        within(texts, lambda x: within(counts(x), verdict)).alias("f"),
     )
-    kept = ~F.col("base_failed") & (F.col("lost_chars") * 100 <= F.col("word_chars") * options.most_lost)
-    out = named.withColumn("kept", kept)
-    return out
+    return done.select("doc_id", *(["_carried"] if carried else []), "f.v.*", "f.kept")
 
 
 def clean_documents(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:

@@ -16,7 +16,7 @@ from gatewright.llm.common import shared_folder, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the line rules keep."""
+    """Documents that the line rules keep, without their failed lines."""
     return quality_rules.clean_documents(docs)
 
 

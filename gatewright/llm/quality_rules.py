@@ -1,8 +1,9 @@
 """Line-first quality rules, by DataFrame functions only.
 
 Each line of a text is judged by itself: it fails if it lacks a sentence's end, looks
-like navigation, reads as boilerplate or is thick with symbols. A document that loses
-too large a share of its characters with the failed lines is rejected. Counts over the
+like navigation, reads as boilerplate or is thick with symbols. Failed lines are removed,
+and a document that loses too large a share of its characters with them is rejected.
+Counts over the
 whole text (words, symbols, repeated lines, repeated eight-word windows) reject
 documents beforehand.
 
@@ -131,35 +132,48 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
     """Quality figures and verdict for every row of ``docs`` (doc_id, text).
 
     Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    n_lines, n_failed_lines, lost_chars, base_failed and kept; ``keep`` names further
-    columns of ``docs`` to carry. A null text counts as empty: no words, base_failed,
-    not kept. Blank lines are no lines. A null doc_id stays null; rows that repeat are
-    judged alike. An empty table gives no rows.
+    n_lines, n_failed_lines, lost_chars, cleaned, base_failed and kept; ``keep`` names
+    further columns of ``docs`` to carry. ``cleaned`` is the text without its failed lines,
+    for kept and rejected rows alike; all counts are those of the text before. A null text
+    counts as empty: no words, base_failed, not kept. Blank lines are no lines; they stay in
+    ``cleaned``. A null doc_id stays null; rows that repeat are judged alike. An empty table
+    gives no rows.
     """
     text = or_empty(F.col("text").cast("string"))
     words = words_of(text)
-    lines = F.filter(F.split(text, "\n"), lambda line: F.trim(line, F.lit(SPACES)) != "")
+    lines = F.split(text, "\n")
+    blank = lambda line: F.trim(line, F.lit(SPACES)) == ""
     carried = [c for c in keep or [] if c != "doc_id"]
     within = lambda value, body: F.transform(F.array(value), body)[0]  # noqa: E731  value is computed once
 
     def counts(x: Column) -> Column:
+        held = F.filter(x["l"], lambda line: ~blank(line))
         has = F.struct((_count(x["t"], SYMBOLS + SEPARATORS) > 0).alias("marks"), _any_phrase(F.lower(x["t"])).alias("phrases"))
         return F.struct(
             F.size(x["w"]).cast("long").alias("n_words"),
             F.length(_stripped(x["t"], SPACES)).cast("long").alias("word_chars"),
             _count(x["t"], SYMBOLS).cast("long").alias("n_symbols"),
-            (F.size(x["l"]) - F.size(F.array_distinct(x["l"]))).cast("long").alias("n_dup_lines"),
+            within(held, lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"))).alias("held"),
             repeated_words(x["w"]).alias("n_repeat_words"),
-            F.size(x["l"]).cast("long").alias("n_lines"),
-            within(has, lambda h: F.filter(x["l"], lambda line: failed_line(line, options, h["marks"], h["phrases"]))).alias("bad"),
+            # failed lines become null, which array_join leaves out
+            within(has, lambda h: F.transform(x["l"], lambda line: F.when(blank(line) | ~failed_line(line, options, h["marks"], h["phrases"]), line))).alias("left"),
         )
 
     def verdict(f: Column) -> Column:
-        lost = F.aggregate(f["bad"], F.lit(0).cast("long"), lambda s, line: s + F.length(_stripped(line, SPACES)))
         failed = (f["n_words"] < options.least_words) | (F.lit(100) * f["n_repeat_words"] > F.lit(options.most_repeated) * f["n_words"])
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
-        named = F.struct(*(f[n].alias(n) for n in names), F.size(f["bad"]).cast("long").alias("n_failed_lines"), lost.alias("lost_chars"), failed.alias("base_failed"))
-        return within(named, lambda v: F.struct(v.alias("v"), (~v["base_failed"] & (v["lost_chars"] * 100 <= v["word_chars"] * options.most_lost)).alias("kept")))
+        n_failed = F.size(f["left"]) - F.size(F.array_compact(f["left"]))
+        cleaned = F.array_join(f["left"], "\n")
+        named = lambda c: F.struct(
+            *(f[n].alias(n) for n in ("n_words", "word_chars", "n_symbols")),
+            f["held"]["dup"].alias("n_dup_lines"),
+            f["n_repeat_words"].alias("n_repeat_words"),
+            f["held"]["n"].alias("n_lines"),
+            n_failed.cast("long").alias("n_failed_lines"),
+            (f["word_chars"] - F.length(_stripped(c, SPACES))).alias("lost_chars"),
+            c.alias("cleaned"),
+            failed.alias("base_failed"),
+        )
+        return within(within(cleaned, named), lambda v: F.struct(v.alias("v"), (~v["base_failed"] & (v["lost_chars"] * 100 <= v["word_chars"] * options.most_lost)).alias("kept")))
 
     texts = F.struct(words.alias("w"), lines.alias("l"), text.alias("t"))
     # one column holds the whole judgement, so a filter on it does the work once;
@@ -173,6 +187,18 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
 
 
 def clean_documents(docs: DataFrame, options: QualityOptions = QualityOptions()) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns as they are."""
+    """The rows of ``docs`` that are kept, their texts without the failed lines.
+
+    Other columns stay as they are, but ``n_chars``, if there, becomes the new length where
+    the text changed.
+    """
     judged_rows = judged(docs.select("doc_id", "text", F.struct("*").alias("_row")), options, keep=["_row"])
-    return judged_rows.where("kept").select("_carried._row.*")
+    out = []
+    for c in docs.columns:
+        old = F.col("_carried._row").getField(c)
+        if c == "text":
+            old = F.col("cleaned")
+        elif c == "n_chars":
+            old = F.when(F.col("n_failed_lines") > 0, F.length("cleaned").cast(docs.schema[c].dataType)).otherwise(old)
+        out.append(old.alias(c))
+    return judged_rows.where("kept").select(out)

@@ -263,6 +263,23 @@ def test_line_rules(spark):
     assert dict(zip(cases, (got[i] for i in range(len(cases))))) == {"prose": True, "menu": False, "symbols": False, "no_end": False, "mixed": True}
 
 
+def test_failed_lines_are_removed(spark):
+    """Kept documents lose exactly their failed lines, blank lines stay, and n_chars follows."""
+    good = "\n".join(f"Line {i} has a proper end and word{i} for count{i} as prose{i}." for i in range(6))
+    more = "\n".join(f"Here{i} comes{i} some{i} other{i} prose{i} again{i}." for i in range(6, 12))
+    texts = {1: good, 2: "home | news | shop\n" + good + "\n\nLicensed under the MIT license.\n" + more + "\n$$$ ### buy.", 3: "home | news", 4: None}
+    rows = [(i, t, "en", "s", len(t or "")) for i, t in texts.items()]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    want = {1: good, 2: good + "\n\n" + more}
+    found = {r["doc_id"]: r for r in quality_rules.judged(df).collect()}
+    assert {i: found[i]["cleaned"] for i in texts} == {**want, 3: "", 4: ""}
+    lost = "home|newsLicensedundertheMITlicense.$$$###buy."
+    assert (found[2]["n_lines"], found[2]["n_failed_lines"], found[2]["lost_chars"]) == (15, 3, len(lost) + len("|shop"))
+    kept = quality_rules.clean_documents(df)
+    assert kept.schema == df.schema
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in kept.collect()} == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_toxicity(spark):
     bad = ["idiot", "moron", "stupid"]
     rows = [(i, prose(30) + (f" {RNG.choice(bad)} {RNG.choice(bad)} " + prose(30) + f" {RNG.choice(bad)}" if i % 4 == 0 else " " + prose(30)), int(i % 4 == 0)) for i in range(700)]

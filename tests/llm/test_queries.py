@@ -66,3 +66,18 @@ def test_pipeline(spark):
     for _, f in corpus_pipeline.STAGES[:-1]:
         stage = f(spark, stage, SF)
         assert stage.columns == docs.columns
+
+
+def test_pipeline_packs_cleaned_texts(spark):
+    """A document that loses failed lines is packed without them."""
+    import corpus_pipeline
+    import public_tokenizers
+    from gatewright.llm import packing, quality_rules, secret_scan
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = {r["doc_id"]: r for r in quality_rules.judged(docs).where("kept").collect()}
+    plain = {r["doc_id"] for r in secret_scan.scan(docs).where("spans = ''").collect()}
+    encode = packing.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {r["doc_id"]: r["doc_tokens"] for r in corpus_pipeline.run(spark, SF).collect()}
+    assert any(rows[i]["n_failed_lines"] for i in got if i in plain)
+    assert {i: n for i, n in got.items() if i in plain} == {i: len(encode(rows[i]["cleaned"])) + 1 for i in got if i in plain}

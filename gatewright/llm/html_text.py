@@ -4,8 +4,9 @@ A page becomes a list of text blocks, each with the evidence of its markup: whet
 stands inside the article, and whether an element around it names it as menu, advert,
 form, comment and the like. The token streams of a host's pages are concatenated and
 sorted into a suffix array; long substrings that occur on several pages are marked,
-and blocks that such substrings cover are boilerplate. Blocks of the article proper
-are the page's own text, so repeated wording is never taken out of them.
+and plain blocks that such substrings cover are boilerplate, whether or not their page
+has an article. Blocks of the article proper are the page's own text, so repeated wording
+is never taken out of them.
 
 Pages of one host are handled together, in groups of bounded size: a host with more
 pages is dealt into as many groups as it needs, each large enough to show what repeats.
@@ -215,10 +216,9 @@ def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions) -
     sums = np.concatenate([[0], np.cumsum(repeats)])
     out = []
     for parts, at in zip(pages, spans):
-        has_article = any(kind == 1 for _, kind in parts)
         kept = []
         for (text, kind), (s, e) in zip(parts, at):
-            if kind == 1 or (kind == 0 and not has_article and sums[e] - sums[s] < options.covered * (e - s)):
+            if kind == 1 or (kind == 0 and sums[e] - sums[s] < options.covered * (e - s)):
                 kept.append(text)
         out.append(" ".join(kept))
     return out
@@ -233,7 +233,6 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
             found = [blocks_of(h.as_py()) for h in part.column(2)]
-            # pages with an article need nothing but it and what might repeat elsewhere on the host
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),

@@ -222,6 +222,15 @@ def test_html_repeats_without_markup(spark):
         assert got == {i: f"own text number{i} with words a{i} b{i} c{i} d{i}" for i in range(40)}
 
 
+def test_html_plain_blocks_beside_an_article(spark):
+    """An article that is only a teaser does not take the body with it; what repeats goes all the same."""
+    menu = "<div>home news sport weather travel contact us now</div>"
+    rows = [(i, f"http://x.example/{i}", f"<body>{menu}<article>teaser {i}</article><div>own text number{i} with words a{i} b{i} c{i} d{i}</div></body>") for i in range(5)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df).collect()}
+    assert got == {i: f"teaser {i} own text number{i} with words a{i} b{i} c{i} d{i}" for i in range(5)}
+
+
 def test_suffix_array():
     tokens = np.array([RNG.randint(0, 3) for _ in range(200)])
     order, levels = html_text.suffix_array(tokens)

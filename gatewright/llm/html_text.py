@@ -8,9 +8,11 @@ and plain blocks that such substrings cover are boilerplate, whether or not thei
 has an article. Blocks of the article proper are the page's own text, so repeated wording
 is never taken out of them.
 
-Pages of one host are handled together, in groups of bounded size: a host with more
-pages is dealt into as many groups as it needs, each large enough to show what repeats.
-The HTML is parsed before the shuffle, so only text crosses the network.
+Pages of one host are handled together, in groups of bounded size. A host with more pages
+is dealt into as many groups as it needs; their suffix arrays give the distinct substrings
+and the pages of each, which are added up over the host by hash, so a substring counts
+alike however the pages are dealt. The HTML is parsed before the shuffle, so only text
+crosses the network.
 """
 
 from __future__ import annotations
@@ -48,6 +50,8 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 
 #: Pages that one task of the suffix arrays has on average.
 TASK_PAGES = 1024
+#: Groups of a host whose substrings one task adds up, about; a larger host has more such tasks.
+BUCKET_GROUPS = 16
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
@@ -56,7 +60,7 @@ _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 @dataclass(frozen=True)
 class ExtractionOptions:
-    #: Pages of a host that share a suffix array.
+    #: Pages of a host that share a suffix array; results do not depend on it.
     group_pages: int = 256
     #: Tokens that a repeated substring has at least.
     least_tokens: int = 6
@@ -177,28 +181,63 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def repeated_tokens(tokens: np.ndarray, page: np.ndarray, options: ExtractionOptions) -> np.ndarray:
-    """Which tokens lie in a substring of ``least_tokens`` that occurs on ``least_pages`` distinct pages.
+def shared_substrings(tokens: np.ndarray, page: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(group, pages): which group of equal ``size`` tokens starts at each token, and the distinct pages of each group.
 
-    ``tokens`` has a token of its own after each page, so no substring spans pages.
+    ``tokens`` has a token of its own after each page, so no substring that repeats spans pages.
     """
-    n, size = len(tokens), options.least_tokens
-    out = np.zeros(n, dtype=bool)
-    if n <= size:
-        return out
     order, levels = suffix_array(tokens)
-    group = np.cumsum(common_prefixes(order, levels) < size)
-    pairs = np.unique(np.stack([group, page[order]]), axis=1)[0]
-    pages = np.bincount(pairs, minlength=group[-1] + 1)
-    starts = order[pages[group] >= options.least_pages]
+    sorted_group = np.cumsum(common_prefixes(order, levels) < size) - 1
+    pairs = np.unique(np.stack([sorted_group, page[order]]), axis=1)[0]
+    group = np.empty(len(tokens), dtype=np.int64)
+    group[order] = sorted_group
+    return group, np.bincount(pairs)
+
+
+def covered_tokens(starts: np.ndarray, size: int) -> np.ndarray:
+    """Which tokens lie within ``size`` tokens from one of the marked ``starts``."""
+    n = len(starts)
     edge = np.zeros(n + size + 1, dtype=np.int64)
-    np.add.at(edge, starts, 1)
-    np.add.at(edge, starts + size, -1)
+    at = np.flatnonzero(starts)
+    edge[at] += 1
+    edge[at + size] -= 1
     return np.cumsum(edge)[:n] > 0
 
 
-def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions) -> list[str]:
-    """The main text of each page of one group."""
+def repeated_tokens(tokens: np.ndarray, page: np.ndarray, options: ExtractionOptions) -> np.ndarray:
+    """Which tokens lie in a substring of ``least_tokens`` that occurs on ``least_pages`` distinct pages."""
+    if len(tokens) <= options.least_tokens:
+        return np.zeros(len(tokens), dtype=bool)
+    group, pages = shared_substrings(tokens, page, options.least_tokens)
+    return covered_tokens(pages[group] >= options.least_pages, options.least_tokens)
+
+
+@dataclass
+class _Stream:
+    """The tokens of a group's pages outside their articles, a token of its own after each page."""
+
+    tokens: np.ndarray
+    page: np.ndarray
+    words: list[str]
+    #: First and last place of each page's blocks.
+    spans: list[list[tuple[int, int]]]
+
+    def hashes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """64-bit hashes of the ``size`` tokens from each place, and whether they are all of one page."""
+        from xxhash import xxh64_intdigest
+
+        n = len(self.tokens)
+        known = np.array([xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in self.words] + [0], dtype=np.uint64)
+        ahead = np.concatenate([known[np.maximum(self.tokens, -1)], np.zeros(size, dtype=np.uint64)])
+        ends = np.concatenate([[0], np.cumsum(np.concatenate([self.tokens < 0, np.ones(size, dtype=bool)]))])
+        out = np.zeros(n, dtype=np.uint64)
+        for i in range(size):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + ahead[i : i + n]
+        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        return out ^ (out >> np.uint64(29)), ends[size : size + n] == ends[:n]
+
+
+def _stream(pages: list[list[tuple[str, int]]]) -> _Stream:
     names: dict[str, int] = {}
     tokens: list[int] = []
     owner: list[int] = []
@@ -212,10 +251,32 @@ def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions) -
             spans[-1].append((begin, len(tokens)))
         tokens.append(-1 - p)
         owner += [p] * (len(tokens) - len(owner))
-    repeats = repeated_tokens(np.array(tokens, dtype=np.int64), np.array(owner, dtype=np.int64), options)
+    return _Stream(np.array(tokens, dtype=np.int64), np.array(owner, dtype=np.int64), list(names), spans)
+
+
+def group_substrings(pages: list[list[tuple[str, int]]], options: ExtractionOptions) -> np.ndarray:
+    """Hashes of the distinct substrings of one group, each as often as it has pages, ``least_pages`` times at most."""
+    stream = _stream(pages)
+    if len(stream.tokens) <= options.least_tokens:
+        return np.zeros(0, dtype=np.uint64)
+    group, n_pages = shared_substrings(stream.tokens, stream.page, options.least_tokens)
+    hashes, whole = stream.hashes(options.least_tokens)
+    at = np.flatnonzero(whole)
+    found, first = np.unique(group[at], return_index=True)
+    return np.repeat(hashes[at[first]], np.minimum(n_pages[found], options.least_pages))
+
+
+def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions, repeated: np.ndarray | None = None) -> list[str]:
+    """The main text of each page of one group; ``repeated``: hashes of what repeats, for a group that is not its whole host."""
+    stream = _stream(pages)
+    if repeated is None:
+        repeats = repeated_tokens(stream.tokens, stream.page, options)
+    else:
+        hashes, whole = stream.hashes(options.least_tokens)
+        repeats = covered_tokens(whole & np.isin(hashes, repeated), options.least_tokens)
     sums = np.concatenate([[0], np.cumsum(repeats)])
     out = []
-    for parts, at in zip(pages, spans):
+    for parts, at in zip(pages, stream.spans):
         kept = []
         for (text, kind), (s, e) in zip(parts, at):
             if kind == 1 or (kind == 0 and sums[e] - sums[s] < options.covered * (e - s)):
@@ -226,6 +287,7 @@ def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions) -
 
 _PARSED = "page_id long, url string, host string, texts array<string>, kinds array<int>"
 _RESULT = "page_id long, url string, text string, n_chars long"
+_COUNTED = "host string, part long, bucket long, hashes binary"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,13 +323,43 @@ def extract(pages: DataFrame, options: ExtractionOptions = ExtractionOptions())
     # this side holds one row for each group_pages pages at most, and is broadcast only while that is few
     hosts = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
     groups = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(options.group_pages)).cast("long")
-    dealt = parsed.join(hosts, parsed.host == F.col("big_host"), "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), groups)).drop("big_host", "count")
+    dealt = parsed.join(hosts, parsed.host == F.col("big_host"), "left").withColumn("groups", groups).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "groups")).drop("big_host", "count")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def blocks(pdf: pd.DataFrame) -> list[list[tuple[str, int]]]:
+        return [list(zip(t, k)) for t, k in zip(pdf["texts"], pdf["kinds"])]
+
+    def texts_of(pdf: pd.DataFrame, repeated: np.ndarray | None) -> pd.DataFrame:
         pdf = pdf.sort_values(["page_id", "url"], kind="stable", na_position="last")
-        texts = main_texts([list(zip(t, k)) for t, k in zip(pdf["texts"], pdf["kinds"])], options)
+        texts = main_texts(blocks(pdf), options, repeated)
         return pd.DataFrame({"page_id": pdf["page_id"].astype("Int64").to_numpy(), "url": pdf["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts]})
 
+    def substrings(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, rows = int(pdf["groups"].iloc[0]), []
+        if n > 1:
+            hashes = group_substrings(blocks(pdf), options)
+            buckets = -(-n // BUCKET_GROUPS)
+            bucket = (hashes % np.uint64(buckets)).astype(np.int64)
+            rows = [(pdf["host"].iloc[0], pdf["part"].iloc[0], b, hashes[bucket == b].tobytes()) for b in np.unique(bucket).tolist()]
+        return pd.DataFrame(rows, columns=["host", "part", "bucket", "hashes"])
+
+    def over_host(pdf: pd.DataFrame) -> pd.DataFrame:
+        """What repeats over the host, given back to each group that has it."""
+        parts = [np.frombuffer(h, dtype=np.uint64) for h in pdf["hashes"]]
+        values, times = np.unique(np.concatenate(parts), return_counts=True)
+        named = values[times >= options.least_pages]
+        return pdf.assign(hashes=[np.intersect1d(p, named).tobytes() for p in parts])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return texts_of(pdf, None)
+
+    def run_with(pdf: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        return texts_of(pdf, None if pdf["groups"].iloc[0] == 1 else np.frombuffer(b"".join(found["hashes"]), dtype=np.uint64))
+
     # the number of tasks follows the pages, so a task's share stays the same at any size
     tasks = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pages.select(F.lit(1)).count() // TASK_PAGES))
-    return dealt.repartition(tasks, "host", "part").groupBy("host", "part").applyInPandas(run, _RESULT)
+    # both readers of the dealt pages use one shuffle: the plan has it once and reuses it
+    spread = dealt.repartition(tasks, "host", "part").groupBy("host", "part")
+    if sizes.isEmpty():
+        return spread.applyInPandas(run, _RESULT)
+    counted = spread.applyInPandas(substrings, _COUNTED).groupBy("host", "bucket").applyInPandas(over_host, _COUNTED)
+    return spread.cogroup(counted.groupBy("host", "part")).applyInPandas(run_with, _RESULT)

@@ -231,6 +231,19 @@ def test_html_plain_blocks_beside_an_article(spark):
     assert got == {i: f"teaser {i} own text number{i} with words a{i} b{i} c{i} d{i}" for i in range(5)}
 
 
+@pytest.mark.parametrize("group_pages", [1000, 8, 3])
+def test_html_repeats_on_few_pages_of_a_large_host(spark, group_pages):
+    """Three pages show a passage whatever the groups they fall into; two do not."""
+    lines = {"this passage stands on very few pages of the host": {7, 150, 288}, "another one that only two pages of it have here": {20, 201}}
+    own = lambda i: f"own text number{i} with words a{i} b{i} c{i} d{i}"
+    extra = lambda i: "".join(f"<div>{line}</div>" for line, pages in lines.items() if i in pages)
+    rows = [(i, f"http://x.example/{i}", f"<body><div>{own(i)}</div>{extra(i)}</body>") for i in range(300)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df, html_text.ExtractionOptions(group_pages=group_pages)).collect()}
+    want = {i: own(i) + (f" {list(lines)[1]}" if i in (20, 201) else "") for i in range(300)}
+    assert got == want
+
+
 def test_suffix_array():
     tokens = np.array([RNG.randint(0, 3) for _ in range(200)])
     order, levels = html_text.suffix_array(tokens)

@@ -36,8 +36,6 @@ TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
     "fetch": {"url": ("string", True), "timeout": ("number", False)},
     "search": {"query": ("string", True), "limit": ("integer", False), "filters": ("object", False)},
 }
-#: Longest chain of dependent messages that is put in order; longer chains and cycles raise.
-ROUNDS = 200
 
 _CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 _RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
@@ -86,46 +84,50 @@ def _results(text: Column, role: Column) -> Column:
     return F.transform(F.filter(F.transform(whole, lambda b: F.try_parse_json(b)), lambda v: _member(v, "$.id", "string").isNotNull()), one)
 
 
-def _ordered(edges: DataFrame, rounds: int) -> DataFrame:
+def _ordered(edges: DataFrame) -> DataFrame:
     """(conv_id, turn, order_turn, order_level) of every message that ``edges`` (conv_id, before, turn) touch.
 
-    Longest paths by relaxation: a message stands no earlier than any message it depends
-    on, and one level below those of its own turn. The messages of a cycle get level -1.
+    A message's order_turn is the latest turn among itself and all that it depends on, and
+    its level is the longest path to it among messages of one order_turn. Both are found
+    round by round until nothing changes, whatever the length of a chain: the first ends
+    because turns only grow, the second because a round without a message that is ready
+    leaves only cycles and what stands behind them; these get level -1 and their own turn.
+    Chains in the order of their turns take no rounds.
     """
-    nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select("conv_id", "turn")).distinct()
-    now = checkpointed(nodes.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"), F.lit(True).alias("open")))
-    done = now.limit(0).drop("open")
-    for _ in range(rounds):
-        # messages whose predecessors are all placed can be placed: one layer a round
-        waiting = edges.join(now.where("open").select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi").select("conv_id", "turn").distinct()
-        ready = now.where("open").join(waiting, ["conv_id", "turn"], "left_anti")
-        earlier = done.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"), F.col("order_level").alias("l"))
-        limits = edges.join(earlier, ["conv_id", "before"]).groupBy("conv_id", "turn").agg(F.max(F.struct("t", "l")).alias("m"))
-        placed = ready.join(limits, ["conv_id", "turn"], "left").select(
-            "conv_id",
-            "turn",
-            F.greatest("order_turn", "m.t").alias("order_turn"),
-            F.when(F.col("m.t") >= F.col("order_turn"), F.col("m.l") + 1).otherwise(F.lit(0)).cast("long").alias("order_level"),
-        )
-        placed = checkpointed(placed)
-        if placed.isEmpty():
+    key = ["conv_id", "turn"]
+    nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select(key)).distinct()
+    now = checkpointed(nodes.select(*key, F.col("turn").alias("order_turn")))
+    moved = now
+    while True:
+        sources = moved.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"))
+        later = edges.join(sources, ["conv_id", "before"]).where("t > turn").groupBy(key).agg(F.max("t").alias("t"))
+        moved = checkpointed(now.join(later, key).where("t > order_turn").select(*key, F.col("t").alias("order_turn")))
+        if moved.isEmpty():
             break
-        done = checkpointed(done.unionByName(placed))
-        left = now.join(placed.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
-        now = checkpointed(left)
-        if now.isEmpty():
+        now = checkpointed(now.join(moved.withColumnRenamed("order_turn", "t"), key, "left").select(*key, F.coalesce("t", "order_turn").alias("order_turn")))
+    # only dependencies within one order_turn are left to settle
+    sources = now.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"))
+    tight = checkpointed(edges.join(sources, ["conv_id", "before"]).join(now, key).where("t = order_turn").select("conv_id", "before", "turn"))
+    left, done, level = now, now.limit(0).withColumn("order_level", F.lit(0).cast("long")), 0
+    while True:
+        waiting = tight.join(left.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi").select(key).distinct()
+        ready = checkpointed(left.join(waiting, key, "left_anti").withColumn("order_level", F.lit(level).cast("long")))
+        if ready.isEmpty():
             break
-    cyclic = now.select("conv_id", "turn", "order_turn", F.lit(-1).cast("long").alias("order_level"))
+        done = checkpointed(done.unionByName(ready))
+        left, level = checkpointed(left.join(ready.select(key), key, "left_anti")), level + 1
+    cyclic = left.select(*key, F.col("turn").alias("order_turn"), F.lit(-1).cast("long").alias("order_level"))
     return done.unionByName(cyclic)
 
 
-def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS, rounds: int = ROUNDS) -> DataFrame:
+def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
     """One row for every row of ``conversations`` (conv_id, turn, role, text).
 
     Returns conv_id, turn, role, order_turn, order_level, n_calls, n_results, n_linked (its
     results whose call exists and its calls that have a result), n_invalid (its calls
     with problems) and json, the canonical line. Reading a conversation by (order_turn,
-    order_level, turn) is the topological order; messages on a cycle have order_level -1.
+    order_level, turn) is the topological order, however long a chain is; messages on a cycle,
+    and those moved behind one, have order_level -1.
 
     Null text is empty content, null role stays null, rows with a null conv_id or turn
     link to nothing. Of calls that share an id the first by turn owns it; rows that repeat
@@ -152,7 +154,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     waits = own.select("conv_id", "turn", F.explode("after").alias("id")).join(linked.select("conv_id", "id", F.col("turn").alias("before")), ["conv_id", "id"])
     edges = linked.select("conv_id", F.col("call_turn").alias("before"), "turn").unionByName(waits.select("conv_id", "before", "turn"))
     edges = checkpointed(edges.where("before <> turn").distinct())
-    ordered = _ordered(edges, rounds) if not edges.isEmpty() else edges.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
+    ordered = _ordered(edges) if not edges.isEmpty() else edges.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
     answered = linked.select("conv_id", F.col("call_turn").alias("turn"), "id").distinct()
     ends = linked.select("conv_id", "turn", "id").distinct().unionByName(answered).groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"))
     joined = messages.join(ordered, ["conv_id", "turn"], "left").join(ends, ["conv_id", "turn"], "left")

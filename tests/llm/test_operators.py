@@ -376,6 +376,40 @@ def test_tool_calls(spark):
     assert tool_calls.format_chats(df.limit(0)).count() == 0
 
 
+def test_long_chains_of_calls(spark):
+    """A chain of more than 200 messages is no cycle, nor is what follows a cycle at later turns."""
+    call = lambda i, after: f'<tool_call>{{"id":"{i}","name":"search","arguments":{{"query":"x"}},"after":{json.dumps(after)}}}</tool_call>'
+    result = lambda i: f'{{"id":"{i}","content":1}}'
+    rows = []
+    for i in range(150):
+        rows += [(1, 2 * i, "assistant", call(i, [str(i - 1)])), (1, 2 * i + 1, "tool", result(i))]
+    rows += [(2, 0, "assistant", call("p", ["q"])), (2, 1, "tool", result("p")), (2, 2, "assistant", call("q", ["p"])), (2, 3, "tool", result("q"))]
+    rows += [(2, 4, "assistant", call("r", ["q"])), (2, 5, "tool", result("r"))]
+    got = {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"]) for r in tool_calls.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got == {(c, t): (t, -1 if c == 2 and t < 4 else 0) for c, t, _, _ in rows}
+
+
+def test_order_of_random_dependencies(spark):
+    """Places against longest paths by brute force, with backward dependencies and cycles."""
+    rng = random.Random(11)
+    edges = {(c, *rng.sample(range(12), 2)) for c in range(40) for _ in range(c % 14)}
+    got = {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"]) for r in tool_calls._ordered(spark.createDataFrame(sorted(edges), "conv_id long, before long, turn long")).collect()}
+    want = {}
+    for c in range(40):
+        before = collections.defaultdict(set)
+        for _, b, t in (e for e in edges if e[0] == c):
+            before[t].add(b)
+            before[b]
+        turn = {t: t for t in before}
+        for _ in before:
+            turn = {t: max([t, *(turn[b] for b in before[t])]) for t in before}
+        level = {}
+        for n in range(len(before)):
+            level |= {t: n for t in [t for t in before if t not in level and all(b in level or turn[b] < turn[t] for b in before[t])]}
+        want |= {(c, t): (turn[t], level[t]) if t in level else (t, -1) for t in before}
+    assert got == want and {-1, 0, 1, 2} <= {n for _, n in got.values()}
+
+
 ASSIGN = re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

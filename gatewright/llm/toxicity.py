@@ -27,8 +27,8 @@ from .common import lower_words
 @dataclass(frozen=True)
 class ToxicityOptions:
     buckets: int = 1 << 18
-    #: Training texts that must hold a bucket's n-grams; rarer ones keep a zero vector.
-    least_texts: int = 10
+    #: Training texts that must hold a bucket's n-grams for its vector to count by half; in n texts it counts by n / (n + this).
+    least_texts: int = 2
     #: First epochs that average whole texts; the others average each text's most toxic passages.
     whole_epochs: int = 2
     width: int = 8
@@ -190,8 +190,9 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
     texts_with = np.zeros(options.buckets, dtype=np.int64)
     for i in order:
         texts_with[np.unique(np.concatenate([grams[u] for u in set(coded[i].tolist())]))] += 1
-    live = texts_with >= options.least_texts
-    table[~live] = 0
+    # rare n-grams are shrunk, not cut: what is learned of them counts by how many texts show it
+    weight_t = (texts_with / np.maximum(texts_with + options.least_texts, 1)).astype(np.float32)
+    table *= weight_t[:, None]
     for epoch in range(options.epochs):
         rng.shuffle(order)
         for step, part in enumerate(np.array_split(order, max(1, len(order) // 64))):
@@ -222,9 +223,8 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
             at, inverse = np.unique(pieces, return_inverse=True)
             total = np.zeros((len(at), options.width))
             np.add.at(total, inverse, np.repeat(grad_v / size[used][:, None], size[used], axis=0))
-            at, total = at[live[at]], total[live[at]]
             squares_t[at] += (total**2).mean(axis=1)
-            table[at] -= (options.rate * total / np.sqrt(squares_t[at])[:, None]).astype(np.float32)
+            table[at] -= (options.rate * total * (weight_t[at] / np.sqrt(squares_t[at]))[:, None]).astype(np.float32)
     model = ToxicityModel(options, table, layer, bias)
     at = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
     logits = model.logits([rows[i] for i in at])

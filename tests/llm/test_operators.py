@@ -320,6 +320,20 @@ def test_toxicity(spark):
     assert model.word_score(b"idiiot") > model.word_score(b"w17")
 
 
+def test_rare_insults_are_learned():
+    """Words of a few toxic texts each, with the options that the query uses."""
+    rng = random.Random(4)
+    bad = ["".join(rng.choices("bcdfghjklmnpqrstvwxyz", k=7)) for _ in range(40)]
+    neutral = [f"plain{i}" for i in range(60)]
+    rows = [([*rng.choices(neutral, k=30), *([bad[i // 4 % 40]] * 2 if i % 4 == 0 else []), *rng.choices(neutral, k=30)], int(i % 4 == 0)) for i in range(960)]
+    model = toxicity.train([" ".join(w) for w, _ in rows], [y for _, y in rows])  # each bad word is in six texts
+    most = max(model.word_score(w.encode()) for w in neutral)
+    assert all(model.word_score(w.encode()) > most for w in bad)
+    new = [" ".join(rng.choices(neutral, k=20) + [w]) for w in bad]
+    clean = [" ".join(rng.choices(neutral, k=20)) for _ in bad]
+    assert np.median(model.scores(new)) > max(model.scores(clean))
+
+
 def test_quality_classifier(spark):
     def good():
         return ". ".join(prose(9) for _ in range(8)) + "."

@@ -186,6 +186,16 @@ def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     return plain.select(columns).mapInArrow(_links, "a long, b long").unionByName(hot.select(columns).mapInArrow(_links, "a long, b long"))
 
 
+def _placed(marked: DataFrame) -> DataFrame:
+    """(doc_id, fp, root, component_id) for every row of ``marked`` (doc_id, fp); root names the component."""
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(near_links(distinct.select("fp")))
+    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_fp = placed.join(named, "root").select(F.col("fp").alias("own_fp"), "root", "component_id")
+    return marked.join(by_fp, marked.fp == F.col("own_fp")).select("doc_id", "fp", "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
@@ -195,23 +205,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are returned as often as they occur. An empty table gives no rows. Other columns are
     not read.
     """
-    marked = checkpointed(fingerprints(docs))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(near_links(distinct.select("fp")))
-    placed = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_fp = placed.join(named, "root").select(F.col("fp").alias("own_fp"), "component_id")
-    joined = marked.join(by_fp, marked.fp == F.col("own_fp"))
+    joined = _placed(checkpointed(fingerprints(docs)))
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _with_fingerprint(docs: DataFrame) -> DataFrame:
+    """``docs`` with one more column, ``_fp``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.array([fingerprint(t.as_py()) for t in batch.column("_text")], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("_row"), pa.array(found, pa.int64())], names=["_row", "_fp"])
+
+    source = docs.select(F.struct("*").alias("_row"), F.col("text").cast("string").alias("_text"))
+    return source.mapInArrow(run, source.select("_row").schema.add("_fp", "long")).select("_row.*", "_fp")
+
+
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row a component: that of the least doc_id, once.
+    """``docs`` with one row a component: that of the least doc_id, and there of the least fingerprint.
 
-    The removals are decided on ids alone. Of rows that share the least doc_id one stays;
-    rows with a null doc_id are kept, since no id can name a representative among them.
+    Rows that share a doc_id but not their component are told apart by their fingerprints,
+    so each component keeps a row of its own. Rows with a null doc_id are kept, since no id
+    can name a representative among them.
     """
-    found = near_duplicates(docs).select(F.col("doc_id").alias("kept_id"), "component_id")
-    stay = found.where("kept_id = component_id").select("kept_id").distinct()
-    first = docs.join(stay, docs.doc_id == stay.kept_id, "left_semi").dropDuplicates(["doc_id"])
+    marked = checkpointed(fingerprints(docs))
+    chosen = _placed(marked).where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp"))
+    chosen = checkpointed(chosen.select("kept_id", "kept_fp"))
+    several = checkpointed(marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("doc_id").alias("shared_id")))
+    stay = chosen.select("kept_id").distinct()
+    first = docs.join(stay, docs.doc_id == stay.kept_id, "left_semi")
+    if several.isEmpty():
+        first = first.dropDuplicates(["doc_id"])
+    else:
+        shared = _with_fingerprint(first.join(several, docs.doc_id == several.shared_id, "left_semi"))
+        shared = shared.join(chosen, (shared.doc_id == chosen.kept_id) & (shared["_fp"] == chosen.kept_fp), "left_semi").dropDuplicates(["doc_id", "_fp"])
+        first = first.join(several, docs.doc_id == several.shared_id, "left_anti").dropDuplicates(["doc_id"]).unionByName(shared.drop("_fp"))
     return first.unionByName(docs.where("doc_id is null"))

@@ -161,6 +161,17 @@ def test_simhash(docs, empty):
     assert sorted(x for x in kept if x is not None) == sorted(set(least.values())) and kept.count(None) == 2
 
 
+def test_each_component_keeps_a_row_of_its_own(spark):
+    """Unrelated texts under one doc_id, and one whose component has a lesser id."""
+    rng = random.Random(8)
+    a, b, c, d = (" ".join(f"{x}{rng.randint(0, 999)}" for _ in range(80)) for x in "abcd")
+    rows = [(5, a), (5, b), (5, b), (7, a), (8, b), (6, c), (3, d), (6, d), (9, c), (None, a), (4, "alone")]
+    df = spark.createDataFrame([(i, t, "en", len(t)) for i, t in rows], "doc_id long, text string, lang string, n_chars int").repartition(3)
+    kept = simhash.keep_representatives(df)
+    assert kept.columns == df.columns
+    assert sorted((r["doc_id"] or 0, r["text"], r["n_chars"]) for r in kept.collect()) == sorted((i, t, len(t)) for i, t in [(5, a), (5, b), (6, c), (3, d), (0, a), (4, "alone")])
+
+
 @pytest.mark.parametrize("block", [4096, 16])
 def test_links_in_dense_groups(spark, block):
     """A Hamming ball of fingerprints, with the large keys whole and dealt out as pairs of blocks."""

@@ -1,6 +1,10 @@
 """Every query with SQL against that SQL, at the smallest scale."""
 
 import math
+import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -47,3 +51,18 @@ def test_entry_and_guard(spark):
 
     assert e.entry(spark).count() == 3
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+@pytest.mark.parametrize("gone", [["gatewright/llm", "tests/llm"], ["gatewright/llm", "tests/llm", "corpus_pipeline.py"]])
+def test_entry_without_the_training_data_operators(tmp_path, gone):
+    """A copy of the repository without those folders still lists and runs the other queries."""
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    copy = tmp_path / "repo"
+    shutil.copytree(here, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache"))
+    for name in gone:
+        path = copy / name
+        shutil.rmtree(path) if path.is_dir() else path.exists() and path.unlink()
+    script = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q); assert not [n for n in q if n.startswith('op') or n == 'pipeline'], sorted(q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", script], cwd=copy, capture_output=True, text=True, env=os.environ | {"PYTHONPATH": str(copy)})
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout.split()[-1]) == len(catalog.QUERIES)

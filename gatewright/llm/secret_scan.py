@@ -26,6 +26,8 @@ BASE = (
     ("hex", "[0-9a-f]{24,}", 0, 24),
 )
 KINDS = ("assign", "access", "hex", "entropy")
+#: Code points of the pieces that a redacted text is put together from.
+PIECE = 256
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 
 
@@ -46,78 +48,124 @@ class EntropyOptions:
     )
 
 
+def _running(values: Column, join) -> Column:
+    """``join`` of each element with all before it, for an associative ``join`` of two columns.
+
+    Each step joins every element with the one 1, 2, 4, ... places before it, so a text of n
+    matches takes n * log2(n) joins, where appending to an array would copy it n times.
+    """
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size(values), F.lit(1)))).cast("int"))
+
+    def widened(state: Column, k: Column) -> Column:
+        by = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(state, lambda v, i: F.when(i >= by, join(F.get(state, i - by), v)).otherwise(v))
+
+    return F.aggregate(steps, values, widened)
+
+
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _matches(text: Column, pattern: str, group: int, least: int, kind: str) -> Column:
-    """Spans (start, end, kind, body) of all matches, positions in code points from 0, end exclusive.
+    """Spans (start, end, rank, body) of all matches, positions in code points from 0, end exclusive.
 
     The pieces between matches and the matches alternate, so running lengths are positions.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    if group:
-        pairs = F.zip_with(found, F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), lambda m, g: F.struct(m.alias("m"), F.length(g).alias("n")))
-    else:
-        pairs = F.transform(found, lambda m: F.struct(m.alias("m"), F.length(m).alias("n")))
-    steps = F.zip_with(pairs, F.slice(pieces, 1, F.size(found)), lambda p, gap: F.struct(F.length(gap).alias("gap"), F.length(p["m"]).alias("size"), p["n"].alias("n"), p["m"].alias("m")))
-    empty = F.array().cast("array<struct<start:int,end:int,body:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
+    columns = F.struct(found.alias("found"), counted.alias("counted"), F.split(text, pattern, -1).alias("gaps"))
+
+    def placed(x: Column) -> Column:
+        sizes = F.zip_with(x["found"], F.slice(x["gaps"], 1, F.size(x["found"])), lambda m, gap: F.length(m) + F.length(gap))
 
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["gap"]
-        end = begin + x["size"]
-        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("body"))
-        return F.struct(end.alias("at"), F.when(x["n"] >= least, F.array_append(state["out"], span)).otherwise(state["out"]).alias("out"))
+        def spans(ends: Column) -> Column:
+            every = F.transform(
+                x["found"],
+                lambda m, i: F.struct(
+                    (F.get(ends, i) - F.length(m)).alias("start"),
+                    F.get(ends, i).alias("end"),
+                    F.lit(KINDS.index(kind)).alias("rank"),
+                    F.when(F.length(F.get(x["counted"], i)) >= least, m).alias("body"),
+                ),
+            )
+            return F.filter(every, lambda s: s["body"].isNotNull())
 
-    spans = F.aggregate(steps, start, step, lambda s: s["out"])
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(KINDS.index(kind)).alias("rank"), s["body"].alias("body")))
+        return _bound(_running(sizes, lambda a, b: a + b), spans)
+
+    return _bound(columns, placed)
 
 
 def best_entropy(token: Column, window: int) -> Column:
     """Greatest Shannon entropy in bits a character over the windows of ``token``.
 
     A window has ``window`` characters, or the whole token if that is shorter. The state
-    holds a count for each character of the alphabet and the sum of n * log2(n) over them;
-    a step adds the entering and takes off the leaving character.
+    holds the count of each character of the alphabet, as bit fields of a few longs, and
+    the sum of n * log2(n) over them; a step adds the entering and takes off the leaving
+    character.
     """
+    bits = max(1, window.bit_length())  # a count is at most the window
+    fields = 63 // bits
+    words = range(-(-(len(ALPHABET) + 1) // fields))
     letters = F.filter(F.split(token, ""), lambda c: c != "")
-    places = F.transform(letters, lambda c: F.position(c, F.lit(ALPHABET)))
+    codes_of = F.transform(letters, lambda c: F.position(c, F.lit(ALPHABET)))
     part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    zero = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.lit(0).alias("at"),
-        F.lit(0.0).alias("best"),
-    )
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in words), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(0.0).alias("best"))
 
-    def change(counts: Column, place: Column, by: int) -> Column:
-        return F.transform(counts, lambda n, i: F.when(i == place, n + by).otherwise(n))
+    # where a character's count is: the long, the bits it is shifted by, and a count of one there
+    places = F.transform(codes_of, lambda c: F.struct(F.floor(c / fields).cast("int").alias("j"), (c % fields * bits).alias("by"), F.call_function("shiftleft", F.lit(1).cast("long"), c % fields * bits).alias("one")))
 
-    def run(codes: Column) -> Column:
-        def step(s: Column, code: Column) -> Column:
-            n = F.get(s["counts"], code).cast("double")
-            entered = F.struct(change(s["counts"], code, 1).alias("counts"), (s["total"] + part(n + 1) - part(n)).alias("total"), s["at"].alias("at"), s["best"].alias("best"))
-            out = F.get(codes, s["at"] - F.lit(window))
+    def count(s: Column, place: Column) -> Column:
+        held = s[f"c{words[-1]}"]
+        for j in reversed(words[:-1]):
+            held = F.when(place["j"] == j, s[f"c{j}"]).otherwise(held)
+        return F.call_function("shiftright", held, place["by"]).bitwiseAND(F.lit((1 << bits) - 1)).cast("double")
 
-            def leave(e: Column) -> Column:
-                gone = F.get(e["counts"], out).cast("double")
-                full = e["at"] >= window
-                counts = F.when(full, change(e["counts"], out, -1)).otherwise(e["counts"])
-                total = F.when(full, e["total"] - part(gone) + part(gone - 1)).otherwise(e["total"])
-                return F.struct(counts.alias("counts"), total.alias("total"), e["at"].alias("at"), e["best"].alias("best"))
+    def run(at: Column) -> Column:
+        size = F.least(F.size(at), F.lit(window))
 
-            def score(e: Column) -> Column:
-                size = F.least(F.size(codes), F.lit(window)).cast("double")
-                bits = F.when(e["at"] + 1 >= size, F.log2(size) - e["total"] / size).otherwise(F.lit(0.0))
-                return F.struct(e["counts"].alias("counts"), e["total"].alias("total"), (e["at"] + 1).alias("at"), F.greatest(e["best"], bits).alias("best"))
+        def step(s: Column, entering: Column) -> Column:
+            def moved(x: Column) -> Column:
+                out, n = x["out"], x["n"]
+                full = out.isNotNull()
+                share = lambda place, j: F.when(place["j"] == j, place["one"]).otherwise(0)
+                counts = [(s[f"c{j}"] + share(entering, j) - share(out, j)).alias(f"c{j}") for j in words]
+                gone = x["gone"] + F.when(out == entering, 1.0).otherwise(0.0)
+                total = s["total"] + part(n + 1) - part(n) - F.when(full, part(gone) - part(gone - 1)).otherwise(0.0)
+                return F.struct(*counts, total.alias("total"), (s["at"] + 1).alias("at"), s["best"].alias("best"))
 
-            left = F.transform(F.array(entered), leave)[0]
-            return F.transform(F.array(left), score)[0]
+            def scored(e: Column) -> Column:
+                return F.when(e["at"] < size, e).otherwise(e.withField("best", F.greatest(e["best"], F.log2(size) - e["total"] / size)))
 
-        return F.aggregate(codes, zero, step, lambda s: s["best"])
+            out = F.get(at, s["at"] - window)
+            return _bound(_bound(F.struct(count(s, entering).alias("n"), out.alias("out"), count(s, out).alias("gone")), moved), scored)
 
-    return F.transform(F.array(places), run)[0]
+        return F.aggregate(at, zero, step, lambda s: s["best"])
 
+    return _bound(places, run)
 
-def _entropy_spans(text: Column, options: EntropyOptions) -> Column:
+
+def _apart(base: Column, more: Column) -> Column:
+    """The spans of ``more`` that touch no span of ``base``.
+
+    Base spans by start and others by end go into one order; the latest end of the base
+    spans before a span's end tells whether one of them reaches into it.
+    """
+    none = F.lit(None).cast("struct<start:int,end:int,rank:int,body:string>")
+    marks = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("order"), b["end"].alias("reach"), none.alias("span")))
+    asked = F.transform(more, lambda m: F.struct(m["end"].alias("at"), F.lit(0).alias("order"), F.lit(0).alias("reach"), m.alias("span")))
+
+    def free(events: Column) -> Column:
+        reach = _running(F.transform(events, lambda e: e["reach"]), lambda a, b: F.greatest(a, b))
+        kept = lambda r: F.filter(F.transform(events, lambda e, i: F.when(F.get(r, i) <= e["span"]["start"], e["span"])), lambda m: m.isNotNull())
+        return _bound(reach, kept)
+
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), more).otherwise(_bound(F.sort_array(F.concat(marks, asked)), free))
+
+
+def _entropy_spans(text: Column, base: Column, options: EntropyOptions) -> Column:
+    """Candidates that touch no base span, are not allowed and reach their class's entropy."""
     runs = _matches(text, f"[A-Za-z0-9+/_=-]{{{options.window},}}", 0, options.window, "entropy")
     limits = dict(options.thresholds)
 
@@ -126,7 +174,7 @@ def _entropy_spans(text: Column, options: EntropyOptions) -> Column:
         limit = F.when(body.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(body.rlike("^[A-Za-z0-9]+$"), limits["alnum"]).otherwise(limits["base64"])
         return F.when(_any(body, options.allow), False).otherwise(best_entropy(body, options.window) >= limit)
 
-    return F.filter(runs, hot)
+    return F.filter(_apart(base, runs), hot)
 
 
 def _any(body: Column, patterns: tuple) -> Column:
@@ -147,11 +195,8 @@ def spans_of(text: Column, options: EntropyOptions = EntropyOptions()) -> Column
     """Array of struct(start, end, rank, body) for ``text``: base spans, then entropy spans outside them."""
     none = F.array().cast("array<struct<start:int,end:int,rank:int,body:string>>")
     base = F.concat(*(F.when(text.rlike(p), _matches(text, p, g, n, k)).otherwise(none) for k, p, g, n in BASE))
-    more = F.when(text.rlike(f"[A-Za-z0-9+/_=-]{{{options.window},}}"), _entropy_spans(text, options)).otherwise(none)
-    return F.transform(
-        F.array(F.struct(base.alias("base"), more.alias("more"))),
-        lambda x: F.concat(x["base"], F.filter(x["more"], lambda m: ~F.exists(x["base"], lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))),
-    )[0]
+    more = lambda found: F.when(text.rlike(f"[A-Za-z0-9+/_=-]{{{options.window},}}"), _entropy_spans(text, found, options)).otherwise(none)
+    return _bound(base, lambda found: F.concat(found, more(found)))
 
 
 def scan(docs: DataFrame, options: EntropyOptions = EntropyOptions()) -> DataFrame:
@@ -182,18 +227,26 @@ def redact(docs: DataFrame, options: EntropyOptions = EntropyOptions(), mark: st
     """
     text = F.col("text").cast("string")
     ordered = lambda spans: F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-
-    def cut(spans: Column) -> Column:
-        zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-        def step(s: Column, x: Column) -> Column:
-            begin = F.greatest(x["start"], s["at"])
-            gap = F.when(x["start"] >= s["at"], F.concat(text.substr(s["at"] + 1, begin - s["at"]), F.lit(mark))).otherwise(F.lit(""))
-            return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.concat(s["out"], gap).alias("out"))
-
-        return F.aggregate(ordered(spans), zero, step, lambda s: F.concat(s["out"], text.substr(s["at"] + 1, F.length(text))))
-
-    changed = F.transform(F.array(spans_of(text, options)), lambda spans: F.when(F.size(spans) > 0, cut(spans)))[0]
+    # a stretch of the text is put together from short pieces, so none is searched from the text's start
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+    def stretch(parts: Column, begin: Column, end: Column) -> Column:
+        first, last = F.floor(begin / PIECE).cast("int"), F.floor(end / PIECE).cast("int")
+        head = lambda i: F.coalesce(F.get(parts, i), F.lit(""))
+        inner = F.when(last - first > 1, F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")).otherwise("")
+        within = F.substring(head(first), begin % PIECE + 1, end - begin)
+        return F.when(first == last, within).otherwise(F.concat(F.substring(head(first), begin % PIECE + 1, F.lit(PIECE)), inner, F.substring(head(last), F.lit(1), end % PIECE)))
+
+    def cut(x: Column) -> Column:
+        def joined(reach: Column) -> Column:
+            behind = lambda i: F.when(i > 0, F.get(reach, i - 1)).otherwise(0)
+            kept = F.transform(x["spans"], lambda s, i: F.when(s["start"] >= behind(i), stretch(x["parts"], behind(i), s["start"])))
+            tail = stretch(x["parts"], F.element_at(reach, -1), F.length(text))
+            return F.array_join(F.concat(kept, F.array(tail)), mark)  # array_join leaves out spans that reach into others
+
+        return _bound(_running(F.transform(x["spans"], lambda s: s["end"]), lambda a, b: F.greatest(a, b)), joined)
+
+    changed = _bound(spans_of(text, options), lambda spans: F.when(F.size(spans) > 0, _bound(F.struct(ordered(spans).alias("spans"), pieces.alias("parts")), cut)))
     columns = docs.columns
     found = docs.select(F.struct("*").alias("row"), F.when(F.col("text").isNotNull(), changed).alias("new"))
     out = []

@@ -3,9 +3,8 @@
 Each line of a text is judged by itself: it fails if it lacks a sentence's end, looks
 like navigation, reads as boilerplate or is thick with symbols. Failed lines are removed,
 and a document that loses too large a share of its characters with them is rejected.
-Counts over the
-whole text (words, symbols, repeated lines, repeated eight-word windows) reject
-documents beforehand.
+Counts over the whole text (words, symbols, repeated lines, repeated eight-word windows)
+reject documents beforehand.
 
 Everything is computed within a row: there is no shuffle, and a text is never exploded.
 """
@@ -18,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import or_empty, words_of
+from .common import or_empty, spaced, words_in
 
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|»«›•"
@@ -59,7 +58,8 @@ class QualityOptions:
 
 
 def _stripped(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
+    """``text`` without ``characters``; a literal search for each is many times faster than ``translate``."""
+    return reduce(lambda t, c: F.replace(t, F.lit(c), F.lit("")), characters, text)
 
 
 def _count(text: Column, characters: str) -> Column:
@@ -71,7 +71,7 @@ def repeated_words(words: Column) -> Column:
 
     Windows are told apart by a 64-bit hash, built from word hashes in three doublings.
     Texts without a repeated window stop at the count of distinct hashes. Of the others,
-    the hashes' upper bits are sorted together with the window's place; windows that agree
+    the hashes' lower bits are sorted together with the window's place, neighbours that agree
     there are compared in full, and the words that the equal ones cover are added up.
     """
     w = REPEAT_WINDOW
@@ -82,28 +82,32 @@ def repeated_words(words: Column) -> Column:
         hashes = F.transform(F.array(hashes), doubled(by))[0]
     hashes = F.slice(hashes, 1, F.size(words) - w + 1)
     bits = 24  # places below 16 million; longer texts sort whole hashes
-    neighbours = lambda a: F.zip_with(F.slice(a, 1, F.size(a) - 1), tail(a, 1), lambda x, y: F.struct(x.alias("x"), y.alias("y")))
-
-    def candidates(h: Column) -> Column:
-        low = F.lit((1 << bits) - 1)
-        packed = F.sort_array(F.transform(h, lambda x, i: F.shiftleft(x, bits).bitwiseOR(i.cast("long"))))
-        same = F.zip_with(
-            F.slice(packed, 1, F.size(packed) - 1),
-            tail(packed, 1),
-            lambda x, y: F.when(F.shiftright(x.bitwiseXOR(y), bits) == 0, F.array(x.bitwiseAND(low), y.bitwiseAND(low))),
-        )
-        places = F.array_distinct(F.flatten(F.filter(same, lambda p: p.isNotNull())))
-        return F.when(F.size(h) < (1 << bits), places).otherwise(F.sequence(F.lit(0).cast("long"), F.size(h).cast("long") - 1))
+    low = F.lit((1 << bits) - 1)
+    within = lambda value, body: F.transform(F.array(value), body)[0]
+    pairs_of = lambda a, body: F.zip_with(F.slice(a, 1, F.size(a) - 1), tail(a, 1), body)
+    place = lambda x: x.bitwiseAND(low)
+
+    def spread(places: Column) -> Column:
+        """Words that windows at the sorted, distinct ``places`` cover."""
+        gaps = F.zip_with(places, tail(places, 1), lambda i, j: F.least(F.coalesce(j - i, F.lit(w).cast("long")), F.lit(w).cast("long")))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
+
+    def in_full(h: Column) -> Column:
+        """Covered words by sorting whole hashes."""
+        sorted_ = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("i"))))
+        equal = lambda s: F.filter(pairs_of(s, lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))), lambda p: p.isNotNull())
+        return within(within(sorted_, lambda s: F.sort_array(F.array_distinct(F.flatten(equal(s))))), spread)
 
     def covered(h: Column) -> Column:
-        pairs = F.transform(
-            F.array(candidates(h)),
-            lambda c: F.sort_array(F.transform(c, lambda i: F.struct(F.get(h, i.cast("int")).alias("h"), i.alias("i")))),
-        )[0]
-        equal = F.filter(neighbours(pairs), lambda p: p["x"]["h"] == p["y"]["h"])
-        places = F.sort_array(F.array_distinct(F.flatten(F.transform(equal, lambda p: F.array(p["x"]["i"], p["y"]["i"])))))
-        gaps = F.transform(F.array(places), lambda q: F.zip_with(q, F.concat(tail(q, 1), F.array(F.lit(1 << 62))), lambda i, j: F.least(j - i, F.lit(w).cast("long"))))[0]
-        return F.aggregate(gaps, F.lit(0).cast("long"), lambda s, g: s + g)
+        """Covered words by sorting (lower bits, place) as one long; if other bits ever differ there, in full."""
+
+        def of(packed: Column) -> Column:
+            same = F.filter(pairs_of(packed, lambda x, y: F.when(F.call_function("shiftright", x.bitwiseXOR(y), F.lit(bits)) == 0, F.array(place(x), place(y)))), lambda p: p.isNotNull())
+            differ = lambda pairs: F.exists(pairs, lambda p: F.get(h, p[0].cast("int")) != F.get(h, p[1].cast("int")))
+            return within(same, lambda pairs: F.when(differ(pairs), in_full(h)).otherwise(within(F.sort_array(F.array_distinct(F.flatten(pairs))), spread)))
+
+        packed = F.sort_array(F.transform(h, lambda x, i: F.call_function("shiftleft", x, F.lit(bits)).bitwiseOR(i.cast("long"))))
+        return F.when(F.size(h) < (1 << bits), within(packed, of)).otherwise(in_full(h))
 
     counted = F.transform(F.array(hashes), lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), covered(h)).otherwise(F.lit(0).cast("long")))[0]
     return F.when(F.size(words) > w, counted).otherwise(F.lit(0).cast("long"))
@@ -120,8 +124,9 @@ def failed_line(line: Column, options: QualityOptions, marks: Column, phrases: C
     n_words = F.size(F.split(F.trim(line), "[\\x20\\x09-\\x0D]+"))
     navigation = _count(line, SEPARATORS) * 100 >= n_words * options.separators
     symbols = _count(line, SYMBOLS) * 100 >= F.length(_stripped(line, SPACES)) * options.symbols
+    marked = marks & line.rlike(f"[{SYMBOLS}{SEPARATORS}]")
     boilerplate = _any_phrase(F.lower(line))
-    return F.when(no_end, True).when(marks, navigation | symbols).otherwise(False) | F.when(phrases, boilerplate).otherwise(False)
+    return F.when(no_end, True).when(marked & (navigation | symbols), True).when(phrases, boilerplate).otherwise(False)
 
 
 def _any_phrase(lower: Column) -> Column:
@@ -140,7 +145,6 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
     gives no rows.
     """
     text = or_empty(F.col("text").cast("string"))
-    words = words_of(text)
     lines = F.split(text, "\n")
     blank = lambda line: F.trim(line, F.lit(SPACES)) == ""
     carried = [c for c in keep or [] if c != "doc_id"]
@@ -151,7 +155,7 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
         has = F.struct((_count(x["t"], SYMBOLS + SEPARATORS) > 0).alias("marks"), _any_phrase(F.lower(x["t"])).alias("phrases"))
         return F.struct(
             F.size(x["w"]).cast("long").alias("n_words"),
-            F.length(_stripped(x["t"], SPACES)).cast("long").alias("word_chars"),
+            F.length(F.replace(x["s"], F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
             _count(x["t"], SYMBOLS).cast("long").alias("n_symbols"),
             within(held, lambda a: F.struct(F.size(a).cast("long").alias("n"), (F.size(a) - F.size(F.array_distinct(a))).cast("long").alias("dup"))).alias("held"),
             repeated_words(x["w"]).alias("n_repeat_words"),
@@ -175,7 +179,7 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
         )
         return within(within(cleaned, named), lambda v: F.struct(v.alias("v"), (~v["base_failed"] & (v["lost_chars"] * 100 <= v["word_chars"] * options.most_lost)).alias("kept")))
 
-    texts = F.struct(words.alias("w"), lines.alias("l"), text.alias("t"))
+    texts = within(spaced(text), lambda s: F.struct(words_in(s).alias("w"), lines.alias("l"), text.alias("t"), s.alias("s")))
     # one column holds the whole judgement, so a filter on it does the work once;
     # internal names cannot clash with carried columns: those are wrapped in one struct
     done = docs.select(

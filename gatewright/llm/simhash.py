@@ -1,17 +1,17 @@
 """SimHash near-duplicates by pigeonring candidate search.
 
-A 64-bit fingerprint is a ring of four segments of 16 bits. If two fingerprints
-differ in at most 3 bits, some start on the ring has a chain of segments whose
-cumulative differences stay within the proportional budgets: none in 1 segment, at
-most 1 in 2, at most 2 in 3, at most 3 in all. Candidates must therefore agree in one
-whole segment, and in at least one half of the next (its budget is one bit): eight
-keys of 24 bits for each distinct fingerprint. The rest of the chain is tested on
-the pairs of a key before the full Hamming check.
+A 64-bit fingerprint is a ring of eight segments of 8 bits. If two fingerprints differ in
+at most 3 bits, some start on the ring has a chain of segments whose cumulative
+differences stay within the proportional budgets, 3/8 of a bit a segment: none in two
+segments, at most 1 in five, at most 2 in seven, at most 3 in all. Candidates must
+therefore agree in two whole segments, and in at least one half of the next three (their
+budget is one bit): sixteen keys of 28 bits for each distinct fingerprint. The rest of
+the chain is tested on the pairs of a key before the full Hamming check.
 
 Only distinct fingerprints are compared, so a group of copies is one candidate, and
 a key's links are reduced to a spanning forest before they leave the task, so a group
-of near copies sends as many links as it has members. Keys with many members are
-dealt out as pairs of blocks.
+of near copies sends as many links as it has members. Keys are counted with a partial
+sum in each task first; those with many members are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,17 +22,20 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, lower_words
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
-SEGMENTS, SEGMENT_BITS = 4, 16
+SEGMENTS, SEGMENT_BITS = 8, 8
+#: Whole segments in a key, and bits of each half of the segments that have a budget of one bit.
+WHOLE, HALF_BITS = 2, 12
+KEY_BITS = WHOLE * SEGMENT_BITS + HALF_BITS
 #: Members of one key that one task compares; larger keys are dealt out as pairs of blocks of about this size.
 BLOCK = 4096
-_MASK = np.uint64(0xFFFF)
+_MASK = np.uint64((1 << SEGMENT_BITS) - 1)
 
 
 def fingerprint(text: str | None) -> int:
@@ -68,14 +71,17 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _keys() -> list:
-    """The eight candidate keys of a fingerprint: (segment, half of the next) and their 24 bits, in one long."""
+    """The candidate keys of a fingerprint: (start, half) and their ``KEY_BITS`` bits, in one long."""
     out = []
-    segment = lambda i: F.shiftrightunsigned("fp", SEGMENT_BITS * (i % SEGMENTS)).bitwiseAND(F.lit(0xFFFF))
     for i in range(SEGMENTS):
+        by = SEGMENT_BITS * i
+        # segment i and those behind it, the ring's first behind its last, from the lowest bit on
+        ring = F.shiftrightunsigned("fp", by).bitwiseOR(F.shiftleft("fp", 64 - by)) if by else F.col("fp")
+        whole = ring.bitwiseAND(F.lit((1 << WHOLE * SEGMENT_BITS) - 1))
         for half in range(2):
-            byte = F.shiftrightunsigned(segment(i + 1), 8 * half).bitwiseAND(F.lit(0xFF))
-            tag = F.lit((2 * i + half) << 24)
-            out.append(tag.bitwiseOR(F.shiftleft(segment(i), 8)).bitwiseOR(byte))
+            part = F.shiftrightunsigned(ring, WHOLE * SEGMENT_BITS + HALF_BITS * half).bitwiseAND(F.lit((1 << HALF_BITS) - 1))
+            tag = F.lit((2 * i + half) << KEY_BITS).cast("long")
+            out.append(tag.bitwiseOR(F.shiftleft(whole, HALF_BITS)).bitwiseOR(part))
     return out
 
 
@@ -134,7 +140,7 @@ def _batch_links(key: np.ndarray, block: np.ndarray, side: np.ndarray, fp: np.nd
     small = sizes <= 64
     group_end = np.repeat(starts + sizes, sizes)
     in_small = np.repeat(small, sizes) & (side == 0)
-    ring = key >> 25
+    ring = key >> (KEY_BITS + 1)
     at = np.flatnonzero(in_small)
     step = 1
     while len(at := at[at + step < group_end[at]]):
@@ -172,10 +178,13 @@ def _as_batch(links: list[tuple[int, int]]) -> pa.RecordBatch:
 def near_links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Spanning links (a, b) of distinct fingerprints ``fps`` (fp) at ``DISTANCE`` or fewer bits."""
     keyed = fps.select("fp", F.explode(F.array(*_keys())).alias("key"))
-    counted = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    # counted with a partial sum in each task, so a hot key costs one row a task; the join may split it
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    counted = keyed.join(shared, "key")
     columns = ["key", "block", "side", "fp"]
     plain = counted.where(f"n > 1 and n <= {block}").select("key", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("side"), "fp")
-    plain = plain.sortWithinPartitions("key", "block")
+    # an exchange of its own: a key that the join has split is put together again
+    plain = plain.repartition("key").sortWithinPartitions("key", "block")
     # a key of n members has m = ceil(n / block) blocks; each member meets every block once
     own = F.expr("pmod(xxhash64(fp), m)")
     hot = counted.where(f"n > {block}").withColumn("m", F.expr(f"cast(ceil(n / {block}) as long)")).withColumn("own", own)
@@ -224,20 +233,23 @@ def _with_fingerprint(docs: DataFrame) -> DataFrame:
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """``docs`` with one row a component: that of the least doc_id, and there of the least fingerprint.
 
-    Rows that share a doc_id but not their component are told apart by their fingerprints,
-    so each component keeps a row of its own. Rows with a null doc_id are kept, since no id
-    can name a representative among them.
+    Which ids go is decided without their texts; the texts cross the network only where the
+    list of those ids is too large to be sent to them. Rows that share a doc_id but not their
+    component are told apart by their fingerprints, so each component keeps a row of its own;
+    repeated rows are kept once. Rows with a null doc_id are kept, since no id can name a
+    representative among them. An empty table stays empty.
     """
     marked = checkpointed(fingerprints(docs))
-    chosen = _placed(marked).where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp"))
-    chosen = checkpointed(chosen.select("kept_id", "kept_fp"))
-    several = checkpointed(marked.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select(F.col("doc_id").alias("shared_id")))
-    stay = chosen.select("kept_id").distinct()
-    first = docs.join(stay, docs.doc_id == stay.kept_id, "left_semi")
+    named = marked.where("doc_id is not null")
+    several = checkpointed(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("several_id")))
+    placed = checkpointed(_placed(marked))
+    chosen = placed.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp")).select("kept_id", "kept_fp")
+    # ids alone decide; the rows that go are the fewer, so a small list of them is sent to the texts and not the other way
+    gone = placed.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
     if several.isEmpty():
-        first = first.dropDuplicates(["doc_id"])
-    else:
-        shared = _with_fingerprint(first.join(several, docs.doc_id == several.shared_id, "left_semi"))
-        shared = shared.join(chosen, (shared.doc_id == chosen.kept_id) & (shared["_fp"] == chosen.kept_fp), "left_semi").dropDuplicates(["doc_id", "_fp"])
-        first = first.join(several, docs.doc_id == several.shared_id, "left_anti").dropDuplicates(["doc_id"]).unionByName(shared.drop("_fp"))
-    return first.unionByName(docs.where("doc_id is null"))
+        return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    gone = gone.unionByName(several.select(F.col("several_id").alias("gone_id"))).distinct()
+    single = docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
+    shared = _with_fingerprint(docs.join(several, docs.doc_id == several.several_id, "left_semi"))
+    shared = shared.join(chosen, (shared.doc_id == chosen.kept_id) & (shared["_fp"] == chosen.kept_fp), "left_semi").dropDuplicates(["doc_id", "_fp"])
+    return single.unionByName(shared.drop("_fp"))

@@ -1,19 +1,25 @@
-"""Benchmark decontamination by Aho-Corasick automata over normalised windows.
+"""Benchmark decontamination by one Aho-Corasick automaton over normalised windows.
 
 Words are runs of characters other than ASCII non-alphanumerics, A-Z lower-cased. An
 item's windows of ten consecutive words (a shorter item: all its words) are the
-patterns; one automaton scans each text once and reports every occurrence with its
-end, which is mapped back to word numbers and to offsets in the original text.
-
-The patterns of one automaton are bounded (``patterns``): a larger benchmark is dealt
-into blocks of that many distinct windows, each broadcast by itself, and the documents
-are scanned once a block.
+patterns of one automaton. Every word of the benchmark is spelled by two characters of its
+own, all other words by two that are in no pattern, so a node has few children (about the
+root of the number of words) and a window few nodes. A text is scanned once; every
+occurrence of a window comes with its end, from which the hit words and their offsets in
+the original text follow.
+
+The benchmark is sent to the executors, and each Python worker builds the
+automaton once and keeps it for its later tasks. Its memory grows with the benchmark
+(about 2 KB a window), never with the documents; ``most_bytes`` bounds it, and a
+benchmark beyond that is refused with an error, not read in part.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 10
-#: Windows in one automaton; about 300 bytes of memory a pattern byte bound a task to some 300 MB.
-PATTERNS = 20_000
+#: Bytes of benchmark text that one automaton may be made of; some 2.5 GB in a worker at the bound, 0.15 GB for 1 MB.
+MOST_BYTES = 16 << 20
 #: A-Z to lower case, other ASCII characters that are not alphanumeric to a space; other bytes stay.
 NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
-#: Bytes of text that a task holds while it goes through several blocks of patterns.
-HELD = 32 << 20
 #: Rows that are scanned together.
 ROWS = 1000
 
@@ -40,59 +44,69 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(NORMAL).split() if text else []
 
 
-def item_windows(text: str | None) -> set[bytes]:
-    """The distinct windows of one benchmark text, words joined by a space."""
-    words = normal_words(text)
-    n = min(WINDOW, len(words))
-    return {b" ".join(words[i : i + n]) for i in range(len(words) - n + 1)} if n else set()
-
-
-def windows_of(benchmark: DataFrame) -> DataFrame:
-    """(window, item_id) pairs, distinct, of ``benchmark`` (item_id, text)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(w, i.as_py()) for i, t in zip(batch.column(0), batch.column(1)) for w in item_windows(t.as_py())]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], names=["window", "item_id"])
-
-    source = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "window binary, item_id long").distinct()
-
-
 class Scanner:
-    """An automaton over (window, item ids) entries."""
+    """The automaton over the windows of ``items``, pairs of an id and a text."""
 
-    def __init__(self, entries: list[tuple[bytes, list]]) -> None:
+    def __init__(self, items: list[tuple[int | None, str]]) -> None:
         import ahocorasick
 
+        texts = [(item, normal_words(text)) for item, text in items]
+        names = sorted({w for _, words in texts for w in words})
+        side = max(1, math.isqrt(max(0, len(names) - 1)) + 1)
+        # first and second characters are of different ranges, so an occurrence starts where a word does
+        self.spelled = {w: chr(1 + i // side) + chr(1 + side + i % side) for i, w in enumerate(names)}
         self.automaton = ahocorasick.Automaton()
-        for window, items in entries:
-            # bytes as Latin-1 text: one character a byte, so offsets are byte offsets
-            self.automaton.add_word(f" {window.decode('latin-1')} ", (window.count(b" ") + 1, items))
-        self.empty = not entries
-        if entries:
+        windows: dict[str, set] = {}
+        for item, words in texts:
+            n = min(WINDOW, len(words))
+            for i in range(len(words) - n + 1 if n else 0):
+                windows.setdefault("".join(map(self.spelled.__getitem__, words[i : i + n])), set()).add(item)
+        for window, ids in windows.items():
+            self.automaton.add_word(window, (len(window) // 2, frozenset(ids)))
+        self.n_windows = len(windows)
+        if windows:
             self.automaton.make_automaton()
 
+    def found(self, words: list[bytes]) -> Iterator[tuple[int, tuple]]:
+        """(second character of the last word, (words, item ids)) of each occurrence of a window."""
+        return self.automaton.iter("".join(map(self.spelled.get, words, repeat("\0\0")))) if self.n_windows and words else iter(())
+
     def any(self, words: list[bytes]) -> bool:
-        text = (b" " + b" ".join(words) + b" ").decode("latin-1")
-        return not self.empty and next(iter(self.automaton.iter(text)), None) is not None
+        return next(self.found(words), None) is not None
 
     def scan(self, words: list[bytes]) -> tuple[np.ndarray, set]:
         """Which words are inside an occurrence, and the ids of the items with one."""
-        n = len(words)
-        hit, items = np.zeros(n, dtype=bool), set()
-        if self.empty or not n:
-            return hit, items
-        found = list(self.automaton.iter((b" " + b" ".join(words) + b" ").decode("latin-1")))
-        if found:
-            ends = np.cumsum([len(w) + 1 for w in words])  # where the space after each word is
-            last = np.searchsorted(ends, [end for end, _ in found])
-            for w, (_, (size, ids)) in zip(last, found):
-                hit[w - size + 1 : w + 1] = True
-                items.update(ids)
+        hit, items = np.zeros(len(words), dtype=bool), set()
+        for end, (size, ids) in self.found(words):
+            last = end // 2
+            hit[last - size + 1 : last + 1] = True
+            items |= ids
         return hit, items
 
 
+#: The scanners of this worker by their broadcast, the latest only.
+_KEPT: dict[int, Scanner] = {}
+
+
+def _scanner(sent: Broadcast, key: int) -> Scanner:
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = Scanner(sent.value)
+    return _KEPT[key]
+
+
+def _sent(benchmark: DataFrame, most_bytes: int) -> tuple[Broadcast, int]:
+    """The benchmark's ids and texts on all executors, and a key of this broadcast; its size is checked first."""
+    import uuid
+
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
+    if size > most_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text, and one automaton is made of {most_bytes} at most")
+    items = sorted({(r["item_id"], r["text"]) for r in rows.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+    return benchmark.sparkSession.sparkContext.broadcast(items), uuid.uuid4().int
+
+
 def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
     """Half-open runs of word numbers that are hit."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
@@ -105,100 +119,53 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[s][0], "end": at[e - 1][1]} for s, e in runs_of(hit)]
 
 
-def _blocks(benchmark: DataFrame, patterns: int) -> list[Broadcast]:
-    """The windows with their items, sent out in blocks of at most ``patterns``.
-
-    The driver holds one block at a time; item lists are sorted.
-    """
-    context = benchmark.sparkSession.sparkContext
-    grouped = windows_of(benchmark).groupBy("window").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
-    out: list[Broadcast] = []
-    block: list[tuple[bytes, list]] = []
-    for row in grouped.orderBy("window").toLocalIterator():
-        block.append((bytes(row["window"]), list(row["items"])))
-        if len(block) >= patterns:
-            out.append(context.broadcast(block))
-            block = []
-    return [*out, context.broadcast(block)] if block else out
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, patterns: int = PATTERNS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, spans, items.
 
     ``n_hit`` counts the words inside any occurrence of a window, ``spans`` has the runs
     of such words as code-point offsets of the original text, ``items`` the sorted ids of
     the items with occurring windows. Null, empty and wordless texts have no words and no
-    hits; an item without words has no windows, and one whose id is null marks words but
-    is not listed. An empty benchmark hits nothing. Rows that repeat are returned as often
-    as they occur. Other columns are not read. With several blocks of patterns, a task
-    scans its held texts (``HELD`` bytes) with one automaton after another.
+    hits; a text of any length is scanned as a whole. An item without words has no windows,
+    and one whose id is null marks words but is not listed; items that repeat, or share an
+    id, add up. An empty benchmark hits nothing. Rows that repeat are returned as often as
+    they occur. Other columns are not read.
     """
-    blocks = _blocks(benchmark, patterns)
-
-    def scanned(held: list[pa.RecordBatch], scanners: dict[int, Scanner]) -> Iterator[pa.RecordBatch]:
-        texts = [t.as_py() for batch in held for t in batch.column(1)]
-        words = [normal_words(t) for t in texts]
-        hits = [np.zeros(len(w), dtype=bool) for w in words]
-        items: list[set] = [set() for _ in words]
-        for i, block in enumerate(blocks):
-            scanner = scanners.get(i) or Scanner(block.value)
-            if len(blocks) == 1:
-                scanners[i] = scanner
-            for k, w in enumerate(words):
-                hit, ids = scanner.scan(w)
-                if hit.any():
-                    hits[k] |= hit
-                    items[k] |= ids
-        row = 0
-        for batch in held:
-            end = row + batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([len(w) for w in words[row:end]], pa.int64()),
-                    pa.array([int(h.sum()) for h in hits[row:end]], pa.int64()),
-                    pa.array([spans_of(t, h) if h.any() else [] for t, h in zip(texts[row:end], hits[row:end])], _SPANS),
-                    pa.array([sorted(i for i in x if i is not None) for x in items[row:end]], pa.list_(pa.int64())),
-                ],
-                names=["doc_id", "n_words", "n_hit", "spans", "items"],
-            )
-            row = end
+    sent, key = _sent(benchmark, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners: dict[int, Scanner] = {}
-        held: list[pa.RecordBatch] = []
+        scanner = _scanner(sent, key)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
-                held.append(batch.slice(i, ROWS))
-                if len(blocks) <= 1 or sum(b.nbytes for b in held) >= HELD:
-                    yield from scanned(held, scanners)
-                    held = []
-        if held:
-            yield from scanned(held, scanners)
+                part = batch.slice(i, ROWS)
+                texts = [t.as_py() for t in part.column(1)]
+                found = [scanner.scan(normal_words(t)) for t in texts]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(0),
+                        pa.array([len(h) for h, _ in found], pa.int64()),
+                        pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+                        pa.array([spans_of(t, h) if ids else [] for t, (h, ids) in zip(texts, found)], _SPANS),
+                        pa.array([sorted(x for x in ids if x is not None) for _, ids in found], pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "n_words", "n_hit", "spans", "items"],
+                )
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return source.mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>")
 
 
-def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def clean_documents(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of ``benchmark``; all columns stay.
 
     The documents are scanned once, in their own tasks, and no row is shuffled. A row
-    whose text is null or wordless stays.
+    whose text is null or wordless stays; an empty table stays empty.
     """
-    blocks = _blocks(benchmark, PATTERNS)
+    sent, key = _sent(benchmark, most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanners: dict[int, Scanner] = {}
+        scanner = _scanner(sent, key)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
-            words = [normal_words(t.as_py()) for t in text]
-            hit = np.zeros(len(words), dtype=bool)
-            for i, block in enumerate(blocks):
-                scanner = scanners.get(i) or Scanner(block.value)
-                if len(blocks) == 1:
-                    scanners[i] = scanner
-                hit |= np.array([bool(w) and scanner.any(w) for w in words], dtype=bool)
-            yield batch.filter(pa.array(~hit))
+            yield batch.filter(pa.array([not scanner.any(normal_words(t.as_py())) for t in text], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -17,8 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket of a shard has on average.
-BUCKET_ROWS = 50_000
+#: Buckets that the rows of each shard are dealt into, at any size of the table.
+BUCKETS = 4096
 
 
 def _score(key: Column, shard: int, weight: float) -> Column:
@@ -56,10 +56,8 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float]) ->
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
     )
     rows = body.withColumn("shard", rendezvous(F.col("doc_id"), weights).cast("int")).withColumn("grown_shard", rendezvous(F.col("doc_id"), grown).cast("int"))
-    total = docs.select(F.lit(1)).count()
-    buckets = max(1, -(-total // (BUCKET_ROWS * len(weights))), min(64, total // 2000))
     # the whole row decides its bucket: rows that repeat one doc_id are spread unless they are equal
-    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size, text_crc32, 7), {buckets})"))
+    rows = rows.withColumn("bucket", F.expr(f"pmod(xxhash64(doc_id, size, text_crc32, 7), {BUCKETS})"))
     counts = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))

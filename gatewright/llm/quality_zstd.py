@@ -27,11 +27,11 @@ class CompressionOptions:
     dictionary_bytes: int = 40_000
     block_bytes: int = 512
     level: int = 3
-    #: Labelled rows that are read at most, taken by the hash of their id, and their characters.
+    #: Labelled rows that are read at most, taken by the hash of their id, and bytes of their whole texts together.
     sample_rows: int = 6000
-    sample_chars: int = 6000
+    sample_bytes: int = 24 << 20
     #: Share of the sample that dictionaries are made from; the rest calibrates.
-    dictionary_share: float = 0.6
+    dictionary_share: float = 0.7
 
 
 def blocks(text: str, size: int) -> list[bytes]:
@@ -75,11 +75,15 @@ def _dictionary(texts: list[str], options: CompressionOptions) -> bytes:
 
 
 def train(texts: list[str], labels: list[int], options: CompressionOptions = CompressionOptions()) -> CompressionModel:
-    """Dictionaries and curve from labelled texts; without both classes the score is the labels' mean."""
+    """Dictionaries and curve from labelled texts; without both classes the score is the labels' mean.
+
+    The texts come in the order of a hash of their ids, so the first share of them, which the
+    dictionaries are made from, is a random one.
+    """
     y = np.array(labels, dtype=np.float64)
     mean = (y.sum() + 0.5) / (len(y) + 1)
     flat = (0.0, float(np.log(mean / (1 - mean))))
-    first = np.arange(len(y)) % 100 < 100 * options.dictionary_share
+    first = np.arange(len(y)) < len(y) * options.dictionary_share
     good, bad = (_dictionary([t for t, label, f in zip(texts, labels, first) if f and label == want], options) for want in (1, 0))
     model = CompressionModel(good, bad, flat, options)
     if model.pair is not None and len(set(y[~first])) == 2:
@@ -97,7 +101,7 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options: C
     labels of one class, or too little text for a dictionary, all scores are the same.
     Other columns are not read.
     """
-    model = train(*labelled_sample(docs, labels, "quality", 5, 0, options.sample_rows, options.sample_chars), options)
+    model = train(*labelled_sample(docs, labels, "quality", 5, 0, options.sample_rows, options.sample_bytes), options)
     sent = docs.sparkSession.sparkContext.broadcast((model.good, model.bad, model.curve))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,14 +1,16 @@
 """Toxicity by subword-bag embeddings averaged into a linear softmax.
 
-Each word is a bag of hashed character n-grams, so an unseen misspelling shares
-vectors with the words it resembles. The vectors of a passage's n-grams are averaged
-and go through a linear layer into a softmax; table and layer are trained jointly with
-numpy on a bounded sample of labelled rows.
-
-A text is cut into short passages, and the document's bag is that of its most toxic
-ones: a few words in a long text are not averaged away. In training, too, the gradient
-goes through each document's most toxic passages. Because the layer is linear, a word's share of the
-result is one number, kept per task, and scoring is a pass of additions over the text.
+Each word is a bag of hashed character n-grams, so an unseen misspelling shares vectors
+with the words it resembles. The words' vectors are averaged over the whole text and go
+through a linear layer into a softmax. The average is weighted: a word counts by the
+exponential of its vector's product with one more vector, so a few telling words in a
+long text are not averaged away. Table, layer and weights are trained jointly with numpy
+on a bounded sample of labelled rows.
+
+An average does not grow with the text: what decides is the weighted share of telling
+words, so clean texts stay clean however long they are. Because the layer is linear, a
+word's part in the result is two numbers, its weight and its score, which a task keeps;
+scoring is a pass of additions over the text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_words
+from .common import checkpointed, lower_words
 
 
 @dataclass(frozen=True)
@@ -29,21 +31,19 @@ class ToxicityOptions:
     buckets: int = 1 << 18
     #: Training texts that must hold a bucket's n-grams for its vector to count by half; in n texts it counts by n / (n + this).
     least_texts: int = 2
-    #: First epochs that average whole texts; the others average each text's most toxic passages.
-    whole_epochs: int = 2
     width: int = 8
     shortest: int = 3
     longest: int = 6
-    #: Words of a passage, and passages that make up a document's score.
-    passage: int = 3
-    most: int = 4
-    epochs: int = 10
+    #: Steps of training, in as many epochs as they take, and the texts of one step.
+    steps: int = 300
+    batch: int = 32
     rate: float = 0.4
+    #: Bound of the logarithm of a word's weight.
+    steepest: float = 8.0
     seed: int = 7
-    #: Labelled rows that training reads at most, taken by the hash of their id.
+    #: Labelled rows that training reads at most, taken by the hash of their id, and bytes of their whole texts together.
     sample_rows: int = 4000
-    #: Characters of one training text at most; scoring always reads the whole text.
-    sample_chars: int = 8_000
+    sample_bytes: int = 24 << 20
     #: Words whose result a task keeps, about.
     kept_words: int = 400_000
 
@@ -76,47 +76,42 @@ def gram_buckets(words: list[bytes], options: ToxicityOptions) -> tuple[np.ndarr
     return np.concatenate(found)[order], np.bincount(words_of, minlength=len(words))
 
 
-def top_passages(scores: np.ndarray, options: ToxicityOptions) -> np.ndarray:
-    """Places of the words in the ``most`` passages with the highest mean word score; ties go to the first."""
-    n = len(scores)
-    starts = np.arange(0, n, options.passage)
-    means = np.add.reduceat(scores, starts) / np.diff(np.append(starts, n))
-    top = np.sort(np.argsort(-means, kind="stable")[: options.most])
-    return np.concatenate([np.arange(starts[k], min(n, starts[k] + options.passage)) for k in top])
-
-
 class ToxicityModel:
-    """The trained table and layer, and the curve that calibrates their log-odds."""
+    """The trained scores and weights of n-grams, and the curve that calibrates the texts' log-odds."""
 
-    def __init__(self, options: ToxicityOptions, table: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> None:
-        self.options, self.table, self.layer, self.bias = options, table, layer, bias
+    def __init__(self, options: ToxicityOptions, table: np.ndarray, layer: np.ndarray, bias: float, gate: np.ndarray) -> None:
+        self.options, self.bias = options, float(bias)
         self.calibration = (1.0, 0.0)
         #: Log-odds of a text without words: those of a middling clean text, once trained.
-        self.blank = float(bias[1] - bias[0])
-        self.gram_scores = (table @ (layer[:, 1] - layer[:, 0])).astype(np.float32)
-        self.words: dict[bytes, float] = {}
+        self.blank = self.bias
+        #: Each n-gram's part in its word's score and in the logarithm of its weight.
+        self.grams = np.stack([table @ (layer[:, 1] - layer[:, 0]), table @ gate], axis=1).astype(np.float32)
+        self.words: dict[bytes, tuple[float, float]] = {}
 
     def learn_words(self, words: set[bytes]) -> None:
-        """Keeps the scores of words that are not known yet, all of them at once."""
+        """Keeps (weight * score, weight) of words that are not known yet, all of them at once."""
         if len(self.words) + len(words) > self.options.kept_words:
             self.words.clear()
         new = [w for w in words if w not in self.words]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             buckets, counts = gram_buckets(part, self.options)
-            starts = np.cumsum(counts) - counts
-            self.words.update(zip(part, (np.add.reduceat(self.gram_scores[buckets], starts) / counts).tolist()))
+            found = np.add.reduceat(self.grams[buckets], np.cumsum(counts) - counts, axis=0, dtype=np.float64) / counts[:, None]
+            weight = np.exp(np.clip(found[:, 1], -self.options.steepest, self.options.steepest))
+            self.words.update(zip(part, zip((weight * found[:, 0]).tolist(), weight.tolist())))
 
     def word_score(self, word: bytes) -> float:
+        """A word's own score, without its weight."""
         self.learn_words({word})
-        return self.words[word]
+        part, weight = self.words[word]
+        return part / weight
 
     def logit(self, words: list[bytes]) -> float:
-        """Log-odds of the most toxic passages, before calibration; the words' scores are known."""
+        """Log-odds of a text's weighted average, before calibration; the words' numbers are known."""
         if not words:
             return self.blank
-        scores = np.fromiter(map(self.words.__getitem__, words), dtype=np.float64, count=len(words))
-        return float(self.bias[1] - self.bias[0]) + float(scores[top_passages(scores, self.options)].mean())
+        total = np.array(list(map(self.words.__getitem__, words))).sum(axis=0)
+        return self.bias + float(total[0] / total[1])
 
     def logits(self, texts: list[list[bytes]]) -> np.ndarray:
         """Log-odds of several texts; their words are looked up together, some thousand words at a time."""
@@ -157,75 +152,87 @@ def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 200) -> tuple[float, fl
 def train(texts: list[str], labels: list[int], options: ToxicityOptions = ToxicityOptions()) -> ToxicityModel:
     """A model from labelled texts; without both classes it is constant at the labels' mean.
 
-    Table and layer are learned on three quarters of the rows and calibrated on the rest.
+    Table, layer and weights are learned on three quarters of the rows and calibrated on the
+    rest. The texts are read whole, as their distinct words and how often each occurs.
     """
     rng = np.random.default_rng(options.seed)
     table = rng.uniform(-1, 1, (options.buckets, options.width)).astype(np.float32) / options.width
     layer = np.zeros((options.width, 2), dtype=np.float32)
     layer[:, 1] = rng.normal(0, 0.1, options.width)
-    bias = np.zeros(2, dtype=np.float32)
+    gate, bias = np.zeros(options.width, dtype=np.float32), np.zeros(2, dtype=np.float32)
     y = np.array(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         table[:] = 0
         mean = (y.sum() + 0.5) / (len(y) + 1)
-        bias[1] = np.log(mean / (1 - mean))
-        return ToxicityModel(options, table, layer, bias)
-    rows = [lower_words((text or "")[: options.sample_chars]) for text in texts]
+        return ToxicityModel(options, table, layer, np.log(mean / (1 - mean)), gate)
+    rows = [lower_words(text) for text in texts]
     names = sorted(set().union(*rows))
     if not names:
-        return ToxicityModel(options, table, layer, bias)
+        return ToxicityModel(options, table, layer, 0.0, gate)
     number = {w: i for i, w in enumerate(names)}
+    # training sees only the buckets that its words use, numbered without gaps
     flat, size = gram_buckets(names, options)
+    seen, flat = np.unique(flat, return_inverse=True)
+    whole, table = table, table[seen]
     begin = np.concatenate([[0], np.cumsum(size)])
-    grams = [flat[s:e] for s, e in zip(begin, begin[1:])]
-    coded = [np.array([number[w] for w in r], dtype=np.int64) for r in rows]
+    bags = [np.unique(np.array([number[w] for w in r], dtype=np.int64), return_counts=True) for r in rows]
     held = rng.random(len(rows)) < 0.25
-    order = np.flatnonzero(~held)
-    rate_of = y[order].mean()
+    order = np.array([i for i in np.flatnonzero(~held) if len(rows[i])], dtype=np.int64)
+    rate_of = np.clip(y[order].mean(), 1e-3, 1 - 1e-3) if len(order) else 0.5
     weight = np.where(y == 1, 0.5 / rate_of, 0.5 / (1 - rate_of))
-    squares_t = np.full(options.buckets, 1e-8, dtype=np.float32)
-    squares_l, squares_b = np.full_like(layer, 1e-8), np.full_like(bias, 1e-8)
-    order = order[[len(coded[i]) > 0 for i in order]]
-    scores = np.zeros(len(names))
-    texts_with = np.zeros(options.buckets, dtype=np.int64)
-    for i in order:
-        texts_with[np.unique(np.concatenate([grams[u] for u in set(coded[i].tolist())]))] += 1
+
+    def grams_of(used: np.ndarray) -> np.ndarray:
+        ends = np.cumsum(size[used])
+        return flat[np.arange(ends[-1]) + np.repeat(begin[used] - ends + size[used], size[used])]
+
     # rare n-grams are shrunk, not cut: what is learned of them counts by how many texts show it
-    weight_t = (texts_with / np.maximum(texts_with + options.least_texts, 1)).astype(np.float32)
-    table *= weight_t[:, None]
-    for epoch in range(options.epochs):
+    texts_with = np.zeros(len(seen), dtype=np.int64)
+    for i in order:
+        texts_with[np.unique(grams_of(bags[i][0]))] += 1
+    shrunk = (texts_with / np.maximum(texts_with + options.least_texts, 1)).astype(np.float32)
+    table *= shrunk[:, None]
+    squares_t = np.full(len(seen), 1e-8, dtype=np.float32)
+    squares_l, squares_b, squares_g = np.full_like(layer, 1e-8), np.full_like(bias, 1e-8), np.full_like(gate, 1e-8)
+    batches = max(1, len(order) // options.batch)
+    for _ in range(-(-options.steps // batches) if len(order) else 0):
         rng.shuffle(order)
-        for step, part in enumerate(np.array_split(order, max(1, len(order) // 64))):
-            if step % 16 == 0:  # choosing passages by slightly older scores is good enough
-                grams_now = table @ (layer[:, 1] - layer[:, 0])
-                scores = np.add.reduceat(grams_now[flat], begin[:-1]) / size
-            bags = [coded[i] if epoch < options.whole_epochs else coded[i][top_passages(scores[coded[i]], options)] for i in part]
-            used, codes = np.unique(np.concatenate(bags), return_inverse=True)
-            pieces = np.concatenate([grams[u] for u in used])
-            heads = np.concatenate([[0], np.cumsum(size[used])])[:-1]
+        for part in np.array_split(order, batches):
+            used, codes = np.unique(np.concatenate([bags[i][0] for i in part]), return_inverse=True)
+            times = np.concatenate([bags[i][1] for i in part])
+            lengths = np.array([len(bags[i][0]) for i in part])
+            starts = np.cumsum(lengths) - lengths
+            pieces = grams_of(used)
+            heads = np.cumsum(size[used]) - size[used]
             vectors = np.add.reduceat(table[pieces], heads, axis=0) / size[used][:, None]
-            lengths = np.array([len(bag) for bag in bags])
-            ends = np.cumsum(lengths)
-            means = np.add.reduceat(vectors[codes], ends - lengths, axis=0) / lengths[:, None]
+            steep = vectors @ gate
+            free = np.abs(steep) < options.steepest
+            share = np.exp(np.clip(steep, -options.steepest, options.steepest))[codes] * times
+            share /= np.repeat(np.add.reduceat(share, starts), lengths)
+            each = vectors[codes]
+            means = np.add.reduceat(each * share[:, None], starts, axis=0)
             z = means @ layer + bias
             z = np.exp(z - z.max(axis=1, keepdims=True))
             p = z / z.sum(axis=1, keepdims=True)
             p[np.arange(len(part)), y[part].astype(int)] -= 1
             p *= (weight[part] / len(part))[:, None]
-            back = (p @ layer.T) / lengths[:, None]
-            grad_v = np.zeros((len(used), options.width))
-            np.add.at(grad_v, codes, np.repeat(back, lengths, axis=0))
-            grad_l, grad_b = means.T @ p, p.sum(axis=0)
+            back = np.repeat(p @ layer.T, lengths, axis=0)
+            pull = share * ((each - np.repeat(means, lengths, axis=0)) * back).sum(axis=1) * free[codes]
+            grad_v = np.stack([np.bincount(codes, share * back[:, k] + pull * gate[k], len(used)) for k in range(options.width)], axis=1)
+            grad_l, grad_b, grad_g = means.T @ p, p.sum(axis=0), each.T @ pull
             squares_l += grad_l**2
             squares_b += grad_b**2
+            squares_g += grad_g**2
             layer -= (options.rate * 0.5 * grad_l / np.sqrt(squares_l)).astype(np.float32)
             bias -= (options.rate * 0.1 * grad_b / np.sqrt(squares_b)).astype(np.float32)
-            at, inverse = np.unique(pieces, return_inverse=True)
-            total = np.zeros((len(at), options.width))
-            np.add.at(total, inverse, np.repeat(grad_v / size[used][:, None], size[used], axis=0))
+            gate -= (options.rate * 0.5 * grad_g / np.sqrt(squares_g)).astype(np.float32)
+            at = np.flatnonzero(np.bincount(pieces, minlength=len(seen)))
+            spread = np.repeat(grad_v / size[used][:, None], size[used], axis=0)
+            total = np.stack([np.bincount(pieces, spread[:, k], len(seen))[at] for k in range(options.width)], axis=1)
             squares_t[at] += (total**2).mean(axis=1)
-            table[at] -= (options.rate * total * (weight_t[at] / np.sqrt(squares_t[at]))[:, None]).astype(np.float32)
-    model = ToxicityModel(options, table, layer, bias)
+            table[at] -= (options.rate * total * (shrunk[at] / np.sqrt(squares_t[at]))[:, None]).astype(np.float32)
+    whole *= 0  # n-grams that no training text shows count for nothing
+    whole[seen] = table
+    model = ToxicityModel(options, whole, layer, bias[1] - bias[0], gate)
     at = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
     logits = model.logits([rows[i] for i in at])
     model.calibration = _logistic(logits, y[at])
@@ -234,12 +241,13 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, rows: int, chars: int) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts outside the held-out remainder, in the order of a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: int, held_out: int, rows: int, most_bytes: int) -> tuple[list[str], list[int]]:
+    """Whole labelled texts outside the held-out remainder, in the order of a hash of the id.
 
-    The remainder is that of the CRC-32 of the id as text. Rows without id, label or text
-    are left out; of several labels or texts for one id the least counts. Only ids cross the
-    network before the sample is chosen; texts are cut to ``chars``.
+    The remainder is that of the CRC-32 of the id as text. At most ``rows`` rows are taken,
+    and fewer where their texts exceed ``most_bytes`` together; no text is cut. Rows without
+    id, label or text are left out; of several labels or texts for one id the least counts.
+    Only ids cross the network before the sample is chosen.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("int").alias("_label"))
     chosen = (
@@ -247,13 +255,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
         .where((F.crc32(F.col("_id").cast("string").cast("binary")) % modulus) != held_out)
         .groupBy("_id")
         .agg(F.min("_label").alias("_label"))
-        .orderBy(F.xxhash64("_id"), "_id")
+        .withColumn("_order", F.xxhash64("_id"))
+        .orderBy("_order", "_id")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.substring(F.col("text").cast("string"), 1, chars).alias("_text")).where("_text is not null")
-    # at most ``rows`` rows of two numbers: the bound that makes this side safe to broadcast
-    found = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label"))
-    got = sorted(found.collect(), key=lambda r: r["_id"])
+    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).where("_text is not null")
+    # at most ``rows`` rows of three numbers: the bound that makes this side safe to broadcast
+    found = checkpointed(texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_order").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label")))
+    taken, size = [], 0
+    for r in sorted(found.select("_id", "_order", F.octet_length("_text").alias("n")).collect(), key=lambda r: (r["_order"], r["_id"])):
+        size += r["n"]
+        if taken and size > most_bytes:
+            break
+        taken.append(r["_id"])
+    got = sorted(found.where(F.col("_id").isin(taken)).collect(), key=lambda r: (r["_order"], r["_id"])) if taken else []
     return [r["_text"] for r in got], [r["_label"] for r in got]
 
 
@@ -269,13 +284,14 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, options: T
     score of a middling clean text. Rows that repeat score alike; a null doc_id is not held out. With no label, or
     labels of one class, all scores are the same. Other columns are not read.
     """
-    model = train(*labelled_sample(docs, labels, "toxic", 4, 2, options.sample_rows, options.sample_chars), options)
-    sent = docs.sparkSession.sparkContext.broadcast((model.gram_scores, model.bias, model.calibration, model.blank))
+    model = train(*labelled_sample(docs, labels, "toxic", 4, 2, options.sample_rows, options.sample_bytes), options)
+    sent = docs.sparkSession.sparkContext.broadcast((model.grams, model.bias, model.calibration, model.blank))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, bias, calibration, blank = sent.value
-        own = ToxicityModel(options, np.zeros((0, options.width), np.float32), np.zeros((options.width, 2), np.float32), bias)
-        own.gram_scores, own.calibration, own.blank = grams, calibration, blank
+        none = np.zeros((0, options.width), np.float32)
+        own = ToxicityModel(options, none, np.zeros((options.width, 2), np.float32), bias, np.zeros(options.width, np.float32))
+        own.grams, own.calibration, own.blank = grams, calibration, blank
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)

@@ -1,12 +1,14 @@
 """Main text of web pages, boilerplate found by a host's suffix array.
 
-A page becomes a list of text blocks, each with the evidence of its markup: whether it
-stands inside the article, and whether an element around it names it as menu, advert,
-form, comment and the like. The token streams of a host's pages are concatenated and
-sorted into a suffix array; long substrings that occur on several pages are marked,
-and plain blocks that such substrings cover are boilerplate, whether or not their page
-has an article. Blocks of the article proper are the page's own text, so repeated wording
-is never taken out of them.
+A page becomes a list of text blocks, each with the evidence of its markup. Elements that
+name themselves as menu, advert, form, comment and the like are dropped by it. What it
+does not settle is decided by repetition: the token streams of a host's pages are
+concatenated and sorted into a suffix array, long substrings that occur on several pages
+are marked, and blocks that such substrings cover are boilerplate. This holds for all
+blocks outside the article, on pages with one and without, and for the parts of an
+article that stand in an element with a class, an id or a role of their own (share bars,
+"read more" lines, sign-offs). Plain paragraphs of the article are the page's own text, so
+repeated wording is never taken out of them.
 
 Pages of one host are handled together, in groups of bounded size. A host with more pages
 is dealt into as many groups as it needs; their suffix arrays give the distinct substrings
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import written
 
 #: Elements whose content is no text.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas head select".split())
@@ -55,13 +57,14 @@ BUCKET_GROUPS = 16
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+_MARKED = re.compile(r"\b(?:class|id|role)\s*=", re.IGNORECASE)
 _SPACE = re.compile(r"[ \t\n\r\f\v ]+")
 
 
 @dataclass(frozen=True)
 class ExtractionOptions:
-    #: Pages of a host that share a suffix array; results do not depend on it.
-    group_pages: int = 256
+    #: Bytes of HTML of a host that share a suffix array, about; results do not depend on it.
+    group_bytes: int = 1 << 20
     #: Tokens that a repeated substring has at least.
     least_tokens: int = 6
     #: Pages that it occurs on at least.
@@ -71,14 +74,14 @@ class ExtractionOptions:
 
 
 def _named(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes; ``inside``: within the article."""
+    """Whether an element is boilerplate by its name or attributes; ``inside``: within the article, whose header is its own."""
     if name in CHROME or (name == "header" and not inside):
         return True
     if not attributes:
         return False
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and HINTS.intersection(re.split(r"[^a-z]+", value)):
+        if key in ("class", "id") and (HINTS - {"header"} if inside else HINTS).intersection(re.split(r"[^a-z]+", value)):
             return True
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -86,23 +89,26 @@ def _named(name: str, attributes: str, inside: bool) -> bool:
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
-    """(text, kind) of a page's blocks in order; kind 0: plain, 1: in the article, 2: boilerplate by markup.
+    """(text, kind) of a page's blocks in order.
 
+    Kind 0: not settled by markup; 1: plain text of the article; 2: boilerplate by markup.
     Character references are decoded, white space is one space. Unclosed elements end with
-    the page; an end tag without its start is ignored.
+    the page; an end tag without its start is ignored. A form counts as boilerplate, but not
+    one that is put round the article, nor one that holds most text of a page without any.
     """
     out: list[tuple[str, int]] = []
     if not page:
         return out
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
-    chrome = article = 0
+    # name, whether it is boilerplate, a form outside the article, the article, marked within the article
+    stack: list[tuple[str, bool, bool, bool, bool]] = []
+    chrome = form = article = marked = 0
     parts: list[str] = []
 
     def flush() -> None:
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
         parts.clear()
         if text:
-            out.append((text, 2 if chrome else 1 if article else 0))
+            out.append((text, 2 if chrome else (0 if marked else 1) if article else 3 if form else 0))
 
     at, end = 0, len(page)
     while at < end:
@@ -120,9 +126,11 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         if closing:
             found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
             if found is not None:
-                for _, was_chrome, was_article in stack[found:]:
+                for _, was_chrome, was_form, was_article, was_marked in stack[found:]:
                     chrome -= was_chrome
+                    form -= was_form
                     article -= was_article
+                    marked -= was_marked
                 del stack[found:]
         elif name in RAW:
             # a closing tag ends raw text; without one the rest of the page is raw, but for a head, which the body ends
@@ -133,13 +141,20 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
             is_chrome = _named(name, m[2], article > 0)
             if name in ("html", "body"):
                 is_chrome = False
+            is_form = name == "form" and is_chrome and not article
+            is_chrome = is_chrome and not is_form
+            is_marked = article > 0 and not is_article and name in BLOCK and _MARKED.search(m[2]) is not None
             if name == "p" and stack and stack[-1][0] == "p":
-                stack.pop()
-            stack.append((name, is_chrome, is_article))
+                marked -= stack.pop()[4]
+            stack.append((name, is_chrome, is_form, is_article, is_marked))
             chrome += is_chrome
+            form += is_form
             article += is_article
+            marked += is_marked
     flush()
-    return out
+    sizes = [sum(len(t) for t, kind in out if kind == k) for k in range(4)]
+    formed = 0 if not sizes[1] and sizes[3] > sizes[0] else 2
+    return [(t, formed if kind == 3 else kind) for t, kind in out]
 
 
 def host_of(url: str | None) -> str:
@@ -148,8 +163,8 @@ def host_of(url: str | None) -> str:
     return re.sub(r"^www\.", "", m[1].lower()) if m else ""
 
 
-def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Suffix array of ``tokens`` and the ranks by the first 1, 2, 4, ... tokens, by prefix doubling."""
+def suffix_array(tokens: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of ``tokens`` by prefix doubling, and the ranks by the first 1, 2, 4, ... up to ``most`` tokens."""
     n = len(tokens)
     rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64) + 1
     levels, width = [rank], 1
@@ -161,15 +176,19 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
         key = np.stack([rank[order], second[order]])
         rank = np.empty(n, dtype=np.int64)
         rank[order] = np.concatenate([[1], 1 + np.cumsum((np.diff(key, axis=1) != 0).any(axis=0))])
-        levels.append(rank)
         width *= 2
+        if width <= most:
+            levels.append(rank)
         if width >= n:
             break
     return order, levels
 
 
 def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
-    """Length of the longest common prefix of each suffix in ``order`` and the one before it; 0 for the first."""
+    """Length of the longest common prefix of each suffix in ``order`` and the one before it; 0 for the first.
+
+    With the widest of ``levels`` w tokens wide, lengths of 2 * w - 1 and above count as that.
+    """
     n = len(order)
     a, b, out = order[:-1].copy(), order[1:].copy(), np.zeros(n, dtype=np.int64)
     for k in range(len(levels) - 1, -1, -1):
@@ -186,7 +205,7 @@ def shared_substrings(tokens: np.ndarray, page: np.ndarray, size: int) -> tuple[
 
     ``tokens`` has a token of its own after each page, so no substring that repeats spans pages.
     """
-    order, levels = suffix_array(tokens)
+    order, levels = suffix_array(tokens, size)
     sorted_group = np.cumsum(common_prefixes(order, levels) < size) - 1
     pairs = np.unique(np.stack([sorted_group, page[order]]), axis=1)[0]
     group = np.empty(len(tokens), dtype=np.int64)
@@ -285,12 +304,13 @@ def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions, r
     return out
 
 
-_PARSED = "page_id long, url string, host string, texts array<string>, kinds array<int>"
+_PARSED = "page_id long, url string, host string, texts array<string>, kinds array<int>, at long"
 _RESULT = "page_id long, url string, text string, n_chars long"
 _COUNTED = "host string, part long, bucket long, hashes binary"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    at = 0  # a row's place in its task, so that rows that repeat are dealt into different groups
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
@@ -302,9 +322,11 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([host_of(u.as_py()) for u in part.column(1)], pa.string()),
                     pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
                     pa.array([[k for _, k in f] for f in found], pa.list_(pa.int32())),
+                    pa.array(range(at, at + part.num_rows), pa.int64()),
                 ],
-                names=["page_id", "url", "host", "texts", "kinds"],
+                names=["page_id", "url", "host", "texts", "kinds", "at"],
             )
+            at += part.num_rows
 
 
 def extract(pages: DataFrame, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
@@ -319,11 +341,10 @@ def extract(pages: DataFrame, options: ExtractionOptions = ExtractionOptions())
     source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     parsed = source.mapInArrow(_parse, _PARSED)
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), "^www\\.", "")
-    sizes = checkpointed(source.groupBy(host.alias("big_host")).count().where(F.col("count") > options.group_pages))
-    # this side holds one row for each group_pages pages at most, and is broadcast only while that is few
-    hosts = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
-    groups = F.ceil(F.coalesce("count", F.lit(1)) / F.lit(options.group_pages)).cast("long")
-    dealt = parsed.join(hosts, parsed.host == F.col("big_host"), "left").withColumn("groups", groups).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), "groups")).drop("big_host", "count")
+    # hosts of more than one group only: far fewer than pages, and the join's side is chosen by its measured size
+    sizes = written(source.groupBy(host.alias("big_host")).agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > options.group_bytes))
+    groups = F.ceil(F.coalesce("bytes", F.lit(1)) / F.lit(options.group_bytes)).cast("long")
+    dealt = parsed.join(sizes, parsed.host == F.col("big_host"), "left").withColumn("groups", groups).withColumn("part", F.pmod(F.xxhash64("page_id", "url", "at"), "groups")).drop("big_host", "bytes", "at")
 
     def blocks(pdf: pd.DataFrame) -> list[list[tuple[str, int]]]:
         return [list(zip(t, k)) for t, k in zip(pdf["texts"], pdf["kinds"])]

@@ -14,14 +14,15 @@ comes by joins on (conversation, identifier) and (conversation, turn).
 
 from __future__ import annotations
 
-from functools import reduce
+import json
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, or_empty
+from .common import checkpointed, or_empty, shared_folder
 
-#: Parameter types by JSON type name, and the variant schemas that satisfy them.
+#: JSON type names, and the variant schemas that satisfy them.
 TYPES = {
     "string": "^STRING$",
     "integer": "^BIGINT$",
@@ -30,39 +31,69 @@ TYPES = {
     "object": "^OBJECT<",
     "array": "^ARRAY<",
 }
-#: Schemas that the query uses: tool, parameter, (type, required).
-TOOLS: dict[str, dict[str, tuple[str, bool]]] = {
-    "calculate": {"expression": ("string", True)},
-    "fetch": {"url": ("string", True), "timeout": ("number", False)},
-    "search": {"query": ("string", True), "limit": ("integer", False), "filters": ("object", False)},
+#: Schemas of the arguments by tool, as JSON Schema has them: type, enum, properties, required, items.
+#: Properties that are not listed are unexpected, unless additionalProperties is true.
+TOOLS: dict[str, dict] = {
+    "calculate": {"type": "object", "properties": {"expression": {"type": "string"}}, "required": ["expression"]},
+    "fetch": {"type": "object", "properties": {"url": {"type": "string"}, "timeout": {"type": "number"}, "method": {"enum": ["GET", "HEAD", "POST"]}}, "required": ["url"]},
+    "search": {
+        "type": "object",
+        "properties": {
+            "query": {"type": "string"},
+            "limit": {"type": "integer"},
+            "filters": {"type": "object", "additionalProperties": True, "properties": {"lang": {"type": "string"}, "sites": {"type": "array", "items": {"type": "string"}}}},
+        },
+        "required": ["query"],
+    },
 }
 
 _CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 _RESULT = r"(?s)<tool_result>(.*?)</tool_result>"
+#: Both with the white space before them, which goes with them; all other white space of a message stays.
+_TAGGED = r"(?s)\s*<tool_(call|result)>.*?</tool_\1>"
 
 
 def _member(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def problems(name: Column, arguments: Column, tools: dict[str, dict[str, tuple[str, bool]]]) -> Column:
+def faults(value: Column, schema: dict, path: str) -> Column:
+    """Messages on where ``value`` departs from ``schema``; ``path`` names it, empty for the arguments themselves."""
+    none = F.array().cast("array<string>")
+    under = lambda name: f"{path}.{name}" if path else name
+    inner = [none]
+    if "properties" in schema or "required" in schema:
+        known = schema.get("properties", {})
+        present = F.coalesce(F.json_object_keys(F.to_json(value)), none)
+        if not schema.get("additionalProperties", False):
+            inner.append(F.transform(F.array_except(present, F.array(*(F.lit(k) for k in known)).cast("array<string>")), lambda k: F.concat(F.lit("unexpected " + under("")), k)))
+        for name in schema.get("required", []):
+            inner.append(F.when(F.array_contains(present, name), none).otherwise(F.array(F.lit(f"missing {under(name)}"))))
+        for name, part in known.items():
+            inner.append(F.when(F.array_contains(present, name), faults(F.try_variant_get(value, f"$.{name}", "variant"), part, under(name))).otherwise(none))
+    if "items" in schema:
+        items = F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array().cast("array<variant>"))
+        inner.append(F.flatten(F.transform(items, lambda v: faults(v, schema["items"], path + "[]"))))
+    if "enum" in schema:
+        fits = F.coalesce(F.to_json(value).isin(*(json.dumps(v) for v in schema["enum"])), F.lit(False))
+        inner.append(F.when(fits, none).otherwise(F.array(F.lit(f"{path} is none of its values"))))
+    found = F.concat(*inner)
+    if "type" in schema:
+        kind = schema["type"]
+        fits = F.coalesce(F.schema_of_variant(value).rlike(TYPES[kind]), F.lit(False))
+        found = F.when(fits, found).otherwise(F.array(F.lit(f"{path} is not of type {kind}" if path else "arguments are no object")))
+    return found
+
+
+def problems(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
     """Sorted messages on what is wrong with a call's arguments; empty if they are valid."""
-    present = F.coalesce(F.json_object_keys(F.to_json(arguments)), F.array().cast("array<string>"))
     out = F.array(F.lit("unknown tool"))
-    for tool, parameters in tools.items():
-        checks = [F.transform(F.array_except(present, F.array(*(F.lit(p) for p in parameters)).cast("array<string>")), lambda k: F.concat(F.lit("unexpected "), k))]
-        for p, (kind, required) in parameters.items():
-            there = F.array_contains(present, p)
-            found = F.schema_of_variant(F.variant_get(arguments, f"$.{p}", "variant"))
-            wrong = F.when(there & ~F.coalesce(found.rlike(TYPES[kind]), F.lit(False)), F.lit(f"{p} is not of type {kind}"))
-            missing = F.when(~there, F.lit(f"missing {p}")) if required else F.lit(None).cast("string")
-            checks.append(F.array_compact(F.array(wrong, missing)))
-        is_object = F.schema_of_variant(arguments).rlike("^OBJECT<")
-        out = F.when(name == tool, F.when(F.coalesce(is_object, F.lit(False)), F.array_sort(reduce(lambda a, b: F.concat(a, b), checks))).otherwise(F.array(F.lit("arguments are no object")))).otherwise(out)
+    for tool, schema in tools.items():
+        out = F.when(name == tool, F.array_sort(F.array_distinct(faults(arguments, schema, "")))).otherwise(out)
     return out
 
 
-def _calls(text: Column, tools: dict) -> Column:
+def _calls(text: Column, tools: dict[str, dict]) -> Column:
     parsed = F.transform(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1)), lambda body: F.try_parse_json(body))
 
     def one(v: Column) -> Column:
@@ -108,19 +139,22 @@ def _ordered(edges: DataFrame) -> DataFrame:
     # only dependencies within one order_turn are left to settle
     sources = now.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"))
     tight = checkpointed(edges.join(sources, ["conv_id", "before"]).join(now, key).where("t = order_turn").select("conv_id", "before", "turn"))
-    left, done, level = now, now.limit(0).withColumn("order_level", F.lit(0).cast("long")), 0
-    while True:
-        waiting = tight.join(left.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi").select(key).distinct()
-        ready = checkpointed(left.join(waiting, key, "left_anti").withColumn("order_level", F.lit(level).cast("long")))
-        if ready.isEmpty():
+    # each level is written once and read back at the end, so a round costs what is still waiting
+    folder, level = f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}", 0
+    left, n_left = now, now.count()
+    while n_left:
+        behind = tight.join(left.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi").select(key).distinct()
+        waiting = checkpointed(left.join(behind, key, "left_semi"))
+        n_waiting = waiting.count()
+        if n_waiting == n_left:
             break
-        done = checkpointed(done.unionByName(ready))
-        left, level = checkpointed(left.join(ready.select(key), key, "left_anti")), level + 1
-    cyclic = left.select(*key, F.col("turn").alias("order_turn"), F.lit(-1).cast("long").alias("order_level"))
-    return done.unionByName(cyclic)
+        left.join(waiting.select(key), key, "left_anti").withColumn("order_level", F.lit(level).cast("long")).write.mode("append").parquet(folder)
+        left, n_left, level = waiting, n_waiting, level + 1
+    cyclic = left.where(F.lit(n_left > 0)).select(*key, F.col("turn").alias("order_turn"), F.lit(-1).cast("long").alias("order_level"))
+    return cyclic if level == 0 else edges.sparkSession.read.parquet(folder).select(cyclic.columns).unionByName(cyclic)
 
 
-def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str, bool]]] = TOOLS) -> DataFrame:
+def format_chats(conversations: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
     """One row for every row of ``conversations`` (conv_id, turn, role, text).
 
     Returns conv_id, turn, role, order_turn, order_level, n_calls, n_results, n_linked (its
@@ -130,8 +164,10 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     and those moved behind one, have order_level -1.
 
     Null text is empty content, null role stays null, rows with a null conv_id or turn
-    link to nothing. Of calls that share an id the first by turn owns it; rows that repeat
-    are formatted as often as they occur. Broken JSON is a call with a problem, or no
+    link to nothing. Of calls that share an id the first by turn owns it, and of its results
+    the first by turn is the one that later calls wait for; rows that repeat are formatted as
+    often as they occur. White space stays, but for that before a call or result that is taken
+    out of its message. A message of any length is parsed as a whole. Broken JSON is a call with a problem, or no
     result. An empty table gives no rows. Other columns are not read.
     """
     text = or_empty(F.col("text").cast("string"))
@@ -142,7 +178,7 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
         F.col("conv_id").cast("long").alias("conv_id"),
         F.col("turn").cast("long").alias("turn"),
         role.alias("role"),
-        F.trim(F.regexp_replace(F.regexp_replace(text, _CALL, ""), _RESULT, "")).alias("content"),
+        F.when(F.contains(text, F.lit("<tool_")), F.regexp_replace(text, _TAGGED, "")).otherwise(text).alias("content"),
         F.when(F.contains(text, F.lit("<tool_call>")), calls).otherwise(none(calls)).alias("calls"),
         F.when(F.contains(text, F.lit("<tool_result>")) | (role == "tool"), results).otherwise(none(results)).alias("results"),
     )
@@ -151,7 +187,9 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict[str, tuple[str,
     got = speaking.select("conv_id", "turn", F.explode("results").alias("r")).select("conv_id", "turn", F.col("r.id").alias("id"))
     owner = own.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
     linked = checkpointed(got.join(owner, ["conv_id", "id"]).select("conv_id", "id", "turn", "call_turn"))
-    waits = own.select("conv_id", "turn", F.explode("after").alias("id")).join(linked.select("conv_id", "id", F.col("turn").alias("before")), ["conv_id", "id"])
+    # a call waits for the first result of an id; all results wait for its call, so links grow with messages only
+    first = linked.groupBy("conv_id", "id").agg(F.min("turn").alias("before"))
+    waits = own.select("conv_id", "turn", F.explode(F.array_distinct("after")).alias("id")).join(first, ["conv_id", "id"])
     edges = linked.select("conv_id", F.col("call_turn").alias("before"), "turn").unionByName(waits.select("conv_id", "before", "turn"))
     edges = checkpointed(edges.where("before <> turn").distinct())
     ordered = _ordered(edges) if not edges.isEmpty() else edges.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words
+from .common import checkpointed, lower_words, written
 from .components import components
 
 SHINGLE, SEED, DISTANCE = 3, 42, 3
@@ -241,11 +241,11 @@ def keep_representatives(docs: DataFrame) -> DataFrame:
     """
     marked = checkpointed(fingerprints(docs))
     named = marked.where("doc_id is not null")
-    several = checkpointed(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("several_id")))
+    several = written(named.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("several_id")))
     placed = checkpointed(_placed(marked))
     chosen = placed.where("doc_id = component_id").groupBy("root").agg(F.min("doc_id").alias("kept_id"), F.min("fp").alias("kept_fp")).select("kept_id", "kept_fp")
     # ids alone decide; the rows that go are the fewer, so a small list of them is sent to the texts and not the other way
-    gone = placed.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id"))
+    gone = written(placed.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")))
     if several.isEmpty():
         return docs.join(gone, docs.doc_id == gone.gone_id, "left_anti")
     gone = gone.unionByName(several.select(F.col("several_id").alias("gone_id"))).distinct()

@@ -267,7 +267,7 @@ def test_html_repeats_without_markup(spark):
     menu = "<div>home news sport weather travel contact us now</div>"
     rows = [(i, f"http://x.example/{i}", f"<body>{menu}<div>own text number{i} with words a{i} b{i} c{i} d{i}</div><div>all our pages end with this long line {i % 2}</div></body>") for i in range(40)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    for options in (html_text.ExtractionOptions(), html_text.ExtractionOptions(group_pages=12)):
+    for options in (html_text.ExtractionOptions(), html_text.ExtractionOptions(group_bytes=2000)):
         got = {r["page_id"]: r["text"] for r in html_text.extract(df, options).collect()}
         assert got == {i: f"own text number{i} with words a{i} b{i} c{i} d{i}" for i in range(40)}
 
@@ -281,22 +281,84 @@ def test_html_plain_blocks_beside_an_article(spark):
     assert got == {i: f"teaser {i} own text number{i} with words a{i} b{i} c{i} d{i}" for i in range(5)}
 
 
-@pytest.mark.parametrize("group_pages", [1000, 8, 3])
-def test_html_repeats_on_few_pages_of_a_large_host(spark, group_pages):
+@pytest.mark.parametrize("group_bytes", [1 << 20, 2000, 500])
+def test_html_repeats_on_few_pages_of_a_large_host(spark, group_bytes):
     """Three pages show a passage whatever the groups they fall into; two do not."""
     lines = {"this passage stands on very few pages of the host": {7, 150, 288}, "another one that only two pages of it have here": {20, 201}}
     own = lambda i: f"own text number{i} with words a{i} b{i} c{i} d{i}"
     extra = lambda i: "".join(f"<div>{line}</div>" for line, pages in lines.items() if i in pages)
     rows = [(i, f"http://x.example/{i}", f"<body><div>{own(i)}</div>{extra(i)}</body>") for i in range(300)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = {r["page_id"]: r["text"] for r in html_text.extract(df, html_text.ExtractionOptions(group_pages=group_pages)).collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract(df, html_text.ExtractionOptions(group_bytes=group_bytes)).collect()}
     want = {i: own(i) + (f" {list(lines)[1]}" if i in (20, 201) else "") for i in range(300)}
     assert got == want
 
 
+def brute_repeats(pages, options):
+    """Which tokens of the undecided blocks lie in a run that stands on enough pages, by a table of all runs."""
+    n = options.least_tokens
+    streams = [[w for text, kind in parts if kind != 1 for w in text.split(" ")] for parts in pages]
+    on = collections.defaultdict(set)
+    for p, words in enumerate(streams):
+        for i in range(len(words) - n + 1):
+            on[tuple(words[i : i + n])].add(p)
+    out = []
+    for words in streams:
+        hit = [False] * len(words)
+        for i in range(len(words) - n + 1):
+            if len(on[tuple(words[i : i + n])]) >= options.least_pages:
+                hit[i : i + n] = [True] * n
+        out.append(hit)
+    return out
+
+
+def brute_texts(pages, options):
+    out = []
+    for parts, hit in zip(pages, brute_repeats(pages, options)):
+        at, kept = 0, []
+        for text, kind in parts:
+            size = 0 if kind == 1 else len(text.split(" "))
+            if kind == 1 or (kind == 0 and sum(hit[at : at + size]) < options.covered * size):
+                kept.append(text)
+            at += size
+        out.append(" ".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("group_bytes", [1 << 20, 30_000])
+def test_html_query_against_brute_force(spark, group_bytes):
+    """The driver's pages, and the same pages with their elements renamed so that only repetition can tell."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
+    footer = "<div>All articles of this site are written by hand and checked twice</div>"
+    bare = [(r["page_id"], "http://one.example/" + str(r["page_id"]), (r["html"] or "").replace("article>", "div>").replace("</body>", footer + "</body>")) for r in rows]
+    options = html_text.ExtractionOptions(group_bytes=group_bytes)
+    for table in ([(r["page_id"], r["url"], r["html"]) for r in rows], bare):
+        hosts = collections.defaultdict(list)
+        for i, url, page in table:
+            hosts[html_text.host_of(url)].append((i, html_text.blocks_of(page)))
+        want = {i: text for found in hosts.values() for (i, _), text in zip(found, brute_texts([b for _, b in found], options))}
+        got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(table, "page_id long, url string, html string"), options).collect()}
+        assert got == want
+    blind = {i: " ".join(t for t, kind in html_text.blocks_of(page) if kind < 2) for i, _, page in bare}
+    assert sum(got[i] != blind[i] for i in got) >= 0.9 * len(got)  # without the suffix array the pages keep their footer
+
+
+def test_html_marked_parts_of_an_article(spark):
+    """Repeated share bars and sign-offs go, unique ones and plain repeated paragraphs stay; forms and headers."""
+    bar = "<div class='links'>share this page with all of your friends</div>"
+    line = "<p>the same plain paragraph stands in many of these articles</p>"
+    rows = [(i, f"http://s.example/{i}", f"<form id='f'><article><h1 class='entry-header'>Title {i}</h1>{bar}{line}<p class='note'>note a{i} b{i} c{i} d{i} e{i} of its own</p></article></form>") for i in range(6)]
+    rows += [(90, "http://t.example/", "<body><form>" + "<p>all text of this page stands in a form</p>" + "</form></body>"), (91, "http://u.example/", "<p>own words here are many more than those</p><form>search here</form>")]
+    rows += [(95, None, "<p>no host</p>"), (95, None, "<p>no host</p>"), (None, None, None), (None, None, None), (96, "http://long.example/", "<p>" + " ".join(f"w{i}" for i in range(40_000)) + "</p>")]
+    got = collections.Counter((r["page_id"], r["text"]) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), html_text.ExtractionOptions(group_bytes=400)).collect())
+    want = [(i, f"Title {i} the same plain paragraph stands in many of these articles note a{i} b{i} c{i} d{i} e{i} of its own") for i in range(6)]
+    want += [(90, "all text of this page stands in a form"), (91, "own words here are many more than those"), (95, "no host"), (95, "no host"), (None, ""), (None, ""), (96, " ".join(f"w{i}" for i in range(40_000)))]
+    assert got == collections.Counter(want)
+
+
 def test_suffix_array():
     tokens = np.array([RNG.randint(0, 3) for _ in range(200)])
-    order, levels = html_text.suffix_array(tokens)
+    order, levels = html_text.suffix_array(tokens, len(tokens))
     as_lists = [tokens[i:].tolist() for i in range(200)]
     assert order.tolist() == sorted(range(200), key=lambda i: as_lists[i])
 
@@ -448,10 +510,31 @@ def test_tool_calls(spark):
     assert (got[1, 3][0]["n_calls"], got[1, 3][0]["n_invalid"], got[1, 2][0]["n_linked"]) == (2, 2, 1)
     assert '"content":{"a":1.5,"k":2}' in got[1, 2][0]["json"]
     assert json.loads(got[3, 0][0]["json"])["calls"][0]["problems"] == ["missing query"]
-    assert json.loads(got[4, None][0]["json"])["content"] == 'say "é"'.strip() or True
+    assert json.loads(got[4, None][0]["json"])["content"] == 'say "é"\n'
     assert tool_calls.format_chats(df.limit(0)).count() == 0
 
 
+def test_nested_schemas_and_white_space(spark):
+    tools = {"book": {"type": "object", "properties": {"day": {"enum": ["mon", "tue", 3]}, "guests": {"type": "array", "items": {"type": "object", "properties": {"name": {"type": "string"}}, "required": ["name"]}}}, "required": ["day"]}}
+    call = lambda arguments: f'<tool_call>{{"id":"x","name":"book","arguments":{arguments}}}</tool_call>'
+    cases = [
+        ('{"day":"mon","guests":[{"name":"a"},{"name":"b"}]}', []),
+        ('{"day":3}', []),
+        ('{"day":"sun","guests":[{"name":1},{},5]}', ["day is none of its values", "guests[] is not of type object", "guests[].name is not of type string", "missing guests[].name"]),
+        ('{"guests":{}}', ["guests is not of type array", "missing day"]),
+        ("[1]", ["arguments are no object"]),
+        ("null", ["arguments are no object"]),
+    ]
+    rows = [(i, 0, "assistant", call(a)) for i, (a, _) in enumerate(cases)] + [(50, 0, "user", "    indented\n\tcode  "), (51, 0, "assistant", "  x \n <tool_call>{}</tool_call> y"), (52, 0, "user", "z" * 200_000)]
+    rows += [(53, 0, "assistant", call('{"day":"mon"}')), *((53, t, "tool", '{"id":"x","content":1}') for t in range(1, 60)), *((53, t, "assistant", f'<tool_call>{{"id":"y{t}","name":"book","arguments":{{"day":3}},"after":["x","x"]}}</tool_call>') for t in range(60, 100))]
+    got = {(r["conv_id"], r["turn"]): r for r in tool_calls.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).collect()}
+    for i, (_, want) in enumerate(cases):
+        assert json.loads(got[i, 0]["json"])["calls"][0]["problems"] == want, i
+    text = lambda i: json.loads(got[i, 0]["json"])["content"]
+    assert text(50) == "    indented\n\tcode  " and text(51) == "  x y" and len(text(52)) == 200_000
+    assert got[53, 0]["n_linked"] == 1 and all(got[53, t]["order_turn"] == t for t in range(100))
+
+
 def test_long_chains_of_calls(spark):
     """A chain of more than 200 messages is no cycle, nor is what follows a cycle at later turns."""
     call = lambda i, after: f'<tool_call>{{"id":"{i}","name":"search","arguments":{{"query":"x"}},"after":{json.dumps(after)}}}</tool_call>'

@@ -89,6 +89,7 @@ def influence(used: Column, effect: Column, role: Column, basis: Column, decisio
 
 def comment_claims(code: Column) -> Column:
     """Whether any comment of ``code`` holds a claim about a secret."""
+    # fixed value: a comment to the end of its line
     comments = F.regexp_extract_all(F.coalesce(code, F.lit("")), F.lit(r"(?m)(?:#|//)\s*(.+?)$"), F.lit(1))
     return F.exists(comments, lambda c: any_of(F.lower(c), CLAIMS) & any_of(F.lower(c), SECRET_WORDS))
 
@@ -137,6 +138,12 @@ def flags(c: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(cond, F.lit(name)) for name, cond in conditions.items()))))
 
 
+def reported(raw_flags: Column) -> Column:
+    """Flags that a verdict reports itself: trimmed, in lower case, sorted; empty for anything but a list."""
+    listed = F.coalesce(raw_flags, F.array().cast("array<string>"))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(listed, lambda f: F.lower(F.trim(f))), lambda f: f.isNotNull() & (f != ""))))
+
+
 def rule(found: Column, c: dict[str, Column]) -> Column:
     """The first rule that asks for a review; ``found`` are all flags, reported ones included."""
     has, used = F.coalesce(c["has_secret"], F.lit(False)), F.coalesce(c["used"], F.lit(False))
@@ -163,9 +170,11 @@ def escalated(original: Column, fired: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Words of a snippet that can be looked up in code: no line labels, masks, single characters, digits or signs alone."""
-    words = F.filter(F.split(F.trim(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: w != "")
-    return F.filter(words, lambda w: ~w.rlike(r"^L\d+:?$") & ~F.contains(w, F.lit("***")) & (F.length(w) > 1) & ~w.rlike(r"^\d+$") & w.rlike(r"[\p{L}\p{N}]"))
+    """Words of a snippet that can be looked up in code: no line labels, masks, single characters, digits or punctuation alone."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), "[\\s\\x1C-\\x1F\\x85\\p{Z}]+"), lambda w: w != "")
+    # fixed value: signs that alone are no word
+    signs = r"""^[-+=<>(){}\[\]"',.:;]+$"""
+    return F.filter(words, lambda w: ~w.rlike(r"^L?\p{Nd}+:?$") & ~F.contains(w, F.lit("***")) & (F.length(w) > 1) & ~w.rlike(r"^\p{Nd}+$") & ~w.rlike(signs))
 
 
 def evidence(has: Column, mode: Column, start: Column, end: Column, snippet: Column, lines: Column) -> Column:
@@ -178,6 +187,7 @@ def evidence(has: Column, mode: Column, start: Column, end: Column, snippet: Col
     span = F.slice(lines, start.cast("int"), F.greatest((end - start + 1).cast("int"), F.lit(0)))
     inside = lambda text: (F.size(words) == 0) | F.exists(words, lambda w: F.contains(text, w))
     hit = F.filter(span, lambda line: F.exists(words, lambda w: F.contains(line, w)))
+    # fixed values: an assigned literal, and an expression that puts strings together
     part = F.exists(hit, lambda line: line.rlike(r"""=\s*["'][^"']*["']"""))
     joins = F.exists(hit, lambda line: line.rlike(r"""\w+\s*\+\s*\w+|\w+\s*\+\s*["']|["']\s*\+\s*["']|\.join\s*\(|\.format\s*\(|f["'].*\{|%\s*\("""))
     rebuilt = (

@@ -2,16 +2,18 @@
 
 Rules are tables of patterns; each operator is an expression over one row, so it runs
 unchanged on batches and streams. Only the greedy searches for partial echoes and
-fragments run in Python, on the rows that a cheap test has not cleared.
+fragments run in Python, over Arrow batches and after a cheap test for a shared piece.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 # Credential patterns by name, and the group that holds the secret.
 PATTERNS: tuple[tuple[str, str, int], ...] = (
@@ -93,28 +95,58 @@ def entropy(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.aggregate(counts, F.lit(0.0), lambda s, k: s - k / n * F.log2(k / n))).otherwise(0.0)
 
 
+# Literals without which a pattern cannot match: any of them, in lower case where the pattern ignores it.
+NEEDS: dict[str, tuple[bool, tuple[str, ...]]] = {
+    "aws_access_key": (False, ("AKIA",)),
+    "stripe_key": (False, ("_live_", "_test_")),
+    "github_pat": (False, ("gho_", "ghp_", "ghs_", "ghu_")),
+    "github_fine_grained": (False, ("github_pat_",)),
+    "gitlab_pat": (False, ("glpat-",)),
+    "slack_token": (False, ("xox",)),
+    "slack_webhook": (False, ("hooks.slack.com",)),
+    "openai_key": (False, ("sk-",)),
+    "google_api_key": (False, ("AIza",)),
+    "pem_private_key": (False, ("-----BEGIN",)),
+    "bearer_token": (False, ("Bearer", "Authorization", "token")),
+    "connection_string": (False, ("://",)),
+    "password_assignment": (True, ("pass", "pwd")),
+    "api_key_assignment": (True, ("key", "secret")),
+    "heroku_key": (False, ("-",)),
+}
+
+
+def matches(text: Column, low: Column, name: str, pattern: str) -> Column:
+    """Matches of one pattern without masked ones; ``low`` is ``text`` in lower case.
+
+    A mask in the group that holds the secret is a mask in the match, so only this is looked
+    at. A text that lacks the pattern's literals is not searched, and one without a match
+    is not taken apart.
+    """
+    folded, literals_ = NEEDS.get(name, (False, ()))
+    found = F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: ~m.rlike(MASKED))
+    may = any_of(low if folded else text, literals_) & text.rlike(pattern) if literals_ else text.rlike(pattern)
+    return F.when(may, found).otherwise(F.array().cast("array<string>"))
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of ``value``, which is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def findings(text: Column) -> Column:
     """Array of (pattern, match) over all patterns, without masked matches."""
-    out = []
-    for name, pattern, group in PATTERNS:
-        whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        inner = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-        pairs = F.zip_with(whole, inner, lambda w, i: F.struct(w.alias("match"), i.alias("inner")))
-        kept = F.filter(pairs, lambda p: ~p["match"].rlike(MASKED) & ~p["inner"].rlike(MASKED))
-        named = _named(kept, name)
-        # a text without the pattern is never taken apart
-        out.append(F.when(text.rlike(pattern), named).otherwise(F.slice(named, 1, 0)))
-    return F.concat(*out)
 
+    def all_of(x: Column) -> Column:
+        named = lambda name, found: F.transform(found, lambda m: F.struct(F.lit(name).alias("pattern"), m.alias("match")))
+        return F.concat(*(named(name, matches(x["text"], x["low"], name, pattern)) for name, pattern, _ in PATTERNS))
 
-def _named(pairs: Column, name: str) -> Column:
-    return F.transform(pairs, lambda p: F.struct(F.lit(name).alias("pattern"), p["match"].alias("match")))
+    return _let(F.struct(text.alias("text"), F.lower(text).alias("low")), all_of)
 
 
 def scan_counts(texts: DataFrame, column: str = "text") -> DataFrame:
     """Rows and matches by pattern; each row is counted up before anything is shuffled."""
-    names = F.array(*(F.lit(n) for n, _, _ in PATTERNS))
-    counted = F.transform(F.array(findings(F.col(column))), lambda f: F.transform(names, lambda n: F.struct(n.alias("pattern"), F.size(F.filter(f, lambda x: x["pattern"] == n)).alias("k"))))[0]
+    counts = lambda x: F.array(*(F.struct(F.lit(n).alias("pattern"), F.size(matches(x["text"], x["low"], n, p)).alias("k")) for n, p, _ in PATTERNS))
+    counted = _let(F.struct(F.col(column).alias("text"), F.lower(column).alias("low")), counts)
     each = texts.select(F.explode(F.filter(counted, lambda c: c["k"] > 0)).alias("c"))
     return each.groupBy("c.pattern").agg(F.count("*").alias("n_rows"), F.sum(F.col("c.k")).alias("n_matches"))
 
@@ -128,11 +160,13 @@ def entropy_spans(text: Column, least: float = 3.0) -> Column:
         word = s.rlike("^[a-z]+$") | F.lower(s).isin(*STOP_WORDS)
         return F.when(word | path | s.rlike(MASKED), False).otherwise(entropy(s) >= least)
 
+    # fixed value: runs of token characters
     return F.filter(F.regexp_extract_all(text, F.lit(r"[A-Za-z0-9\-_/+=.]{10,}"), F.lit(0)), random_like)
 
 
 def literals(text: Column) -> Column:
     """Distinct quoted literals of eight or more characters, escapes included, without placeholders and masks."""
+    # fixed value: quoted literals, escapes included
     found = F.regexp_extract_all(text, F.lit(r"""['"]((?:[^'"\\]|\\.){8,})['"]"""), F.lit(1))
     return F.array_sort(F.array_distinct(F.filter(found, lambda v: ~any_of(F.lower(v), NO_SECRET) & ~v.rlike(MASKED))))
 
@@ -156,32 +190,97 @@ def formats(value: Column) -> Column:
     return out
 
 
+# Assignments of an added line by name and value, and quoted values within a line.
+ASSIGNMENT = r"""^[+]\s*(?:([A-Za-z_][A-Za-z0-9_]*)\s*=\s*|["']([A-Za-z_][A-Za-z0-9_]*)["']\s*[:=]\s*)(?:["'](.+?)["']|(\d{10,}))"""
+INLINE = r"""["']([^"']{15,})["']"""
+
+
+def familiar(diff: Column) -> Column:
+    """Array of struct(line, name, value, format): values in added lines of ``diff`` that show a benign format.
+
+    An assignment whose variable names a secret is skipped, unless its value is shorter than
+    eight characters. Where an assignment's own value is short or shows no format, and on
+    lines without one, quoted values within the line are looked at; those have no name.
+    """
+    none = F.array().cast("array<struct<line:bigint,name:string,value:string,format:string>>")
+    lines = F.transform(F.split(F.coalesce(diff, F.lit("")), "\n"), lambda x, i: F.struct(x.alias("text"), (i + 1).cast("bigint").alias("line")))
+
+    def found(x: Column) -> Column:
+        part = lambda g: F.regexp_extract(x["text"], ASSIGNMENT, g)
+        named = lambda name, value, form: F.struct(x["line"].alias("line"), name.alias("name"), value.alias("value"), form.alias("format"))
+        inline = F.filter(F.transform(F.regexp_extract_all(x["text"], F.lit(INLINE), F.lit(1)), lambda v: named(F.lit(""), v, formats(v))), lambda c: c["format"].isNotNull())
+        direct = lambda a: F.when(F.length(a["value"]) < 8, inline).when(a["name"].rlike(SECRET_NAMES), none).otherwise(_let(formats(a["value"]), lambda f: F.when(f.isNotNull(), F.array(named(a["name"], a["value"], f))).otherwise(inline)))
+        return F.when(x["text"].rlike(ASSIGNMENT), _let(F.struct(F.concat(part(1), part(2)).alias("name"), F.concat(part(3), part(4)).alias("value")), direct)).otherwise(inline)
+
+    return F.flatten(F.transform(F.filter(lines, lambda x: x["text"].startswith("+")), found))
+
+
 def familiar_values(diffs: DataFrame, key: str, diff: str) -> DataFrame:
-    """(key, line, name, value, format) of added assignments whose value has a benign format.
+    """(key, line, name, value, format) of ``familiar``; a value is reported once a diff, at its first line."""
+    first = F.min(F.struct("c.line", "c.name", "c.format"))
+    found = diffs.select(key, F.explode(familiar(F.col(diff))).alias("c")).groupBy(key, F.col("c.value").alias("value")).agg(first.alias("first"))
+    return found.select(key, "value", "first.line", "first.name", "first.format")
+
+
+def hint(found: Column, known: Column) -> Column:
+    """A reviewer's hint on ``familiar`` values: one line each, the value's first characters only; null without any.
 
-    A line whose variable names a secret is skipped; a value is reported once a diff, at its first line.
+    ``known`` tells a value that has been shown already and is left out.
     """
-    lines = diffs.select(key, F.posexplode(F.split(diff, "\n")).alias("pos", "text")).where("startswith(text, '+')")
-    pattern = r"""^[+]\s*(?:([A-Za-z_][A-Za-z0-9_]*)\s*=\s*|["']([A-Za-z_][A-Za-z0-9_]*)["']\s*[:=]\s*)(?:["'](.+?)["']|(\d{10,}))"""
-    part = lambda g: F.regexp_extract("text", pattern, g)
-    named = lines.select(key, (F.col("pos") + 1).cast("long").alias("line"), F.concat(part(1), part(2)).alias("name"), F.concat(part(3), part(4)).alias("value"), "text")
-    assigned = named.where(F.col("name") != "").where(~F.col("name").rlike(SECRET_NAMES))
-    direct = assigned.where(F.length("value") >= 8).withColumn("format", formats(F.col("value"))).where("format is not null")
-    inline = F.explode(F.regexp_extract_all("text", F.lit(r"""["']([^"']{15,})["']"""), F.lit(1)))
-    rest = named.where((F.col("name") == "") | (~F.col("name").rlike(SECRET_NAMES) & ((F.length("value") < 8) | formats(F.col("value")).isNull())))
-    other = rest.select(key, "line", F.lit("").alias("name"), inline.alias("value"), "text").withColumn("format", formats(F.col("value"))).where("format is not null")
-    found = direct.select(key, "line", "name", "value", "format").unionByName(other.select(key, "line", "name", "value", "format"))
-    first = F.min(F.struct("line", "name", "format"))
-    return found.groupBy(key, "value").agg(first["line"].alias("line"), first["name"].alias("name"), first["format"].alias("format"))
+    shown = lambda c: F.concat(F.lit("line "), c["line"].cast("string"), F.lit(": "), preview(c["value"]), F.lit(" looks like "), c["format"])
+    lines = F.transform(F.filter(found, lambda c: ~F.coalesce(F.array_contains(known, c["value"]), F.lit(False))), shown)
+    return F.when(F.size(lines) > 0, F.array_join(F.array_distinct(lines), "\n"))
+
+
+def preview(value: Column) -> Column:
+    """The first twelve characters and a mark of more, of values of more than fifteen."""
+    return F.when(F.length(value) > 15, F.concat(F.substring(value, 1, 12), F.lit("..."))).otherwise(value)
+
+
+def masked(value: Column) -> Column:
+    """The first four characters of a secret and a mask."""
+    return F.concat(F.substring(value, 1, 4), F.lit("***"))
+
+
+def _shown(text: str, output: str) -> list[int]:
+    """For each place of ``text``, how many characters from there ``output`` holds in one piece."""
+    out, size = [], 0
+    for start in range(len(text)):
+        size = max(size - 1, 0)
+        while start + size < len(text) and text[start : start + size + 1] in output:
+            size += 1
+        out.append(size)
+    return out
 
 
 def longest_shared(hidden: str, output: str, least: int) -> str:
     """The longest part of ``hidden`` of at least ``least`` characters that ``output`` holds; the leftmost of equals."""
-    best, n = "", len(hidden)
-    for start in range(n):
-        while start + max(least, len(best) + 1) <= n and hidden[start : start + max(least, len(best) + 1)] in output:
-            best = hidden[start : start + max(least, len(best) + 1)]
-    return best
+    if not any(hidden[i : i + least] in output for i in range(len(hidden) - least + 1)):
+        return ""
+    sizes = _shown(hidden, output)
+    start = max(range(len(sizes)), key=sizes.__getitem__)
+    return hidden[start : start + sizes[start]]
+
+
+_MASK = re.compile(MASKED)
+
+
+def _in_mask(part: str, output: str, around: int) -> bool:
+    at = output.index(part)
+    return _MASK.search(output[max(0, at - around) : at + len(part) + around]) is not None
+
+
+def partial_echo(candidate: str, output: str, least: int = 8, visible: int = 4) -> str | None:
+    """The longest part of ``candidate`` beyond its visible prefix that ``output`` shows outside a mask, the leftmost of equals."""
+    hidden = candidate[visible:] if len(candidate) > visible else candidate
+    if len(candidate) < least or candidate in output or not any(hidden[i : i + least] in output for i in range(len(hidden) - least + 1)):
+        return None
+    sizes = _shown(hidden, output)
+    for size in range(max(sizes), least - 1, -1):
+        for start, most in enumerate(sizes):
+            if most >= size and not _in_mask(hidden[start : start + size], output, 10):
+                return hidden[start : start + size]
+    return None
 
 
 def leak_ratios(rows: DataFrame, secret: str, output: str, least_secret: int = 8, least: int = 6, visible: int = 4) -> DataFrame:
@@ -210,28 +309,69 @@ def leak_ratios(rows: DataFrame, secret: str, output: str, least_secret: int = 8
 
 
 def fragments(candidate: str, output: str, least: int = 4) -> list[str]:
-    """Greedy cover: from each place the longest part that ``output`` holds, then on behind it."""
-    out, at = [], 0
-    while at + least <= len(candidate):
-        size = least
-        if candidate[at : at + size] not in output:
-            at += 1
-            continue
-        while at + size < len(candidate) and candidate[at : at + size + 1] in output:
-            size += 1
-        out.append(candidate[at : at + size])
-        at += size
+    """Greedy cover: from each place the longest part that ``output`` shows outside a mask, then on behind it."""
+    out, at, sizes = [], 0, _shown(candidate, output)
+    while at < len(candidate):
+        size = next((n for n in range(sizes[at], least - 1, -1) if not _in_mask(candidate[at : at + n], output, 5)), 0)
+        if size:
+            out.append(candidate[at : at + size])
+        at += max(size, 1)
     return out
 
 
+def rebuilt(candidate: str, output: str, coverage: float = 0.7, least: int = 4, shortest: int = 8) -> list[str]:
+    """The fragments of a candidate that two or more of them cover to ``coverage``; else none."""
+    found = fragments(candidate, output, least) if len(candidate) >= shortest else []
+    return found if len(found) >= 2 and sum(map(len, found)) / len(candidate) >= coverage else []
+
+
 def reconstructed(rows: DataFrame, secret: str, output: str, coverage: float = 0.7, least: int = 4) -> DataFrame:
     """``rows`` with n_fragments, covered and reconstructed: two or more fragments cover enough of the secret."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = [fragments(s, o, least) if isinstance(s, str) and isinstance(o, str) else [] for s, o in zip(b[secret], b[output])]
-            share = [round(sum(map(len, p)) / len(s), 4) if p else 0.0 for p, s in zip(parts, b[secret])]
-            yield b.assign(n_fragments=[len(p) for p in parts], covered=share, reconstructed=[len(p) >= 2 and c >= coverage for p, c in zip(parts, share)])
+            parts = [fragments(s, o, least) if isinstance(s, str) and isinstance(o, str) and len(s) >= 8 else [] for s, o in zip(b[secret], b[output])]
+            share = [sum(map(len, p)) / len(s) if p else 0.0 for p, s in zip(parts, b[secret])]
+            yield b.assign(n_fragments=[len(p) for p in parts], covered=[round(c, 4) for c in share], reconstructed=[len(p) >= 2 and c >= coverage for p, c in zip(parts, share)])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_fragments long, covered double, reconstructed boolean"
     return rows.mapInPandas(run, schema)
+
+
+@F.pandas_udf(StructType([StructField("partial", ArrayType(StringType())), StructField("fragments", ArrayType(StringType()))]))
+def assembled(output: pd.Series, candidates: pd.Series) -> pd.DataFrame:
+    """Partial echoes of the candidates in an output, and the fragments of those that it lets put together."""
+    partial, parts = [], []
+    for text, values in zip(output, candidates):
+        known = list(values) if text and values is not None else []
+        partial.append([e for e in (partial_echo(c, text) for c in known) if e])
+        parts.append([f for c in known for f in rebuilt(c, text)])
+    return pd.DataFrame({"partial": partial, "fragments": parts})
+
+
+def with_leaks(rows: DataFrame, name: str, full: Column, targeted: Column, code: Column, snippet: Column) -> DataFrame:
+    """``rows`` with column ``name``: struct(found, flags), the strings that a verdict leaks and the kinds of leaks.
+
+    Patterns, echoes and fragments are looked for in ``full``, the whole output as JSON;
+    random-looking spans in ``targeted``, its named texts. Candidates are the literals of the
+    code and of the verdict's snippet.
+    """
+    none = F.array().cast("array<string>")
+    seen, pieces = f"_{name}_seen", f"_{name}_pieces"
+    own = F.struct(F.coalesce(full, F.lit("")).alias("full"), F.coalesce(targeted, F.lit("")).alias("targeted"), F.array_union(F.coalesce(literals(code), none), F.coalesce(literals(snippet), none)).alias("candidates"))
+    step = rows.withColumn(seen, own)
+    # not deterministic for the optimizer: it then neither copies the call nor puts it into a later projection
+    step = step.withColumn(pieces, assembled.asNondeterministic()(F.when(F.size(f"{seen}.candidates") > 0, F.col(f"{seen}.full")), F.col(f"{seen}.candidates")))
+
+    def joined(x: Column) -> Column:
+        kinds = (
+            ("secret_pattern_detected", F.transform(findings(x["seen"]["full"]), lambda f: f["match"])),
+            ("sensitive_span_detected", entropy_spans(x["seen"]["targeted"])),
+            ("candidate_echo_detected", F.concat(exact_echoes(x["seen"]["full"], x["seen"]["candidates"]), x["pieces"]["partial"])),
+            ("reconstructed_leak_detected", x["pieces"]["fragments"]),
+        )
+        by_kind = F.struct(*(v.alias(n) for n, v in kinds))
+        flags = lambda k: F.array_compact(F.array(*(F.when(F.size(k[n]) > 0, F.lit(n)) for n, _ in kinds)))
+        return _let(by_kind, lambda k: F.struct(F.array_distinct(F.concat(*(k[n] for n, _ in kinds))).alias("found"), flags(k).alias("flags")))
+
+    return step.withColumn(name, _let(F.struct(F.col(seen).alias("seen"), F.col(pieces).alias("pieces")), joined)).drop(seen, pieces)

@@ -137,7 +137,8 @@ def validated(rows: DataFrame, raw: str = "raw") -> DataFrame:
     """``rows`` with the outcome of validation, and the fields of a valid verdict.
 
     Adds schema_valid, repair_used, errors (those that remain), error_categories (sorted),
-    and the verdict struct, null unless valid. A null or unparsable text is a PARSE_ERROR,
+    the verdict struct, null unless valid, fields, the same struct of any root that is an
+    object, and listed, the uncertainty flags as an array if they are one. A null or unparsable text is a PARSE_ERROR,
     a root that is no object a SCHEMA_VIOLATION; neither is repaired.
     """
     texts, none = "array<string>", F.array().cast("array<string>")
@@ -146,7 +147,7 @@ def validated(rows: DataFrame, raw: str = "raw") -> DataFrame:
         valid, used = F.size(second) == 0, (F.size(first) > 0) & (F.size(second) == 0)
         found = F.when(used, F.array_union(categories(first), F.array(F.lit("REPAIR_SUCCESS")))).when(~valid, F.array_union(categories(second), F.array(F.lit("REPAIR_FAIL")))).otherwise(none)
         verdict = F.struct(*(r[n]["text"].alias(n) for n in _NAMES))
-        return F.struct(valid.alias("schema_valid"), used.alias("repair_used"), second.alias("errors"), F.array_sort(found).alias("error_categories"), F.when(valid, verdict).alias("verdict"))
+        return F.struct(valid.alias("schema_valid"), used.alias("repair_used"), second.alias("errors"), F.array_sort(found).alias("error_categories"), F.when(valid, verdict).alias("verdict"), verdict.alias("fields"))
 
     def checked(root: Column, keys: Column, f: Column) -> Column:
         def repaired(first: Column) -> Column:
@@ -157,7 +158,7 @@ def validated(rows: DataFrame, raw: str = "raw") -> DataFrame:
 
     def broken(errors: Column, category: Column) -> Column:
         verdict = F.lit(None).cast("struct<" + ",".join(f"{n}:string" for n in _NAMES) + ">")
-        return F.struct(F.lit(False).alias("schema_valid"), F.lit(False).alias("repair_used"), errors.cast(texts).alias("errors"), F.array(category).alias("error_categories"), verdict.alias("verdict"))
+        return F.struct(F.lit(False).alias("schema_valid"), F.lit(False).alias("repair_used"), errors.cast(texts).alias("errors"), F.array(category).alias("error_categories"), verdict.alias("verdict"), verdict.alias("fields"))
 
     def whole(doc: Column) -> Column:
         root = _kind(doc)
@@ -168,8 +169,10 @@ def validated(rows: DataFrame, raw: str = "raw") -> DataFrame:
             .otherwise(_let(F.struct(F.json_object_keys(F.to_json(doc)).alias("keys"), _typed(doc).alias("f")), lambda d: checked(root, d["keys"], d["f"])))
         )
 
-    done = rows.withColumn("_out", _let(parsed(F.col(raw)), whole))
-    return done.select(*(F.col(c) for c in rows.columns), *(F.col(f"_out.{n}").alias(n) for n in ("schema_valid", "repair_used", "errors", "error_categories", "verdict")))
+    listed = lambda doc: F.try_variant_get(doc, "$.uncertainty_flags", "array<string>")
+    done = rows.withColumn("_out", _let(parsed(F.col(raw)), lambda doc: F.struct(whole(doc).alias("o"), listed(doc).alias("listed"))))
+    names = ("schema_valid", "repair_used", "errors", "error_categories", "verdict", "fields")
+    return done.select(*(F.col(c) for c in rows.columns), *(F.col(f"_out.o.{n}").alias(n) for n in names), F.col("_out.listed").alias("listed"))
 
 
 def routed_decision(original: Column | None = None) -> Column:

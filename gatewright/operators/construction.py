@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .diffs import lines as diff_lines
+from .datasets import order_of
 from .scanning import any_of
 
 # Names that suggest a secret, and words that show a diff to be about one.
@@ -62,13 +63,32 @@ def all_added(code: Column, path: Column) -> Column:
     return F.concat(F.lit("+++ b/"), path, F.lit("\n@@ -0,0 +1,"), F.size(body).cast("string"), F.lit(" @@\n"), F.array_join(F.transform(body, lambda x: F.concat(F.lit("+"), x)), "\n"))
 
 
-def dealt_families(samples: DataFrame, key: str, families: list[str]) -> DataFrame:
-    """(key, family): families in turn over a hash order of the keys, so that no family leads by more than a bucket's rounding.
+def numbered_by(rows: DataFrame, order: Column, name: str) -> DataFrame:
+    """``rows`` numbered from 0 in a hexadecimal ``order``, without a task that sees them all.
 
-    The turn is that of the hash itself: no row is numbered, and nothing is shuffled.
+    The order's first three digits deal the rows into buckets; the buckets are counted, and
+    a row's number is that of the rows in the buckets before its own and its place there.
     """
+    keyed = rows.withColumn("_order", order).withColumn("_bucket", F.left("_order", F.lit(3)))
+    counts = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))  # 4,096 rows at most
+    place = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order")) - 1
+    return keyed.withColumn("_place", place).join(F.broadcast(starts), "_bucket").withColumn(name, F.col("_first") + F.col("_place")).drop("_order", "_bucket", "_place", "_first")
+
+
+def dealt_families(samples: DataFrame, key: str, families: list[str], seed: int = 42) -> DataFrame:
+    """(key, family): families in turn over a seeded order of the keys, so each is dealt once before any repeats."""
     names = F.array(*(F.lit(f) for f in families))
-    return samples.select(key, F.get(names, F.pmod(F.xxhash64(key), F.lit(len(families))).cast("int")).alias("family"))
+    turns = numbered_by(samples.select(key), order_of(seed, F.col(key)), "_turn")
+    return turns.select(key, F.get(names, F.pmod("_turn", F.lit(len(families))).cast("int")).alias("family"))
+
+
+def cycled(rows: DataFrame, order: str, templates: DataFrame, place: str, seed: int = 42) -> DataFrame:
+    """Each row with the template that is its turn; ``templates`` has ``place``, counted from 0 without gaps."""
+    n = templates.agg(F.count("*").alias("_total"))
+    turns = numbered_by(rows, order_of(seed, F.col(order)), "_turn").crossJoin(F.broadcast(n))  # one row
+    return turns.withColumn(place, F.pmod("_turn", F.col("_total"))).drop("_turn", "_total").join(templates, place).drop(place)
 
 
 def filled(template: Column, values: dict[str, Column]) -> Column:

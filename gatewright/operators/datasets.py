@@ -217,19 +217,36 @@ def family_check(samples: DataFrame, variants: DataFrame) -> DataFrame:
     return both.groupBy("condition").agg(F.count("*").alias("n"), F.count_if(body).alias("n_body"), F.count_if(code).alias("n_code"), F.count_if(ok).alias("n_ok"))
 
 
-def dealt(samples: DataFrame, targets: dict[str, int], seed: int = 42) -> DataFrame:
-    """(sample_id, strategy): for each strategy its target number of samples, disjoint while they last.
+def order_of(seed: int, key: Column) -> Column:
+    """A seeded order of keys that holds under any partitioning."""
+    return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
 
-    The order is by a hash of seed and id, so it holds under any partitioning. Strategies
-    take consecutive runs of it; only ids and ranks are sorted.
-    """
-    from pyspark.sql import Window
 
-    ranked = samples.where(is_true(F.col("gt_has_secret"))).select("sample_id").distinct().withColumn("h", F.xxhash64(F.lit(seed), "sample_id"))
-    total = sum(targets.values())
-    first = ranked.orderBy("h", "sample_id").limit(total).withColumn("k", F.row_number().over(Window.orderBy("h", "sample_id")) - 1)
-    out, start = F.lit(None).cast("string"), 0
+def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Column] | None = None, seed: int = 42) -> DataFrame:
+    """(strategy, sample_id, reused): for each strategy its target number of eligible samples.
+
+    Strategies choose one after another, in a seeded order of ids, samples that none has
+    chosen before, and fall back on chosen ones where those run out. Each takes a bounded
+    number of rows, so only ids are compared and nothing but the choices is kept.
+    """
+    known = samples.where(is_true(F.col("gt_has_secret")))
+    taken = known.select(F.col("sample_id").alias("_taken")).limit(0)
+    out = taken.select(F.lit("").alias("strategy"), F.col("_taken").alias("sample_id"), F.lit(False).alias("reused"))
     for name, n in targets.items():
-        out = F.when(F.col("k").between(start, start + n - 1), name).otherwise(out)
-        start += n
-    return first.select("sample_id", out.alias("strategy"))
+        may = known.where((eligible or {}).get(name, F.lit(True))).select("sample_id").distinct()
+        # taken has at most as many rows as all targets together
+        marked = may.join(F.broadcast(taken), may.sample_id == F.col("_taken"), "left").withColumn("reused", F.col("_taken").isNotNull()).drop("_taken")
+        first = marked.orderBy("reused", order_of(seed, F.col("sample_id")), "sample_id").limit(n)
+        out = out.unionByName(first.select(F.lit(name).alias("strategy"), "sample_id", "reused"))
+        taken = taken.unionByName(first.where(~F.col("reused")).select(F.col("sample_id").alias("_taken")))
+    return out
+
+
+def overlaps(chosen: DataFrame) -> DataFrame:
+    """Samples that several strategies of ``dealt`` share, by the strategies."""
+    return chosen.groupBy("sample_id").agg(F.array_join(F.array_sort(F.collect_set("strategy")), "+").alias("strategies"), F.count("*").alias("n")).where("n > 1")
+
+
+def replaced(samples: DataFrame, variants: DataFrame, conditions: list[str]) -> DataFrame:
+    """``samples`` with the rows of some conditions dropped and the recomputed ``variants`` put in their place."""
+    return samples.where(~F.coalesce(F.col("condition").isin(conditions), F.lit(False))).unionByName(variants)

@@ -237,6 +237,11 @@ def preview(value: Column) -> Column:
     return F.when(F.length(value) > 15, F.concat(F.substring(value, 1, 12), F.lit("..."))).otherwise(value)
 
 
+def longest(values: Column) -> Column:
+    """The longest of some strings, the first of equals; null without any."""
+    return F.array_max(F.transform(values, lambda v, i: F.struct(F.length(v).alias("n"), (-i).alias("i"), v.alias("v"))))["v"]
+
+
 def masked(value: Column) -> Column:
     """The first four characters of a secret and a mask."""
     return F.concat(F.substring(value, 1, 4), F.lit("***"))

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.rates import count_where, is_true
 
+# The same p-values need the same limits and tolerance.
 #: Discordant pairs below which the exact binomial is used.
 EXACT_BELOW = 25
 #: Arguments from which the logarithm of the factorial is approximated.
 STIRLING_FROM = 20
+#: Masses that exceed the observed one by no more count as no greater.
+TOLERANCE = 1e-10
 
 PAIRS = (
     ("Scanner", "LLM_Baseline"),
@@ -58,13 +63,22 @@ def p_value(b: int, c: int) -> tuple[float, float, str]:
     statistic = (b - c) ** 2 / n
     if n < EXACT_BELOW:
         mass = [math.exp(log_factorial(n) - log_factorial(k) - log_factorial(n - k) - n * math.log(2)) for k in range(n + 1)]
-        return statistic, min(1.0, sum(m for m in mass if m <= mass[min(b, c)] + 1e-10)), "exact"
+        return statistic, min(1.0, sum(m for m in mass if m <= mass[min(b, c)] + TOLERANCE)), "exact"
     corrected = max(0.0, abs(b - c) - 1) ** 2 / n
     return statistic, math.erfc(math.sqrt(corrected / 2)), "chi2"
 
 
+@F.pandas_udf(T.StructType([T.StructField("statistic", T.DoubleType()), T.StructField("p", T.DoubleType()), T.StructField("method", T.StringType())]))
+def tested(b: pd.Series, c: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([p_value(int(x), int(y)) for x, y in zip(b, c)], columns=["statistic", "p", "method"])
+
+
+def meaning(p: Column) -> Column:
+    """How strong a p-value speaks against equal error rates."""
+    return F.when(p < 0.001, "very strong").when(p < 0.01, "strong").when(p < 0.05, "moderate").otherwise("none")
+
+
 def mcnemar(results: DataFrame) -> DataFrame:
-    """The contingency table with statistic, p-value and method; one row a pair reaches Python."""
-    test = F.udf(lambda b, c: p_value(b, c), "statistic double, p double, method string")
-    found = contingency(results).withColumn("t", test("b", "c"))
-    return found.select("first", "second", "a", "b", "c", "d", F.round("t.statistic", 4).alias("statistic"), F.round("t.p", 6).alias("p_value"), "t.method", (F.col("t.p") < 0.05).alias("significant"))
+    """The contingency table with statistic, p-value, method and meaning; one row a pair reaches Python."""
+    found = contingency(results).withColumn("t", tested("b", "c"))
+    return found.select("first", "second", "a", "b", "c", "d", F.round("t.statistic", 4).alias("statistic"), F.round("t.p", 6).alias("p_value"), "t.method", (F.col("t.p") < 0.05).alias("significant"), meaning(F.col("t.p")).alias("evidence"))

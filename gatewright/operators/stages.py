@@ -145,7 +145,9 @@ def failure_modes(results: DataFrame) -> DataFrame:
 
     Residuals of the second and fifth mode cannot be observed and are null.
     """
-    found = results.join(routed(results).select("doc_id", "triggered", "routed_by"), "doc_id", "left")
+    evaluated = F.col("guardrail_decision").isNotNull()
+    found = results.withColumn("original_decision", original_decision())
+    found = found.withColumn("routed_by", F.when(evaluated, router())).withColumn("triggered", F.when(evaluated, F.array_compact(F.array(*(F.when(c, F.lit(g)) for g, c in fired().items())))))
     done = is_true(F.col("bfm_executed"))
     acted = lambda g: F.coalesce(F.array_contains("triggered", g), F.lit(False)) | F.col("routed_by").eqNullSafe(F.lit(g))
     guarded = F.col("guardrail_decision").isNotNull()

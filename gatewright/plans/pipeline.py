@@ -98,6 +98,18 @@ def validate(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return step.withColumns({"triggered": names, "final_decision": final}).drop("_g2", "numbered", "fields", "listed")
 
 
+def annotated(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """``rows`` with what the stages say of verdicts that no stage has routed: bfm_executed, bfm_g1_valid, bfm_g2_valid, bfm_g4_should_review, bfm_g4_rule.
+
+    ``rows`` are as for ``validate``, ``raw`` being the verdict of a reviewer without stages;
+    a null one is not analysed. Nothing is decided by it.
+    """
+    found = validate(rows, settings)
+    done = F.col("raw").isNotNull()
+    notes = {"bfm_executed": done, "bfm_g1_valid": F.when(done, F.col("g1_issue").isNull()), "bfm_g2_valid": F.when(done, F.col("g2_valid")), "bfm_g4_should_review": F.when(done, F.col("rule").isNotNull()), "bfm_g4_rule": F.when(done, F.col("rule"))}
+    return found.select(*(F.col(c) for c in rows.columns), *(c.alias(n) for n, c in notes.items()))
+
+
 def _guarded(step: DataFrame) -> DataFrame:
     """The leak stage: find, redact once, look again; what still shows asks for a review."""
     texts = {n: F.col(f"fields.{n}") for n in TEXTS}

@@ -12,6 +12,7 @@ from ..operators import datasets as ds
 from ..operators import diffs as di
 from ..operators import leakage as lk
 from ..operators import review as re_
+from ..operators import scanners as sn
 from ..operators import scanning as sc
 from ..operators import verdicts as ve
 from ..sources.adapters import responses, samples, with_responses, with_samples
@@ -100,7 +101,59 @@ _add(
     lambda s: s.where("gt_has_secret and length(gt_secret_value) >= 8").groupBy("gt_secret_type").agg(F.count("*").alias("n"), F.count_if(F.contains(F.expr(_OUTPUT), F.col("gt_secret_value"))).alias("n_leaked")),
     with_samples(f"SELECT gt_secret_type, count(*) AS n, count(*) FILTER (WHERE contains({_OUTPUT}, gt_secret_value)) AS n_leaked FROM samples WHERE gt_has_secret AND len(gt_secret_value) >= 8 GROUP BY 1"),
 )
-_add("partial_leak_ratio", samples, lambda s: sc.leak_ratios(s.select("doc_id", "gt_secret_value", F.expr(_OUTPUT).alias("output")), "gt_secret_value", "output").select("doc_id", "leak", "ratio"))
+_AFTER = "CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 20 = 0 THEN gt_secret_value ELSE '***' END"
+#: Leaks by brute force: every part of the hidden text, the longest that the output holds.
+_PARTS = """SELECT doc_id, gt_has_secret, system, s, o, CASE WHEN len(s) >= 8 AND contains(o, s) THEN 'exact' WHEN len(s) >= 8 AND best >= 6 THEN 'partial' ELSE 'none' END AS leak, best FROM (
+  SELECT *, (SELECT max(n) FROM range(1, 200) AS a(i), range(6, 200) AS b(n) WHERE i + n - 1 <= len(s) - 4 AND contains(o, substr(s, 4 + i, n))) AS best FROM ({rows}) AS x) AS y"""
+_SHARES = "SELECT *, CASE leak WHEN 'exact' THEN 1.0 WHEN 'partial' THEN round((4 + best) / CAST(len(s) AS DOUBLE), 4) ELSE 0.0 END AS ratio FROM ({parts}) AS z"
+
+
+def _leaks_sql(outputs: dict[str, str]) -> str:
+    rows = " UNION ALL ".join(f"SELECT doc_id, gt_has_secret, '{n}' AS system, gt_secret_value AS s, {o} AS o FROM samples" for n, o in outputs.items())
+    return _SHARES.format(parts=_PARTS.format(rows=rows))
+
+
+_add(
+    "partial_leak_ratio",
+    samples,
+    lambda s: sc.leak_ratios(s.select("doc_id", "gt_secret_value", F.expr(_OUTPUT).alias("output")), "gt_secret_value", "output").select("doc_id", "leak", "ratio"),
+    with_samples(f"SELECT doc_id, leak, ratio FROM ({_leaks_sql({'x': _OUTPUT})}) AS w"),
+)
+_add(
+    "leak_exposure",
+    samples,
+    lambda s: lk.exposure(s, "gt_secret_value", {"baseline": F.expr(_OUTPUT), "guarded": F.expr(_AFTER)}),
+    with_samples(
+        f"""SELECT system, count(*) AS n, count(*) FILTER (WHERE leak <> 'none') AS n_leaked, count(*) FILTER (WHERE leak = 'exact') AS n_exact, count(*) FILTER (WHERE leak = 'partial') AS n_partial,
+  round(count(*) FILTER (WHERE leak <> 'none') / CAST(count(*) AS DOUBLE), 4) AS leak_rate, coalesce(round(avg(ratio) FILTER (WHERE leak <> 'none'), 4), 0.0) AS mean_exposure
+  FROM ({_leaks_sql({'baseline': _OUTPUT, 'guarded': _AFTER})}) AS w WHERE gt_has_secret AND s <> '' AND o IS NOT NULL GROUP BY system"""
+    ),
+)
+_add(
+    "leaked_samples",
+    samples,
+    lambda s: lk.leaked_rows(s, "doc_id", "gt_secret_value", F.expr(_AFTER)),
+    with_samples(f"SELECT doc_id, leak, ratio FROM ({_leaks_sql({'x': _AFTER})}) AS w WHERE gt_has_secret AND s <> '' AND leak <> 'none'"),
+)
+_add(
+    "masked_secrets",
+    samples,
+    lambda s: s.where("gt_has_secret").select("doc_id", sc.masked(F.col("gt_secret_value")).alias("masked"), sc.preview(F.col("gt_secret_value")).alias("preview")),
+    with_samples("SELECT doc_id, concat(left(gt_secret_value, 4), '***') AS masked, CASE WHEN len(gt_secret_value) > 15 THEN concat(left(gt_secret_value, 12), '...') ELSE gt_secret_value END AS preview FROM samples WHERE gt_has_secret"),
+)
+_add(
+    "document_literals",
+    _documents,
+    lambda d: d.select("doc_id", F.explode(sc.literals(F.col("text"))).alias("literal")),
+    f"""SELECT DISTINCT doc_id, literal FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[''"]((?:[^''"\\\\]|\\\\.){{8,}})[''"]', 1)) AS literal FROM documents)
+  WHERE NOT {_any('lower(literal)', sc.NO_SECRET)} AND NOT regexp_matches(literal, {_quoted(sc.MASKED)})""",
+)
+_add(
+    "longest_word",
+    _documents,
+    lambda d: d.select("doc_id", sc.longest(F.filter(F.split("text", " "), lambda w: w != "")).alias("word")),
+    "SELECT doc_id, list_sort(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w, i: {'n': -len(w), 'i': i, 'w': w}))[1].w AS word FROM documents",
+)
 _add("reconstructed_leak", samples, lambda s: sc.reconstructed(s.select("doc_id", "gt_secret_value", F.expr(_OUTPUT).alias("output")), "gt_secret_value", "output").select("doc_id", "n_fragments", "covered", "reconstructed"))
 _add(
     "redact_output",
@@ -293,6 +346,38 @@ _add(
         + "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx, coalesce(start, 1) - 1 + row_number() OVER (PARTITION BY doc_id, hunk ORDER BY pos) AS line, substr(text, 2) AS text FROM m WHERE kind IN ('added', 'context')"
     ),
 )
+_add(
+    "document_diff_lines",
+    _documents,
+    lambda d: di.target_lines(d.select("doc_id", cs.all_added(F.col("text"), F.lit("a.txt")).alias("diff")), "doc_id", "diff"),
+    "SELECT doc_id, i - 1 AS idx, i AS line, t[i] AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS t, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents WHERE text IS NOT NULL) AS x",
+)
+_RULES = ("stripe_key", "github_pat", "openai_key", "api_key_assignment")
+_SHOWN = "shown AS (SELECT doc_id, coalesce(start, 1) - 1 + row_number() OVER (PARTITION BY doc_id, hunk ORDER BY pos) AS line, substr(text, 2) AS text FROM m WHERE kind IN ('added', 'context'))"
+_FOUND = "found AS (" + " UNION ALL ".join(f"SELECT doc_id AS key, {_quoted(n)} AS rule, line, unnest(list_filter(regexp_extract_all(text, {_quoted(p)}, 0), lambda m: NOT regexp_matches(m, {_quoted(sc.MASKED)}))) AS match FROM shown" for n, p, _ in sc.PATTERNS if n in _RULES) + ")"
+_KIND = "CASE WHEN rule IN ('stripe_key', 'api_key_assignment') THEN 'api_key' WHEN rule = 'github_pat' THEN 'token' ELSE 'unknown' END"
+
+
+def _scanned(s: DataFrame) -> DataFrame:
+    return sn.combined(s, sn.pattern_findings(s, "doc_id", "code_context", _RULES), "doc_id", "gt_line_start")
+
+
+_SCANS = f"""{_LINES}, {_SHOWN}, {_FOUND}, scans AS (
+  SELECT s.doc_id, f.key IS NOT NULL AS scanner_hit, coalesce(n, 0) AS n_findings, kind AS scanner_secret_type, coalesce(list_contains(places, s.gt_line_start), false) AS line_hit
+  FROM samples s LEFT JOIN (SELECT key, count(*) AS n, first({_KIND} ORDER BY line, rule) AS kind, list(line) AS places FROM found GROUP BY key) f ON s.doc_id = f.key)"""
+_add("scanner_findings", samples, lambda s: sn.pattern_findings(s, "doc_id", "code_context", _RULES).withColumnRenamed("key", "doc_id"), with_samples(f"{_LINES}, {_SHOWN}, {_FOUND} SELECT key AS doc_id, rule, {_KIND} AS secret_type, line, match FROM found"))
+_add("scanner_combined", samples, lambda s: _scanned(s).select("doc_id", "scanner_hit", "n_findings", "scanner_secret_type", "line_hit"), with_samples(f"{_SCANS} SELECT * FROM scans"))
+_add(
+    "scanner_refresh",
+    samples,
+    lambda s: sn.refreshed(s.select("doc_id", (F.col("doc_id") % 3 == 0).alias("scanner_hit")), _scanned(s.where("doc_id % 7 <> 0")), "doc_id"),
+    with_samples(f"{_SCANS} SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN scanner_hit ELSE doc_id % 3 = 0 END AS scanner_hit, doc_id % 7 <> 0 AND scanner_hit <> (doc_id % 3 = 0) AS scanner_changed FROM scans"),
+)
+_add(
+    "baseline_annotation",
+    lambda spark, sf_dir: samples(spark, sf_dir).join(responses(spark, sf_dir), "doc_id").withColumn("scanner_hit", F.col("doc_id") % 3 == 0),
+    lambda s: pipeline.annotated(s).select("doc_id", "bfm_executed", "bfm_g1_valid", "bfm_g2_valid", "bfm_g4_should_review", "bfm_g4_rule"),
+)
 _add(
     "diff_hunks",
     samples,
@@ -387,8 +472,31 @@ for _condition in ("E2-A", "E2-B"):
 SELECT doc_id, array_to_string(list_concat(x[1:2], list_concat([concat('+', regexp_extract(x[3][2:], '^\\s*'), {_quoted(ds.COMMENTS[_condition])})], x[3:])), chr(10)) AS code_context, CAST(4 AS INT) AS gt_line_start FROM l{' WHERE doc_id % 25 <> 0' if _condition == 'E2-B' else ''}"""
         ),
     )
-_add("perturb_concat", samples, lambda s: ds.split_inline(s).select("doc_id", "sample_id", "code_context", "gt_line_start"))
-_add("perturb_split", samples, lambda s: ds.split_lines(s).select("doc_id", "sample_id", "code_context", "gt_line_start"))
+_HALVES = """, h AS (SELECT *, left(v, i) AS a, substr(v, i + 1) AS b FROM (
+  SELECT *, CASE WHEN instr(v, '_') > 1 AND instr(v, '_') < len(v) THEN instr(v, '_') WHEN instr(v, '-') > 1 AND instr(v, '-') < len(v) THEN instr(v, '-') ELSE len(v) // 2 END AS i
+  FROM (SELECT *, gt_secret_value AS v, string_split(code_context, chr(10)) AS l FROM samples WHERE gt_has_secret) AS x) AS y)
+"""
+_add(
+    "perturb_concat",
+    samples,
+    lambda s: ds.split_inline(s).select("doc_id", "sample_id", "code_context", F.col("gt_line_start").cast("int").alias("gt_line_start")),
+    with_samples(
+        _HALVES
+        + """SELECT doc_id, concat(sample_id, '_E3-A') AS sample_id, replace(code_context, concat('"', v, '"'), concat('"', a, '" + "', b, '"')) AS code_context, CAST(3 AS INTEGER) AS gt_line_start
+  FROM h WHERE gt_secret_type NOT IN ('private_key', 'certificate')"""
+    ),
+)
+_add(
+    "perturb_split",
+    samples,
+    lambda s: ds.split_lines(s).select("doc_id", "sample_id", "code_context", F.col("gt_line_start").cast("int").alias("gt_line_start")),
+    with_samples(
+        _HALVES
+        + r""", p AS (SELECT *, regexp_extract(l[3], '^\+\s*', 0) AS lead, trim(regexp_extract(l[3], '^\+(.*?)=', 1)) AS name FROM h)
+SELECT doc_id, concat(sample_id, '_E3-B') AS sample_id, CAST(5 AS INTEGER) AS gt_line_start,
+  concat(l[1], chr(10), l[2], chr(10), lead, 'p1 = "', a, '"', chr(10), lead, 'p2 = "', b, '"', chr(10), lead, name, ' = p1 + p2', chr(10), array_to_string(l[4:], chr(10))) AS code_context FROM p"""
+    ),
+)
 
 
 def _families(s: DataFrame) -> DataFrame:
@@ -402,7 +510,36 @@ _add(
     _families,
     with_samples(f", {_PERTURBED} SELECT 'E1-B' AS condition, count(*) AS n, count(*) AS n_body, CAST(0 AS BIGINT) AS n_code, count(*) AS n_ok FROM s UNION ALL SELECT 'E2-A', count(*), CAST(0 AS BIGINT), count(*), count(*) FROM s"),
 )
-_add("perturb_selection", samples, lambda s: ds.dealt(s, {"E1-B": 20, "E2-A": 15, "E3-A": 10}).groupBy("strategy").agg(F.count("*").alias("n")), "SELECT * FROM (VALUES ('E1-B', CAST(20 AS BIGINT)), ('E2-A', 15), ('E3-A', 10)) AS t(strategy, n)")
+_ELIGIBLE = "gt_file_path = 'deploy/.env' AND len(gt_secret_value) >= 12"
+_TARGETS = {"E1-B": 20, "E2-A": 15, "E3-A": 10, "E3-B": 12}
+_DEALT = f""", k AS (SELECT DISTINCT sample_id, md5(concat('42-', sample_id)) AS h FROM samples WHERE gt_has_secret),
+e AS (SELECT DISTINCT sample_id, md5(concat('42-', sample_id)) AS h FROM samples WHERE gt_has_secret AND {_ELIGIBLE}),
+s1 AS (SELECT sample_id, false AS reused FROM k ORDER BY h, sample_id LIMIT 20),
+s2 AS (SELECT sample_id, sample_id IN (SELECT sample_id FROM s1) AS reused FROM k ORDER BY reused, h, sample_id LIMIT 15),
+s3 AS (SELECT sample_id, sample_id IN (SELECT sample_id FROM s1 UNION ALL SELECT sample_id FROM s2) AS reused FROM e ORDER BY reused, h, sample_id LIMIT 10),
+s4 AS (SELECT sample_id, sample_id IN (SELECT sample_id FROM s1 UNION ALL SELECT sample_id FROM s2 UNION ALL SELECT sample_id FROM s3) AS reused FROM e ORDER BY reused, h, sample_id LIMIT 12),
+chosen AS (SELECT 'E1-B' AS strategy, * FROM s1 UNION ALL SELECT 'E2-A', * FROM s2 UNION ALL SELECT 'E3-A', * FROM s3 UNION ALL SELECT 'E3-B', * FROM s4)
+"""
+
+
+def _dealt(s: DataFrame) -> DataFrame:
+    may = F.expr(_ELIGIBLE.replace('len(', 'length('))
+    return ds.dealt(s, _TARGETS, {"E3-A": may, "E3-B": may})
+
+
+_add("perturb_selection", samples, _dealt, with_samples(_DEALT + "SELECT * FROM chosen"))
+_add(
+    "perturb_overlap",
+    samples,
+    lambda s: ds.overlaps(_dealt(s)),
+    with_samples(_DEALT + "SELECT sample_id, string_agg(strategy, '+' ORDER BY strategy) AS strategies, count(*) AS n FROM chosen GROUP BY sample_id HAVING count(*) > 1"),
+)
+_add(
+    "replace_variants",
+    samples,
+    lambda s: ds.replaced(s, s.where("condition = 'E2'").withColumn("pr_title", F.lit("new")), ["E2"]).select("doc_id", "condition", "pr_title"),
+    with_samples("SELECT doc_id, condition, CASE WHEN condition = 'E2' THEN 'new' ELSE pr_title END AS pr_title FROM samples"),
+)
 _add(
     "anti_join_resume",
     samples,
@@ -479,7 +616,12 @@ _add(
     lambda d: d.select("doc_id", F.md5(cs.all_added(F.col("text"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".txt")))).alias("digest")),
     "SELECT doc_id, md5(concat('+++ b/d/', doc_id, '.txt', chr(10), '@@ -0,0 +1,', len(string_split(text, chr(10))), ' @@', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x: concat('+', x)), chr(10)))) AS digest FROM documents",
 )
-_add("dealt_families", samples, lambda s: cs.dealt_families(s, "doc_id", ["web", "infra", "data"]).groupBy("family").agg(F.count("*").alias("n")))
+_add(
+    "dealt_families",
+    samples,
+    lambda s: cs.dealt_families(s, "doc_id", ["web", "infra", "data"]).select("doc_id", "family"),
+    "SELECT doc_id, (['web', 'infra', 'data'])[CAST((row_number() OVER (ORDER BY md5(concat('42-', doc_id))) - 1) % 3 + 1 AS INTEGER)] AS family FROM documents",
+)
 _add("limited_by_group", samples, lambda s: cs.limited(s.select("context_family", "doc_id"), "context_family", "doc_id", 3), with_samples("SELECT context_family, doc_id FROM samples QUALIFY row_number() OVER (PARTITION BY context_family ORDER BY doc_id) <= 3"))
 _add("syntax_gate", samples, lambda s: cs.syntax_errors(s, "doc_id", "code_context").groupBy("error").agg(F.count("*").alias("n")))
 _add(
@@ -487,7 +629,6 @@ _add(
     samples,
     lambda s: ds.checked_variants(s, ds.split_lines(s), "E3-B").select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
 )
-_AFTER = "CASE WHEN doc_id % 9 = 0 THEN NULL WHEN doc_id % 20 = 0 THEN gt_secret_value ELSE '***' END"
 _add(
     "leak_comparison",
     samples,

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+import re
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,9 +34,7 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCH
 
 def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
     """``read_array``, but a missing path is an empty table."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
     return spark.read.json(path, schema=schema, multiLine=True, mode="DROPMALFORMED")
 
@@ -78,14 +77,80 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def markdown(df: DataFrame, title: str, limit: int = 1000) -> str:
-    """A small report as a markdown table; null is n/a, doubles have four digits."""
+def markdown(df: DataFrame, title: str) -> str:
+    """A report as a markdown table, all rows; null is n/a, doubles have four digits."""
     columns = report_columns(df)
     show = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
-    rows = [" | ".join(show(r[c]) for c in columns) for r in df.limit(limit).collect()]
+    rows = [" | ".join(show(r[c]) for c in columns) for r in df.toLocalIterator()]
     return "\n".join([f"## {title}", "", f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}", *(f"| {r} |" for r in rows)]) + "\n"
 
 
-def document(df: DataFrame, limit: int = 1000) -> str:
-    """A small report as an indented JSON document, other scripts kept as they are."""
-    return json.dumps([r.asDict(recursive=True) for r in df.limit(limit).collect()], indent=2, ensure_ascii=False, default=str)
+def document(df: DataFrame) -> str:
+    """A report as an indented JSON document, all rows, other scripts kept as they are."""
+    return json.dumps([r.asDict(recursive=True) for r in df.toLocalIterator()], indent=2, ensure_ascii=False, default=str)
+
+
+def ascii_json(value: Column) -> Column:
+    """A value as JSON in ASCII: other characters as escapes, those beyond 16 bits as two."""
+    escape = lambda code: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(code)), 4, "0"))
+
+    def one(c: Column) -> Column:
+        code, over = F.ascii(c), F.ascii(c) - 0x10000
+        pair = F.concat(escape(F.lit(0xD800) + F.floor(over / 0x400).cast("int")), escape(F.lit(0xDC00) + over % 0x400))
+        return F.when(code < 128, c).when(code < 0x10000, escape(code)).otherwise(pair)
+
+    text = F.to_json(value, {"ignoreNullFields": "false"})
+    return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_document(spark: SparkSession, path: str) -> DataFrame:
+    """One JSON object as one row, its schema from the file: scenario settings, manifests; a missing file is an empty table."""
+    return spark.read.json(path, multiLine=True) if _exists(spark, path) else spark.createDataFrame([], "path string")
+
+
+def read_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, text) of whole files, one row a file."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+
+
+PULL_SCHEMA = T.StructType([T.StructField(n, T.StringType()) for n in ("url", "repo", "title", "body", "diff", "merged_at")] + [T.StructField("number", T.LongType()), T.StructField("files", T.ArrayType(T.StringType()))])
+
+
+def read_pulls(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Pull requests as JSON lines, one a URL (the first by number); ``most``: the range limit of a collection run."""
+    first = F.min_by(F.struct("*"), F.struct("number", "title"))
+    found = read_lines(spark, path, PULL_SCHEMA).where("url is not null").groupBy("url").agg(first.alias("p")).select("p.*")
+    return found if most is None else found.orderBy("url").limit(most)
+
+
+def versions(spark: SparkSession, path: str) -> list[str]:
+    """Versions that ``write_version`` has left in a folder, numbers in their order, the latest last."""
+    if not _exists(spark, path):
+        return []
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    names = (s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at))
+    found = [m[1] for m in (re.fullmatch(r"version=(.+)", n) for n in names) if m]
+    return sorted(found, key=lambda v: [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", v) if x])
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The latest version of a dataset; an error if there is none."""
+    found = versions(spark, path)
+    if not found:
+        raise FileNotFoundError(f"no version in {path}")
+    return spark.read.parquet(f"{path}/version={found[-1]}")
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A report's text as one file, written anew through the file system of ``path``."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()

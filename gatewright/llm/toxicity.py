@@ -86,31 +86,37 @@ class ToxicityModel:
         self.blank = self.bias
         #: Each n-gram's part in its word's score and in the logarithm of its weight.
         self.grams = np.stack([table @ (layer[:, 1] - layer[:, 0]), table @ gate], axis=1).astype(np.float32)
-        self.words: dict[bytes, tuple[float, float]] = {}
+        #: The kept words' places in ``known``, which has (weight * score, weight) of each.
+        self.words: dict[bytes, int] = {}
+        self.known = np.zeros((0, 2))
 
     def learn_words(self, words: set[bytes]) -> None:
         """Keeps (weight * score, weight) of words that are not known yet, all of them at once."""
         if len(self.words) + len(words) > self.options.kept_words:
             self.words.clear()
+            self.known = self.known[:0]
         new = [w for w in words if w not in self.words]
+        found = [self.known]
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             buckets, counts = gram_buckets(part, self.options)
-            found = np.add.reduceat(self.grams[buckets], np.cumsum(counts) - counts, axis=0, dtype=np.float64) / counts[:, None]
-            weight = np.exp(np.clip(found[:, 1], -self.options.steepest, self.options.steepest))
-            self.words.update(zip(part, zip((weight * found[:, 0]).tolist(), weight.tolist())))
+            sums = np.add.reduceat(self.grams[buckets], np.cumsum(counts) - counts, axis=0, dtype=np.float64) / counts[:, None]
+            weight = np.exp(np.clip(sums[:, 1], -self.options.steepest, self.options.steepest))
+            found.append(np.stack([weight * sums[:, 0], weight], axis=1))
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new))))
+        self.known = np.concatenate(found)
 
     def word_score(self, word: bytes) -> float:
         """A word's own score, without its weight."""
         self.learn_words({word})
-        part, weight = self.words[word]
-        return part / weight
+        part, weight = self.known[self.words[word]]
+        return float(part / weight)
 
     def logit(self, words: list[bytes]) -> float:
         """Log-odds of a text's weighted average, before calibration; the words' numbers are known."""
         if not words:
             return self.blank
-        total = np.array(list(map(self.words.__getitem__, words))).sum(axis=0)
+        total = self.known[np.fromiter(map(self.words.__getitem__, words), dtype=np.int64, count=len(words))].sum(axis=0)
         return self.bias + float(total[0] / total[1])
 
     def logits(self, texts: list[list[bytes]]) -> np.ndarray:
@@ -238,6 +244,7 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
     model.calibration = _logistic(logits, y[at])
     model.blank = float(np.median(logits[y[at] == 0]))
     model.words.clear()
+    model.known = model.known[:0]
     return model
 
 

@@ -107,6 +107,30 @@ def issue_breakdown(results: DataFrame) -> DataFrame:
     return results.where("guardrail_decision is not null").select(found.alias("x")).groupBy("x.stage", "x.issue").agg(F.count("*").alias("n"))
 
 
+def escalations(results: DataFrame) -> DataFrame:
+    """Results that the uncertainty rules escalate, by rule, and how many of them hold a secret."""
+    gt = is_true(F.col("gt_has_secret"))
+    found = routed(results).where(is_true(F.col("g4_should_review")))
+    return found.groupBy(F.coalesce("g4_rule", F.lit("unknown")).alias("rule")).agg(
+        F.count("*").alias("n"), count_where(F.col("routed_by").eqNullSafe(F.lit("G4"))).alias("n_routed"), count_where(gt).alias("n_positive"), count_where(~gt).alias("n_negative")
+    )
+
+
+def coverage(results: DataFrame) -> DataFrame:
+    """One row: how many results there are, how many each system has judged, and on how many several stages fire."""
+    evaluable, n = F.col("guardrail_decision").isNotNull(), F.size(F.array_compact(F.array(*(F.when(c, F.lit(g)) for g, c in fired().items()))))
+    counted = results.agg(
+        F.count("*").alias("n_total"),
+        count_where(F.col("scanner_hit").isNotNull()).alias("n_scanner"),
+        count_where(F.col("baseline_decision").isNotNull()).alias("n_baseline"),
+        count_where(evaluable).alias("n_evaluable"),
+        count_where(~evaluable).alias("n_missing"),
+        count_where(evaluable & (n == 1)).alias("n_single"),
+        count_where(evaluable & (n > 1)).alias("n_several"),
+    )
+    return counted.select("*", ratio(F.col("n_single"), F.col("n_evaluable")).alias("single_rate"), ratio(F.col("n_several"), F.col("n_evaluable")).alias("several_rate"))
+
+
 def leakage_kpis(results: DataFrame) -> DataFrame:
     before, after = is_true(F.col("leak_in_baseline")), is_true(F.col("leak_in_guardrail"))
     counted = results.where("guardrail_decision is not null").agg(

@@ -255,6 +255,19 @@ _add(
     + ")",
 )
 _add("guardrail_activity_summary", st.activity_summary, _ROUTED + f"SELECT count(*) AS n, {_n('k > 0')} AS n_any, {_n('k > 1')} AS n_several, CAST(coalesce(max(k), 0) AS BIGINT) AS most, {_n('routed_by IS NOT NULL')} AS n_routed FROM routed")
+_add(
+    "escalations",
+    st.escalations,
+    _ROUTED + f"""SELECT coalesce(g4_rule, 'unknown') AS rule, count(*) AS n, {_n("routed_by = 'G4'")} AS n_routed, {_n('gt_has_secret')} AS n_positive, {_n('gt_has_secret IS NOT TRUE')} AS n_negative
+  FROM routed WHERE g4_should_review GROUP BY 1""",
+)
+_add(
+    "coverage",
+    st.coverage,
+    _ROUTED + f"""SELECT *, {_share('n_single', 'n_evaluable')} AS single_rate, {_share('n_several', 'n_evaluable')} AS several_rate FROM (
+  SELECT count(*) AS n_total, count(scanner_hit) AS n_scanner, count(baseline_decision) AS n_baseline, count(guardrail_decision) AS n_evaluable, count(*) - count(guardrail_decision) AS n_missing FROM results) AS a,
+  (SELECT {_n('k = 1')} AS n_single, {_n('k > 1')} AS n_several FROM routed) AS b""",
+)
 _add("trigger_combinations_top10", st.combinations, _ROUTED + "SELECT stages, count(*) AS n FROM routed WHERE k > 1 GROUP BY 1 ORDER BY n DESC, stages LIMIT 10")
 _add(
     "issue_breakdown",

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import builders as bu
 from ..operators import construction as cs
 from ..operators import datasets as ds
 from ..operators import diffs as di
@@ -622,6 +623,34 @@ _add(
     lambda s: cs.dealt_families(s, "doc_id", ["web", "infra", "data"]).select("doc_id", "family"),
     "SELECT doc_id, (['web', 'infra', 'data'])[CAST((row_number() OVER (ORDER BY md5(concat('42-', doc_id))) - 1) % 3 + 1 AS INTEGER)] AS family FROM documents",
 )
+#: Templates of a test build: place, family, kinds, path, title, body, template.
+_TEMPLATES = [
+    (0, "settings", ["stripe", "sendgrid", "openai"], "src/settings.py", "Add client", "Keys", "+++ b/{file_path}\n@@ -0,0 +1,3 @@\n+import os\n+API_KEY = '{secret}'\n+REV = '{hash}'"),
+    (1, "deploy", ["connection_string", "database_pwd"], "deploy/env.py", "Deploy", "Env", "+++ b/{file_path}\n@@ -1,2 +1,2 @@\n-DB = ''\n+DB = '{secret}'"),
+    (2, "certs", ["private_key", "slack", "github"], "certs/key.pem", "Certs", "Key", "+++ b/{file_path}\n@@ -0,0 +1,3 @@\n+# rev {hash}\n+#\n+{secret}"),
+]
+
+
+def _built(d: DataFrame) -> DataFrame:
+    templates = d.sparkSession.createDataFrame(_TEMPLATES, "place long, family string, kinds array<string>, path string, title string, body string, template string")
+    return bu.samples_from(d, "doc_id", templates)
+
+
+_add(
+    "built_samples",
+    _documents,
+    lambda d: _built(d).select("doc_id", "sample_id", "context_family", "gt_file_path", "gt_line_start", F.contains("code_context", F.col("gt_secret_value")).alias("holds_secret"), F.contains("code_context", F.lit("{")).alias("unfilled")),
+    """SELECT doc_id, concat('REAL_', doc_id) AS sample_id, (['settings', 'deploy', 'certs'])[k] AS context_family, (['src/settings.py', 'deploy/env.py', 'certs/key.pem'])[k] AS gt_file_path,
+  (CAST([2, 1, 3] AS INTEGER[]))[k] AS gt_line_start, true AS holds_secret, false AS unfilled
+  FROM (SELECT doc_id, CAST((row_number() OVER (ORDER BY md5(concat('42-', doc_id))) - 1) % 3 + 1 AS INTEGER) AS k FROM documents) AS x""",
+)
+_add(
+    "negative_controls",
+    _documents,
+    lambda d: bu.controls(d.select("doc_id", F.when(F.col("doc_id") % 10 == 0, "no JSON").otherwise(F.to_json(F.struct(F.col("lang").alias("pr_title"), F.col("text").alias("code_diff")))).alias("o")), "doc_id", "o", "decoy").drop("gt_secret_type", "gt_secret_value", "gt_line_start"),
+    """SELECT doc_id, concat('NEG_DECOY_', lpad(CAST(doc_id AS VARCHAR), CAST(greatest(len(CAST(doc_id AS VARCHAR)), 3) AS INTEGER), '0')) AS sample_id, false AS gt_has_secret, 'unknown.py' AS gt_file_path, 'B0' AS condition,
+  coalesce(lang, 'Update code') AS pr_title, '' AS pr_body, coalesce(text, '') AS code_context, 'decoy' AS control_type FROM documents WHERE doc_id % 10 <> 0""",
+)
 _add("limited_by_group", samples, lambda s: cs.limited(s.select("context_family", "doc_id"), "context_family", "doc_id", 3), with_samples("SELECT context_family, doc_id FROM samples QUALIFY row_number() OVER (PARTITION BY context_family ORDER BY doc_id) <= 3"))
 _add("syntax_gate", samples, lambda s: cs.syntax_errors(s, "doc_id", "code_context").groupBy("error").agg(F.count("*").alias("n")))
 _add(

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewright import catalog
-from gatewright.operators import construction, datasets, scanning, significance
+from gatewright.operators import builders, construction, datasets, scanning, significance
 from gatewright.sources import io
 from gatewright.sources.adapters import samples
 
@@ -156,3 +156,20 @@ def test_baseline_annotation(spark):
         assert r["bfm_g4_should_review"] == (r["bfm_g4_rule"] is not None)
         if want[r["doc_id"]]["rule"] != "R7_g6_format_candidate_pass":
             assert r["bfm_g4_rule"] == want[r["doc_id"]]["rule"]
+
+
+SHAPES = {
+    "stripe": r"(sk|rk)_(live|test)_[A-Za-z0-9]{24}", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "aws_access": r"A[A-Z]{3}[A-Z0-9]{16}", "aws_secret": r"[A-Za-z0-9+/]{40}", "openai": r"sk-(proj-|org-)?[A-Za-z0-9]{48}",
+    "slack": r"https://hooks\.slack\.com/services/T[A-Z0-9]{10}/B[A-Z0-9]{10}/[A-Za-z0-9]{24}", "sendgrid": r"SG\.[A-Za-z0-9]{22}\.[A-Za-z0-9]{43}", "twilio_sid": "AC[0-9a-f]{32}", "twilio_auth": "[0-9a-f]{32}", "jwt": "[A-Za-z0-9+/]{32,64}",
+    "database_pwd": r"[A-Za-z0-9!@#$%^&*]{16,24}", "connection_string": r"(postgresql|mysql|mongodb)://\w+:[A-Za-z0-9]{16}@[\w.-]+:\d+/\w+", "private_key": r"-----BEGIN RSA PRIVATE KEY-----\n([A-Za-z0-9+/]{64}\n){19,28}[A-Za-z0-9+/]{1,64}\n-----END RSA PRIVATE KEY-----", "firebase": "AIza[A-Za-z0-9]{35}", "docker": "[A-Za-z0-9+/]{48}",
+}
+
+
+def test_generated_secrets(spark):
+    assert set(SHAPES) == set(builders.KINDS)
+    df = spark.createDataFrame([(k, i) for k in [*SHAPES, "nothing"] for i in range(20)], "k string, i int").repartition(3)
+    got = df.select("k", "i", builders.secret(F.col("k"), F.col("i")).alias("s"), builders.type_of(F.col("k")).alias("t")).collect()
+    assert all((r["s"] is None and r["t"] is None) if r["k"] == "nothing" else re.fullmatch(SHAPES[r["k"]], r["s"]) for r in got), [r for r in got if r["s"] and not re.fullmatch(SHAPES[r["k"]], r["s"])][:2]
+    assert len({r["s"] for r in got}) == 15 * 20 + 1
+    again = {(r["k"], r["i"]): r["s"] for r in df.coalesce(1).select("k", "i", builders.secret(F.col("k"), F.col("i")).alias("s")).collect()}
+    assert again == {(r["k"], r["i"]): r["s"] for r in got}

@@ -20,7 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, or_empty, shared_folder
+from .common import or_empty, shared_folder, written
 
 #: JSON type names, and the variant schemas that satisfy them.
 TYPES = {
@@ -115,43 +115,121 @@ def _results(text: Column, role: Column) -> Column:
     return F.transform(F.filter(F.transform(whole, lambda b: F.try_parse_json(b)), lambda v: _member(v, "$.id", "string").isNotNull()), one)
 
 
-def _ordered(edges: DataFrame) -> DataFrame:
-    """(conv_id, turn, order_turn, order_level) of every message that ``edges`` (conv_id, before, turn) touch.
-
-    A message's order_turn is the latest turn among itself and all that it depends on, and
-    its level is the longest path to it among messages of one order_turn. Both are found
-    round by round until nothing changes, whatever the length of a chain: the first ends
-    because turns only grow, the second because a round without a message that is ready
-    leaves only cycles and what stands behind them; these get level -1 and their own turn.
-    Chains in the order of their turns take no rounds.
+_KEY = ["conv_id", "turn"]
+
+
+def _chains(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, anchor, dist, most, endless) of every message that depends on exactly one other.
+
+    Such messages form chains, which pointers that double in each round follow back to the
+    first message that depends on none or on several: the anchor. ``dist`` counts the steps
+    to it and ``most`` is the latest turn among them, the anchor left out. A chain that runs
+    in a circle has none; it is endless, and ``most`` is the latest turn of its circle too.
+    """
+    alone = edges.groupBy(_KEY).agg(F.count("*").alias("n"), F.max("before").alias("anchor")).where("n = 1")
+    now = written(alone.select(*_KEY, "anchor", F.lit(1).cast("long").alias("dist"), F.col("turn").alias("most"), F.lit(True).alias("endless")))
+    # written, not checkpointed: a checkpoint keeps the optimizer's estimates, which each join would square;
+    # after these rounds a pointer has gone as many steps as there are messages; one that still goes on in the last is in a circle
+    for _ in range(now.count().bit_length() + 1):
+        ahead = now.select("conv_id", F.col("turn").alias("anchor"), F.col("anchor").alias("_anchor"), F.col("dist").alias("_dist"), F.col("most").alias("_most"))
+        joined = now.join(ahead, ["conv_id", "anchor"], "left")
+        now = written(
+            joined.select(
+                *_KEY,
+                F.coalesce("_anchor", "anchor").alias("anchor"),
+                (F.col("dist") + F.coalesce("_dist", F.lit(0))).alias("dist"),
+                F.greatest("most", "_most").alias("most"),
+                F.col("_anchor").isNotNull().alias("endless"),
+            )
+        )
+        if not now.where("endless").head(1):
+            break
+    return now
+
+
+def _contracted(edges: DataFrame, chains: DataFrame) -> DataFrame:
+    """(conv_id, source, turn, dist, most) of the messages that depend on several others, each chain one long step.
+
+    ``source`` is null where the step comes from an endless chain.
     """
-    key = ["conv_id", "turn"]
-    nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select(key)).distinct()
-    now = checkpointed(nodes.select(*key, F.col("turn").alias("order_turn")))
-    moved = now
+    several = edges.groupBy(_KEY).agg(F.count("*").alias("n")).where("n > 1").select(_KEY)
+    steps = edges.join(several, _KEY, "left_semi")
+    passed = chains.select("conv_id", F.col("turn").alias("before"), F.when(~F.col("endless"), F.col("anchor")).alias("anchor"), "dist", "most", F.lit(True).alias("chained"))
+    joined = steps.join(passed, ["conv_id", "before"], "left")
+    source = F.when(F.col("chained"), F.col("anchor")).otherwise(F.col("before"))
+    return written(joined.select("conv_id", source.alias("source"), "turn", (F.coalesce("dist", F.lit(0)) + 1).alias("dist"), F.greatest("before", F.coalesce("most", "before")).alias("most")))
+
+
+def _latest(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, order_turn): the latest turn among a message and all that it depends on."""
+    chains = _chains(edges)
+    steps = _contracted(edges, chains)
+    nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select(_KEY)).distinct()
+    own = steps.groupBy(_KEY).agg(F.max("most").alias("t"))
+    anchors = nodes.join(chains, _KEY, "left_anti").join(own, _KEY, "left").select(*_KEY, F.greatest("turn", "t").alias("order_turn"))
+    now = moved = written(anchors)
     while True:
-        sources = moved.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"))
-        later = edges.join(sources, ["conv_id", "before"]).where("t > turn").groupBy(key).agg(F.max("t").alias("t"))
-        moved = checkpointed(now.join(later, key).where("t > order_turn").select(*key, F.col("t").alias("order_turn")))
+        sources = moved.select("conv_id", F.col("turn").alias("source"), F.col("order_turn").alias("t"))
+        later = steps.join(sources, ["conv_id", "source"]).groupBy(_KEY).agg(F.max("t").alias("t"))
+        moved = written(now.join(later, _KEY).where("t > order_turn").select(*_KEY, F.col("t").alias("order_turn")))
         if moved.isEmpty():
             break
-        now = checkpointed(now.join(moved.withColumnRenamed("order_turn", "t"), key, "left").select(*key, F.coalesce("t", "order_turn").alias("order_turn")))
+        now = written(now.join(moved.withColumnRenamed("order_turn", "t"), _KEY, "left").select(*_KEY, F.coalesce("t", "order_turn").alias("order_turn")))
+    anchored = now.select("conv_id", F.col("turn").alias("anchor"), F.col("order_turn").alias("t"))
+    along = chains.join(anchored, ["conv_id", "anchor"], "left").select(*_KEY, F.greatest("most", F.when(~F.col("endless"), F.col("t"))).alias("order_turn"))
+    return written(now.unionByName(along))
+
+
+def _levels(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, order_level): the longest path to each message of ``edges``; cycles and what stands behind them are left out."""
+    chains = _chains(edges)
+    steps = _contracted(edges, chains)
+    nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select(_KEY)).distinct()
+    waiting = written(steps.select(_KEY).distinct())
+    first = nodes.join(edges.select(_KEY).distinct(), _KEY, "left_anti").withColumn("order_level", F.lit(0).cast("long"))
+    # each round's anchors are written once and read back at the end; a round costs what is still waiting
+    folder = f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}"
+    first.write.parquet(folder)
+    done, n = edges.sparkSession.read.parquet(folder), waiting.count()
+    while n:
+        known = done.select("conv_id", F.col("turn").alias("source"), "order_level")
+        held = steps.join(waiting, _KEY, "left_semi").join(known, ["conv_id", "source"], "left")
+        ready = written(held.groupBy(_KEY).agg(F.bool_and(F.col("order_level").isNotNull()).alias("all"), F.max(F.col("order_level") + F.col("dist")).alias("order_level")).where("all").select(*_KEY, "order_level"))
+        waiting = written(waiting.join(ready, _KEY, "left_anti"))
+        left = waiting.count()
+        if left == n:
+            break  # nothing became ready: what is left is on a cycle or behind one
+        ready.write.mode("append").parquet(folder)
+        done, n = edges.sparkSession.read.parquet(folder), left
+    anchored = done.select("conv_id", F.col("turn").alias("anchor"), "order_level")
+    along = chains.where("not endless").join(anchored, ["conv_id", "anchor"]).select(*_KEY, (F.col("order_level") + F.col("dist")).alias("order_level"))
+    return done.select(*_KEY, "order_level").unionByName(along)
+
+
+def _ordered(edges: DataFrame) -> DataFrame:
+    """(conv_id, turn, order_turn, order_level) of the messages of conversations with a dependency on a later turn.
+
+    ``edges`` has (conv_id, before, turn). A message's order_turn is the latest turn among
+    itself and all that it depends on, and its level is the longest path to it among messages
+    of one order_turn. Messages on a cycle, and those behind one, get level -1 and their own
+    turn. Chains of any length take a logarithmic number of rounds, and only messages that
+    depend on several others take one for each such message before them. Conversations in the
+    order of their turns take none: every message stays where it is.
+    """
+    backward = edges.where("before > turn").select("conv_id").distinct()
+    turned = written(edges.join(backward, "conv_id", "left_semi"))
+    if turned.isEmpty():
+        return turned.select(*_KEY, F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
+    now = _latest(turned)
     # only dependencies within one order_turn are left to settle
     sources = now.select("conv_id", F.col("turn").alias("before"), F.col("order_turn").alias("t"))
-    tight = checkpointed(edges.join(sources, ["conv_id", "before"]).join(now, key).where("t = order_turn").select("conv_id", "before", "turn"))
-    # each level is written once and read back at the end, so a round costs what is still waiting
-    folder, level = f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}", 0
-    left, n_left = now, now.count()
-    while n_left:
-        behind = tight.join(left.select("conv_id", F.col("turn").alias("before")), ["conv_id", "before"], "left_semi").select(key).distinct()
-        waiting = checkpointed(left.join(behind, key, "left_semi"))
-        n_waiting = waiting.count()
-        if n_waiting == n_left:
-            break
-        left.join(waiting.select(key), key, "left_anti").withColumn("order_level", F.lit(level).cast("long")).write.mode("append").parquet(folder)
-        left, n_left, level = waiting, n_waiting, level + 1
-    cyclic = left.where(F.lit(n_left > 0)).select(*key, F.col("turn").alias("order_turn"), F.lit(-1).cast("long").alias("order_level"))
-    return cyclic if level == 0 else edges.sparkSession.read.parquet(folder).select(cyclic.columns).unionByName(cyclic)
+    tight = written(turned.join(sources, ["conv_id", "before"]).join(now, _KEY).where("t = order_turn").select("conv_id", "before", "turn"))
+    if tight.isEmpty():
+        return now.withColumn("order_level", F.lit(0).cast("long"))
+    within = tight.select("conv_id", F.col("before").alias("turn")).unionByName(tight.select(_KEY)).distinct().withColumn("_tight", F.lit(True))
+    placed = now.join(within, _KEY, "left").join(_levels(tight), _KEY, "left")
+    level = F.when(F.col("_tight"), F.coalesce("order_level", F.lit(-1))).otherwise(0).cast("long")
+    return placed.select(*_KEY, F.when(level < 0, F.col("turn")).otherwise(F.col("order_turn")).alias("order_turn"), level.alias("order_level"))
 
 
 def format_chats(conversations: DataFrame, tools: dict[str, dict] = TOOLS) -> DataFrame:
@@ -186,12 +264,12 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict] = TOOLS) -> Da
     own = speaking.select("conv_id", "turn", F.explode("calls").alias("c")).where("c.id is not null").select("conv_id", "turn", F.col("c.id").alias("id"), F.col("c.after").alias("after"))
     got = speaking.select("conv_id", "turn", F.explode("results").alias("r")).select("conv_id", "turn", F.col("r.id").alias("id"))
     owner = own.groupBy("conv_id", "id").agg(F.min("turn").alias("call_turn"))
-    linked = checkpointed(got.join(owner, ["conv_id", "id"]).select("conv_id", "id", "turn", "call_turn"))
+    linked = written(got.join(owner, ["conv_id", "id"]).select("conv_id", "id", "turn", "call_turn"))
     # a call waits for the first result of an id; all results wait for its call, so links grow with messages only
     first = linked.groupBy("conv_id", "id").agg(F.min("turn").alias("before"))
     waits = own.select("conv_id", "turn", F.explode(F.array_distinct("after")).alias("id")).join(first, ["conv_id", "id"])
     edges = linked.select("conv_id", F.col("call_turn").alias("before"), "turn").unionByName(waits.select("conv_id", "before", "turn"))
-    edges = checkpointed(edges.where("before <> turn").distinct())
+    edges = written(edges.where("before <> turn").distinct())
     ordered = _ordered(edges) if not edges.isEmpty() else edges.select("conv_id", "turn", F.col("turn").alias("order_turn"), F.lit(0).cast("long").alias("order_level"))
     answered = linked.select("conv_id", F.col("call_turn").alias("turn"), "id").distinct()
     ends = linked.select("conv_id", "turn", "id").distinct().unionByName(answered).groupBy("conv_id", "turn").agg(F.count("*").alias("n_linked"))

@@ -548,6 +548,16 @@ def test_long_chains_of_calls(spark):
     assert got == {(c, t): (t, -1 if c == 2 and t < 4 else 0) for c, t, _, _ in rows}
 
 
+def test_chains_against_their_turns(spark):
+    """A chain of 500 calls in reversed order takes its order in a few rounds, beside one that ends in a circle."""
+    n = 500
+    edges = [(1, t + 1, t) for t in range(n)] + [(2, t, t + 1) for t in range(50)] + [(3, 1, 0), (3, 0, 1), (3, 1, 2), (3, 2, 3)]
+    got = {(r["conv_id"], r["turn"]): (r["order_turn"], r["order_level"]) for r in tool_calls._ordered(spark.createDataFrame(edges, "conv_id long, before long, turn long")).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1} == {(1, t): (n, n - t) for t in range(n + 1)}
+    assert not [k for k in got if k[0] == 2]  # in the order of its turns
+    assert [got[3, t] for t in range(4)] == [(0, -1), (1, -1), (2, 0), (3, 0)]
+
+
 def test_order_of_random_dependencies(spark):
     """Places against longest paths by brute force, with backward dependencies and cycles."""
     rng = random.Random(11)
@@ -566,7 +576,8 @@ def test_order_of_random_dependencies(spark):
         for n in range(len(before)):
             level |= {t: n for t in [t for t in before if t not in level and all(b in level or turn[b] < turn[t] for b in before[t])]}
         want |= {(c, t): (turn[t], level[t]) if t in level else (t, -1) for t in before}
-    assert got == want and {-1, 0, 1, 2} <= {n for _, n in got.values()}
+    # conversations in the order of their turns have no place to change
+    assert {k: got.get(k, (k[1], 0)) for k in want} == want and set(got) <= set(want) and {-1, 0, 1, 2} <= {n for _, n in got.values()}
 
 
 ASSIGN = re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")

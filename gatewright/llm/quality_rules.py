@@ -180,12 +180,13 @@ def judged(docs: DataFrame, options: QualityOptions = QualityOptions(), keep: li
         return within(within(cleaned, named), lambda v: F.struct(v.alias("v"), (~v["base_failed"] & (v["lost_chars"] * 100 <= v["word_chars"] * options.most_lost)).alias("kept")))
 
     texts = within(spaced(text), lambda s: F.struct(words_in(s).alias("w"), lines.alias("l"), text.alias("t"), s.alias("s")))
-    # one column holds the whole judgement, so a filter on it does the work once;
+    # one column holds the whole judgement, and it comes from a generator of one row, behind
+    # which filters stay, so that a filter on it does not judge the text a second time;
     # internal names cannot clash with carried columns: those are wrapped in one struct
     done = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         *([F.struct(*carried).alias("_carried")] if carried else []),
-        within(texts, lambda x: within(counts(x), verdict)).alias("f"),
+        F.explode(F.array(within(texts, lambda x: within(counts(x), verdict)))).alias("f"),
     )
     return done.select("doc_id", *(["_carried"] if carried else []), "f.v.*", "f.kept")
 

@@ -171,19 +171,31 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
         table[:] = 0
         mean = (y.sum() + 0.5) / (len(y) + 1)
         return ToxicityModel(options, table, layer, np.log(mean / (1 - mean)), gate)
-    rows = [lower_words(text) for text in texts]
-    names = sorted(set().union(*rows))
+    # one text's words at a time: what is kept of a text are its distinct words' numbers and counts
+    number: dict[bytes, int] = {}
+    bags = []
+    for text in texts:
+        codes = np.fromiter((number.setdefault(w, len(number)) for w in lower_words(text)), dtype=np.int32)
+        bags.append(np.unique(codes, return_counts=True))
+    names = list(number)
+    del number
     if not names:
         return ToxicityModel(options, table, layer, 0.0, gate)
-    number = {w: i for i, w in enumerate(names)}
+    parts = []
+    for i in range(0, len(names), 10_000):
+        buckets, counts = gram_buckets(names[i : i + 10_000], options)
+        parts.append((buckets.astype(np.int32), counts))
+    flat, size = np.concatenate([f for f, _ in parts]), np.concatenate([c for _, c in parts])
+    del parts, names
     # training sees only the buckets that its words use, numbered without gaps
-    flat, size = gram_buckets(names, options)
-    seen, flat = np.unique(flat, return_inverse=True)
+    seen = np.flatnonzero(np.bincount(flat, minlength=options.buckets))
+    place = np.zeros(options.buckets, dtype=np.int32)
+    place[seen] = np.arange(len(seen), dtype=np.int32)
+    flat = place[flat]
     whole, table = table, table[seen]
     begin = np.concatenate([[0], np.cumsum(size)])
-    bags = [np.unique(np.array([number[w] for w in r], dtype=np.int64), return_counts=True) for r in rows]
-    held = rng.random(len(rows)) < 0.25
-    order = np.array([i for i in np.flatnonzero(~held) if len(rows[i])], dtype=np.int64)
+    held = rng.random(len(bags)) < 0.25
+    order = np.array([i for i in np.flatnonzero(~held) if len(bags[i][0])], dtype=np.int64)
     rate_of = np.clip(y[order].mean(), 1e-3, 1 - 1e-3) if len(order) else 0.5
     weight = np.where(y == 1, 0.5 / rate_of, 0.5 / (1 - rate_of))
 
@@ -240,7 +252,7 @@ def train(texts: list[str], labels: list[int], options: ToxicityOptions = Toxici
     whole[seen] = table
     model = ToxicityModel(options, whole, layer, bias[1] - bias[0], gate)
     at = np.flatnonzero(held) if len(set(y[held])) == 2 else np.arange(len(y))
-    logits = model.logits([rows[i] for i in at])
+    logits = np.concatenate([model.logits([lower_words(texts[i])]) for i in at])
     model.calibration = _logistic(logits, y[at])
     model.blank = float(np.median(logits[y[at] == 0]))
     model.words.clear()

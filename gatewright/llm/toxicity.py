@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, lower_words
+from .common import lower_words
 
 
 @dataclass(frozen=True)
@@ -61,7 +61,7 @@ def gram_buckets(words: list[bytes], options: ToxicityOptions) -> tuple[np.ndarr
     left = np.repeat(np.cumsum(size), size) - np.arange(len(points))  # code points from here to the word's end
     found, of = [], []
     rolled = np.zeros(len(points), dtype=np.uint64)
-    for n in range(1, options.longest + 1):
+    for n in range(1, min(options.longest, len(points)) + 1):
         ahead = np.zeros(len(points), dtype=np.uint64)
         ahead[: len(points) - n + 1] = points[n - 1 :]
         rolled = rolled * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(n)
@@ -264,9 +264,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
     """Whole labelled texts outside the held-out remainder, in the order of a hash of the id.
 
     The remainder is that of the CRC-32 of the id as text. At most ``rows`` rows are taken,
-    and fewer where their texts exceed ``most_bytes`` together; no text is cut. Rows without
-    id, label or text are left out; of several labels or texts for one id the least counts.
-    Only ids cross the network before the sample is chosen.
+    and fewer where their texts exceed ``most_bytes`` together; no text is cut, and one that
+    exceeds them alone is passed over. Rows without id, label or text are left out; of several
+    labels for one id the least counts, of several texts the shortest. Only ids, lengths and
+    hashes cross the network before the sample is chosen.
     """
     own = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col(column).cast("int").alias("_label"))
     chosen = (
@@ -278,17 +279,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, modulus: in
         .orderBy("_order", "_id")
         .limit(rows)
     )
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("_text")).where("_text is not null")
-    # at most ``rows`` rows of three numbers: the bound that makes this side safe to broadcast
-    found = checkpointed(texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_order").agg(F.min("_text").alias("_text"), F.min("_label").alias("_label")))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), text.alias("_text"), F.octet_length(text).alias("_bytes"), F.xxhash64(text).alias("_hash")).where("_text is not null")
+    # at most ``rows`` rows of a few numbers on this side: the bound that makes it safe to broadcast
+    sizes = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "_order", "_label").agg(F.min(F.struct("_bytes", "_hash")).alias("m")).select("_id", "_order", "_label", "m.*")
     taken, size = [], 0
-    for r in sorted(found.select("_id", "_order", F.octet_length("_text").alias("n")).collect(), key=lambda r: (r["_order"], r["_id"])):
-        size += r["n"]
-        if taken and size > most_bytes:
+    for r in sorted(sizes.where(F.col("_bytes") <= most_bytes).collect(), key=lambda r: (r["_order"], r["_id"])):
+        size += r["_bytes"]
+        if size > most_bytes:
             break
-        taken.append(r["_id"])
-    got = sorted(found.where(F.col("_id").isin(taken)).collect(), key=lambda r: (r["_order"], r["_id"])) if taken else []
-    return [r["_text"] for r in got], [r["_label"] for r in got]
+        taken.append(r)
+    if not taken:
+        return [], []
+    # the texts themselves are read only once it is known that they fit
+    wanted = docs.sparkSession.createDataFrame(taken, "_id long, _order long, _label int, _bytes int, _hash long")
+    got = {r["_id"]: r["_text"] for r in texts.join(F.broadcast(wanted), ["_id", "_bytes", "_hash"]).groupBy("_id").agg(F.min("_text").alias("_text")).collect()}
+    return [got[r["_id"]] for r in taken], [r["_label"] for r in taken]
 
 
 def held_out(modulus: int, remainder: int):

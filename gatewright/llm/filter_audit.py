@@ -42,6 +42,8 @@ class AuditOptions:
     symbols: str = "#$%&*|"
     #: Bytes of texts that a task settles among themselves before it sends one of each.
     block_bytes: int = 32 << 20
+    #: Bytes of texts, before they are compressed, that one partition keeps in chains, about.
+    task_bytes: int = 64 << 20
 
 
 _CAPITALS = bytes(range(65, 91))
@@ -164,8 +166,9 @@ def masked(docs: DataFrame, options: AuditOptions = AuditOptions()) -> DataFrame
             yield from documents
 
     chosen = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce(F.col("text").cast("string"), F.lit(""))).rdd
-    # as many partitions as the input has: a partition's texts are as many bytes as one of the input, at any size
-    tasks = max(chosen.getNumPartitions(), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    # the bytes of all texts decide on how many partitions keep them, so a partition's chains stay as small at any size
+    size = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    tasks = max(-(-size // options.task_bytes), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows: RDD = chosen.mapPartitions(settled).partitionBy(tasks, lambda route: route & 0x7FFFFFFFFFFFFFFF).mapPartitions(routed)
     return docs.sparkSession.createDataFrame(rows, "doc_id long, part string, mask int, n long", verifySchema=False)
 

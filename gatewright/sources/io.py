@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,9 +104,35 @@ def ascii_json(value: Column) -> Column:
     return F.when(text.rlike("^\\p{ASCII}*$"), text).otherwise(F.array_join(F.transform(F.split(text, ""), one), ""))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def _at(spark: SparkSession, path: str) -> tuple:
+    """A path and its file system, whatever store it names."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at, system = _at(spark, path)
+    return system.exists(at)
+
+
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is missing."""
+    at, system = _at(spark, path)
+    return [s.getPath().getName() for s in system.listStatus(at)] if system.exists(at) else []
+
+
+def write_once(spark: SparkSession, text: str, path: str) -> None:
+    """A small file that is there whole or not at all: written beside its place and renamed; an error if it exists."""
+    at, system = _at(spark, path)
+    beside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{at.getParent()}/_{uuid.uuid4().hex}")
+    out = system.create(beside, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if system.exists(at) or not system.rename(beside, at):
+        system.delete(beside, False)
+        raise FileExistsError(path)
 
 
 def read_document(spark: SparkSession, path: str) -> DataFrame:
@@ -130,11 +157,7 @@ def read_pulls(spark: SparkSession, path: str, most: int | None = None) -> DataF
 
 def versions(spark: SparkSession, path: str) -> list[str]:
     """Versions that ``write_version`` has left in a folder, numbers in their order, the latest last."""
-    if not _exists(spark, path):
-        return []
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    names = (s.getPath().getName() for s in at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at))
-    found = [m[1] for m in (re.fullmatch(r"version=(.+)", n) for n in names) if m]
+    found = [m[1] for m in (re.fullmatch(r"version=(.+)", n) for n in list_names(spark, path)) if m]
     return sorted(found, key=lambda v: [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", v) if x])
 
 
@@ -148,8 +171,8 @@ def read_latest(spark: SparkSession, path: str) -> DataFrame:
 
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A report's text as one file, written anew through the file system of ``path``."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    at, system = _at(spark, path)
+    out = system.create(at, True)
     try:
         out.write(bytearray(text.encode("utf-8")))
     finally:

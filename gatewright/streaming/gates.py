@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from .exactly_once import run_folder
+
 EVENTS = T.StructType(
     [T.StructField(n, t) for n, t in (("event_id", T.LongType()), ("ts", T.TimestampType()), ("user_id", T.LongType()), ("event_type", T.StringType()), ("value", T.DoubleType()), ("props", T.StringType()))]
 )
@@ -39,8 +41,7 @@ def read_events(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(EVENTS).parquet(folder)
 
 
-def resumable(df: DataFrame, folder: str, checkpoint: str, fresh: bool = False) -> StreamingQuery:
-    """Everything available, appended as Parquet; a rerun goes on behind the last commit, ``fresh`` starts anew elsewhere."""
-    if fresh:
-        folder, checkpoint = f"{folder}-fresh", f"{checkpoint}-fresh"
-    return df.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def resumable(df: DataFrame, folder: str, resume: str = "auto") -> StreamingQuery:
+    """Everything available, appended as Parquet to the run that ``resume`` names, ``auto`` or ``fresh``; a rerun goes on behind its last commit."""
+    run = run_folder(df.sparkSession, folder, resume)
+    return df.writeStream.format("parquet").option("path", f"{run}/rows").option("checkpointLocation", f"{run}/checkpoint").trigger(availableNow=True).start()

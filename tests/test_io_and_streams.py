@@ -5,7 +5,7 @@ import pytest
 from gatewright.operators import confusion
 from gatewright.sources import io
 from gatewright.sources.adapters import results
-from gatewright.streaming import gates
+from gatewright.streaming import exactly_once, gates
 
 SF = "/root/testdata/sf0.001"
 
@@ -45,9 +45,10 @@ def test_stream_equals_batch(spark, tmp_path):
 
 
 def test_resume(spark, tmp_path):
-    source, out, at = (str(tmp_path / n) for n in ("in", "out", "at"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
     events = spark.read.parquet(f"{SF}/events.parquet")
     events.limit(10).coalesce(1).write.parquet(source)
-    for n in (10, 10):
-        gates.resumable(gates.read_events(spark, source), out, at).awaitTermination()
-        assert spark.read.parquet(out).count() == n
+    for resume, n_runs in (("auto", 1), ("auto", 1), ("fresh", 2), ("fresh", 3)):
+        gates.resumable(gates.read_events(spark, source), out, resume).awaitTermination()
+        assert exactly_once.runs(spark, out) == list(range(n_runs))
+        assert spark.read.parquet(f"{out}/run={n_runs - 1}/rows").count() == 10

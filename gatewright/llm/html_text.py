@@ -4,7 +4,7 @@ A page becomes a list of text blocks, each with the evidence of its markup. Elem
 name themselves as menu, advert, form, comment and the like are dropped by it. What it
 does not settle is decided by repetition: the token streams of a host's pages are
 concatenated and sorted into a suffix array, long substrings that occur on several pages
-are marked, and blocks that such substrings cover are boilerplate. This holds for all
+are marked and taken out, and what is unique between them stays. This holds for all
 blocks outside the article, on pages with one and without, and for the parts of an
 article that stand in an element with a class, an id or a role of their own (share bars,
 "read more" lines, sign-offs). Plain paragraphs of the article are the page's own text, so
@@ -27,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -55,10 +55,14 @@ TASK_PAGES = 1024
 #: Groups of a host whose substrings one task adds up, about; a larger host has more such tasks.
 BUCKET_GROUPS = 16
 
+#: Of these, the words for what readers write; such a part may be longer than the page's own text.
+COMMENTS = frozenset("comment comments disqus replies reply respond".split())
+#: First words of a class that says what a page has or lacks, not what an element is.
+STATES = frozenset("has no not with without".split())
+
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
-_MARKED = re.compile(r"\b(?:class|id|role)\s*=", re.IGNORECASE)
-_SPACE = re.compile(r"[ \t\n\r\f\v ]+")
+_ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_SPACE = re.compile(r"\s+")
 
 
 @dataclass(frozen=True)
@@ -69,54 +73,126 @@ class ExtractionOptions:
     least_tokens: int = 6
     #: Pages that it occurs on at least.
     least_pages: int = 3
-    #: Share of a block's tokens that repeated substrings cover if it is boilerplate.
-    covered: float = 0.8
 
 
-def _named(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes; ``inside``: within the article, whose header is its own."""
-    if name in CHROME or (name == "header" and not inside):
-        return True
-    if not attributes:
-        return False
-    for key, *values in _ATTRIBUTE.findall(attributes):
-        key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id") and (HINTS - {"header"} if inside else HINTS).intersection(re.split(r"[^a-z]+", value)):
-            return True
-        if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-    return False
+#: How an element says that it is boilerplate: not at all; by words that are part of a longer name; by a name or role of its own; by its element or by being hidden.
+PLAIN, PARTLY, NAMED, HARD = range(4)
+
+
+def attributes_of(tag: str) -> dict[str, str]:
+    """Lower-case names and values of a tag's attributes, the first of each name; one without a value has the empty one."""
+    out: dict[str, str] = {}
+    for name, *values in _ATTRIBUTE.findall(tag):
+        out.setdefault(name.lower(), "".join(values))
+    return out
+
+
+def _sign(name: str, attributes: dict[str, str], inside: bool) -> tuple[int, bool]:
+    """What an element says of itself, and whether it speaks of readers' comments; ``inside``: within the article, whose header is its own."""
+    if name in CHROME or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", attributes.get("style", ""), re.IGNORECASE):
+        return HARD, False
+    sign, comments = PLAIN, False
+    if (name == "header" and not inside) or attributes.get("role", "").lower() in ROLES:
+        sign = NAMED
+    for token in (*attributes.get("class", "").lower().split(), attributes.get("id", "").lower()):
+        words = {w for w in re.split(r"[^a-z]+", token) if w}
+        named = words & (HINTS - {"header"} if inside else HINTS)
+        if named and re.match("[a-z]*", token)[0] not in STATES:
+            sign = max(sign, NAMED if named == words else PARTLY)
+            comments |= not COMMENTS.isdisjoint(named)
+    return sign, comments
+
+
+class _Element:
+    """An open element: its candidates for boilerplate and articles are linked, so that only these are walked."""
+
+    __slots__ = ("name", "sign", "comments", "is_article", "is_form", "marked", "above", "closed", "article_at", "size", "cleared")
+
+    def __init__(self, name: str, above: _Element | None) -> None:
+        self.name, self.above = name, above
+        self.sign, self.comments, self.is_article, self.is_form, self.marked = PLAIN, False, False, False, False
+        self.closed, self.cleared = False, False
+        #: Number of the block at which the first article within begins.
+        self.article_at: int | None = None
+        #: Characters within.
+        self.size = 0
+
+    def upward(self) -> Iterator[_Element]:
+        at: _Element | None = self
+        while at is not None:
+            yield at
+            at = at.above
+
+    def drops(self, block: int) -> bool:
+        """Whether it takes a block out; an unclosed element ends where an article begins."""
+        return self.sign != PLAIN and not self.is_form and not self.cleared and (self.closed or self.article_at is None or block < self.article_at)
+
+
+def _clear(elements: list[_Element], total: int) -> None:
+    """Clears elements that bear a name of boilerplate, but hold the article or, if the name is part of a longer one, most of the text.
+
+    The article is the largest one outside of anything that is boilerplate by name, or else
+    the largest that is not named so itself.
+    """
+    articles = [e for e in elements if e.is_article and e.size and e.sign < NAMED]
+    hidden = lambda e, least: any(o.sign >= least and (o.closed or o.is_article) for o in e.upward() if o is not e)
+    free = [e for e in articles if not hidden(e, NAMED)] or [e for e in articles if not hidden(e, HARD)]
+    best = max(free, key=lambda e: e.size, default=None)
+    if best is not None:
+        for e in best.upward():
+            e.cleared = e.sign in (PARTLY, NAMED)
+    for e in elements:
+        if e.sign == PARTLY and not e.comments and e.size * 2 > (total if best is None else best.size) and (best is None or best in e.upward()):
+            e.cleared = True
 
 
 def blocks_of(page: str | None) -> list[tuple[str, int]]:
     """(text, kind) of a page's blocks in order.
 
     Kind 0: not settled by markup; 1: plain text of the article; 2: boilerplate by markup.
-    Character references are decoded, white space is one space. Unclosed elements end with
-    the page; an end tag without its start is ignored. A form counts as boilerplate, but not
-    one that is put round the article, nor one that holds most text of a page without any.
+    Character references are decoded, white space of any kind is one space. An end tag
+    without its start is ignored. An unclosed element ends with the element around it, and
+    one of boilerplate where an article begins. An element that is boilerplate only by its
+    class, id or role is kept if it holds the article; one whose class or id has such a word
+    as a part (``search-page``) is kept, too, if it holds most of the text. Classes that begin
+    with has, no, not, with or without say nothing. A form counts as boilerplate, but not one
+    that is put round the article, nor one that holds most text of a page without any.
     """
-    out: list[tuple[str, int]] = []
     if not page:
-        return out
-    # name, whether it is boilerplate, a form outside the article, the article, marked within the article
-    stack: list[tuple[str, bool, bool, bool, bool]] = []
-    chrome = form = article = marked = 0
-    parts: list[str] = []
+        return []
+    root = _Element("", None)
+    # (element, its nearest candidate or article) of what is open, and all candidates and articles
+    stack: list[tuple[_Element, _Element]] = [(root, root)]
+    linked: list[_Element] = []
+    blocks: list[list[tuple[str, _Element, bool, bool]]] = []
+    pieces: list[tuple[str, _Element, bool, bool]] = []
+    articles = marks = 0
+
+    def text(raw: str) -> None:
+        if raw:
+            pieces.append((raw, stack[-1][1], articles > 0, marks > 0))
 
     def flush() -> None:
-        text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
-        parts.clear()
-        if text:
-            out.append((text, 2 if chrome else (0 if marked else 1) if article else 3 if form else 0))
+        if pieces:
+            blocks.append(pieces.copy())
+            pieces.clear()
+
+    def leave(n: int, name: str) -> None:
+        """Ends the innermost ``n`` elements; the outermost of them by its own end tag if it is ``name``."""
+        nonlocal articles, marks
+        for i, (e, _) in enumerate(stack[-n:]):
+            e.closed = i == 0 and e.name == name
+            articles -= e.is_article
+            marks -= e.marked
+        del stack[-n:]
 
     at, end = 0, len(page)
     while at < end:
         m = _MARKUP.search(page, at)
         if m is None:
-            parts.append(page[at:])
+            text(page[at:])
             break
-        parts.append(page[at : m.start()])
+        text(page[at : m.start()])
         at = m.end()
         if m[1] is None:
             continue
@@ -124,45 +200,54 @@ def blocks_of(page: str | None) -> list[tuple[str, int]]:
         if name in BLOCK or name in RAW:
             flush()
         if closing:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            found = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0].name == name), None)
             if found is not None:
-                for _, was_chrome, was_form, was_article, was_marked in stack[found:]:
-                    chrome -= was_chrome
-                    form -= was_form
-                    article -= was_article
-                    marked -= was_marked
-                del stack[found:]
+                leave(len(stack) - found, name)
         elif name in RAW:
             # a closing tag ends raw text; without one the rest of the page is raw, but for a head, which the body ends
             stop = re.compile(rf"</{re.escape(name)}\s*>" + (r"|(?=<body\b)" if name == "head" else ""), re.IGNORECASE).search(page, at)
             at = stop.end() if stop else end
         elif name not in VOID and not m[0].endswith("/>"):
-            is_article = name in ("article", "main")
-            is_chrome = _named(name, m[2], article > 0)
-            if name in ("html", "body"):
-                is_chrome = False
-            is_form = name == "form" and is_chrome and not article
-            is_chrome = is_chrome and not is_form
-            is_marked = article > 0 and not is_article and name in BLOCK and _MARKED.search(m[2]) is not None
-            if name == "p" and stack and stack[-1][0] == "p":
-                marked -= stack.pop()[4]
-            stack.append((name, is_chrome, is_form, is_article, is_marked))
-            chrome += is_chrome
-            form += is_form
-            article += is_article
-            marked += is_marked
+            if name == "p" and stack[-1][0].name == "p":
+                leave(1, "p")
+            e = _Element(name, stack[-1][1])
+            attributes = attributes_of(m[2]) if m[2] else {}
+            e.is_article = name in ("article", "main")
+            if name not in ("html", "body"):
+                e.sign, e.comments = _sign(name, attributes, articles > 0)
+            e.is_form = name == "form" and not articles
+            e.marked = articles > 0 and not e.is_article and name in BLOCK and not attributes.keys().isdisjoint(("class", "id", "role"))
+            if e.is_article:
+                for o in e.above.upward():
+                    o.article_at = len(blocks) if o.article_at is None else o.article_at
+            link = e if e.sign != PLAIN or e.is_article else e.above
+            if link is e:
+                linked.append(e)
+            stack.append((e, link))
+            articles += e.is_article
+            marks += e.marked
     flush()
+    total = 0
+    for block in blocks:
+        for raw, link, _, _ in block:
+            n = len(raw.strip())
+            total += n
+            for e in link.upward():
+                e.size += n
+    _clear(linked, total)
+    out: list[tuple[str, int]] = []
+    for i, block in enumerate(blocks):
+        kept = [p for p in block if not any(e.drops(i) for e in p[1].upward())]
+        shown = _SPACE.sub(" ", html.unescape("".join(raw for raw, *_ in kept or block))).strip()
+        if shown:
+            inside, marked = any(p[2] for p in kept), any(p[3] for p in kept)
+            form = any(e.is_form for p in kept for e in p[1].upward())
+            out.append((shown, 2 if not kept else (0 if marked else 1) if inside else 3 if form else 0))
     sizes = [sum(len(t) for t, kind in out if kind == k) for k in range(4)]
     formed = 0 if not sizes[1] and sizes[3] > sizes[0] else 2
     return [(t, formed if kind == 3 else kind) for t, kind in out]
 
 
-def host_of(url: str | None) -> str:
-    """Lower-case host of a URL without user, port and leading ``www.``; empty if there is none."""
-    m = re.match(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", url or "")
-    return re.sub(r"^www\.", "", m[1].lower()) if m else ""
-
-
 def suffix_array(tokens: np.ndarray, most: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """Suffix array of ``tokens`` by prefix doubling, and the ranks by the first 1, 2, 4, ... up to ``most`` tokens."""
     n = len(tokens)
@@ -223,6 +308,21 @@ def covered_tokens(starts: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge)[:n] > 0
 
 
+def long_stretches(marked: np.ndarray, least: int) -> np.ndarray:
+    """``marked`` tokens of one block without stretches of fewer than ``least``, unless all tokens are marked.
+
+    A repeated substring may run on over the next blocks, whose first words are their own.
+    """
+    if marked.all():
+        return marked
+    edges = np.diff(np.concatenate([[0], marked.astype(np.int8), [0]]))
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    out = np.zeros(len(marked), dtype=bool)
+    for a, b in zip(starts, ends):
+        out[a:b] = b - a >= least
+    return out
+
+
 def repeated_tokens(tokens: np.ndarray, page: np.ndarray, options: ExtractionOptions) -> np.ndarray:
     """Which tokens lie in a substring of ``least_tokens`` that occurs on ``least_pages`` distinct pages."""
     if len(tokens) <= options.least_tokens:
@@ -293,13 +393,16 @@ def main_texts(pages: list[list[tuple[str, int]]], options: ExtractionOptions, r
     else:
         hashes, whole = stream.hashes(options.least_tokens)
         repeats = covered_tokens(whole & np.isin(hashes, repeated), options.least_tokens)
-    sums = np.concatenate([[0], np.cumsum(repeats)])
     out = []
     for parts, at in zip(pages, stream.spans):
         kept = []
         for (text, kind), (s, e) in zip(parts, at):
-            if kind == 1 or (kind == 0 and sums[e] - sums[s] < options.covered * (e - s)):
+            if kind == 1 or (kind == 0 and not repeats[s:e].any()):
                 kept.append(text)
+            elif kind == 0:
+                # the covered stretches go, the unique ones between them stay
+                again = long_stretches(repeats[s:e], options.least_tokens)
+                kept += [w for w, gone in zip(text.split(" "), again.tolist()) if not gone]
         out.append(" ".join(kept))
     return out
 
@@ -314,12 +417,12 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
             part = batch.slice(i, 500)
-            found = [blocks_of(h.as_py()) for h in part.column(2)]
+            found = [blocks_of(h.as_py()) for h in part.column(3)]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
                     part.column(1),
-                    pa.array([host_of(u.as_py()) for u in part.column(1)], pa.string()),
+                    part.column(2),
                     pa.array([[t for t, _ in f] for f in found], pa.list_(pa.string())),
                     pa.array([[k for _, k in f] for f in found], pa.list_(pa.int32())),
                     pa.array(range(at, at + part.num_rows), pa.int64()),
@@ -329,20 +432,26 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += part.num_rows
 
 
+def host_of(url: Column) -> Column:
+    """Lower-case host of a URL without user, port and leading ``www.``; empty if there is none."""
+    return F.regexp_replace(F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), "^www\\.", "")
+
+
 def extract(pages: DataFrame, options: ExtractionOptions = ExtractionOptions()) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages`` (page_id, url, html).
 
     The whole of each page is read. Null, empty and text-free pages give an empty text;
     n_chars counts code points. Pages without a host in their URL, null URLs among them,
-    share one empty host. A null page_id stays null; rows that repeat are returned as
+    share one empty host. Repetition is seen from ``least_pages`` pages of a host on; on a host
+    with fewer, markup alone decides. A null page_id stays null; rows that repeat are returned as
     often as they occur, and count as distinct pages. An empty table gives no rows. Other
     columns are not read.
     """
-    source = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    url = F.col("url").cast("string")
+    source = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
     parsed = source.mapInArrow(_parse, _PARSED)
-    host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), "^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), "^www\\.", "")
     # hosts of more than one group only: far fewer than pages, and the join's side is chosen by its measured size
-    sizes = written(source.groupBy(host.alias("big_host")).agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > options.group_bytes))
+    sizes = written(source.groupBy(F.col("host").alias("big_host")).agg(F.sum(F.octet_length("html")).alias("bytes")).where(F.col("bytes") > options.group_bytes))
     groups = F.ceil(F.coalesce("bytes", F.lit(1)) / F.lit(options.group_bytes)).cast("long")
     dealt = parsed.join(sizes, parsed.host == F.col("big_host"), "left").withColumn("groups", groups).withColumn("part", F.pmod(F.xxhash64("page_id", "url", "at"), "groups")).drop("big_host", "bytes", "at")
 

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import json
 import math
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -19,6 +21,12 @@ RNG = random.Random(3)
 VOCABULARY = [f"w{i}" for i in range(60)] + ["été", "größe", "naïve", "ÀB", "x|y", "###"]
 
 
+@pytest.fixture(autouse=True)
+def own_generator():
+    """Each test draws the same numbers whatever ran before it."""
+    RNG.seed(3)
+
+
 def prose(n):
     return " ".join(RNG.choice(VOCABULARY) for _ in range(n))
 
@@ -317,30 +325,131 @@ def brute_texts(pages, options):
     for parts, hit in zip(pages, brute_repeats(pages, options)):
         at, kept = 0, []
         for text, kind in parts:
-            size = 0 if kind == 1 else len(text.split(" "))
-            if kind == 1 or (kind == 0 and sum(hit[at : at + size]) < options.covered * size):
+            words = [] if kind == 1 else text.split(" ")
+            if kind == 1:
                 kept.append(text)
-            at += size
+            elif kind == 0:
+                mine = hit[at : at + len(words)]
+                for again, part in itertools.groupby(zip(mine, words), key=lambda x: x[0]):
+                    part = [w for _, w in part]
+                    kept += [] if again and (len(part) >= options.least_tokens or all(mine)) else part
+            at += len(words)
         out.append(" ".join(kept))
     return out
 
 
+class PlainPage(HTMLParser):
+    """Blocks of a well-formed page by Python's own parser: what stands in an article, in boilerplate, or in neither."""
+
+    def __init__(self, page):
+        super().__init__(convert_charrefs=True)
+        self.open, self.blocks, self.text = [], [], ""
+        self.feed(page or "")
+        self.close()
+        self.end()
+
+    def end(self):
+        text = " ".join(self.text.split())
+        self.text = ""
+        if text:
+            names = [n for n, _ in self.open]
+            dropped = any(d for _, d in self.open)
+            self.blocks.append((text, 2 if dropped else 1 if "article" in names or "main" in names else 0))
+
+    def handle_starttag(self, tag, attrs):
+        if tag in html_text.BLOCK | html_text.RAW:
+            self.end()
+        if tag in html_text.VOID:
+            return
+        inside = any(n in ("article", "main") for n, _ in self.open)
+        said = dict(attrs)
+        words = set(re.findall("[a-z]+", f"{said.get('class') or ''} {said.get('id') or ''}"))
+        dropped = tag in html_text.CHROME or (tag == "header" and not inside) or bool(words & (html_text.HINTS - {"header"} if inside else html_text.HINTS)) or said.get("role") in html_text.ROLES
+        self.open.append((tag, dropped and tag not in ("html", "body")))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCK | html_text.RAW:
+            self.end()
+        if tag in [n for n, _ in self.open]:
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if not any(n in html_text.RAW for n, _ in self.open):
+            self.text += data
+
+
+def plain_host(url):
+    from urllib.parse import urlsplit
+
+    return (urlsplit(url or "").hostname or "").removeprefix("www.")
+
+
 @pytest.mark.parametrize("group_bytes", [1 << 20, 30_000])
 def test_html_query_against_brute_force(spark, group_bytes):
     """The driver's pages, and the same pages with their elements renamed so that only repetition can tell."""
     rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()
-    footer = "<div>All articles of this site are written by hand and checked twice</div>"
-    bare = [(r["page_id"], "http://one.example/" + str(r["page_id"]), (r["html"] or "").replace("article>", "div>").replace("</body>", footer + "</body>")) for r in rows]
+    footer = "<div>All articles of this site are written by hand and checked twice by {}</div>"
+    bare = [(r["page_id"], "http://one.example/" + str(r["page_id"]), (r["html"] or "").replace("article>", "div>").replace("</body>", footer.format(f"person{r['page_id']}") + "</body>")) for r in rows]
     options = html_text.ExtractionOptions(group_bytes=group_bytes)
     for table in ([(r["page_id"], r["url"], r["html"]) for r in rows], bare):
         hosts = collections.defaultdict(list)
         for i, url, page in table:
-            hosts[html_text.host_of(url)].append((i, html_text.blocks_of(page)))
+            hosts[plain_host(url)].append((i, PlainPage(page).blocks))
         want = {i: text for found in hosts.values() for (i, _), text in zip(found, brute_texts([b for _, b in found], options))}
         got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(table, "page_id long, url string, html string"), options).collect()}
         assert got == want
-    blind = {i: " ".join(t for t, kind in html_text.blocks_of(page) if kind < 2) for i, _, page in bare}
+    blind = {i: " ".join(t for t, kind in PlainPage(page).blocks if kind < 2) for i, _, page in bare}
     assert sum(got[i] != blind[i] for i in got) >= 0.9 * len(got)  # without the suffix array the pages keep their footer
+    assert all(got[i].endswith(f"person{i}") for i, _, page in bare if footer[:20] in page)  # what is unique in the repeated footer stays
+
+
+def test_html_unique_runs_stay():
+    """Covered stretches go from a block whatever share of it they are."""
+    line = "one two three four five six seven eight nine"
+    pages = [[(f"{line} own{i}", 0), (f"{line[:33]} a{i} b{i} c{i} d{i} e{i}", 0)] for i in range(4)]
+    assert html_text.main_texts(pages, html_text.ExtractionOptions()) == [f"own{i} a{i} b{i} c{i} d{i} e{i}" for i in range(4)]
+
+
+MAIN = "<p>Main words of the page that matter and go on for long.</p>"
+COMMENT = "<p>" + "what a reader says " * 40 + "</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="content has-sidebar"><article>{}</article></div>',
+        '<div id="search-results-page"><main>{}</main></div>',
+        '<div class="post no-sidebar"><main>{}</main></div>',
+        '<div title="Hidden gems">{}</div>',
+        '<div data-hidden="false">{}</div>',
+        '<div data-id="search" data-class="sidebar"><article>{}</article></div>',
+        "<aside>promo <article>{}</article>",
+        "<nav><ul><li>menu<div><main>{}</main></div>",
+        "<aside>promo<p>x</p></aside><article>{}</article>",
+        '<div class="banner"><article>{}</article></div>',
+        '<div role="dialog"><main>{}</main></div>',
+        '<div class="search-page">{}</div>',
+        '<article class="post no-comments">{}</article>',
+        "<article id='search-42'>{}<div class=comments>" + COMMENT + "</div></article>",
+        '<article>{}</article><section class="post-comments"><article class="comment">' + COMMENT + "</article></section>",
+        '<article>{}</article><section id="comments"><article>' + COMMENT + "</article></section>",
+        '<article>{}</article><div class="related-posts"><article>' + COMMENT + "</article></div>",
+        '<form class="search"><article>{}</article></form><form>find</form>',
+        '<article><span class="ad">buy</span>{}<div hidden>no</div><div style="color: red; DISPLAY : none">no</div></article>',
+        '<article><div class="social-layout">{}</div><div class="social-bar">tell</div></article>',
+        '<p class="ad" class="x">buy</p>{}<div class=skip title="a > b">skip</div>',
+    ],
+)
+def test_html_attributes_round_the_text(page):
+    kept = " ".join(t for t, kind in html_text.blocks_of(page.format(MAIN)) if kind < 2)
+    assert kept == MAIN[3:-4]
+
+
+def test_html_white_space_and_depth():
+    assert html_text.blocks_of("<p>a\u2003b\u3000\u00a0c&nbsp;&#x2003;d\x1ce</p>") == [("a b c d e", 0)]
+    assert html_text.blocks_of("<div>" * 20_000 + "deep") == [("deep", 0)]
+    assert html_text.blocks_of("<div class=ad>" * 3000 + "deep" + "<p>x" * 3000)[0] == ("deep", 2)
 
 
 def test_html_marked_parts_of_an_article(spark):
@@ -431,6 +540,53 @@ def test_toxicity(spark):
     assert model.word_score(b"idiiot") > model.word_score(b"w17")
 
 
+def plain_toxicity(model, text):
+    """A text's score from the model's tables alone, gram by gram and word by word."""
+    o, total, weights = model.options, 0.0, 0.0
+    found = words((text or "").translate({c: c + 32 for c in range(65, 91)}))
+    for word in found:
+        points, grams = [ord(c) for c in f"<{word}>"], []
+        for n in range(o.shortest, o.longest + 1):
+            for i in range(len(points) - n + 1):
+                h = 0
+                for k, c in enumerate(points[i : i + n], 1):
+                    h = (h * 0x9E3779B97F4A7C15 + c + k) % 2**64
+                h = (h ^ (h >> 31)) * 0xBF58476D1CE4E5B9 % 2**64
+                grams.append(model.grams[(h ^ (h >> 29)) % o.buckets].astype(float))
+        score, steep = np.mean(grams, axis=0)
+        weight = math.exp(min(max(steep, -o.steepest), o.steepest))
+        total, weights = total + weight * score, weights + weight
+    a, b = model.calibration
+    return 1 / (1 + math.exp(-(a * (model.bias + total / weights if found else model.blank) + b)))
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_toxicity_of_single_words(spark, seed):
+    """Words shorter than the longest n-gram: alone in a text, in a slice, in the table, and as the last training chunk."""
+    rng = random.Random(seed)
+    names = [f"{rng.choice('abcdefgh')}{i}" for i in range(40)]
+    texts = [" ".join(rng.choices(names, k=12)) + (" vile scum" if i % 3 == 0 else "") for i in range(90)]
+    for last in ("x", "ok", "yes", "ß", "日本", "𝔘"):
+        assert toxicity.gram_buckets([last.encode()], toxicity.ToxicityOptions())[1].tolist() == [sum(max(len(last) + 3 - n, 0) for n in (3, 4, 5, 6))]
+        model = toxicity.train([*texts, last], [*(int(i % 3 == 0) for i in range(90)), 0])
+        for t in ("", None, "a", "OK", "abc", last, f"{last} {last}", "Scum", texts[0], texts[1], "unseen wörds", "d" * 500):
+            assert model.scores([t])[0] == pytest.approx(plain_toxicity(model, t), abs=1e-6)
+    chunk = [f"w{i}" for i in range(10_000)]
+    toxicity.train([" ".join(chunk[:5000]), " ".join([*chunk[5000:], "z"])], [0, 1])
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    alone = spark.createDataFrame([(i, texts[i]) for i in range(90)] + [(1000, "k")], "doc_id long, text string").coalesce(1)
+    assert toxicity.score(alone, labels).count() == 91
+    assert toxicity.score(alone.where("doc_id = 1000"), labels).count() == 1
+
+
+def test_very_large_labelled_texts_stay_out_of_the_driver(spark):
+    docs = spark.createDataFrame([(i, "big " * 5000 if i < 5 else f"text {i}") for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    texts, _ = toxicity.labelled_sample(docs, labels, "toxic", 4, 2, 4000, 10_000)
+    ids = [i for i in range(20) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert sorted(texts) == sorted(f"text {i}" for i in ids if i >= 5)
+
+
 def test_toxicity_does_not_grow_with_length():
     """Clean texts joined stay clean, insults in a long text are found, ties and repeated rows score alike."""
     rng = random.Random(6)

@@ -431,7 +431,7 @@ COMMENT = "<p>" + "what a reader says " * 40 + "</p>"
         '<div role="dialog"><main>{}</main></div>',
         '<div class="search-page">{}</div>',
         '<article class="post no-comments">{}</article>',
-        "<article id='search-42'>{}<div class=comments>" + COMMENT + "</div></article>",
+        "<article id='search-42'>{}<div class=comments>what a reader says</div></article>",
         '<article>{}</article><section class="post-comments"><article class="comment">' + COMMENT + "</article></section>",
         '<article>{}</article><section id="comments"><article>' + COMMENT + "</article></section>",
         '<article>{}</article><div class="related-posts"><article>' + COMMENT + "</article></div>",

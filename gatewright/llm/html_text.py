@@ -131,14 +131,14 @@ class _Element:
 def _clear(elements: list[_Element], total: int) -> None:
     """Clears elements that bear a name of boilerplate, but hold the article or, if the name is part of a longer one, most of the text.
 
-    The article is the largest one outside of anything that is boilerplate by name, or else
-    the largest that is not named so itself, or one that is, but not for comments, and holds
-    most of the text.
+    The article is the largest one outside of anything named as boilerplate, if there is one,
+    even if that has the name as a part only. One that is named so itself counts only where
+    there is no other, if it is not for comments and holds most of the text.
     """
     articles = [e for e in elements if e.is_article and e.size]
     articles = [e for e in articles if e.sign < NAMED] or [e for e in articles if e.sign == NAMED and not e.comments and e.size * 2 > total]
     hidden = lambda e, least: any(o.sign >= least and (o.closed or o.is_article) for o in e.upward() if o is not e)
-    free = [e for e in articles if not hidden(e, NAMED)] or [e for e in articles if not hidden(e, HARD)]
+    free = next((f for least in (PARTLY, NAMED, HARD) if (f := [e for e in articles if not hidden(e, least)])), [])
     best = max(free, key=lambda e: e.size, default=None)
     if best is not None:
         for e in best.upward():

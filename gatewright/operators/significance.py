@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.gamma import chi_square_tail
 from ..functions.rates import count_where, is_true
 
 # The same p-values need the same limits and tolerance.
@@ -82,3 +83,24 @@ def mcnemar(results: DataFrame) -> DataFrame:
     """The contingency table with statistic, p-value, method and meaning; one row a pair reaches Python."""
     found = contingency(results).withColumn("t", tested("b", "c"))
     return found.select("first", "second", "a", "b", "c", "d", F.round("t.statistic", 4).alias("statistic"), F.round("t.p", 6).alias("p_value"), "t.method", (F.col("t.p") < 0.05).alias("significant"), meaning(F.col("t.p")).alias("evidence"))
+
+
+def cochran(results: DataFrame) -> DataFrame:
+    """Cochran's Q over all ``detectors`` at once: whether they are right equally often.
+
+    One row: n, how many detectors, how many samples they agree on, the statistic, its degrees
+    of freedom, p-value and meaning. Detectors that agree on every sample give 0 and 1. All of
+    it is one aggregation and column expressions.
+    """
+    gt, found = F.coalesce("gt_has_secret", F.lit(False)), detectors()
+    k = len(found)
+    right = [(p == gt).cast("long") for p in found.values()]
+    marked = results.select(*(r.alias(f"r{i}") for i, r in enumerate(right))).withColumn("l", sum((F.col(f"r{i}") for i in range(k)), F.lit(0)))
+    none = lambda c: F.coalesce(c, F.lit(0))
+    sums = marked.agg(F.count("*").alias("n"), none(F.count_if(F.col("l").isin(0, k))).alias("n_agreed"), none(F.sum("l")).alias("t"), none(F.sum(F.col("l") * F.col("l"))).alias("t2"), *(none(F.sum(f"r{i}")).alias(f"g{i}") for i in range(k)))
+    squares = sum((F.col(f"g{i}").cast("double") * F.col(f"g{i}") for i in range(k)), F.lit(0.0))
+    total = F.col("t").cast("double")
+    spread = k * total - F.col("t2")
+    q = F.when(spread > 0, (k - 1) * (k * squares - total * total) / spread).otherwise(0.0)
+    tested = sums.select("n", F.lit(k).alias("n_detectors"), "n_agreed", q.alias("q"), F.lit(k - 1).alias("df")).withColumn("p", chi_square_tail(F.col("q"), F.col("df")))
+    return tested.select("n", "n_detectors", "n_agreed", F.round("q", 4).alias("statistic"), "df", F.round("p", 6).alias("p_value"), (F.col("p") < 0.05).alias("significant"), meaning(F.col("p")).alias("evidence"))

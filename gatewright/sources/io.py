@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tempfile
 import uuid
 from functools import reduce
 
@@ -33,11 +34,37 @@ def read_lines(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCH
     return spark.read.json(path, schema=schema, mode="DROPMALFORMED")
 
 
-def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
-    """``read_array``, but a missing path is an empty table."""
+#: What a file of a tolerant scan turned out to be.
+SCAN_STATES = ("array", "not an array", "broken", "empty")
+
+
+def _parsed_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, value, state): whole files as VARIANT with the type of their top level; none for a missing path."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], schema)
-    return spark.read.json(path, schema=schema, multiLine=True, mode="DROPMALFORMED")
+        return spark.createDataFrame([], "path string, text string").select("path", F.try_parse_json("text").alias("value"), F.lit("empty").alias("state"))
+    files = read_files(spark, path).withColumn("value", F.try_parse_json("text"))
+    is_array = F.schema_of_variant("value").startswith("ARRAY<")
+    state = F.when(F.col("text").rlike(r"^\s*$"), "empty").when(F.col("value").isNull(), "broken").when(is_array, "array").otherwise("not an array")
+    return files.select("path", "value", state.alias("state"))
+
+
+def read_tolerant(spark: SparkSession, path: str, schema: T.StructType = SAMPLE_SCHEMA) -> DataFrame:
+    """The objects of files that hold a JSON array; anything else is an empty table.
+
+    A missing path, an empty or broken file, and one whose top level is an object or a scalar
+    give no rows; elements that are no objects are left out, unknown keys dropped, and values
+    that do not fit their column null. ``scan_report`` says which was which.
+    """
+    rows = _parsed_files(spark, path).where("state = 'array'").select(F.explode(F.try_variant_get("value", "$", "array<variant>")).alias("v")).where(F.schema_of_variant("v").startswith("OBJECT<"))
+    return rows.select(*(F.try_variant_get("v", f"$.{f.name}", f.dataType.simpleString()).alias(f.name) for f in schema))
+
+
+def scan_report(spark: SparkSession, path: str) -> DataFrame:
+    """(path, state, n_rows, n_left_out) of the files of a tolerant scan."""
+    elements = F.coalesce(F.try_variant_get("value", "$", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.size(F.filter(elements, lambda v: F.schema_of_variant(v).startswith("OBJECT<")))
+    is_array = F.col("state") == "array"
+    return _parsed_files(spark, path).select("path", "state", F.when(is_array, objects).otherwise(0).alias("n_rows"), F.when(is_array, F.size(elements) - objects).otherwise(0).alias("n_left_out"))
 
 
 def positives(samples: DataFrame) -> DataFrame:
@@ -161,6 +188,26 @@ def versions(spark: SparkSession, path: str) -> list[str]:
     return sorted(found, key=lambda v: [(0, int(x), "") if x.isdigit() else (1, 0, x) for x in re.split(r"(\d+)", v) if x])
 
 
+def read_text(spark: SparkSession, path: str) -> str:
+    """The text of one small file, through the file system of ``path``."""
+    at, system = _at(spark, path)
+    source = system.open(at)
+    try:
+        return bytes(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toByteArray(source)).decode("utf-8")
+    finally:
+        source.close()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """A new folder for tables between two steps: in ``spark.checkpoint.dir``, and only where that is unset, on one machine, a temporary one."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="gatewright-work-")
+    return f"{shared.rstrip('/')}/work-{uuid.uuid4().hex}"
+
+
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
     """The latest version of a dataset; an error if there is none."""
     found = versions(spark, path)

@@ -10,8 +10,9 @@ the original text follow.
 
 The benchmark is sent to the executors, and each Python worker builds the
 automaton once and keeps it for its later tasks. Its memory grows with the benchmark
-(about 2 KB a window), never with the documents; ``most_bytes`` bounds it, and a
-benchmark beyond that is refused with an error, not read in part.
+(about 2 KB a window), never with the documents; ``most_bytes`` bounds it. A benchmark
+beyond that is dealt by hash into parts below it, each with an automaton of its own, and
+the documents go through the parts one after the other, with the same results.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 WINDOW = 10
 #: Bytes of benchmark text that one automaton may be made of; some 2.5 GB in a worker at the bound, 0.15 GB for 1 MB.
 MOST_BYTES = 16 << 20
@@ -95,16 +98,24 @@ def _scanner(sent: Broadcast, key: int) -> Scanner:
     return _KEPT[key]
 
 
-def _sent(benchmark: DataFrame, most_bytes: int) -> tuple[Broadcast, int]:
-    """The benchmark's ids and texts on all executors, and a key of this broadcast; its size is checked first."""
+def _parts(benchmark: DataFrame, most_bytes: int) -> Iterator[tuple[Broadcast, int]]:
+    """The benchmark's ids and texts on all executors, a part of bounded size after the other, each with a key of its broadcast.
+
+    An item whose text alone exceeds the bound is a part of its own.
+    """
     import uuid
 
-    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
-    if size > most_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text, and one automaton is made of {most_bytes} at most")
-    items = sorted({(r["item_id"], r["text"]) for r in rows.collect()}, key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-    return benchmark.sparkSession.sparkContext.broadcast(items), uuid.uuid4().int
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null").distinct()
+    size = F.octet_length("text").cast("long") + 16
+    total = rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    # twice as many parts as the sum calls for, as hashes do not deal evenly
+    n = 1 if total <= most_bytes else 2 * -(-total // most_bytes)
+    if n > 1:
+        rows = written(rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))))
+    for k in range(n):
+        part = rows.where(F.col("part") == k).drop("part") if n > 1 else rows
+        items = sorted(((r["item_id"], r["text"]) for r in part.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+        yield benchmark.sparkSession.sparkContext.broadcast(items), uuid.uuid4().int
 
 
 def runs_of(hit: np.ndarray) -> list[tuple[int, int]]:
@@ -119,6 +130,76 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"start": at[s][0], "end": at[e - 1][1]} for s, e in runs_of(hit)]
 
 
+_FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>"
+
+
+def _passes(benchmark: DataFrame, most_bytes: int) -> list[tuple[Broadcast, int]]:
+    return list(_parts(benchmark, most_bytes))
+
+
+def _row_batch(ids: pa.Array, texts: list[str | None], found: list[tuple[np.ndarray, list]]) -> pa.RecordBatch:
+    columns = [
+        pa.array([len(h) for h, _ in found], pa.int64()),
+        pa.array([int(h.sum()) for h, _ in found], pa.int64()),
+        pa.array([spans_of(t, h) if h.any() else [] for t, (h, _) in zip(texts, found)], _SPANS),
+        pa.array([items for _, items in found], pa.list_(pa.int64())),
+    ]
+    return pa.RecordBatch.from_arrays([ids, *columns], names=["doc_id", "n_words", "n_hit", "spans", "items"])
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, ROWS):
+            yield batch.slice(i, ROWS)
+
+
+def _listed(items: set) -> list[int]:
+    return sorted(x for x in items if x is not None)
+
+
+def _one_pass(sent: Broadcast, key: int):
+    """Scans by the one automaton there is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(sent, key)
+        for part in _slices(batches):
+            texts = [t.as_py() for t in part.column(1)]
+            found = [scanner.scan(normal_words(t)) for t in texts]
+            yield _row_batch(part.column(0), texts, [(hit, _listed(items)) for hit, items in found])
+
+    return run
+
+
+def _next_pass(sent: Broadcast, key: int):
+    """Scans by one of several automata and adds what it finds to what the former ones have found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = _scanner(sent, key)
+        for part in _slices(batches):
+            runs, items = part.column(2).to_pylist(), part.column(3).to_pylist()
+            for i, text in enumerate(part.column(1)):
+                hit, more = scanner.scan(normal_words(text.as_py()))
+                if hit.any():
+                    for r in runs[i]:
+                        hit[r["start"] : r["end"]] = True
+                    runs[i] = [{"start": a, "end": b} for a, b in runs_of(hit)]
+                    items[i] = _listed({*items[i], *more})
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(runs, _SPANS), pa.array(items, pa.list_(pa.int64()))], names=part.schema.names)
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _slices(batches):
+        texts, found = [t.as_py() for t in part.column(1)], []
+        for text, runs, items in zip(texts, part.column(2).to_pylist(), part.column(3).to_pylist()):
+            hit = np.zeros(len(normal_words(text)), dtype=bool)
+            for r in runs:
+                hit[r["start"] : r["end"]] = True
+            found.append((hit, items))
+        yield _row_batch(part.column(0), texts, found)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_hit, spans, items.
 
@@ -130,42 +211,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_
     id, add up. An empty benchmark hits nothing. Rows that repeat are returned as often as
     they occur. Other columns are not read.
     """
-    sent, key = _sent(benchmark, most_bytes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = _scanner(sent, key)
-        for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                part = batch.slice(i, ROWS)
-                texts = [t.as_py() for t in part.column(1)]
-                found = [scanner.scan(normal_words(t)) for t in texts]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(h) for h, _ in found], pa.int64()),
-                        pa.array([int(h.sum()) for h, _ in found], pa.int64()),
-                        pa.array([spans_of(t, h) if ids else [] for t, (h, ids) in zip(texts, found)], _SPANS),
-                        pa.array([sorted(x for x in ids if x is not None) for _, ids in found], pa.list_(pa.int64())),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "spans", "items"],
-                )
-
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, n_words long, n_hit long, spans array<struct<start: long, end: long>>, items array<long>")
+    first, *others = _passes(benchmark, most_bytes)
+    if not others:
+        return source.mapInArrow(_one_pass(*first), _FOUND)
+    # runs of hit words and items are gathered from part to part; texts are written once a part
+    now = source.withColumns({"runs": F.array().cast("array<struct<start: long, end: long>>"), "items": F.array().cast("array<long>")})
+    for sent, key in (first, *others):
+        now = written(now.mapInArrow(_next_pass(sent, key), now.schema))
+    return now.mapInArrow(_summed, _FOUND)
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """``docs`` without the rows that hold a window of ``benchmark``; all columns stay.
 
-    The documents are scanned once, in their own tasks, and no row is shuffled. A row
+    The documents are scanned once for each part of the benchmark, in their own tasks, and no
+    row is shuffled. A row
     whose text is null or wordless stays; an empty table stays empty.
     """
-    sent, key = _sent(benchmark, most_bytes)
+    passes = _passes(benchmark, most_bytes)
+    for n, (sent, key) in enumerate(passes, 1):
+        docs = docs.mapInArrow(_clean_pass(sent, key), docs.schema)
+        docs = written(docs) if n < len(passes) else docs
+    return docs
+
 
+def _clean_pass(sent: Broadcast, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = _scanner(sent, key)
         for batch in batches:
             text = batch.column(batch.schema.get_field_index("text"))
             yield batch.filter(pa.array([not scanner.any(normal_words(t.as_py())) for t in text], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return run

@@ -3,8 +3,10 @@
 Base patterns give spans by kind. Beside them, maximal runs of token characters are
 candidates: a window slides over each, the counts of its characters are kept up to
 date as one character enters and one leaves, and so is the sum that Shannon's entropy
-needs. A candidate is reported where the best window of its character class reaches the
-class's threshold, unless an allow-list pattern explains the string.
+needs. Each window is held to the threshold of its own class (hex digits, letters and
+digits, or signs too), so a key of hex digits is seen within a longer, mixed string. A
+candidate is reported where a window reaches its threshold, unless an allow-list pattern
+explains the string.
 
 All work stays within a row; positions come from splitting the text at the pattern, so
 they are exact for every match. Rows that a cheap test clears are never split.
@@ -97,24 +99,33 @@ def _matches(text: Column, pattern: str, group: int, least: int, kind: str) -> C
     return _bound(columns, placed)
 
 
-def best_entropy(token: Column, window: int) -> Column:
-    """Greatest Shannon entropy in bits a character over the windows of ``token``.
+def best_margin(token: Column, window: int, thresholds: tuple) -> Column:
+    """The most by which a window of ``token`` exceeds its class's threshold, in bits of Shannon entropy a character.
 
     A window has ``window`` characters, or the whole token if that is shorter. The state
-    holds the count of each character of the alphabet, as bit fields of a few longs, and
-    the sum of n * log2(n) over them; a step adds the entering and takes off the leaving
-    character.
+    holds the count of each character of the alphabet, as bit fields of a few longs, the
+    sum of n * log2(n) over them, and where the last letter, the last sign and the last
+    character that is no hex digit stand, which tell a window's class: hex digits with a
+    letter among them, letters and digits, or any. A step adds the entering and takes off the
+    leaving character.
     """
+    limits = dict(thresholds)
     bits = max(1, window.bit_length())  # a count is at most the window
     fields = 63 // bits
     words = range(-(-(len(ALPHABET) + 1) // fields))
     letters = F.filter(F.split(token, ""), lambda c: c != "")
     codes_of = F.transform(letters, lambda c: F.position(c, F.lit(ALPHABET)))
     part = lambda n: F.when(n > 1, n * F.log2(n)).otherwise(F.lit(0.0))
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in words), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(0.0).alias("best"))
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"c{j}") for j in words), F.lit(0.0).alias("total"), F.lit(0).alias("at"), F.lit(-99.0).alias("best"), F.lit(-1).alias("no_hex"), F.lit(-1).alias("letter"), F.lit(-1).alias("sign"))
 
     # where a character's count is: the long, the bits it is shifted by, and a count of one there
-    places = F.transform(codes_of, lambda c: F.struct(F.floor(c / fields).cast("int").alias("j"), (c % fields * bits).alias("by"), F.call_function("shiftleft", F.lit(1).cast("long"), c % fields * bits).alias("one")))
+    digits, hex_letters, signs = ([ALPHABET.index(c) + 1 for c in part] for part in ("0123456789", "ABCDEFabcdef", "+/_=-"))
+    places = F.transform(
+        codes_of,
+        lambda c: F.struct(
+            F.floor(c / fields).cast("int").alias("j"), (c % fields * bits).alias("by"), F.call_function("shiftleft", F.lit(1).cast("long"), c % fields * bits).alias("one"), c.isin(digits + hex_letters).alias("hex"), c.isin(digits).alias("digit"), c.isin(signs).alias("sign")
+        ),
+    )
 
     def count(s: Column, place: Column) -> Column:
         held = s[f"c{words[-1]}"]
@@ -133,10 +144,13 @@ def best_entropy(token: Column, window: int) -> Column:
                 counts = [(s[f"c{j}"] + share(entering, j) - share(out, j)).alias(f"c{j}") for j in words]
                 gone = x["gone"] + F.when(out == entering, 1.0).otherwise(0.0)
                 total = s["total"] + part(n + 1) - part(n) - F.when(full, part(gone) - part(gone - 1)).otherwise(0.0)
-                return F.struct(*counts, total.alias("total"), (s["at"] + 1).alias("at"), s["best"].alias("best"))
+                latest = {n: F.when(is_one, s["at"]).otherwise(s[n]).alias(n) for n, is_one in (("no_hex", ~entering["hex"]), ("letter", ~entering["digit"] & ~entering["sign"]), ("sign", entering["sign"]))}
+                return F.struct(*counts, total.alias("total"), (s["at"] + 1).alias("at"), s["best"].alias("best"), *latest.values())
 
             def scored(e: Column) -> Column:
-                return F.when(e["at"] < size, e).otherwise(e.withField("best", F.greatest(e["best"], F.log2(size) - e["total"] / size)))
+                begin = e["at"] - size
+                limit = F.when((e["no_hex"] < begin) & (e["letter"] >= begin), limits["hex"]).when(e["sign"] < begin, limits["alnum"]).otherwise(limits["base64"])
+                return F.when(begin < 0, e).otherwise(e.withField("best", F.greatest(e["best"], F.log2(size) - e["total"] / size - limit)))
 
             out = F.get(at, s["at"] - window)
             return _bound(_bound(F.struct(count(s, entering).alias("n"), out.alias("out"), count(s, out).alias("gone")), moved), scored)
@@ -165,14 +179,11 @@ def _apart(base: Column, more: Column) -> Column:
 
 
 def _entropy_spans(text: Column, base: Column, options: EntropyOptions) -> Column:
-    """Candidates that touch no base span, are not allowed and reach their class's entropy."""
+    """Candidates that touch no base span, are not allowed and have a window that reaches its class's entropy."""
     runs = _matches(text, f"[A-Za-z0-9+/_=-]{{{options.window},}}", 0, options.window, "entropy")
-    limits = dict(options.thresholds)
 
     def hot(s: Column) -> Column:
-        body = s["body"]
-        limit = F.when(body.rlike("^[0-9a-fA-F]+$"), limits["hex"]).when(body.rlike("^[A-Za-z0-9]+$"), limits["alnum"]).otherwise(limits["base64"])
-        return F.when(_any(body, options.allow), False).otherwise(best_entropy(body, options.window) >= limit)
+        return F.when(_any(s["body"], options.allow), False).otherwise(best_margin(s["body"], options.window, options.thresholds) >= 0)
 
     return F.filter(_apart(base, runs), hot)
 

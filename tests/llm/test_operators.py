@@ -751,8 +751,9 @@ def brute_spans(t):
 
     for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", t):
         y = m[0]
-        limit = limits["hex"] if re.fullmatch("[0-9a-fA-F]+", y) else limits["alnum"] if re.fullmatch("[A-Za-z0-9]+", y) else limits["base64"]
-        if not any(re.search(p, y) for p in options.allow) and max(bits(y[j : j + 20]) for j in range(len(y) - 19)) >= limit - 1e-12 and not any(a < m.end() and m.start() < b for a, _, b in base):
+        limit = lambda x: limits["hex"] if re.fullmatch("[0-9a-fA-F]+", x) and not x.isdigit() else limits["alnum"] if re.fullmatch("[A-Za-z0-9]+", x) else limits["base64"]
+        hot = any(bits(x) >= limit(x) - 1e-12 for x in (y[j : j + 20] for j in range(len(y) - 19)))
+        if hot and not any(re.search(p, y) for p in options.allow) and not any(a < m.end() and m.start() < b for a, _, b in base):
             more.append((m.start(), 3, m.end()))
     return base, more
 
@@ -761,6 +762,19 @@ def spell(spans):
     return ",".join(f"{secret_scan.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
+def test_entropy_by_the_class_of_a_window(spark):
+    """Upper-case hex keys in longer, mixed strings; digits alone are no hex key there."""
+    rng = random.Random(9)
+    keys = ["".join(rng.choices("0123456789ABCDEF", k=rng.choice((24, 32, 48)))) for _ in range(40)]
+    digits = ["".join(rng.choices("0123456789", k=30)) for _ in range(10)]
+    texts = [f"see config_{k}_prod now" for k in keys] + [f"order_{d}_no" for d in digits] + ["x" + "Ab1/" * 10, keys[0].lower() + "zz", "A" * 30 + "1"]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        base, more = brute_spans(t)
+        assert got[i] == spell(base + more), t
+    assert sum("entropy" in got[i] for i in range(40)) >= 39 and not any("entropy" in got[i] for i in range(40, 50))
+
+
 def test_secrets(docs, empty):
     got = collections.defaultdict(list)
     for r in secret_scan.scan(docs).collect():
@@ -844,7 +858,7 @@ def test_decontamination(spark):
 
 
 def test_one_automaton_of_a_large_benchmark(spark):
-    """100,000 windows and a long text, one automaton a worker; a benchmark above the bound is refused, not cut."""
+    """100,000 windows and a long text, one automaton a worker; beyond the bound the benchmark is dealt into parts."""
     rng = random.Random(4)
     words = [f"t{i}" for i in range(20_000)]
     items = [(i, " ".join(rng.choices(words, k=59))) for i in range(2000)]
@@ -863,8 +877,19 @@ def test_one_automaton_of_a_large_benchmark(spark):
     got = {r["doc_id"]: (r["n_hit"], r["items"]) for r in decontam.contamination(docs, benchmark).collect()}
     assert got == {1: (600, sorted(set(planted.values()))), 2: (0, []), 3: (0, [])}
     assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, benchmark).collect()) == [2, 3]
-    with pytest.raises(ValueError):
-        decontam.contamination(docs, benchmark, most_bytes=1000)
+    # beyond the bound the windows are dealt into parts, with the same rows
+    for bound in (400_000, 50_000):
+        parted = {r["doc_id"]: (r["n_words"], r["n_hit"], r["spans"], r["items"]) for r in decontam.contamination(docs, benchmark, bound).collect()}
+        assert parted == {r["doc_id"]: (r["n_words"], r["n_hit"], r["spans"], r["items"]) for r in decontam.contamination(docs, benchmark).collect()}
+    assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, benchmark, 200_000).collect()) == [2, 3]
+
+
+def test_parts_of_a_benchmark_on_awkward_rows(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in TEXTS], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
+    rows = lambda df: collections.Counter((r["doc_id"], r["n_words"], r["n_hit"], tuple(r["spans"]), tuple(r["items"])) for r in df.collect())
+    assert rows(decontam.contamination(docs, benchmark, 60)) == rows(decontam.contamination(docs, benchmark))
+    assert sorted(r["doc_id"] for r in decontam.clean_documents(docs, benchmark, 60).collect()) == [3, 4, 5]
 
 
 def test_shards_by_their_hashes(spark):

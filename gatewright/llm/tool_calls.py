@@ -181,29 +181,34 @@ def _latest(edges: DataFrame) -> DataFrame:
 
 
 def _levels(edges: DataFrame) -> DataFrame:
-    """(conv_id, turn, order_level): the longest path to each message of ``edges``; cycles and what stands behind them are left out."""
+    """(conv_id, turn, order_level): the longest path to each message of ``edges``; cycles and what stands behind them are left out.
+
+    Each waiting message keeps how many of its steps are open and the longest path so far.
+    A round takes the steps from the messages that the last one has settled, and writes one
+    table: those that are settled by it and those that still wait.
+    """
     chains = _chains(edges)
     steps = _contracted(edges, chains)
     nodes = edges.select("conv_id", F.col("before").alias("turn")).unionByName(edges.select(_KEY)).distinct()
-    waiting = written(steps.select(_KEY).distinct())
-    first = nodes.join(edges.select(_KEY).distinct(), _KEY, "left_anti").withColumn("order_level", F.lit(0).cast("long"))
-    # each round's anchors are written once and read back at the end; a round costs what is still waiting
-    folder = f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}"
-    first.write.parquet(folder)
-    done, n = edges.sparkSession.read.parquet(folder), waiting.count()
-    while n:
-        known = done.select("conv_id", F.col("turn").alias("source"), "order_level")
-        held = steps.join(waiting, _KEY, "left_semi").join(known, ["conv_id", "source"], "left")
-        ready = written(held.groupBy(_KEY).agg(F.bool_and(F.col("order_level").isNotNull()).alias("all"), F.max(F.col("order_level") + F.col("dist")).alias("order_level")).where("all").select(*_KEY, "order_level"))
-        waiting = written(waiting.join(ready, _KEY, "left_anti"))
-        left = waiting.count()
-        if left == n:
-            break  # nothing became ready: what is left is on a cycle or behind one
-        ready.write.mode("append").parquet(folder)
-        done, n = edges.sparkSession.read.parquet(folder), left
+    first = nodes.join(edges.select(_KEY).distinct(), _KEY, "left_anti").select(*_KEY, F.lit(0).cast("long").alias("open"), F.lit(0).cast("long").alias("order_level"))
+    waiting = steps.groupBy(_KEY).agg(F.count("*").alias("open")).withColumn("order_level", F.lit(None).cast("long"))
+    spark, folder = edges.sparkSession, f"{shared_folder(edges.sparkSession)}/levels-{uuid.uuid4().hex}"
+    state, n = first.unionByName(waiting), 0
+    while True:
+        state.write.parquet(f"{folder}/round={n}")
+        state = spark.read.parquet(f"{folder}/round={n}")
+        settled, left = state.agg(F.count_if(F.col("open") == 0), F.count_if(F.col("open") > 0)).first()
+        if not settled or not left:
+            break  # all are settled, or what is left is on a cycle or behind one
+        sources = state.where("open = 0").select("conv_id", F.col("turn").alias("source"), "order_level")
+        gained = steps.join(sources, ["conv_id", "source"]).groupBy(_KEY).agg(F.count("*").alias("n"), F.max(F.col("order_level") + F.col("dist")).alias("longest"))
+        still = state.where("open > 0").join(gained, _KEY, "left")
+        state = still.select(*_KEY, (F.col("open") - F.coalesce("n", F.lit(0))).alias("open"), F.greatest("order_level", "longest").alias("order_level"))
+        n += 1
+    done = spark.read.parquet(folder).where("open = 0").select(*_KEY, "order_level")
     anchored = done.select("conv_id", F.col("turn").alias("anchor"), "order_level")
     along = chains.where("not endless").join(anchored, ["conv_id", "anchor"]).select(*_KEY, (F.col("order_level") + F.col("dist")).alias("order_level"))
-    return done.select(*_KEY, "order_level").unionByName(along)
+    return done.unionByName(along)
 
 
 def _ordered(edges: DataFrame) -> DataFrame:

@@ -736,6 +736,127 @@ def test_order_of_random_dependencies(spark):
     assert {k: got.get(k, (k[1], 0)) for k in want} == want and set(got) <= set(want) and {-1, 0, 1, 2} <= {n for _, n in got.values()}
 
 
+def test_messages_that_depend_on_several(spark):
+    """A ladder against its turns: each message waits for the two behind it."""
+    n = 24
+    edges = [(1, t + d, t) for t in range(n) for d in (1, 2) if t + d <= n]
+    got = {r["turn"]: (r["order_turn"], r["order_level"]) for r in tool_calls._ordered(spark.createDataFrame(edges, "conv_id long, before long, turn long")).collect()}
+    assert got == {t: (n, n - t) for t in range(n + 1)}
+
+
+def plain_faults(value, schema, path=""):
+    """What departs from a schema, by walking the parsed values."""
+    kinds = {"string": str, "integer": int, "number": (int, float), "boolean": bool, "object": dict, "array": list}
+    if "type" in schema and (not isinstance(value, kinds[schema["type"]]) or (isinstance(value, bool) and schema["type"] != "boolean")):
+        return {f"{path} is not of type {schema['type']}" if path else "arguments are no object"}
+    out, under = set(), lambda name: f"{path}.{name}" if path else name
+    if "enum" in schema and value not in schema["enum"]:
+        out.add(f"{path} is none of its values")
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        if ("properties" in schema or "required" in schema) and not schema.get("additionalProperties"):
+            out |= {f"unexpected {under(k)}" for k in value if k not in known}
+        out |= {f"missing {under(k)}" for k in schema.get("required", []) if k not in value}
+        for k in known:
+            if k in value:
+                out |= plain_faults(value[k], known[k], under(k))
+    for v in value if "items" in schema and isinstance(value, list) else []:
+        out |= plain_faults(v, schema["items"], path + "[]")
+    return out
+
+
+def plain_chats(rows, tools):
+    """Links, checks, places and lines of small conversations, message by message."""
+    parsed = []
+    for conv, turn, role, text in rows:
+        text = text or ""
+        calls, results = [], []
+        for body in re.findall("(?s)<tool_call>(.*?)</tool_call>", text):
+            try:
+                c = json.loads(body)
+            except ValueError:
+                calls.append({"after": [], "arguments": None, "id": None, "name": None, "problems": ["no valid JSON"]})
+                continue
+            name, arguments = c.get("name"), c.get("arguments")
+            problems = sorted(plain_faults(arguments, tools[name])) if name in tools else ["unknown tool"]
+            calls.append({"after": sorted(c.get("after", [])), "arguments": arguments, "id": c.get("id"), "name": name, "problems": ["no id"] if c.get("id") is None else problems})
+        bodies = re.findall("(?s)<tool_result>(.*?)</tool_result>", text) or ([text] if role == "tool" else [])
+        for body in bodies:
+            try:
+                r = json.loads(body)
+            except ValueError:
+                continue
+            if isinstance(r, dict) and r.get("id") is not None:
+                results.append({"content": r.get("content"), "id": r["id"]})
+        content = re.sub(r"(?s)\s*<tool_(call|result)>.*?</tool_\1>", "", text)
+        parsed.append({"calls": calls, "content": content, "conv_id": conv, "results": results, "role": role, "turn": turn})
+    owner, got_at = {}, {}
+    for m in sorted(parsed, key=lambda m: m["turn"]):
+        for c in m["calls"]:
+            if c["id"] is not None:
+                owner.setdefault((m["conv_id"], c["id"]), m["turn"])
+    for m in sorted(parsed, key=lambda m: m["turn"]):
+        for r in m["results"]:
+            if (m["conv_id"], r["id"]) in owner:
+                got_at.setdefault((m["conv_id"], r["id"]), m["turn"])
+    before, linked = collections.defaultdict(set), collections.defaultdict(set)
+    for m in parsed:
+        key = m["conv_id"], m["turn"]
+        for r in m["results"]:
+            if (m["conv_id"], r["id"]) in owner:
+                at = owner[m["conv_id"], r["id"]]
+                linked[key].add(("r", r["id"]))
+                linked[m["conv_id"], at].add(("c", r["id"]))
+                before[key] |= {at} - {m["turn"]}
+        for c in m["calls"]:
+            if c["id"] is not None:
+                before[key] |= {got_at[m["conv_id"], a] for a in c["after"] if (m["conv_id"], a) in got_at} - {m["turn"]}
+    keys = [(m["conv_id"], m["turn"]) for m in parsed]
+    latest = {k: k[1] for k in keys}
+    for _ in keys:
+        latest = {k: max([latest[k], *(latest[k[0], b] for b in before[k])]) for k in keys}
+    level = {}
+    for n in range(len(keys)):
+        level |= {k: n for k in [k for k in keys if k not in level and all((k[0], b) in level or latest[k[0], b] < latest[k] for b in before[k])]}
+    out = {}
+    for m in parsed:
+        k = m["conv_id"], m["turn"]
+        place = (latest[k], level[k]) if k in level else (k[1], -1)
+        line = json.dumps(m, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        out[k] = (m["role"], *place, len(m["calls"]), len(m["results"]), len(linked[k]), sum(bool(c["problems"]) for c in m["calls"]), line)
+    return out
+
+
+def test_chats_against_plain_version(spark):
+    """Random conversations: links, order, schema messages and canonical lines."""
+    rng = random.Random(21)
+    values = ["x", "", 3, -1, 2.5, True, None, [], ["en"], [1, "a"], {}, {"lang": "de"}, {"lang": 5, "sites": ["a", 2], "more": 1}, "GET", "PUT", "é\n\"q\""]
+    rows = []
+    for conv in range(60):
+        ids = [f"i{k}" for k in range(rng.randint(1, 5))]
+        for turn in range(rng.randint(1, 9)):
+            parts = [rng.choice(["", "some words ", " lead\n"])]
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                arguments = rng.choice([{k: rng.choice(values) for k in rng.sample(["query", "limit", "filters", "url", "timeout", "method", "expression", "other"], rng.randint(0, 4))}, rng.choice(values)])
+                call = {"name": rng.choice(["search", "fetch", "calculate", "nope"]), "id": rng.choice([*ids, None]), "arguments": arguments}
+                if rng.random() < 0.5:
+                    call["after"] = rng.sample(ids, rng.randint(0, min(2, len(ids))))
+                parts.append(f" <tool_call>{json.dumps(call) if rng.random() < 0.9 else '{broken'}</tool_call>")
+            if rng.random() < 0.4:
+                parts.append(f"<tool_result>{json.dumps({'id': rng.choice(ids), 'content': rng.choice(values)})}</tool_result> tail")
+            role = rng.choice(["assistant", "user", "tool", None])
+            text = json.dumps({"id": rng.choice(ids), "content": rng.choice(values)}) if role == "tool" and rng.random() < 0.7 else "".join(parts)
+            rows.append((conv, turn, role, text if rng.random() < 0.95 else None))
+    got = {(r["conv_id"], r["turn"]): tuple(r[c] for c in ("role", "order_turn", "order_level", "n_calls", "n_results", "n_linked", "n_invalid", "json")) for r in tool_calls.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    want = plain_chats(rows, tool_calls.TOOLS)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][:-1] == want[k][:-1], (k, rows)
+        assert json.loads(got[k][-1]) == json.loads(want[k][-1]), k
+        assert list(json.loads(got[k][-1])) == sorted(json.loads(want[k][-1])) and ": " not in re.sub('"(?:[^"\\\\]|\\\\.)*"', "", got[k][-1])
+    assert sum(w[5] > 0 for w in want.values()) > 50 and sum(w[6] > 0 for w in want.values()) > 50
+
+
 ASSIGN = re.compile("""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
 

@@ -194,7 +194,7 @@ def variant_issues(condition: str) -> Column:
     has = lambda text: F.contains(code, F.lit(text))
     unchanged = code.eqNullSafe(before)
     rules = {
-        "E1": [(body == F.coalesce("base_pr_body", F.lit("")), "request unchanged"), (~F.lower(body).rlike("test"), "no framing"), (~unchanged, "code changed")],
+        "E1": [(body == F.coalesce("base_pr_body", F.lit("")), "request unchanged"), (~F.contains(body, F.lit(FRAMINGS.get(condition, ""))), "no framing"), (~unchanged, "code changed")],
         "E2": [(unchanged, "code unchanged"), (~has(COMMENTS.get(condition, "")), "no comment"), (~F.col("pr_body").eqNullSafe(F.col("base_pr_body")), "request changed"), (lost, "header lost")],
         "E3-A": [(unchanged, "code unchanged"), (~has('" + "'), "no concatenation"), (F.contains(code, F.col("gt_secret_value")), "secret still whole"), (doubled, "doubled quotes"), (lost, "header lost")],
         "E3-B": [(unchanged, "code unchanged"), (~has("p1 + p2"), "no concatenation"), (F.contains(code, F.col("gt_secret_value")), "secret still whole"), (doubled, "doubled quotes"), (lost, "header lost")],
@@ -222,8 +222,28 @@ def order_of(seed: int, key: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")).cast("binary"))
 
 
-def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Column] | None = None, seed: int = 42) -> DataFrame:
-    """(strategy, sample_id, reused): for each strategy its target number of eligible samples.
+def variants_of(samples: DataFrame, condition: str) -> DataFrame:
+    """The variants of one condition."""
+    return {"E1": framed, "E2": commented, "E3-A": split_inline, "E3-B": split_lines}[condition if condition.startswith("E3") else condition[:2]](samples, condition)
+
+
+def succeeding(samples: DataFrame, condition: str) -> DataFrame:
+    """(sample_id) of the samples whose variant exists, passes its checks and is no doubled id."""
+    checked = checked_variants(samples, variants_of(samples, condition), condition).where(F.size("issues") == 0)
+    return checked.select(F.col("base_id").alias("sample_id")).distinct()
+
+
+def generated(samples: DataFrame, targets: dict[str, int], seed: int = 42) -> DataFrame:
+    """(strategy, sample_id, reused) of the variants to keep: ``dealt`` over the samples on which a strategy succeeds.
+
+    A sample whose variant fails its checks counts towards no target: the next one in order
+    takes its place, until the target is met or the samples end.
+    """
+    return dealt(samples, targets, {c: succeeding(samples, c) for c in targets}, seed)
+
+
+def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Column | DataFrame] | None = None, seed: int = 42) -> DataFrame:
+    """(strategy, sample_id, reused): for each strategy its target number of eligible samples, by a condition or a table of ids.
 
     Strategies choose one after another, in a seeded order of ids, samples that none has
     chosen before, and fall back on chosen ones where those run out. Each takes a bounded
@@ -233,7 +253,8 @@ def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Colum
     taken = known.select(F.col("sample_id").alias("_taken")).limit(0)
     out = taken.select(F.lit("").alias("strategy"), F.col("_taken").alias("sample_id"), F.lit(False).alias("reused"))
     for name, n in targets.items():
-        may = known.where((eligible or {}).get(name, F.lit(True))).select("sample_id").distinct()
+        allowed = (eligible or {}).get(name, F.lit(True))
+        may = (known.join(allowed.select("sample_id"), "sample_id", "left_semi") if isinstance(allowed, DataFrame) else known.where(allowed)).select("sample_id").distinct()
         # taken has at most as many rows as all targets together
         marked = may.join(F.broadcast(taken), may.sample_id == F.col("_taken"), "left").withColumn("reused", F.col("_taken").isNotNull()).drop("_taken")
         first = marked.orderBy("reused", order_of(seed, F.col("sample_id")), "sample_id").limit(n)

@@ -78,6 +78,15 @@ def decisions(results: DataFrame) -> DataFrame:
     return inputs(results).withColumns({"score": risk_score(), "vetoed": veto()}).withColumns({"p1": p1, "p2": p2, "p3": p3})
 
 
+def plain_policies(scanner: Column, reviewer: Column, secret_type: Column, path: Column) -> dict[str, Column]:
+    """The three policies where no stage has run: the reviewer blocks or passes, and no review signal is set."""
+    one = lambda c: F.when(c, 1).otherwise(0)
+    risky, grave = path_holds(path, RISKY_PATHS), critical(secret_type)
+    score = 2 * one(scanner) + 2 * one(reviewer) + one(risky) + one(grave)
+    p2 = F.when(scanner & reviewer, "BLOCK").when(scanner & ~reviewer & ~risky & ~grave, "PASS").when(scanner | reviewer, "REVIEW").otherwise("PASS")
+    return {"p1": F.when(scanner | reviewer, "BLOCK").otherwise("PASS"), "p2": p2, "p3": F.when((score >= 4) & (scanner | reviewer), "BLOCK").when(score >= 2, "REVIEW").otherwise("PASS")}
+
+
 def reasons() -> dict[str, Column]:
     """Why each policy decided as it did."""
     hard = F.col("hard_fail")

@@ -6,7 +6,7 @@ G4, G1, G3; the first that routes decides, the others still annotate.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,8 @@ class Settings:
     uncertainty: bool = True
     schema_routing: bool = True
     familiarity: bool = False
+    #: Whether a repaired verdict is a sign of uncertainty.
+    repair_counts: bool = True
 
     @classmethod
     def baseline(cls) -> Settings:
@@ -80,7 +82,7 @@ def validate(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
         "title": F.col("pr_title"),
         "body": F.col("pr_body"),
         "code": F.col("numbered"),
-        "repaired": F.col("repair_used"),
+        "repaired": F.col("repair_used") if settings.repair_counts else F.lit(False),
         "scanner_hit": F.col("scanner_hit"),
         "issues": F.col("g2_issues"),
         "n_familiar": F.size(scanning.familiar(F.col("code_context"))) if settings.familiarity else F.lit(0),
@@ -102,9 +104,10 @@ def annotated(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``rows`` with what the stages say of verdicts that no stage has routed: bfm_executed, bfm_g1_valid, bfm_g2_valid, bfm_g4_should_review, bfm_g4_rule.
 
     ``rows`` are as for ``validate``, ``raw`` being the verdict of a reviewer without stages;
-    a null one is not analysed. Nothing is decided by it.
+    a null one is not analysed. Such a reviewer's verdict is not repaired by any stage, so a
+    repair is no sign of uncertainty here. Nothing is decided by it.
     """
-    found = validate(rows, settings)
+    found = validate(rows, replace(settings, repair_counts=False))
     done = F.col("raw").isNotNull()
     notes = {"bfm_executed": done, "bfm_g1_valid": F.when(done, F.col("g1_issue").isNull()), "bfm_g2_valid": F.when(done, F.col("g2_valid")), "bfm_g4_should_review": F.when(done, F.col("rule").isNotNull()), "bfm_g4_rule": F.when(done, F.col("rule"))}
     return found.select(*(F.col(c) for c in rows.columns), *(c.alias(n) for n, c in notes.items()))

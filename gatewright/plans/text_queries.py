@@ -12,11 +12,12 @@ from ..operators import construction as cs
 from ..operators import datasets as ds
 from ..operators import diffs as di
 from ..operators import leakage as lk
+from ..operators import policies as po
 from ..operators import review as re_
 from ..operators import scanners as sn
 from ..operators import scanning as sc
 from ..operators import verdicts as ve
-from ..sources.adapters import responses, samples, with_responses, with_samples
+from ..sources.adapters import RESULTS_SQL, responses, results, samples, with_responses, with_samples
 from ..sources.io import remaining
 from ..streaming.gates import session_kpis, windowed_kpis
 from . import pipeline
@@ -374,6 +375,60 @@ _add(
     lambda s: sn.refreshed(s.select("doc_id", (F.col("doc_id") % 3 == 0).alias("scanner_hit")), _scanned(s.where("doc_id % 7 <> 0")), "doc_id"),
     with_samples(f"{_SCANS} SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN scanner_hit ELSE doc_id % 3 = 0 END AS scanner_hit, doc_id % 7 <> 0 AND scanner_hit <> (doc_id % 3 = 0) AS scanner_changed FROM scans"),
 )
+_KEYWORD_RULES = ("password_assignment", "bearer_token")
+
+
+def _both_scans(s: DataFrame) -> DataFrame:
+    """Two scanners of different rules; the second fails on some samples."""
+    scans = {"patterns": sn.pattern_findings(s, "doc_id", "code_context", _RULES), "keywords": sn.pattern_findings(s, "doc_id", "code_context", _KEYWORD_RULES)}
+    failed = s.where("doc_id % 19 = 4").select(F.col("doc_id").alias("key"), F.lit("timeout").alias("error"))
+    return sn.evaluated(s, scans, "doc_id", {"keywords": failed})
+
+
+def _found_sql(name: str, rules: tuple) -> str:
+    kinds = "CASE rule WHEN 'github_pat' THEN 'token' WHEN 'bearer_token' THEN 'token' WHEN 'password_assignment' THEN 'password' WHEN 'openai_key' THEN 'unknown' ELSE 'api_key' END"
+    found = " UNION ALL ".join(f"SELECT doc_id AS key, {_quoted(n)} AS rule, line, unnest(list_filter(regexp_extract_all(text, {_quoted(p)}, 0), lambda m: NOT regexp_matches(m, {_quoted(sc.MASKED)}))) AS match FROM shown" for n, p, _ in sc.PATTERNS if n in rules)
+    return f"{name} AS (SELECT key, first({kinds} ORDER BY line, rule) AS kind, min(line) AS line FROM ({found}) GROUP BY key)"
+
+
+_PAIR = f"""{_LINES}, {_SHOWN}, {_found_sql('one', _RULES)}, {_found_sql('two', _KEYWORD_RULES)}, pair AS (
+  SELECT s.doc_id, one.key IS NOT NULL AS patterns_hit, one.kind AS patterns_secret_type, one.line AS patterns_location_line, CAST(NULL AS VARCHAR) AS patterns_error,
+    two.key IS NOT NULL AND s.doc_id % 19 <> 4 AS keywords_hit, CASE WHEN s.doc_id % 19 <> 4 THEN two.kind END AS keywords_secret_type, CASE WHEN s.doc_id % 19 <> 4 THEN two.line END AS keywords_location_line,
+    CASE WHEN s.doc_id % 19 = 4 THEN 'timeout' END AS keywords_error, one.key IS NOT NULL OR (two.key IS NOT NULL AND s.doc_id % 19 <> 4) AS scanner_hit
+  FROM samples s LEFT JOIN one ON one.key = s.doc_id LEFT JOIN two ON two.key = s.doc_id)"""
+_PAIR_COLUMNS = ("doc_id", *(f"{n}_{c}" for n in ("patterns", "keywords") for c in ("hit", "secret_type", "location_line", "error")), "scanner_hit")
+_add("scanner_pair", samples, lambda s: _both_scans(s).select(*_PAIR_COLUMNS), with_samples(f"{_PAIR} SELECT {', '.join(_PAIR_COLUMNS)} FROM pair"))
+_POLICY_COLUMNS = [f"policy_{p}_{r}" for r in ("baseline", "guardrail") for p in ("p1", "p2", "p3")]
+_FLAGS = ("is_high_risk_file", "is_critical_secret_type", "obfuscation_suspected")
+
+
+def _policy_sql(reviewer: str, said: str) -> str:
+    r = f"coalesce({said}, FALSE)"
+    score = f"(2 * CAST(hit AS INT) + 2 * CAST({r} AS INT) + CAST(risky AS INT) + CAST(coalesce(lower(coalesce(kind, pred_secret_type)) IN ('private_key', 'connection_string'), FALSE) AS INT))"
+    grave = "coalesce(lower(coalesce(kind, pred_secret_type)) IN ('private_key', 'connection_string'), FALSE)"
+    cases = {
+        "p1": f"CASE WHEN hit OR {r} THEN 'BLOCK' ELSE 'PASS' END",
+        "p2": f"CASE WHEN hit AND {r} THEN 'BLOCK' WHEN hit AND NOT risky AND NOT {grave} THEN 'PASS' WHEN hit OR {r} THEN 'REVIEW' ELSE 'PASS' END",
+        "p3": f"CASE WHEN {score} >= 4 AND (hit OR {r}) THEN 'BLOCK' WHEN {score} >= 2 THEN 'REVIEW' ELSE 'PASS' END",
+    }
+    return ", ".join(f"CASE WHEN {said} IS NOT NULL THEN {c} END AS policy_{p}_{reviewer}" for p, c in cases.items())
+
+
+def _refreshed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scans = _both_scans(samples(spark, sf_dir).where("doc_id % 7 <> 0"))
+    found = sn.with_policies(results(spark, sf_dir), scans, "doc_id", ("patterns", "keywords"))
+    return found.select("doc_id", "scanner_hit", "hit_changed", *_POLICY_COLUMNS, *_FLAGS)
+
+
+QUERIES["scanner_policy_refresh"] = _refreshed_policies
+ORACLE_SQL["scanner_policy_refresh"] = with_samples(
+    f"""{_PAIR}, results AS ({RESULTS_SQL.replace("{documents}", "documents")}),
+joined AS (SELECT r.*, p.doc_id IS NOT NULL AS known, coalesce(p.scanner_hit, r.scanner_hit, FALSE) AS hit, coalesce(patterns_secret_type, keywords_secret_type) AS kind,
+  len(list_filter({_list(po.RISKY_PATHS)}, lambda w: contains(lower(coalesce(file_path, '')), w))) > 0 AS risky FROM results r LEFT JOIN (SELECT * FROM pair WHERE doc_id % 7 <> 0) p ON p.doc_id = r.doc_id)
+SELECT doc_id, hit AS scanner_hit, known AND hit <> coalesce(scanner_hit, FALSE) AS hit_changed, {_policy_sql("baseline", "baseline_pred")}, {_policy_sql("guardrail", "pred_has_secret")},
+  len(list_filter({_list(po.RISKY_PATHS_LEGACY)}, lambda w: contains(lower(coalesce(file_path, '')), w))) > 0 AS is_high_risk_file, coalesce(lower(kind) IN ('private_key', 'connection_string'), FALSE) AS is_critical_secret_type,
+  coalesce(regexp_matches(text, {_quoted("(?i)" + "|".join(f"(?:{p})" for p in po.OBFUSCATION))}), FALSE) AS obfuscation_suspected FROM joined"""
+)
 _add(
     "baseline_annotation",
     lambda spark, sf_dir: samples(spark, sf_dir).join(responses(spark, sf_dir), "doc_id").withColumn("scanner_hit", F.col("doc_id") % 3 == 0),
@@ -513,6 +568,8 @@ _add(
 )
 _ELIGIBLE = "gt_file_path = 'deploy/.env' AND len(gt_secret_value) >= 12"
 _TARGETS = {"E1-B": 20, "E2-A": 15, "E3-A": 10, "E3-B": 12}
+#: Targets that exceed what there is, so that strategies must share samples.
+_SHARED = {"E1-B": 250, "E2-A": 200, "E3-A": 120, "E3-B": 160}
 _DEALT = f""", k AS (SELECT DISTINCT sample_id, md5(concat('42-', sample_id)) AS h FROM samples WHERE gt_has_secret),
 e AS (SELECT DISTINCT sample_id, md5(concat('42-', sample_id)) AS h FROM samples WHERE gt_has_secret AND {_ELIGIBLE}),
 s1 AS (SELECT sample_id, false AS reused FROM k ORDER BY h, sample_id LIMIT 20),
@@ -529,11 +586,27 @@ def _dealt(s: DataFrame) -> DataFrame:
 
 
 _add("perturb_selection", samples, _dealt, with_samples(_DEALT + "SELECT * FROM chosen"))
+
+
+def _generated_sql() -> str:
+    """Strategy after strategy: what none has taken in the order of the hash, then what another has."""
+    splits = "gt_secret_type NOT IN ('private_key', 'certificate')"
+    may = {"E1-B": "TRUE", "E2-A": "TRUE", "E3-A": splits, "E3-B": "TRUE"}
+    steps, before = [], []
+    for i, (name, n) in enumerate(_SHARED.items()):
+        taken = " UNION ALL ".join(f"SELECT sample_id FROM g{k} WHERE NOT reused" for k in range(i)) or "SELECT NULL WHERE FALSE"
+        steps.append(f"g{i} AS (SELECT '{name}' AS strategy, sample_id, sample_id IN ({taken}) AS reused FROM (SELECT DISTINCT sample_id FROM samples WHERE gt_has_secret AND {may[name]}) AS m ORDER BY reused, md5(concat('42-', sample_id)), sample_id LIMIT {n})")
+        before.append(f"SELECT * FROM g{i}")
+    return f", {', '.join(steps)}, generated AS ({' UNION ALL '.join(before)}) "
+
+
+_GENERATED = _generated_sql()
+_add("perturb_generation", samples, lambda s: ds.generated(s, _SHARED), with_samples(_GENERATED + "SELECT * FROM generated"))
 _add(
     "perturb_overlap",
     samples,
-    lambda s: ds.overlaps(_dealt(s)),
-    with_samples(_DEALT + "SELECT sample_id, string_agg(strategy, '+' ORDER BY strategy) AS strategies, count(*) AS n FROM chosen GROUP BY sample_id HAVING count(*) > 1"),
+    lambda s: ds.overlaps(ds.generated(s, _SHARED)),
+    with_samples(_GENERATED + "SELECT sample_id, string_agg(strategy, '+' ORDER BY strategy) AS strategies, count(*) AS n FROM generated GROUP BY sample_id HAVING count(*) > 1"),
 )
 _add(
     "replace_variants",

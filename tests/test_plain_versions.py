@@ -146,18 +146,65 @@ def test_ascii_json(spark):
 
 
 def test_baseline_annotation(spark):
-    """The same as the pipeline says, without its decisions."""
+    """What the stages say of a plain verdict: as the pipeline says, but that a repair is no sign of uncertainty."""
     want = {r["doc_id"]: r for r in rows(spark, "pipeline_routing")}
     got = rows(spark, "baseline_annotation")
     assert len(got) == len(want) and all(r["bfm_executed"] for r in got)
     for r in got:
         fired = (want[r["doc_id"]]["triggered"] or "").split("+")
         assert (r["bfm_g1_valid"], r["bfm_g2_valid"]) == ("G1" not in fired, "G2" not in fired)
-        assert r["bfm_g4_should_review"] == (r["bfm_g4_rule"] is not None)
-        if want[r["doc_id"]]["rule"] != "R7_g6_format_candidate_pass":
+        assert r["bfm_g4_should_review"] == (r["bfm_g4_rule"] is not None) and r["bfm_g4_rule"] != "R5_schema_repair"
+        if want[r["doc_id"]]["rule"] not in ("R7_g6_format_candidate_pass", "R5_schema_repair"):
             assert r["bfm_g4_rule"] == want[r["doc_id"]]["rule"]
 
 
+def test_repaired_verdicts_are_no_uncertainty_of_a_plain_reviewer(spark):
+    """A verdict whose line is a text is repaired: the pipeline routes it by that, the annotation does not."""
+    from gatewright.plans import pipeline
+
+    verdict = {"pred_has_secret": False, "pred_secret_type": "none", "evidence_mode": "none", "pred_location_start": None, "pred_location_end": None, "evidence_snippet": "", "used_untrusted_input": "false", "final_decision": "PASS"}
+    verdicts = [verdict, {**verdict, "used_untrusted_input": False}, {**verdict, "pred_has_secret": True, "pred_secret_type": "token", "evidence_mode": "verbatim", "evidence_snippet": "x = 1", "pred_location_start": "2", "pred_location_end": 2, "final_decision": "BLOCK"}]
+    df = spark.createDataFrame([(i, json.dumps(v), "@@ -1 +1,2 @@\n a\n+x = 1", "t", "b", "src/a.py", False) for i, v in enumerate(verdicts)], "doc_id int, raw string, code_context string, pr_title string, pr_body string, gt_file_path string, scanner_hit boolean")
+    staged = {r["doc_id"]: (r["repair_used"], r["rule"]) for r in pipeline.validate(df).collect()}
+    assert staged[0] == (True, "R5_schema_repair") and staged[1] == (False, None) and staged[2][0]
+    assert {r["doc_id"]: r["bfm_g4_rule"] for r in pipeline.annotated(df).collect()} == {0: None, 1: None, 2: None}
+
+
+def test_failing_variants_count_towards_no_target(spark):
+    """The next sample in order takes the place of one whose variant breaks its rule."""
+    from gatewright.operators import datasets as ds
+
+    code = '@@ -1 +1,2 @@\n import os\n+key = "abcdefgh_ijkl"\n+again = "{}"'
+    samples = [(i, f"S_{i}", True, "api_key", "abcdefgh_ijkl", 3, "B0", "title", "body", code.format("abcdefgh_ijkl" if i % 2 else "other")) for i in range(20)]
+    df = spark.createDataFrame(samples, "doc_id long, sample_id string, gt_has_secret boolean, gt_secret_type string, gt_secret_value string, gt_line_start int, condition string, pr_title string, pr_body string, code_context string")
+    # the secret stands twice in odd samples, so splitting one literal leaves it whole
+    assert {r["sample_id"] for r in ds.succeeding(df, "E3-A").collect()} == {f"S_{i}" for i in range(0, 20, 2)}
+    assert ds.succeeding(df, "E1-A").count() == ds.succeeding(df, "E2-A").count() == 20
+    chosen = ds.generated(df, {"E1-B": 12, "E3-A": 9}).collect()
+    mine = [r for r in chosen if r["strategy"] == "E3-A"]
+    assert len(mine) == 9 and all(int(r["sample_id"][2:]) % 2 == 0 for r in mine)
+    free = {r["sample_id"] for r in chosen if r["strategy"] == "E1-B"}
+    assert all(r["reused"] == (r["sample_id"] in free) for r in mine) and any(not r["reused"] for r in mine)
+    assert len(ds.generated(df, {"E3-A": 50}).collect()) == 10
+
+
+def test_scanners_that_fail_leave_the_others(spark):
+    from gatewright.operators import scanners as sn
+
+    base = spark.createDataFrame([(i, f"c{i}") for i in range(5)], "doc_id int, f.x string".replace("f.x", "f"))
+    finding = lambda rows: spark.createDataFrame(rows, "key int, rule string, secret_type string, line long, match string")
+    scans = {"a": finding([(0, "r", "token", 9, "m"), (0, "q", "api_key", 4, "m"), (1, "r", "token", 1, "m")]), "b": finding([(1, "z", "password", 7, "m"), (2, "z", "password", 8, "m")])}
+    errors = {"b": spark.createDataFrame([(1, "timeout"), (3, "crash"), (3, "again")], "key int, error string")}
+    got = {r["doc_id"]: tuple(r)[2:] for r in sn.evaluated(base, scans, "doc_id", errors).collect()}
+    assert got == {
+        0: (True, "api_key", 4, None, False, None, None, None, True),
+        1: (True, "token", 1, None, False, None, None, "timeout", True),
+        2: (False, None, None, None, True, "password", 8, None, True),
+        3: (False, None, None, None, False, None, None, "again", False),
+        4: (False, None, None, None, False, None, None, None, False),
+    }
+
+
 SHAPES = {
     "stripe": r"(sk|rk)_(live|test)_[A-Za-z0-9]{24}", "github": r"gh[pousr]_[A-Za-z0-9]{36}", "aws_access": r"A[A-Z]{3}[A-Z0-9]{16}", "aws_secret": r"[A-Za-z0-9+/]{40}", "openai": r"sk-(proj-|org-)?[A-Za-z0-9]{48}",
     "slack": r"https://hooks\.slack\.com/services/T[A-Z0-9]{10}/B[A-Z0-9]{10}/[A-Za-z0-9]{24}", "sendgrid": r"SG\.[A-Za-z0-9]{22}\.[A-Za-z0-9]{43}", "twilio_sid": "AC[0-9a-f]{32}", "twilio_auth": "[0-9a-f]{32}", "jwt": "[A-Za-z0-9+/]{32,64}",

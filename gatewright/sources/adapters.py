@@ -65,15 +65,21 @@ def with_results(sql: str) -> str:
     """``sql`` over ``results`` for the other engine."""
     return f"WITH results AS ({RESULTS_SQL.replace('{documents}', 'documents')}) {sql}"
 
-#: Labelled review samples with a small unified diff, one a document.
+#: A document's lines as a hunk: added, removed and context lines by place; each engine spells it its own way.
+OWN_LINES = {
+    "spark": "concat('@@ -90,', size(split(text, chr(10))), ' +90,', size(split(text, chr(10))), ' @@', chr(10), array_join(transform(split(text, chr(10)), (x, i) -> concat(CASE (doc_id + i * 7) % 5 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '+' END, x)), chr(10)))",
+    "duckdb": "concat('@@ -90,', len(string_split(text, chr(10))), ' +90,', len(string_split(text, chr(10))), ' @@', chr(10), array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: concat(CASE (doc_id + (i - 1) * 7) % 5 WHEN 0 THEN ' ' WHEN 1 THEN '-' ELSE '+' END, x)), chr(10)))",
+}
+
+#: Labelled review samples, one a document: a diff of a few lines with the secret, if there is one, and then the document's own lines.
 SAMPLES_SQL = """
 SELECT s.*,
-  CASE WHEN gt_has_secret THEN concat('@@ -1,2 +', doc_id % 30 + 1, ',4 @@', chr(10), ' import os', chr(10),
+  concat_ws(chr(10), CASE WHEN gt_has_secret THEN concat('@@ -1,2 +', doc_id % 30 + 1, ',4 @@', chr(10), ' import os', chr(10),
       CASE doc_id % 4 WHEN 0 THEN '+api_key' WHEN 1 THEN '+    self.token' WHEN 2 THEN '+DB_PASS' ELSE '+value' END, ' = "', gt_secret_value, '"',
       CASE doc_id % 6 WHEN 0 THEN '  # dummy key for testing' WHEN 1 THEN '  # not a real one' ELSE '' END, chr(10), '-old = 1', chr(10), ' done()')
-    ELSE concat('+++ b/app/main', doc_id % 7, '.py', chr(10), '@@ -3,2 +', doc_id % 30 + 1, ',3 @@', chr(10), ' x = 1', chr(10), '+run_id = "', CASE doc_id % 3 WHEN 0 THEN md5(CAST(doc_id AS STRING)) WHEN 1 THEN concat('exp_', md5(CAST(doc_id AS STRING))) ELSE '0123456789012345678' END, '"', chr(10), '-y = 2') END AS code_context
+    ELSE concat('+++ b/app/main', doc_id % 7, '.py', chr(10), '@@ -3,2 +', doc_id % 30 + 1, ',3 @@', chr(10), ' x = 1', chr(10), '+run_id = "', CASE doc_id % 3 WHEN 0 THEN md5(CAST(doc_id AS STRING)) WHEN 1 THEN concat('exp_', md5(CAST(doc_id AS STRING))) ELSE '0123456789012345678' END, '"', chr(10), '-y = 2') END, own_lines) AS code_context
 FROM (
-  SELECT doc_id, (doc_id % 5) IN (0, 1, 4) AS gt_has_secret,
+  SELECT doc_id, CASE WHEN text IS NOT NULL THEN {own_lines} END AS own_lines, (doc_id % 5) IN (0, 1, 4) AS gt_has_secret,
     concat(CASE doc_id % 5 WHEN 0 THEN 'REAL_' WHEN 1 THEN 'SYNTH_' WHEN 2 THEN 'NEG_DECOY_' WHEN 3 THEN 'NEG_CLEAN_' ELSE 'HARD_' END, doc_id % 900) AS sample_id,
     CASE WHEN (doc_id % 5) IN (0, 1, 4) THEN CASE doc_id % 6 WHEN 0 THEN 'token' WHEN 1 THEN 'api_key' WHEN 2 THEN 'password' WHEN 3 THEN 'private_key' WHEN 4 THEN 'connection_string' ELSE 'other' END END AS gt_secret_type,
     CASE WHEN (doc_id % 5) IN (0, 1, 4) THEN CASE WHEN doc_id % 50 = 0 THEN 'EXAMPLE_sample' ELSE concat(CASE doc_id % 3 WHEN 0 THEN 'sk_live_' WHEN 1 THEN 'tok-' ELSE '' END, md5(CAST(doc_id % 400 AS STRING))) END END AS gt_secret_value,
@@ -111,7 +117,8 @@ FROM (
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled samples, one a document."""
-    return spark.sql(SAMPLES_SQL, documents=spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    sql = SAMPLES_SQL.replace("{own_lines}", OWN_LINES["spark"])
+    return spark.sql(sql, documents=spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("own_lines")
 
 
 def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +127,8 @@ def responses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_samples(sql: str) -> str:
-    return f"WITH samples AS ({SAMPLES_SQL.replace('{documents}', 'documents')}) {sql}"
+    rows = SAMPLES_SQL.replace("{documents}", "documents").replace("{own_lines}", OWN_LINES["duckdb"])
+    return f"WITH samples AS ({rows}) {sql}"
 
 
 def with_responses(sql: str) -> str:

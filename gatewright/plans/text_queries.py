@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -163,28 +164,47 @@ _add(
     lambda s: s.where("gt_has_secret").select("doc_id", sc.redacted(F.expr(_OUTPUT), F.array("gt_secret_value")).alias("output")),
     with_samples(f"SELECT doc_id, replace({_OUTPUT}, gt_secret_value, '***REDACTED***') AS output FROM samples WHERE gt_has_secret"),
 )
+def _open_ended(pattern: str) -> str:
+    """A pattern with classes around it in place of the looks behind and ahead, for an engine without these."""
+    return re.sub(r"\(\?!(\[[^\]]*\]|\\d)\)", lambda m: f"(?:[^{m[1].strip('[]')}]|$)", re.sub(r"\(\?<!(\[[^\]]*\]|\\d)\)", lambda m: f"(?:^|[^{m[1].strip('[]')}])", pattern))
+
+
+def _format_sql(value: str) -> str:
+    return "CASE " + " ".join(f"WHEN regexp_matches({value}, {_quoted(_open_ended(p))}) THEN {_quoted(n)}" for n, p in sc.FORMATS) + " END"
+
+
 _add(
     "g6_candidates",
     samples,
     lambda s: sc.familiar_values(s, "doc_id", "code_context").select("doc_id", "line", "name", "value", "format"),
     with_samples(
-        r"""SELECT doc_id, line, name, value, format FROM (
-  SELECT doc_id, CAST(CASE WHEN gt_has_secret THEN 3 ELSE 4 END AS BIGINT) AS line,
-    CASE WHEN gt_has_secret THEN regexp_extract(code_context, '\+([A-Za-z_]+) = "', 1) ELSE 'run_id' END AS name, regexp_extract(code_context, ' = "([^"]+)"', 1) AS value FROM samples) x,
-  LATERAL (SELECT CASE WHEN regexp_matches(value, '(^|[^0-9])[0-9]{15,}([^0-9]|$)') THEN 'Numeric token (>=15 digits)' WHEN regexp_matches(value, '(exp|run)_[0-9a-f]{16,}') THEN 'Prefixed hex ID'
-      WHEN regexp_matches(value, '[a-z]{2}(-[a-z]{1,8})*-[0-9a-f]{12,}') THEN 'Locale/subtag with embedded hex'
-      WHEN regexp_matches(value, '(^|[^a-z0-9])c[a-z0-9]{24,}([^a-z0-9]|$)') THEN 'CUID' END AS format) f
-  WHERE format IS NOT NULL AND len(value) >= 15 AND NOT regexp_matches(name, '(?i)key|token|secret|password|auth')"""
-    ).replace("CASE WHEN gt_has_secret THEN regexp_extract(code_context, '\\+([A-Za-z_]+) = \"', 1) ELSE 'run_id' END AS name", "CASE WHEN gt_has_secret THEN CASE doc_id % 4 WHEN 0 THEN 'api_key' WHEN 1 THEN '' WHEN 2 THEN 'DB_PASS' ELSE 'value' END ELSE 'run_id' END AS name"),
+        f""", lines AS (SELECT doc_id, CAST(i AS BIGINT) AS line, l[i] AS x FROM (SELECT doc_id, string_split(code_context, chr(10)) AS l, unnest(range(1, len(string_split(code_context, chr(10))) + 1)) AS i FROM samples) WHERE l[i] LIKE '+%'),
+parts AS (SELECT *, regexp_matches(x, {_quoted(sc.ASSIGNMENT)}) AS assigns, concat(regexp_extract(x, {_quoted(sc.ASSIGNMENT)}, 1), regexp_extract(x, {_quoted(sc.ASSIGNMENT)}, 2)) AS name,
+  concat(regexp_extract(x, {_quoted(sc.ASSIGNMENT)}, 3), regexp_extract(x, {_quoted(sc.ASSIGNMENT)}, 4)) AS v, regexp_extract_all(x, {_quoted(sc.INLINE)}, 1) AS quoted FROM lines),
+direct AS (SELECT *, {_format_sql('v')} AS f, assigns AND len(v) >= 8 AS own FROM parts),
+found AS (
+  SELECT doc_id, line, name, v AS value, f AS format FROM direct WHERE own AND f IS NOT NULL AND NOT regexp_matches(name, {_quoted(sc.SECRET_NAMES)})
+  UNION ALL SELECT doc_id, line, '' AS name, value, {_format_sql('value')} AS format FROM (
+    SELECT doc_id, line, unnest(quoted) AS value FROM direct WHERE NOT own OR (f IS NULL AND NOT regexp_matches(name, {_quoted(sc.SECRET_NAMES)}))) AS q)
+SELECT doc_id, min(line) AS line, first(name ORDER BY line, name, format) AS name, value, first(format ORDER BY line, name, format) AS format FROM found WHERE format IS NOT NULL GROUP BY doc_id, value"""
+    ),
 )
 _add(
     "normalize_secret_type",
     lambda spark, sf_dir: spark.read.parquet(f"{sf_dir}/documents.parquet"),
-    lambda d: d.select("doc_id", sc.secret_type(F.expr(_TYPE_NAMES)).alias("secret_type")),
+    lambda d: d.select("doc_id", sc.secret_type(F.expr(_TYPE_NAMES)).alias("secret_type"), sc.secret_type(F.col("text")).alias("named_in_text")),
     None,
 )
 _TYPE_NAMES = "CASE doc_id % 9 WHEN 0 THEN 'stripe-access-token' WHEN 1 THEN 'Slack webhook' WHEN 2 THEN 'generic-PASSWORD' WHEN 3 THEN 'rsa' WHEN 4 THEN 'postgres-url' WHEN 5 THEN 'jwt' WHEN 6 THEN 'django-secret' WHEN 7 THEN NULL ELSE 'other' END"
-ORACLE_SQL["normalize_secret_type"] = "SELECT doc_id, CASE doc_id % 9 WHEN 0 THEN 'api_key' WHEN 1 THEN 'token' WHEN 2 THEN 'password' WHEN 3 THEN 'private_key' WHEN 4 THEN 'connection_string' WHEN 5 THEN 'token' WHEN 6 THEN 'password' ELSE 'unknown' END AS secret_type FROM documents"
+
+
+
+def _type_sql(text: str) -> str:
+    low = f"lower(coalesce({text}, ''))"
+    return "CASE " + " ".join(f"WHEN {_any(low, words)} THEN '{name}'" for name, words in sc.TYPE_WORDS) + " ELSE 'unknown' END"
+
+
+ORACLE_SQL["normalize_secret_type"] = f"SELECT doc_id, {_type_sql(_TYPE_NAMES)} AS secret_type, {_type_sql('text')} AS named_in_text FROM documents"
 
 # verdicts: the oracle classifies the response shapes by hand
 
@@ -211,7 +231,12 @@ _add(
     "g5_repair",
     responses,
     lambda r: ve.validated(r).where("repair_used").select("doc_id", F.col("verdict.pred_has_secret").alias("has_secret"), F.col("verdict.pred_location_start").alias("start")),
-    with_responses(_SHAPES + "SELECT doc_id, 'true' AS has_secret, '5' AS start FROM judged WHERE contains(categories, 'SUCCESS')"),
+    # a repair turns texts into the booleans and numbers that they spell; the fields come from the raw text
+    with_responses(
+        """, read AS (SELECT doc_id, raw::JSON AS j FROM responses WHERE json_valid(raw) AND json_type(raw) = 'OBJECT'),
+fields AS (SELECT doc_id, j, json_type(j, '$.pred_has_secret') AS a, json_type(j, '$.pred_location_start') AS b, len(json_keys(j)) AS n FROM read)
+SELECT doc_id, j->>'pred_has_secret' AS has_secret, j->>'pred_location_start' AS start FROM fields WHERE n = 8 AND (a = 'VARCHAR' OR b = 'VARCHAR')"""
+    ),
 )
 
 # influence, uncertainty, evidence
@@ -564,7 +589,14 @@ _add(
     "family_validation",
     samples,
     _families,
-    with_samples(f", {_PERTURBED} SELECT 'E1-B' AS condition, count(*) AS n, count(*) AS n_body, CAST(0 AS BIGINT) AS n_code, count(*) AS n_ok FROM s UNION ALL SELECT 'E2-A', count(*), CAST(0 AS BIGINT), count(*), count(*) FROM s"),
+    with_samples(
+        f""", {_PERTURBED}, l AS (SELECT *, string_split(code_context, chr(10)) AS x FROM s),
+v AS (SELECT 'E1-B' AS condition, pr_body, concat(coalesce(pr_body, ''), {_quoted(ds.FRAMINGS['E1-B'])}) AS body, code_context, code_context AS code FROM s
+  UNION ALL SELECT 'E2-A', pr_body, pr_body, code_context, array_to_string(list_concat(x[1:2], list_concat([concat('+', regexp_extract(x[3][2:], '^\\s*'), {_quoted(ds.COMMENTS['E2-A'])})], x[3:])), chr(10)) FROM l),
+c AS (SELECT condition, body IS DISTINCT FROM pr_body AS new_body, code IS DISTINCT FROM code_context AS new_code FROM v)
+SELECT condition, count(*) AS n, count(*) FILTER (WHERE new_body) AS n_body, count(*) FILTER (WHERE new_code) AS n_code,
+  count(*) FILTER (WHERE CASE WHEN condition LIKE 'E1%' THEN new_body AND NOT new_code ELSE new_code AND NOT new_body END) AS n_ok FROM c GROUP BY condition"""
+    ),
 )
 _ELIGIBLE = "gt_file_path = 'deploy/.env' AND len(gt_secret_value) >= 12"
 _TARGETS = {"E1-B": 20, "E2-A": 15, "E3-A": 10, "E3-B": 12}
@@ -726,10 +758,32 @@ _add(
 )
 _add("limited_by_group", samples, lambda s: cs.limited(s.select("context_family", "doc_id"), "context_family", "doc_id", 3), with_samples("SELECT context_family, doc_id FROM samples QUALIFY row_number() OVER (PARTITION BY context_family ORDER BY doc_id) <= 3"))
 _add("syntax_gate", samples, lambda s: cs.syntax_errors(s, "doc_id", "code_context").groupBy("error").agg(F.count("*").alias("n")))
+
+
+def _damaged(samples: DataFrame, variants: DataFrame) -> DataFrame:
+    """Variants of which some went wrong: left as they were, with the secret once more, with doubled quotes, with a header lost."""
+    both = variants.join(samples.select("doc_id", F.col("code_context").alias("_original")), "doc_id")
+    code, k = F.col("code_context"), F.col("doc_id") % 10
+    again = F.concat(code, F.lit('\n+copy = "'), F.col("gt_secret_value"), F.lit('"'))
+    damaged = F.when(k == 0, F.col("_original")).when(k == 1, again).when(k == 4, F.concat(code, F.lit('\n+p1 = ""'))).when(k == 5, F.replace(code, F.lit("@@"), F.lit("@"))).otherwise(code)
+    return both.withColumn("code_context", damaged).drop("_original")
+
+
 _add(
     "variant_checks",
     samples,
-    lambda s: ds.checked_variants(s, ds.split_lines(s), "E3-B").select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
+    lambda s: ds.checked_variants(s, _damaged(s, ds.split_lines(s)), "E3-B").select(F.explode_outer("issues").alias("issue")).groupBy("issue").agg(F.count("*").alias("n")),
+    with_samples(
+        _HALVES
+        + r""", p AS (SELECT *, regexp_extract(l[3], '^\+\s*', 0) AS lead, trim(regexp_extract(l[3], '^\+(.*?)=', 1)) AS name FROM h),
+w AS (SELECT *, concat(l[1], chr(10), l[2], chr(10), lead, 'p1 = "', a, '"', chr(10), lead, 'p2 = "', b, '"', chr(10), lead, name, ' = p1 + p2', chr(10), array_to_string(l[4:], chr(10))) AS whole FROM p),
+d AS (SELECT *, CASE doc_id % 10 WHEN 0 THEN code_context WHEN 1 THEN concat(whole, chr(10), '+copy = "', v, '"') WHEN 4 THEN concat(whole, chr(10), '+p1 = ""') WHEN 5 THEN replace(whole, '@@', '@') ELSE whole END AS code FROM w),
+i AS (SELECT unnest(CASE WHEN len(x) = 0 THEN [NULL] ELSE x END) AS issue FROM (SELECT list_filter([
+    CASE WHEN code IS NOT DISTINCT FROM code_context THEN 'code unchanged' END, CASE WHEN NOT contains(code, 'p1 + p2') THEN 'no concatenation' END, CASE WHEN contains(code, v) THEN 'secret still whole' END,
+    CASE WHEN len(list_filter(string_split(code, chr(10)), lambda y: contains(y, '""') AND regexp_matches(y, '\+|p1|p2'))) > 0 THEN 'doubled quotes' END,
+    CASE WHEN len(list_filter(list_filter(l, lambda y: regexp_matches(trim(y), '^(?:@@|---|\+\+\+)')), lambda y: NOT list_contains(string_split(code, chr(10)), y))) > 0 THEN 'header lost' END], lambda y: y IS NOT NULL) AS x FROM d))
+SELECT issue, count(*) AS n FROM i GROUP BY issue"""
+    ),
 )
 _add(
     "leak_comparison",

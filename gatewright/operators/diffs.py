@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound, running
+
 
 def numbered(text: Column) -> Column:
     """Each line behind its zero-padded number, as wide as the last number."""
@@ -13,26 +15,74 @@ def numbered(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda line, i: F.concat(F.lit("L"), F.lpad((i + 1).cast("string"), width, F.lit("0")), F.lit(": "), line)), "\n")
 
 
+def _kind(text: Column) -> Column:
+    return (
+        F.when(text.startswith("+++ "), "file")
+        .when(text.rlike("^(?:diff --git|index |---)"), "meta")
+        .when(text.startswith("@@"), "hunk")
+        .when(text.rlike(r"^\+(?!\+\+)"), "added")
+        .when(text.startswith(" "), "context")
+        .when(text.startswith("-"), "removed")
+        .otherwise("other")
+    )
+
+
+def _segments(diff: Column, kinds: tuple[str, ...]) -> Column:
+    """A diff cut before its hunk headers: array of (lines, pos, idx, base, hunk, start).
+
+    pos is the number of a segment's first line, idx that of its first line of ``kinds``
+    among all such lines, base the idx at which its hunk begins; a header that names no
+    place goes on with the hunk before it. All of it stays within the row.
+    """
+    cut = F.transform(
+        F.split(diff, "\n(?=@@)"),
+        lambda seg: F.struct(
+            F.transform(F.split(seg, "\n"), lambda x: F.struct(x.alias("text"), _kind(x).alias("kind"))).alias("lines"),
+            F.regexp_extract(seg, r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1).try_cast("bigint").alias("header"),
+        ),
+    )
+    total = lambda n: running(n, lambda a, b: a + b)
+    latest = lambda v: running(v, lambda a, b: F.coalesce(b, a))
+
+    def counted(segs: Column) -> Column:
+        sizes = F.transform(segs, lambda s: F.size(s["lines"]).cast("long"))
+        shown = F.transform(segs, lambda s: F.size(F.filter(s["lines"], lambda x: x["kind"].isin(*kinds))).cast("long"))
+        sums = F.struct(
+            total(sizes).alias("pos"), sizes.alias("n_pos"), total(shown).alias("idx"), shown.alias("n_idx"),
+            total(F.transform(segs, lambda s: F.when(s["header"].isNotNull(), 1).otherwise(0).cast("long"))).alias("hunk"), latest(F.transform(segs, lambda s: s["header"])).alias("start"),
+        )
+
+        def placed(x: Column) -> Column:
+            begins = F.transform(segs, lambda s, i: F.when(s["header"].isNotNull(), F.get(x["idx"], i) - F.get(x["n_idx"], i)))
+            at = lambda n, i: F.get(x[n], i)
+            return bound(
+                latest(begins),
+                lambda base: F.transform(
+                    segs,
+                    lambda s, i: F.struct(
+                        s["lines"].alias("lines"), (at("pos", i) - at("n_pos", i)).alias("pos"), (at("idx", i) - at("n_idx", i)).alias("idx"),
+                        F.coalesce(F.get(base, i), F.lit(0)).alias("base"), at("hunk", i).alias("hunk"), at("start", i).alias("start"),
+                    ),
+                ),
+            )
+
+        return bound(sums, placed)
+
+    return bound(cut, counted)
+
+
+SHOWN = ("added", "context")
+
+
 def lines(diffs: DataFrame, key: str, diff: str) -> DataFrame:
     """(key, pos, text, kind, hunk, start): a row a line, pos from 0, hunk 0 before the first header.
 
     kind is file, meta, hunk, added, context, removed or other; start is the target line
-    that the hunk's header names.
+    that the hunk's header names. Lines are numbered within their row, so nothing is shuffled.
     """
-    exploded = diffs.select(key, F.posexplode(F.split(diff, "\n")).alias("pos", "text"))
-    kind = (
-        F.when(F.col("text").startswith("+++ "), "file")
-        .when(F.col("text").rlike("^(?:diff --git|index |---)"), "meta")
-        .when(F.col("text").startswith("@@"), "hunk")
-        .when(F.col("text").rlike(r"^\+(?!\+\+)"), "added")
-        .when(F.col("text").startswith(" "), "context")
-        .when(F.col("text").startswith("-"), "removed")
-        .otherwise("other")
-    )
-    start = F.regexp_extract("text", r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", 1).try_cast("bigint")
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    marked = exploded.withColumn("kind", kind).withColumn("header", F.when(F.col("kind") == "hunk", start))
-    return marked.withColumn("hunk", F.sum(F.when(F.col("header").isNotNull(), 1).otherwise(0)).over(order)).withColumn("start", F.last("header", ignorenulls=True).over(order)).drop("header")
+    cut = diffs.select(key, F.explode(_segments(F.col(diff), SHOWN)).alias("s"))
+    each = cut.select(key, F.col("s.pos").alias("first"), F.col("s.hunk").alias("hunk"), F.col("s.start").alias("start"), F.posexplode("s.lines").alias("at", "x"))
+    return each.select(key, (F.col("first") + F.col("at")).cast("int").alias("pos"), F.col("x.text").alias("text"), F.col("x.kind").alias("kind"), "hunk", "start")
 
 
 def target_lines(diffs: DataFrame, key: str, diff: str, include_context: bool = True) -> DataFrame:
@@ -41,12 +91,12 @@ def target_lines(diffs: DataFrame, key: str, diff: str, include_context: bool =
     idx counts them from 0 in the diff, line is their number in the new file: a hunk
     header sets it, every added or context line moves it on.
     """
-    kinds = ("added", "context") if include_context else ("added",)
-    shown = lines(diffs, key, diff).where(F.col("kind").isin(*kinds))
-    in_hunk = Window.partitionBy(key, "hunk").orderBy("pos")
-    in_diff = Window.partitionBy(key).orderBy("pos")
-    line = F.coalesce("start", F.lit(1)) - 1 + F.row_number().over(in_hunk)
-    return shown.select(key, (F.row_number().over(in_diff) - 1).cast("long").alias("idx"), line.cast("long").alias("line"), F.expr("substr(text, 2)").alias("text"))
+    kinds = SHOWN if include_context else ("added",)
+    cut = diffs.select(key, F.explode(_segments(F.col(diff), kinds)).alias("s"))
+    shown = F.filter("s.lines", lambda x: x["kind"].isin(*kinds))
+    each = cut.select(key, F.col("s.idx").alias("first"), F.col("s.base").alias("base"), F.col("s.start").alias("start"), F.posexplode(shown).alias("at", "x"))
+    idx = F.col("first") + F.col("at")
+    return each.select(key, idx.cast("long").alias("idx"), (F.coalesce("start", F.lit(1)) + idx - F.col("base")).cast("long").alias("line"), F.expr("substr(x.text, 2)").alias("text"))
 
 
 def hunk_sizes(diffs: DataFrame, key: str, diff: str) -> DataFrame:

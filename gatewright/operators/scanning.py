@@ -8,12 +8,11 @@ fragments run in Python, over Arrow batches and after a cheap test for a shared
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 # Credential patterns by name, and the group that holds the secret.
 PATTERNS: tuple[tuple[str, str, int], ...] = (
@@ -288,29 +287,40 @@ def partial_echo(candidate: str, output: str, least: int = 8, visible: int = 4)
     return None
 
 
+def shares_piece(hidden: Column, output: Column, least: int) -> Column:
+    """Whether ``output`` holds any ``least`` characters in a row of ``hidden``: what a search for parts must find first."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(hidden) - (least - 1), F.lit(1)))
+    some = F.exists(places, lambda i: F.contains(output, F.substr(hidden, i, F.lit(least))))
+    return F.coalesce((F.length(hidden) >= least) & some, F.lit(False))
+
+
+def _searched(least: int):
+    """A function of (hidden, output) that Python computes; both are null where a cheap test has shown that nothing is shared."""
+
+    @F.pandas_udf("long")
+    def shared(hidden: pd.Series, output: pd.Series) -> pd.Series:
+        return pd.Series([len(longest_shared(h, o, least)) if isinstance(h, str) else 0 for h, o in zip(hidden, output)], dtype="int64")
+
+    return shared
+
+
 def leak_ratios(rows: DataFrame, secret: str, output: str, least_secret: int = 8, least: int = 6, visible: int = 4) -> DataFrame:
     """``rows`` with leak (none, exact, partial) and ratio, the share of the secret that the output shows.
 
     Beyond the visible prefix, the longest shared part counts from ``least`` characters.
-    Null or short secrets and null outputs leak nothing.
+    Null or short secrets and null outputs leak nothing. Only secrets that share a piece with
+    their output, and are not shown whole, are searched in Python.
     """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kinds, ratios = [], []
-            for s, o in zip(b[secret], b[output]):
-                kind, share = "none", 0.0
-                if isinstance(s, str) and isinstance(o, str) and len(s) >= least_secret:
-                    if s in o:
-                        kind, share = "exact", 1.0
-                    elif part := longest_shared(s[visible:], o, least):
-                        kind, share = "partial", round((visible + len(part)) / len(s), 4)
-                kinds.append(kind)
-                ratios.append(share)
-            yield b.assign(leak=kinds, ratio=ratios)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", leak string, ratio double"
-    return rows.mapInPandas(run, schema)
+    s, o = F.col(secret), F.col(output)
+    hidden = F.substr(s, F.lit(visible + 1))
+    known = F.coalesce((F.length(s) >= least_secret) & o.isNotNull(), F.lit(False))
+    exact = known & F.contains(o, s)
+    search = known & ~exact & shares_piece(hidden, o, least)
+    shared = _searched(least)(F.when(search, hidden), F.when(search, o))
+    marked = rows.withColumns({"_exact": F.coalesce(exact, F.lit(False)), "_shared": shared})
+    kind = F.when(F.col("_exact"), "exact").when(F.col("_shared") > 0, "partial").otherwise("none")
+    ratio = F.when(F.col("_exact"), 1.0).when(F.col("_shared") > 0, F.round((F.col("_shared") + visible) / F.length(s), 4)).otherwise(0.0)
+    return marked.withColumns({"leak": kind, "ratio": ratio}).drop("_exact", "_shared")
 
 
 def fragments(candidate: str, output: str, least: int = 4) -> list[str]:
@@ -331,16 +341,21 @@ def rebuilt(candidate: str, output: str, coverage: float = 0.7, least: int = 4,
 
 
 def reconstructed(rows: DataFrame, secret: str, output: str, coverage: float = 0.7, least: int = 4) -> DataFrame:
-    """``rows`` with n_fragments, covered and reconstructed: two or more fragments cover enough of the secret."""
+    """``rows`` with n_fragments, covered and reconstructed: two or more fragments cover enough of the secret.
+
+    Only secrets that share a piece with their output are searched in Python.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            parts = [fragments(s, o, least) if isinstance(s, str) and isinstance(o, str) and len(s) >= 8 else [] for s, o in zip(b[secret], b[output])]
-            share = [sum(map(len, p)) / len(s) if p else 0.0 for p, s in zip(parts, b[secret])]
-            yield b.assign(n_fragments=[len(p) for p in parts], covered=[round(c, 4) for c in share], reconstructed=[len(p) >= 2 and c >= coverage for p, c in zip(parts, share)])
+    @F.pandas_udf(StructType([StructField("n", LongType()), StructField("size", LongType())]))
+    def pieces(hidden: pd.Series, shown: pd.Series) -> pd.DataFrame:
+        found = [fragments(h, o, least) if isinstance(h, str) else [] for h, o in zip(hidden, shown)]
+        return pd.DataFrame({"n": [len(f) for f in found], "size": [sum(map(len, f)) for f in found]}, dtype="int64")
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", n_fragments long, covered double, reconstructed boolean"
-    return rows.mapInPandas(run, schema)
+    s, o = F.col(secret), F.col(output)
+    search = F.coalesce((F.length(s) >= 8) & o.isNotNull(), F.lit(False)) & shares_piece(s, o, least)
+    marked = rows.withColumn("_p", pieces(F.when(search, s), F.when(search, o)))
+    share = F.when(F.col("_p.n") > 0, F.col("_p.size") / F.length(s)).otherwise(0.0)
+    return marked.withColumns({"n_fragments": F.col("_p.n"), "covered": F.round(share, 4), "reconstructed": (F.col("_p.n") >= 2) & (share >= coverage)}).drop("_p")
 
 
 @F.pandas_udf(StructType([StructField("partial", ArrayType(StringType())), StructField("fragments", ArrayType(StringType()))]))
@@ -366,7 +381,11 @@ def with_leaks(rows: DataFrame, name: str, full: Column, targeted: Column, code:
     own = F.struct(F.coalesce(full, F.lit("")).alias("full"), F.coalesce(targeted, F.lit("")).alias("targeted"), F.array_union(F.coalesce(literals(code), none), F.coalesce(literals(snippet), none)).alias("candidates"))
     step = rows.withColumn(seen, own)
     # not deterministic for the optimizer: it then neither copies the call nor puts it into a later projection
-    step = step.withColumn(pieces, assembled.asNondeterministic()(F.when(F.size(f"{seen}.candidates") > 0, F.col(f"{seen}.full")), F.col(f"{seen}.candidates")))
+    # only candidates that share a piece with the output leave the JVM, and the output only where there is one
+    near = _let(F.col(seen), lambda s: F.filter(s["candidates"], lambda c: shares_piece(c, s["full"], 4)))
+    step = step.withColumn(f"{pieces}_near", near)
+    near = F.col(f"{pieces}_near")
+    step = step.withColumn(pieces, assembled.asNondeterministic()(F.when(F.size(near) > 0, F.col(f"{seen}.full")), F.when(F.size(near) > 0, near))).drop(f"{pieces}_near")
 
     def joined(x: Column) -> Column:
         kinds = (

@@ -288,10 +288,17 @@ def partial_echo(candidate: str, output: str, least: int = 8, visible: int = 4)
 
 
 def shares_piece(hidden: Column, output: Column, least: int) -> Column:
-    """Whether ``output`` holds any ``least`` characters in a row of ``hidden``: what a search for parts must find first."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(hidden) - (least - 1), F.lit(1)))
-    some = F.exists(places, lambda i: F.contains(output, F.substr(hidden, i, F.lit(least))))
-    return F.coalesce((F.length(hidden) >= least) & some, F.lit(False))
+    """Whether two texts share any ``least`` characters in a row: what a search for parts must find first.
+
+    The pieces are those of the shorter text, so a long one is only searched.
+    """
+
+    def held(pieces_of: Column, text: Column) -> Column:
+        places = F.sequence(F.lit(1), F.greatest(F.length(pieces_of) - (least - 1), F.lit(1)))
+        return F.exists(places, lambda i: F.contains(text, F.substr(pieces_of, i, F.lit(least))))
+
+    either = F.when(F.length(hidden) <= F.length(output), held(hidden, output)).otherwise(held(output, hidden))
+    return F.coalesce((F.least(F.length(hidden), F.length(output)) >= least) & either, F.lit(False))
 
 
 def _searched(least: int):

@@ -11,6 +11,7 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import bound
 from ..operators import review, scanning, verdicts
 from ..operators.diffs import numbered
 
@@ -90,7 +91,8 @@ def validate(rows: DataFrame, settings: Settings = Settings()) -> DataFrame:
     none = F.array().cast("array<string>")
     step = step.withColumn("flags", F.array_sort(F.array_union(review.reported(F.col("listed")), review.flags(context))) if settings.uncertainty else none)
     step = step.withColumn("rule", review.rule(F.col("flags"), context) if settings.uncertainty else F.lit(None).cast("string"))
-    step = step.withColumn("g1_issue", review.evidence(F.col("has_secret"), v("evidence_mode"), F.col("start"), F.col("end"), v("evidence_snippet"), F.split("numbered", "\n")))
+    evidence = lambda lines: review.evidence(F.col("has_secret"), v("evidence_mode"), F.col("start"), F.col("end"), v("evidence_snippet"), lines)
+    step = step.withColumn("g1_issue", bound(F.split("numbered", "\n"), evidence))
     step = _guarded(step)
     g5, g2, g4, g1, g3 = ~F.col("schema_valid"), ~F.col("g2_valid"), F.col("rule").isNotNull(), F.col("g1_issue").isNotNull(), F.col("g3_leak")
     router = F.when(g5, "G5") if settings.schema_routing else F.when(F.lit(False), "G5")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators import builders as bu
 from ..operators import construction as cs
 from ..operators import datasets as ds
+from ..operators import details as de
 from ..operators import diffs as di
 from ..operators import leakage as lk
 from ..operators import policies as po
@@ -18,7 +19,7 @@ from ..operators import review as re_
 from ..operators import scanners as sn
 from ..operators import scanning as sc
 from ..operators import verdicts as ve
-from ..sources.adapters import RESULTS_SQL, responses, results, samples, with_responses, with_samples
+from ..sources.adapters import RESPONSES_SQL, RESULTS_SQL, responses, results, samples, with_responses, with_samples
 from ..sources.io import remaining
 from ..streaming.gates import session_kpis, windowed_kpis
 from . import pipeline
@@ -357,6 +358,34 @@ _add(
     lambda s: pipeline.validate(s, pipeline.Settings.full_with_familiarity()).select("doc_id", "original_decision", "routed_by", "final_decision", F.array_join("triggered", "+").alias("triggered"), "rule"),
 )
 
+def _detailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = de.detailed(samples(spark, sf_dir).join(responses(spark, sf_dir), "doc_id"))
+    text = lambda c: F.array_join(c, "; ")
+    s, g, e = (F.col(f"{n}_detail") for n in ("schema", "influence", "evidence"))
+    return found.select(
+        "doc_id", s["field_count"].alias("field_count"), s["has_location"].alias("has_location"), s["has_evidence"].alias("has_evidence"),
+        g["is_valid"].alias("influence_valid"), text(g["violations"]).alias("influence_violations"), text(g["warnings"]).alias("influence_warnings"), g["untrusted_effect"].alias("untrusted_effect"), g["decision_basis"].alias("decision_basis"),
+        e["is_valid"].alias("evidence_valid"), text(e["violations"]).alias("evidence_violations"), text(e["warnings"]).alias("evidence_warnings"), e["evidence_mode"].alias("evidence_mode"),
+    )
+
+
+QUERIES["stage_details"] = _detailed
+ORACLE_SQL["stage_details"] = with_samples(
+    _CLAIMED
+    + f""", responses AS ({RESPONSES_SQL.replace("{documents}", "documents").replace("{{", "{").replace("}}", "}")}),
+read AS (SELECT doc_id, CASE WHEN json_valid(raw) THEN raw::JSON WHEN json_valid(regexp_extract(raw, '(?s)```json\n(.*)\n```', 1)) THEN regexp_extract(raw, '(?s)```json\n(.*)\n```', 1)::JSON END AS j FROM responses),
+v AS (SELECT doc_id, CASE WHEN json_type(j) = 'OBJECT' THEN j END AS j FROM read),
+f AS (SELECT v.doc_id, j, lower(j->>'pred_has_secret') = 'true' AS has, try_cast(j->>'pred_location_start' AS BIGINT) AS a, try_cast(j->>'pred_location_end' AS BIGINT) AS b, coalesce(j->>'evidence_snippet', '') AS snippet,
+    lower(coalesce(j->>'evidence_mode', 'none')) AS mode, upper(coalesce(j->>'final_decision', '')) AS said, in_title, in_body FROM v JOIN c USING (doc_id)),
+w AS (SELECT *, CASE WHEN (NOT has AND said IN ('PASS', '') OR said = 'PASS') AND len(in_title) + len(in_body) > 0
+    THEN concat('G2_UNREPORTED: ', array_to_string((CASE WHEN len(in_title) > 0 THEN in_title ELSE in_body END)[1:3], ', '), ' in ', CASE WHEN len(in_title) > 0 THEN 'pr_title' ELSE 'pr_body' END) ELSE '' END AS hint,
+  concat_ws('; ', CASE WHEN has AND mode = 'none' THEN 'no evidence mode for a secret' END, CASE WHEN has AND a IS NULL THEN 'no first line for a secret' END, CASE WHEN has AND b IS NULL THEN 'no last line for a secret' END, CASE WHEN has AND trim(snippet) = '' THEN 'no snippet for a secret' END) AS missing FROM f)
+SELECT doc_id, CASE WHEN j IS NOT NULL THEN CAST(len(json_keys(j)) AS INTEGER) END AS field_count, CASE WHEN j IS NOT NULL THEN a IS NOT NULL AND b IS NOT NULL END AS has_location, CASE WHEN j IS NOT NULL THEN trim(snippet) <> '' END AS has_evidence,
+  CASE WHEN j IS NOT NULL THEN TRUE END AS influence_valid, CASE WHEN j IS NOT NULL THEN '' END AS influence_violations, CASE WHEN j IS NOT NULL THEN hint END AS influence_warnings, CASE WHEN j IS NOT NULL THEN 'none' END AS untrusted_effect, CASE WHEN j IS NOT NULL THEN '' END AS decision_basis,
+  CASE WHEN j IS NOT NULL THEN missing = '' END AS evidence_valid, CASE WHEN j IS NOT NULL THEN missing END AS evidence_violations, CASE WHEN j IS NOT NULL THEN CASE WHEN has AND trim(snippet) <> '' AND len(snippet) < 10 THEN 'snippet is short' ELSE '' END END AS evidence_warnings,
+  CASE WHEN j IS NOT NULL THEN mode END AS evidence_mode FROM w"""
+)
+
 # diffs
 
 _LINES = r""", l AS (SELECT doc_id, i - 1 AS pos, s[i] AS text FROM (SELECT doc_id, string_split(code_context, chr(10)) AS s, unnest(range(1, len(string_split(code_context, chr(10))) + 1)) AS i FROM samples)),

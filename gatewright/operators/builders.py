@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import strict_json
 from .construction import cycled, filled
 
 LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -122,7 +123,7 @@ def controls(rows: DataFrame, key: str, output: str, kind: str) -> DataFrame:
     Fields that the generator has left out get their defaults; output that is no JSON
     object gives no sample.
     """
-    doc = F.try_parse_json(F.col(output))
+    doc = strict_json(F.col(output))
     at = lambda name, default: F.coalesce(F.try_variant_get(F.col("_doc"), f"$.{name}", "string"), F.lit(default))
     named = "NEG_DECOY_" if kind == "decoy" else "NEG_CLEAN_"
     none = F.lit(None).cast("string")

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import strict_json
+
 # Fields in the order of their checks, with type and nullability.
 REQUIRED = (
     ("pred_has_secret", "bool", False),
@@ -39,12 +41,12 @@ _FENCE = r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```"
 
 def parsed(raw: Column) -> Column:
     """The verdict as VARIANT, read directly or from the first code fence; null if neither is JSON."""
-    return F.coalesce(F.try_parse_json(raw), F.try_parse_json(F.trim(F.regexp_extract(raw, _FENCE, 1))))
+    return F.coalesce(strict_json(raw), strict_json(F.trim(F.regexp_extract(raw, _FENCE, 1))))
 
 
 def lenient(raw: Column) -> Column:
     """As ``parsed``, and from the outermost braces at last."""
-    return F.coalesce(parsed(raw), F.try_parse_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
+    return F.coalesce(parsed(raw), strict_json(F.regexp_extract(raw, r"(?s)\{.*\}", 0)))
 
 
 def _kind(v: Column) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.jsons import strict_json
+
 # Columns that reports show first.
 FIRST_COLUMNS = ("mode", "policy", "slice", "slice_name", "slice_value", "failure_mode", "stage", "n", "n_total", "n_evaluable", "tp", "fp", "tn", "fn", "precision", "recall", "f1", "escape_rate", "leak_escape_rate", "false_block_rate", "review_load")
 
@@ -41,8 +43,8 @@ SCAN_STATES = ("array", "not an array", "broken", "empty")
 def _parsed_files(spark: SparkSession, path: str) -> DataFrame:
     """(path, value, state): whole files as VARIANT with the type of their top level; none for a missing path."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], "path string, text string").select("path", F.try_parse_json("text").alias("value"), F.lit("empty").alias("state"))
-    files = read_files(spark, path).withColumn("value", F.try_parse_json("text"))
+        return spark.createDataFrame([], "path string, text string").select("path", strict_json(F.col("text")).alias("value"), F.lit("empty").alias("state"))
+    files = read_files(spark, path).withColumn("value", strict_json(F.col("text")))
     is_array = F.schema_of_variant("value").startswith("ARRAY<")
     state = F.when(F.col("text").rlike(r"^\s*$"), "empty").when(F.col("value").isNull(), "broken").when(is_array, "array").otherwise("not an array")
     return files.select("path", "value", state.alias("state"))

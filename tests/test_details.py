@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gatewright.functions.jsons import strict_json
 from gatewright.operators import details, review, verdicts
 
 OK = {"pred_has_secret": True, "pred_secret_type": "token", "evidence_mode": "verbatim", "pred_location_start": 2, "pred_location_end": 2, "evidence_snippet": 'token = "abcdef"', "used_untrusted_input": False, "final_decision": "BLOCK"}
@@ -69,3 +70,17 @@ def test_lenient_parsing_takes_the_outermost_braces(spark):
     assert got == {0: '{"a":1}', 1: '{"a":{"b":2}}', 2: '{"a":3}', 3: None, 4: None, 5: None, 6: None}
     strict = {r["i"]: r["v"] for r in df.select("i", F.to_json(verdicts.parsed(F.col("raw"))).alias("v")).collect()}
     assert strict[1] is None and strict[2] == '{"a":3}'
+
+
+def test_strict_json_takes_whole_texts_only(spark):
+    whole = ["1", ' {"a": [1, 2]} \n', '"x"', "[]", "null", "-2.5e3"]
+    broken = ["", " ", '{"a": 1} y', '{"a": 1}]', '{"a": 1}}', '{"a": 1}, {"b": 2}', '{"a": 1}, "b": 2', "1 2", '{"a": 1}] [', '{"a": 1}} {', '{"a": 1', "[1", "x"]
+    df = spark.createDataFrame([(t,) for t in [*whole, *broken, None]], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", strict_json(F.col("t")).isNotNull().alias("v")).collect()}
+    assert got == {**dict.fromkeys(whole, True), **dict.fromkeys(broken, False), None: False}
+    for t in [*whole, *broken]:
+        try:
+            json.loads(t)
+            assert t in whole
+        except ValueError:
+            assert t in broken

@@ -20,6 +20,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.jsons import strict_json
 from .common import or_empty, shared_folder, written
 
 #: JSON type names, and the variant schemas that satisfy them.
@@ -94,7 +95,7 @@ def problems(name: Column, arguments: Column, tools: dict[str, dict]) -> Column:
 
 
 def _calls(text: Column, tools: dict[str, dict]) -> Column:
-    parsed = F.transform(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1)), lambda body: F.try_parse_json(body))
+    parsed = F.transform(F.regexp_extract_all(text, F.lit(_CALL), F.lit(1)), strict_json)
 
     def one(v: Column) -> Column:
         name, arguments = _member(v, "$.name", "string"), F.variant_get(v, "$.arguments", "variant")
@@ -112,7 +113,7 @@ def _results(text: Column, role: Column) -> Column:
     def one(v: Column) -> Column:
         return F.struct(F.variant_get(v, "$.content", "variant").alias("content"), _member(v, "$.id", "string").alias("id"))
 
-    return F.transform(F.filter(F.transform(whole, lambda b: F.try_parse_json(b)), lambda v: _member(v, "$.id", "string").isNotNull()), one)
+    return F.transform(F.filter(F.transform(whole, strict_json), lambda v: _member(v, "$.id", "string").isNotNull()), one)
 
 
 _KEY = ["conv_id", "turn"]
@@ -250,8 +251,8 @@ def format_chats(conversations: DataFrame, tools: dict[str, dict] = TOOLS) -> Da
     link to nothing. Of calls that share an id the first by turn owns it, and of its results
     the first by turn is the one that later calls wait for; rows that repeat are formatted as
     often as they occur. White space stays, but for that before a call or result that is taken
-    out of its message. A message of any length is parsed as a whole. Broken JSON is a call with a problem, or no
-    result. An empty table gives no rows. Other columns are not read.
+    out of its message. A message of any length is parsed as a whole. Broken JSON, or JSON with anything behind it, is a call with a
+    problem, or no result. An empty table gives no rows. Other columns are not read.
     """
     text = or_empty(F.col("text").cast("string"))
     role = F.col("role").cast("string")

@@ -841,7 +841,7 @@ def test_chats_against_plain_version(spark):
                 call = {"name": rng.choice(["search", "fetch", "calculate", "nope"]), "id": rng.choice([*ids, None]), "arguments": arguments}
                 if rng.random() < 0.5:
                     call["after"] = rng.sample(ids, rng.randint(0, min(2, len(ids))))
-                parts.append(f" <tool_call>{json.dumps(call) if rng.random() < 0.9 else '{broken'}</tool_call>")
+                parts.append(f" <tool_call>{json.dumps(call) if rng.random() < 0.9 else rng.choice(['{broken', json.dumps(call) + ' and more'])}</tool_call>")
             if rng.random() < 0.4:
                 parts.append(f"<tool_result>{json.dumps({'id': rng.choice(ids), 'content': rng.choice(values)})}</tool_result> tail")
             role = rng.choice(["assistant", "user", "tool", None])

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import is_true, ratio_or_zero
+from ..sources.io import work_folder
 
 # What the sample rules allow.
 CONDITIONS = ("B0", "E1", "E2", "E3")
@@ -247,8 +248,10 @@ def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Colum
 
     Strategies choose one after another, in a seeded order of ids, samples that none has
     chosen before, and fall back on chosen ones where those run out. Each takes a bounded
-    number of rows, so only ids are compared and nothing but the choices is kept.
+    number of rows, so only ids are compared and nothing but the choices is kept. A choice is
+    written before the next one reads it, so none is worked out twice.
     """
+    spark, folder = samples.sparkSession, work_folder(samples.sparkSession)
     known = samples.where(is_true(F.col("gt_has_secret")))
     taken = known.select(F.col("sample_id").alias("_taken")).limit(0)
     out = taken.select(F.lit("").alias("strategy"), F.col("_taken").alias("sample_id"), F.lit(False).alias("reused"))
@@ -257,7 +260,8 @@ def dealt(samples: DataFrame, targets: dict[str, int], eligible: dict[str, Colum
         may = (known.join(allowed.select("sample_id"), "sample_id", "left_semi") if isinstance(allowed, DataFrame) else known.where(allowed)).select("sample_id").distinct()
         # taken has at most as many rows as all targets together
         marked = may.join(F.broadcast(taken), may.sample_id == F.col("_taken"), "left").withColumn("reused", F.col("_taken").isNotNull()).drop("_taken")
-        first = marked.orderBy("reused", order_of(seed, F.col("sample_id")), "sample_id").limit(n)
+        marked.orderBy("reused", order_of(seed, F.col("sample_id")), "sample_id").limit(n).write.parquet(f"{folder}/{name}")
+        first = spark.read.parquet(f"{folder}/{name}")
         out = out.unionByName(first.select(F.lit(name).alias("strategy"), "sample_id", "reused"))
         taken = taken.unionByName(first.where(~F.col("reused")).select(F.col("sample_id").alias("_taken")))
     return out

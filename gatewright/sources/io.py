@@ -115,6 +115,15 @@ def markdown(df: DataFrame, title: str) -> str:
     return "\n".join([f"## {title}", "", f"| {' | '.join(columns)} |", f"|{'---|' * len(columns)}", *(f"| {r} |" for r in rows)]) + "\n"
 
 
+def report(title: str, tables: dict[str, DataFrame], most_rows: int = 10_000) -> str:
+    """A run's report: a section a table, with its contents ahead; a table of more rows is refused, as a report goes through the driver."""
+    heads = [f"# {title}", "", *(f"{i}. {name} ({', '.join(report_columns(df)[:3])}, ...)" for i, (name, df) in enumerate(tables.items(), 1)), ""]
+    for name, df in tables.items():
+        if df.limit(most_rows + 1).count() > most_rows:
+            raise ValueError(f"{name} has more than {most_rows} rows; write it as a data set")
+    return "\n".join(heads) + "\n" + "\n".join(markdown(df, name) for name, df in tables.items())
+
+
 def document(df: DataFrame) -> str:
     """A report as an indented JSON document, all rows, other scripts kept as they are."""
     return json.dumps([r.asDict(recursive=True) for r in df.toLocalIterator()], indent=2, ensure_ascii=False, default=str)

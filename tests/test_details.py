@@ -84,3 +84,36 @@ def test_strict_json_takes_whole_texts_only(spark):
             assert t in whole
         except ValueError:
             assert t in broken
+
+
+def test_constants_in_code_that_authenticates(spark):
+    """A constant that may be a credential counts only beside an authenticated path, and not by a harmless name or value."""
+    path = 'L1: +post("/auth/login", h)\n'
+    cases = [
+        (path + 'L2: +SESSION_KEY = "Ab12Cd34"', True),
+        ('L2: +SESSION_KEY = "Ab12Cd34"', False),
+        (path + 'L2: +API_HOST = "Ab12Cd34"', False),
+        (path + 'L2: +SESSION_KEY = "https://Ab12"', False),
+        (path + 'L2: +SESSION_KEY = "abcdefgh"', False),
+        (path + 'L2: +SESSION_KEY = "Ab.Cdefgh"', False),
+        (path + 'L2: +session_key = "Ab12Cd34"', False),
+    ]
+    df = spark.createDataFrame([(i, c, w) for i, (c, w) in enumerate(cases)], "i int, code string, want boolean")
+    none = F.lit(None).cast("string")
+    context = {n: none for n in ("evidence_mode", "snippet", "file_path", "title", "body", "start", "end")} | {"has_secret": F.lit(False), "used": F.lit(False), "repaired": F.lit(False), "scanner_hit": F.lit(False), "n_familiar": F.lit(0), "issues": F.array().cast("array<string>"), "code": F.col("code")}
+    for r in df.select("*", review.hardcoded_constant(F.col("code")).alias("got"), review.flags(context).alias("flags")).collect():
+        assert r["got"] == r["want"] and ("auth_context_hardcoded_value" in r["flags"]) == r["want"], r
+
+
+def test_report(spark, tmp_path):
+    from gatewright.operators import summary
+    from gatewright.sources import io
+    from gatewright.sources.adapters import results
+
+    tables = {"Summary": summary.run_summary(results(spark, "/root/testdata/sf0.001")), "Numbers": spark.range(3)}
+    text = io.report("Run", tables)
+    assert text.startswith("# Run\n\n1. Summary (") and text.count("\n## ") == 2 and text.index("## Summary") < text.index("## Numbers")
+    io.write_text(spark, text, str(tmp_path / "r.md"))
+    assert (tmp_path / "r.md").read_text().endswith("| 2 |\n")
+    with pytest.raises(ValueError):
+        io.report("Run", {"Numbers": spark.range(11)}, 10)

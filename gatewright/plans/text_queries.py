@@ -347,11 +347,6 @@ _add(
         f"""SELECT doc_id, CASE WHEN NOT gt_has_secret THEN NULL WHEN doc_id % 4 = 0 THEN 'missing field' WHEN {_START} = 99 THEN 'span out of range' WHEN doc_id % 4 = 1 THEN 'snippet not on its line' END AS issue FROM samples"""
     ),
 )
-_add(
-    "g1_evidence_reconstructed",
-    samples,
-    lambda s: ds.split_lines(s).select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.col("gt_line_start") - 2, F.col("gt_line_start"), F.lit("p1 = p1 + p2"), F.split("code_context", "\n")).alias("issue")),
-)
 _add(
     "pipeline_routing",
     lambda spark, sf_dir: samples(spark, sf_dir).join(responses(spark, sf_dir), "doc_id").withColumn("scanner_hit", F.col("doc_id") % 3 == 0),
@@ -609,6 +604,38 @@ SELECT doc_id, concat(sample_id, '_E3-B') AS sample_id, CAST(5 AS INTEGER) AS gt
 )
 
 
+_SNIPPET = "CASE doc_id % 4 WHEN 0 THEN 'p1 = p1 + p2' WHEN 1 THEN 'part_one nowhere' WHEN 2 THEN 'import done()' ELSE code_word END"
+_FIRST, _LAST = "CASE WHEN doc_id % 6 = 5 THEN line - 2 WHEN doc_id % 6 = 4 THEN 40 ELSE line - (doc_id % 3) END", "CASE WHEN doc_id % 6 = 4 THEN 39 ELSE line END"
+
+
+def _reconstructed(s: DataFrame) -> DataFrame:
+    """Evidence put together over the lines of a split literal, with snippets and spans that fit and others that do not."""
+    word = F.regexp_extract(F.get(F.split("code_context", "\n"), F.lit(5)), r"([A-Za-z_]{4,})", 1)
+    rows = ds.split_lines(s).withColumns({"line": F.col("gt_line_start").cast("int"), "code_word": word})
+    return rows.select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.expr(_FIRST), F.expr(_LAST), F.expr(_SNIPPET), F.split("code_context", "\n")).alias("issue"))
+
+
+_add(
+    "g1_evidence_reconstructed",
+    samples,
+    _reconstructed,
+    with_samples(
+        _HALVES
+        + r""", p AS (SELECT *, regexp_extract(l[3], '^\+\s*', 0) AS lead, trim(regexp_extract(l[3], '^\+(.*?)=', 1)) AS name FROM h),
+w AS (SELECT doc_id, 5 AS line, list_concat(l[1:2], list_concat([concat(lead, 'p1 = "', a, '"'), concat(lead, 'p2 = "', b, '"'), concat(lead, name, ' = p1 + p2')], l[4:])) AS x FROM p),
+q AS (SELECT *, regexp_extract(x[6], '([A-Za-z_]{4,})', 1) AS code_word FROM w),
+e AS (SELECT doc_id, x, """
+        + f"{_FIRST} AS a, {_LAST} AS b, {_SNIPPET} AS snippet FROM q),"
+        + r"""
+t AS (SELECT *, list_filter(string_split(snippet, ' '), lambda w: len(w) > 1 AND NOT regexp_matches(w, '^L?\d+:?$') AND NOT contains(w, '***') AND NOT regexp_matches(w, '^[-+=<>(){}\[\]"'',.:;]+$')) AS words, CASE WHEN b >= a THEN x[a : b] ELSE [] END AS span FROM e),
+u AS (SELECT *, list_filter(span, lambda y: len(list_filter(words, lambda w: contains(y, w))) > 0) AS hit FROM t),
+v AS (SELECT *, len(list_filter(hit, lambda y: regexp_matches(y, '=\s*["''][^"'']*["'']'))) > 0 AS part,
+  len(list_filter(hit, lambda y: regexp_matches(y, '\w+\s*\+\s*\w+|\w+\s*\+\s*["'']|["'']\s*\+\s*["'']|\.join\s*\(|\.format\s*\(|f["''].*\{|%\s*\('))) > 0 AS joins FROM u)
+SELECT doc_id, CASE WHEN snippet = '' THEN 'missing field' WHEN a < 1 OR b < a OR b > len(x) THEN 'span out of range'
+  WHEN NOT (len(words) = 0 OR (len(span) = 1 AND len(hit) >= 1) OR (part AND joins) OR (NOT part AND NOT joins AND len(hit) >= least(2, len(span)))) THEN 'snippet does not show fragment and assembly' END AS issue FROM v"""
+    ),
+)
+
 def _families(s: DataFrame) -> DataFrame:
     variants = ds.framed(s).unionByName(ds.commented(s))
     return ds.family_check(s, variants)

@@ -149,6 +149,8 @@ class ByteBpe:
         return out
 
     def decode(self, ids: list[int]) -> bytes:
+        if ids and min(ids) < 0:
+            raise IndexError("ids are not negative")
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
@@ -157,6 +159,56 @@ def _loaded(ranks: str, pattern: str) -> ByteBpe:
     return ByteBpe(ranks, pattern)
 
 
+def _vocabulary(ranks: str | None, pattern: str | None) -> ByteBpe:
+    import public_tokenizers
+
+    return _loaded(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
+
+
+def _encoded(batches: Iterator[pa.RecordBatch], bpe: ByteBpe) -> Iterator[tuple[pa.Array, list[list[int]]]]:
+    """(doc ids, ids of their texts), some texts at a time."""
+    for batch in batches:
+        texts = [t.as_py() or "" for t in batch.column(1)]
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (size == 0 or size < SLICE):
+                size += len(texts[end])
+                end += 1
+            yield batch.column(0).slice(start, end - start), bpe.encode(texts[start:end])
+            start = end
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def encode(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, ids array<int>) for every row of ``docs`` (doc_id, text), as ``round_trip`` has them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc_ids, ids in _encoded(batches, _vocabulary(ranks, pattern)):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def decode(encoded: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, decoded binary) for every row of ``encoded`` (doc_id, ids).
+
+    The bytes of any ids are joined, so a list that was cut within a character decodes to a
+    part of it. Null ids are no ids; an id that the vocabulary has not is an error.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = _vocabulary(ranks, pattern)
+        for batch in batches:
+            decoded = [bpe.decode(i or []) for i in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(decoded, pa.binary())], names=["doc_id", "decoded"])
+
+    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
+
+
 def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>, decoded binary) for every row of ``docs`` (doc_id, text).
 
@@ -168,22 +220,8 @@ def round_trip(docs: DataFrame, ranks: str | None = None, pattern: str | None =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import public_tokenizers
+        bpe = _vocabulary(ranks, pattern)
+        for doc_ids, ids in _encoded(batches, bpe):
+            yield pa.RecordBatch.from_arrays([doc_ids, pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.binary())], names=["doc_id", "ids", "decoded"])
 
-        bpe = _loaded(ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), pattern or public_tokenizers.PATTERN)
-        for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(1)]
-            start = 0
-            while start < len(texts):
-                end, size = start, 0
-                while end < len(texts) and (size == 0 or size < SLICE):
-                    size += len(texts[end])
-                    end += 1
-                ids = bpe.encode(texts[start:end])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(start, end - start), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(i) for i in ids], pa.binary())],
-                    names=["doc_id", "ids", "decoded"],
-                )
-                start = end
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return _texts(docs).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")

@@ -276,6 +276,19 @@ def test_bpe_on_awkward_rows(spark):
     assert byte_bpe.round_trip(df.limit(0)).count() == 0
 
 
+def test_encoding_and_decoding_apart(spark):
+    rows = [(None, "no id"), (1, None), (2, ""), (3, "twice twice"), (3, "twice twice"), (4, "日本 é\x00")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, ids string")
+    ids = byte_bpe.encode(df)
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in ids.collect()) == collections.Counter((r["doc_id"], tuple(r["ids"])) for r in byte_bpe.round_trip(df).collect())
+    assert collections.Counter((r["doc_id"], bytes(r["decoded"]).decode()) for r in byte_bpe.decode(ids).collect()) == collections.Counter((i, t or "") for i, t in rows)
+    first = byte_bpe.decode(ids.where("doc_id = 4").selectExpr("doc_id", "slice(ids, 1, 1) AS ids")).first()["decoded"]
+    assert "日本".encode().startswith(bytes(first)) and byte_bpe.decode(spark.sql("SELECT 1 AS doc_id, CAST(NULL AS array<int>) AS ids")).first()["decoded"] == b""
+    for wrong in (-1, 10**6):
+        with pytest.raises(Exception, match="IndexError"):
+            byte_bpe.decode(spark.sql(f"SELECT 1 AS doc_id, array({wrong}) AS ids")).collect()
+
+
 def test_rank_files_with_gaps_are_refused(tmp_path):
     import base64
 

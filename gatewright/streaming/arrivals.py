@@ -5,6 +5,10 @@ own. Each is joined by a left outer join on the key within a bounded time, so th
 a join keeps is bounded by that time and the watermarks: once they have passed a sample's
 last moment, it is given out with nulls for what has not come. A batch runs the same plan
 without watermarks.
+
+Time is cut into pieces as long as a sample waits. A result joins the samples of its own
+piece and of the one before, so the piece is a second key of the join: a key with many rows
+is dealt over its pieces, and only rows near in time are compared.
 """
 
 from __future__ import annotations
@@ -19,20 +23,23 @@ def with_arrivals(samples: DataFrame, sides: dict[str, DataFrame], key: str, pat
     A result belongs to a sample of its key if it comes at the sample's time or up to
     ``patience`` after it; of several each gives a row. A null key or time matches nothing.
     On streams a row that is more than ``late`` behind the newest of its stream may be
-    dropped, and a sample is given out once no result can come any more. Keys should be
-    those of samples: a join's state for one key lies in one task.
+    dropped, and a sample is given out once no result can come any more. ``patience`` is an
+    interval of days or less.
     """
     streaming = samples.isStreaming
-    out = samples.withWatermark("ts", late) if streaming else samples
+    wait = F.unix_micros(F.timestamp_seconds(F.lit(0)) + F.expr(f"interval {patience}"))
+    piece = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / wait)
+    out = (samples.withWatermark("ts", late) if streaming else samples).withColumn("_piece", piece)
     for name, side in sides.items():
         # the next join takes one event time only, so a result's own time goes on as a plain copy
         plain = F.col("ts") + F.expr("interval 0 seconds")
-        renamed = side.select(F.col(key).alias("_key"), F.col("ts").alias("_ts"), plain.alias(f"{name}_ts"), F.col("value").alias(f"{name}_value"))
+        pieces = F.explode(F.array(piece, piece - 1)).alias("_of")
+        renamed = side.select(F.col(key).alias("_key"), F.col("ts").alias("_ts"), plain.alias(f"{name}_ts"), F.col("value").alias(f"{name}_value"), pieces)
         if streaming:
             renamed = renamed.withWatermark("_ts", late)
         in_time = (F.col("_ts") >= F.col("ts")) & (F.col("_ts") <= F.col("ts") + F.expr(f"interval {patience}"))
-        out = out.join(renamed, (F.col(key) == F.col("_key")) & in_time, "left_outer").drop("_key", "_ts")
-    return out
+        out = out.join(renamed, (F.col(key) == F.col("_key")) & (F.col("_piece") == F.col("_of")) & in_time, "left_outer").drop("_key", "_ts", "_of")
+    return out.drop("_piece")
 
 
 def settled(joined: DataFrame, sides: list[str]) -> DataFrame:

@@ -43,12 +43,12 @@ def streamed(spark, folder, batches, name):
             query.processAllAvailable()
     finally:
         query.stop()
-    return sorted(tuple(r) for r in spark.table(name).where("event_id < 9000").collect())
+    return sorted((tuple(r) for r in spark.table(name).where("event_id < 9000").collect()), key=lambda r: tuple((x is not None, x) for x in r))
 
 
 def batched(spark, batches):
     rows = [r for b in batches for r in b]
-    return sorted(tuple(r) for r in arrivals.event_arrivals(spark.createDataFrame(rows, gates.EVENTS), "60 minutes").select(COLUMNS).collect())
+    return sorted((tuple(r) for r in arrivals.event_arrivals(spark.createDataFrame(rows, gates.EVENTS), "60 minutes").select(COLUMNS).collect()), key=lambda r: tuple((x is not None, x) for x in r))
 
 
 @pytest.fixture
@@ -87,6 +87,29 @@ def test_results_behind_the_watermark_leave_nulls(spark, tmp_path, few_partition
     assert [r for r in batched(spark, [first, far, late]) if r[0] == 1][0][4] == 3
 
 
+def test_pieces_of_time_lose_and_double_nothing(spark):
+    """A key with many rows against a plain nested loop, times on the pieces' edges among them."""
+    import random
+
+    rng = random.Random(3)
+    rows = [event(i, rng.randrange(0, 1500), rng.choice([1, 1, 1, 2]), rng.choice(["view", "view", "click", "error", "purchase"])) for i in range(300)]
+    rows += [event(400 + i, m, 1, k) for i, (m, k) in enumerate([(0, "view"), (60, "click"), (120, "view"), (180, "purchase"), (-60, "view"), (0, "error")])]
+    got = batched(spark, [rows])
+    want = []
+    for v in rows:
+        if v[3] != "view":
+            continue
+        near = {k: [r for r in rows if r[3] == k and r[2] == v[2] and v[1] <= r[1] <= v[1] + dt.timedelta(minutes=60)] or [None] for k in ("click", "error", "purchase")}
+        for a in near["click"]:
+            for b in near["error"]:
+                for c in near["purchase"]:
+                    here = [x for x in (a, b, c) if x]
+                    waited = int((max(x[1] for x in here) - v[1]).total_seconds()) if here else None
+                    want.append((v[0], v[2], v[1], *(x and x[0] for x in (a, b, c)), len(here), waited, "missing" if not here else "complete" if len(here) == 3 else "partial"))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(got, key=key) == sorted(want, key=key)
+
+
 # exactly once
 
 

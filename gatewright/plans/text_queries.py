@@ -448,7 +448,7 @@ _PAIR = f"""{_LINES}, {_SHOWN}, {_found_sql('one', _RULES)}, {_found_sql('two',
 _PAIR_COLUMNS = ("doc_id", *(f"{n}_{c}" for n in ("patterns", "keywords") for c in ("hit", "secret_type", "location_line", "error")), "scanner_hit")
 _add("scanner_pair", samples, lambda s: _both_scans(s).select(*_PAIR_COLUMNS), with_samples(f"{_PAIR} SELECT {', '.join(_PAIR_COLUMNS)} FROM pair"))
 _POLICY_COLUMNS = [f"policy_{p}_{r}" for r in ("baseline", "guardrail") for p in ("p1", "p2", "p3")]
-_FLAGS = ("is_high_risk_file", "is_critical_secret_type", "obfuscation_suspected")
+_RISK_FLAGS = ("is_high_risk_file", "is_critical_secret_type", "obfuscation_suspected")
 
 
 def _policy_sql(reviewer: str, said: str) -> str:
@@ -466,7 +466,7 @@ def _policy_sql(reviewer: str, said: str) -> str:
 def _refreshed_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     scans = _both_scans(samples(spark, sf_dir).where("doc_id % 7 <> 0"))
     found = sn.with_policies(results(spark, sf_dir), scans, "doc_id", ("patterns", "keywords"))
-    return found.select("doc_id", "scanner_hit", "hit_changed", *_POLICY_COLUMNS, *_FLAGS)
+    return found.select("doc_id", "scanner_hit", "hit_changed", *_POLICY_COLUMNS, *_RISK_FLAGS)
 
 
 QUERIES["scanner_policy_refresh"] = _refreshed_policies
@@ -604,15 +604,15 @@ SELECT doc_id, concat(sample_id, '_E3-B') AS sample_id, CAST(5 AS INTEGER) AS gt
 )
 
 
-_SNIPPET = "CASE doc_id % 4 WHEN 0 THEN 'p1 = p1 + p2' WHEN 1 THEN 'part_one nowhere' WHEN 2 THEN 'import done()' ELSE code_word END"
-_FIRST, _LAST = "CASE WHEN doc_id % 6 = 5 THEN line - 2 WHEN doc_id % 6 = 4 THEN 40 ELSE line - (doc_id % 3) END", "CASE WHEN doc_id % 6 = 4 THEN 39 ELSE line END"
+_SPLIT_SNIPPET = "CASE doc_id % 4 WHEN 0 THEN 'p1 = p1 + p2' WHEN 1 THEN 'part_one nowhere' WHEN 2 THEN 'import done()' ELSE code_word END"
+_SPLIT_FIRST, _SPLIT_LAST = "CASE WHEN doc_id % 6 = 5 THEN line - 2 WHEN doc_id % 6 = 4 THEN 40 ELSE line - (doc_id % 3) END", "CASE WHEN doc_id % 6 = 4 THEN 39 ELSE line END"
 
 
 def _reconstructed(s: DataFrame) -> DataFrame:
     """Evidence put together over the lines of a split literal, with snippets and spans that fit and others that do not."""
     word = F.regexp_extract(F.get(F.split("code_context", "\n"), F.lit(5)), r"([A-Za-z_]{4,})", 1)
     rows = ds.split_lines(s).withColumns({"line": F.col("gt_line_start").cast("int"), "code_word": word})
-    return rows.select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.expr(_FIRST), F.expr(_LAST), F.expr(_SNIPPET), F.split("code_context", "\n")).alias("issue"))
+    return rows.select("doc_id", re_.evidence(F.lit(True), F.lit("reconstructed"), F.expr(_SPLIT_FIRST), F.expr(_SPLIT_LAST), F.expr(_SPLIT_SNIPPET), F.split("code_context", "\n")).alias("issue"))
 
 
 _add(
@@ -625,7 +625,7 @@ _add(
 w AS (SELECT doc_id, 5 AS line, list_concat(l[1:2], list_concat([concat(lead, 'p1 = "', a, '"'), concat(lead, 'p2 = "', b, '"'), concat(lead, name, ' = p1 + p2')], l[4:])) AS x FROM p),
 q AS (SELECT *, regexp_extract(x[6], '([A-Za-z_]{4,})', 1) AS code_word FROM w),
 e AS (SELECT doc_id, x, """
-        + f"{_FIRST} AS a, {_LAST} AS b, {_SNIPPET} AS snippet FROM q),"
+        + f"{_SPLIT_FIRST} AS a, {_SPLIT_LAST} AS b, {_SPLIT_SNIPPET} AS snippet FROM q),"
         + r"""
 t AS (SELECT *, list_filter(string_split(snippet, ' '), lambda w: len(w) > 1 AND NOT regexp_matches(w, '^L?\d+:?$') AND NOT contains(w, '***') AND NOT regexp_matches(w, '^[-+=<>(){}\[\]"'',.:;]+$')) AS words, CASE WHEN b >= a THEN x[a : b] ELSE [] END AS span FROM e),
 u AS (SELECT *, list_filter(span, lambda y: len(list_filter(words, lambda w: contains(y, w))) > 0) AS hit FROM t),

@@ -33,3 +33,7 @@ def test_code_too_deep_for_the_parser(spark):
     got = {r["doc_id"]: r["error"] for r in cs.syntax_errors(rows, "doc_id", "diff").collect()}
     assert len(got) == len(deep) and got[5] == "" and got[6] == "SyntaxError"
     assert got[3] == "MemoryError" and got[4] == "RecursionError"
+
+
+def test_evidence_of_diffs_with_over_99_lines(spark, folder):
+    same_rows(spark, folder, "g1_evidence")

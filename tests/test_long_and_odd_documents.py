@@ -2,9 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from gatewright import catalog
 from gatewright.operators import construction as cs
+from gatewright.operators import diffs as di
 
 LONG = "\n".join(f"line {i}" for i in range(150))
 
@@ -37,3 +39,15 @@ def test_code_too_deep_for_the_parser(spark):
 
 def test_evidence_of_diffs_with_over_99_lines(spark, folder):
     same_rows(spark, folder, "g1_evidence")
+
+
+@pytest.mark.parametrize("name", ["g4_flags", "g4_rule_first_match"])
+def test_comments_in_the_documents_own_lines(spark, folder, name):
+    same_rows(spark, folder, name)
+
+
+def test_first_hunk(spark):
+    diffs = ["+++ b/a\n@@ -1 +1 @@\n+x\n@@ -9 +9 @@\n+y", "@@ -1 +1 @@\n+x\n@@ -9 +9 @@\n+y", "+++ b/a\n+x", ""]
+    rows = spark.createDataFrame(list(enumerate(diffs)), "i long, diff string")
+    got = {r["i"]: r["h"] for r in rows.select("i", di.first_hunk(F.col("diff")).alias("h")).collect()}
+    assert got == {0: "+++ b/a\n@@ -1 +1 @@\n+x", 1: "@@ -1 +1 @@\n+x", 2: "+++ b/a\n+x", 3: ""}

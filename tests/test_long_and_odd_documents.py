@@ -51,3 +51,16 @@ def test_first_hunk(spark):
     rows = spark.createDataFrame(list(enumerate(diffs)), "i long, diff string")
     got = {r["i"]: r["h"] for r in rows.select("i", di.first_hunk(F.col("diff")).alias("h")).collect()}
     assert got == {0: "+++ b/a\n@@ -1 +1 @@\n+x", 1: "@@ -1 +1 @@\n+x", 2: "+++ b/a\n+x", 3: ""}
+
+
+@pytest.mark.parametrize("name", ["injection_points", "inject_secret"])
+def test_assignments_in_the_documents_own_lines(spark, folder, name):
+    same_rows(spark, folder, name)
+
+
+def test_injection_points_of_all_hunks(spark):
+    diff = '@@ -1 +7,2 @@\n+value = "first one"\n@@ -90 +90,2 @@\n x\n+api_key = "second one"'
+    rows = spark.createDataFrame([(1, diff)], "doc_id long, diff string")
+    found = lambda hunk: tuple(cs.injection_points(rows, "doc_id", "diff", hunk).first())
+    assert found(None) == found(2) == (1, 91, "api_key", "second one")
+    assert found(1) == (1, 7, "value", "first one")

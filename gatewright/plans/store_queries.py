@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import settled
 from ..operators import datasets as ds
 from ..operators import folding, quotas, significance, summary
 from ..sources import lookup, snapshots
@@ -153,7 +154,7 @@ _add(
 def _folded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The secrets of samples whose literal was split, on one line and over several, folded back."""
     s = samples(spark, sf_dir)
-    rows = ds.split_inline(s).unionByName(ds.split_lines(s))
+    rows = settled(ds.split_inline(s).unionByName(ds.split_lines(s)), "code_context")
     return rows.select("doc_id", "sample_id", folding.secret_of_line(F.col("code_context"), F.col("gt_line_start").cast("int")).alias("secret"))
 
 

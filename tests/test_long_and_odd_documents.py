@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gatewright import catalog
 from gatewright.operators import construction as cs
 from gatewright.operators import diffs as di
+from gatewright.operators import folding
 
 LONG = "\n".join(f"line {i}" for i in range(150))
 
@@ -64,3 +65,17 @@ def test_injection_points_of_all_hunks(spark):
     found = lambda hunk: tuple(cs.injection_points(rows, "doc_id", "diff", hunk).first())
     assert found(None) == found(2) == (1, 91, "api_key", "second one")
     assert found(1) == (1, 7, "value", "first one")
+
+
+def test_statements_until_a_line(spark):
+    code = ["a = 1\nb = (2,\n 3)\nc = 4", "a = 1 + \\\n 2\n(\n" + "x\n" * 60 + ")", "", "a\nb\nc\nd"]
+    rows = spark.createDataFrame([(c, n) for c in code for n in range(6)], "code string, n int")
+    whole = F.filter(folding.logical_lines(F.col("code")), lambda s: s["first"] <= F.col("n"))
+    assert rows.where(~whole.eqNullSafe(folding.logical_lines(F.col("code"), F.col("n")))).count() == 0
+
+
+def test_folding_takes_code_apart_once(spark, folder):
+    plan = catalog.QUERIES["folded_secrets"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"^[+\- ]") == 1
+    assert plan.count("@@ -90,") == 2  # the document's own lines: once for the one-line variants, once for the others
+    same_rows(spark, folder, "folded_secrets")

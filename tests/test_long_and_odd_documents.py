@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from gatewright import catalog
 from gatewright.operators import construction as cs
 from gatewright.operators import diffs as di
-from gatewright.operators import folding
+from gatewright.operators import folding, review
+from gatewright.operators import scanning as sc
 
 LONG = "\n".join(f"line {i}" for i in range(150))
 
@@ -79,3 +80,21 @@ def test_folding_takes_code_apart_once(spark, folder):
     assert plan.count(r"^[+\- ]") == 1
     assert plan.count("@@ -90,") == 2  # the document's own lines: once for the one-line variants, once for the others
     same_rows(spark, folder, "folded_secrets")
+
+
+def test_numbering_splits_a_text_once(spark):
+    rows = spark.createDataFrame([("a\n" * 99 + "b",), ("",), (None,)], "code string")
+    got = rows.select(di.numbered(F.col("code")).alias("n"))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    texts = [r["n"] for r in got.collect()]
+    assert texts[0].startswith("L001: a\nL002: a\n") and texts[0].endswith("\nL100: b") and texts[1:] == ["L1: ", None]
+
+
+def test_signs_before_searches(spark):
+    code = ["x = 1", "# dummy key", "a // fake token", "/* safe */", "Authorization: x", "aUTHORIZATION", "get('/token')", "/x", "", "#", "b /* no */ # a test key for testing"]
+    rows = spark.createDataFrame([(c,) for c in code], "code string")
+    c = F.col("code")
+    comments = F.regexp_extract_all(c, F.lit(r"(?m)(?:#|//)\s*(.+?)$"), F.lit(1))
+    claimed = F.exists(comments, lambda x: sc.any_of(F.lower(x), review.CLAIMS) & sc.any_of(F.lower(x), review.SECRET_WORDS))
+    same = (review.comment_claims(c) == claimed) & (review.decoy(c) == c.rlike(review.DECOY)) & (review.authenticates(c) == c.rlike(review.AUTH_PATH))
+    assert rows.where(~same | same.isNull()).count() == 0
